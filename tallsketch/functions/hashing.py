@@ -183,14 +183,29 @@ def srdht_sign_poly(seed: int, trial: int) -> Poly:
     return poly(seed, "srdht-sign", trial)
 
 
-def srdht_frequencies(m: int, c: int, seed: int, trial: int) -> list[int]:
-    """c distinct frequencies in [0, m), drawn on the driver without replacement."""
-    import random
+def srdht_freq_poly(seed: int, trial: int) -> Poly:
+    return poly(seed, "srdht-freq", trial)
+
+
+def srdht_frequencies(spark, m: int, c: int, seed: int, trial: int) -> list[int]:
+    """c distinct frequencies in [0, m): the c indices with the smallest keyed hash (ties
+    by index) -- a uniform draw without replacement that plain SQL can repeat.  Computed
+    as a distributed top-c over ``range(m)`` (each task keeps c candidates)."""
+    from pyspark.sql import functions as F
 
     if c > m:
         raise ValueError(f"srdht needs c <= m (c={c}, m={m})")
-    rng = random.Random(f"{int(seed)}|srdht-freq|{int(trial)}")
-    return sorted(rng.sample(range(m), c))
+    h = F.expr(sql_hash_key("id", srdht_freq_poly(seed, trial), "spark"))
+    top = spark.range(m).select("id", h.alias("h")).orderBy("h", "id").limit(c).collect()
+    return sorted(int(r["id"]) for r in top)
+
+
+def np_srdht_frequencies(m: int, c: int, seed: int, trial: int) -> list[int]:
+    """NumPy version of the same rule (tests, small m)."""
+    idx = np.arange(m, dtype=np.int64)
+    hv = np_hash_key(idx, srdht_freq_poly(seed, trial))
+    order = np.lexsort((idx, hv))[:c]
+    return sorted(int(i) for i in idx[order])
 
 
 def sample_poly(seed: int, purpose: str, trial: int = 0) -> Poly:

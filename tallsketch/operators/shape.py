@@ -39,7 +39,7 @@ def _attach_offsets(df: DataFrame, name: str) -> DataFrame:
     count (checked), never by the data."""
     spark = df.sparkSession
     with_pid = df.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__local", F.monotonically_increasing_id().bitwise_and(F.lit((1 << LOCAL_BITS) - 1)))
+        "__local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
     counts = with_pid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     nparts = df.rdd.getNumPartitions()
     if nparts > 5_000_000:

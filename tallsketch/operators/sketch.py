@@ -83,7 +83,7 @@ def sketch(mf: MatrixFrame, kind: str = "cw", c: int = 100, k: int = 1, seed: in
         mf, m = contiguous_keys(mf)
         if c > m:
             raise ValueError(f"srdht needs c <= m (c={c}, m={m})")
-        freqs = [H.srdht_frequencies(m, c, seed, t) for t in range(k)]
+        freqs = [H.srdht_frequencies(mf.df.sparkSession, m, c, seed, t) for t in range(k)]
         return _arrow_sketch(mf, kind, c, k, seed, m=m, freqs=freqs)
     if kind == "cw" and mf.layout == "wide" and method != "arrow":
         return _cw_catalyst(mf, c, k, seed)
