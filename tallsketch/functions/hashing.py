@@ -142,41 +142,69 @@ def dense_polys(seed: int, trial: int) -> tuple[Poly, Poly, Poly, Poly]:
             poly(seed, "dense-u1", trial), poly(seed, "dense-u2", trial))
 
 
-def np_dense_base(keys: np.ndarray, c: int, seed: int, trial: int) -> np.ndarray:
-    """(c, r) matrix of entry hashes base[j, i] = (h_row(key_i) + h_col(j)) % P."""
+def np_dense_base(keys: np.ndarray, slots: int, seed: int, trial: int) -> np.ndarray:
+    """(slots, r) matrix of entry hashes base[j, i] = (h_row(key_i) + h_col(j)) % P."""
     hr, hc, _, _ = dense_polys(seed, trial)
     ra = np_hash_key(keys, hr)
-    rb = np_cubic(np.arange(c, dtype=np.int64), hc)
-    return (rb[:, None] + ra[None, :]) % P
+    rb = np_cubic(np.arange(slots, dtype=np.int64), hc)
+    s = rb[:, None] + ra[None, :]
+    s -= P * (s >= P)  # both terms are < P
+    return s
 
 
-def sql_dense_base(key_sql: str, bucket_sql: str, seed: int, trial: int, dialect: str) -> str:
+def sql_dense_base(key_sql: str, slot_sql: str, seed: int, trial: int, dialect: str) -> str:
     hr, hc, _, _ = dense_polys(seed, trial)
-    return f"(({sql_hash_key(key_sql, hr, dialect)} + {sql_cubic(f'CAST({bucket_sql} AS BIGINT)', hc)}) % {_lit(P)})"
+    return f"(({sql_hash_key(key_sql, hr, dialect)} + {sql_cubic(f'CAST({slot_sql} AS BIGINT)', hc)}) % {_lit(P)})"
 
 
+def _div(a: str, b: str, dialect: str) -> str:
+    return f"({a} div {b})" if dialect == "spark" else f"({a} // {b})"
+
+
+# Gaussian entries come in pairs: buckets 2p and 2p+1 share one Box-Muller draw (u1, u2)
+# and take its cosine and sine halves, two independent normals for one pair of hashes.
+
 def np_gaussian_block(keys: np.ndarray, c: int, seed: int, trial: int) -> np.ndarray:
-    base = np_dense_base(keys, c, seed, trial)
+    pairs = (c + 1) // 2
+    base = np_dense_base(keys, pairs, seed, trial)
     _, _, h1, h2 = dense_polys(seed, trial)
-    return np_normal(np_uniform(np_cubic(base, h1)), np_uniform(np_cubic(base, h2)))
+    radius = np.sqrt(-2.0 * np.log(np_uniform(np_cubic(base, h1))))
+    angle = 2.0 * math.pi * np_uniform(np_cubic(base, h2))
+    out = np.empty((2 * pairs, base.shape[1]))
+    out[0::2] = radius * np.cos(angle)
+    out[1::2] = radius * np.sin(angle)
+    return out[:c]
 
 
 def sql_gaussian(key_sql: str, bucket_sql: str, seed: int, trial: int, dialect: str) -> str:
-    base = sql_dense_base(key_sql, bucket_sql, seed, trial, dialect)
+    pair = _div(f"CAST({bucket_sql} AS BIGINT)", _lit(2), dialect)
+    base = sql_dense_base(key_sql, pair, seed, trial, dialect)
     _, _, h1, h2 = dense_polys(seed, trial)
-    return sql_normal(sql_uniform(sql_cubic(base, h1)), sql_uniform(sql_cubic(base, h2)))
+    radius = f"sqrt(-2.0 * ln({sql_uniform(sql_cubic(base, h1))}))"
+    angle = f"(2.0 * pi() * {sql_uniform(sql_cubic(base, h2))})"
+    return f"({radius} * CASE WHEN {bucket_sql} % 2 = 0 THEN cos({angle}) ELSE sin({angle}) END)"
+
+
+# Rademacher entries: 16 buckets share one hash and read one bit each.
+SIGN_BITS = 16
 
 
 def np_rademacher_block(keys: np.ndarray, c: int, seed: int, trial: int) -> np.ndarray:
-    base = np_dense_base(keys, c, seed, trial)
+    words = (c + SIGN_BITS - 1) // SIGN_BITS
+    base = np_dense_base(keys, words, seed, trial)
     _, _, h1, _ = dense_polys(seed, trial)
-    return np_sign(np_cubic(base, h1))
+    hv = np_cubic(base, h1)
+    bits = (hv[:, None, :] >> np.arange(SIGN_BITS, dtype=np.int64)[None, :, None]) & 1
+    return (bits.reshape(words * SIGN_BITS, -1)[:c] * 2 - 1).astype(np.float64)
 
 
 def sql_rademacher(key_sql: str, bucket_sql: str, seed: int, trial: int, dialect: str) -> str:
-    base = sql_dense_base(key_sql, bucket_sql, seed, trial, dialect)
+    word = _div(f"CAST({bucket_sql} AS BIGINT)", _lit(SIGN_BITS), dialect)
+    base = sql_dense_base(key_sql, word, seed, trial, dialect)
     _, _, h1, _ = dense_polys(seed, trial)
-    return sql_sign(sql_cubic(base, h1))
+    bit = f"CAST({bucket_sql} % {SIGN_BITS} AS INTEGER)"
+    shifted = f"shiftright({sql_cubic(base, h1)}, {bit})" if dialect == "spark" else f"({sql_cubic(base, h1)} >> {bit})"
+    return f"(CAST(({shifted} % 2) * 2 - 1 AS DOUBLE))"
 
 
 def srdht_sign_poly(seed: int, trial: int) -> Poly:

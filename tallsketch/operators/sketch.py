@@ -27,7 +27,7 @@ from tallsketch.sources.matrix import MatrixFrame
 from tallsketch.session import ship_package
 
 KINDS = ("cw", "gaussian", "rademacher", "srdht")
-MAX_BLOCK_ENTRIES = 1 << 22  # c x rows of a dense draw held at once inside a task
+MAX_BLOCK_ENTRIES = 1 << 16  # c x rows of a dense draw held at once (cache-sized chunks)
 
 
 @dataclass(frozen=True)

@@ -40,6 +40,7 @@ class JobParams:
     trials: int = 1                    # k
     seed: int = 42
     persist: bool = True
+    partitions: int | None = None      # hash-repartition the rows by key first (None: keep)
     stop_early: bool = False
     expect_dims: tuple[int, int] | None = None
     repeat: int = 1                    # stacking
@@ -79,6 +80,7 @@ class SolveResult:
     metrics: DataFrame
     history: LsqrResult | None = None
     factors: dict = field(default_factory=dict)
+    errors: DataFrame | None = None  # (cand, iter, x_relerr, f_relerr) when evaluated
 
 
 def compute_factors(mf: MatrixFrame, p: JobParams, timings: dict) -> dict[int, np.ndarray]:
@@ -106,6 +108,8 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
     p.validate()
     spark = mf.df.sparkSession
     timings: dict[str, float] = {}
+    if p.partitions:
+        mf = mf.with_df(mf.df.repartition(int(p.partitions), "key"))
     work = mf.persist() if p.persist else mf
     try:
         history = None
@@ -163,6 +167,5 @@ def run_job(spark: SparkSession, input_uri_or_df, p: JobParams, n: int | None =
     if p.evaluate:
         from tallsketch.operators import evaluate as E
 
-        result.metrics = result.metrics.unionByName(
-            E.evaluate(result, original, p, x_opt=p.x_opt, f_opt=p.f_opt))
+        result.errors = E.evaluate(result, original, p, x_opt=p.x_opt, f_opt=p.f_opt)
     return result

@@ -9,14 +9,21 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tallsketch") -> SparkSession:
-    """Session for tests and the bench.  On a cluster, build the session yourself."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tallsketch",
+                  advisory_partition: str = "1m") -> SparkSession:
+    """Session for tests and the bench.  On a cluster, build the session yourself.
+
+    The driver tables are a few MB, so AQE's coalescing target is scaled down with them
+    (``advisory_partition``) to keep one partition per core; at cluster scale the usual
+    64-256 MB targets apply."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory_partition)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
