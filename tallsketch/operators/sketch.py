@@ -165,6 +165,7 @@ def _arrow_sketch(mf: MatrixFrame, kind: str, c: int, k: int, seed: int, m: int
 
     def partials(batches):
         acc = np.zeros((k, c, n + 1))
+        touched = np.zeros((k, c), dtype=bool)  # count-sketch: only buckets some row hit
         seen = False
         for rb in batches:
             keys, X = arrow_block(rb, n, layout)
@@ -173,13 +174,17 @@ def _arrow_sketch(mf: MatrixFrame, kind: str, c: int, k: int, seed: int, m: int
                 seen = True
                 for t in range(k):
                     acc[t] += sketch_block(kind, kk, XX, c, seed, t, m, freq_arrays[t] if freq_arrays else None)
+                    if kind == "cw":
+                        touched[t, H.np_hash_key(kk, H.cw_polys(seed, t)[0]) % c] = True
         if not seen:
             return  # an empty partition contributes nothing (Q3)
-        trial = np.repeat(np.arange(k, dtype=np.int32), c * (n + 1))
-        bucket = np.tile(np.repeat(np.arange(c, dtype=np.int32), n + 1), k)
-        pos = np.tile(np.arange(n + 1, dtype=np.int32), k * c)
+        if kind != "cw":
+            touched[:] = True
+        tt, bb = np.nonzero(touched)
+        width = n + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(trial), pa.array(bucket), pa.array(pos), pa.array(acc.reshape(-1))],
+            [pa.array(np.repeat(tt, width).astype(np.int32)), pa.array(np.repeat(bb, width).astype(np.int32)),
+             pa.array(np.tile(np.arange(width, dtype=np.int32), len(tt))), pa.array(acc[tt, bb].reshape(-1))],
             names=["trial", "bucket", "pos", "val"])
 
     ship_package(mf.df.sparkSession)

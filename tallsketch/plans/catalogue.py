@@ -339,6 +339,26 @@ def q_stream_sketch_cw(spark, sf):
     return out.select("trial", "bucket", rnd("v0", 6).alias("v0"), rnd("v1", 4).alias("v1"), rnd("v2", 4).alias("v2"))
 
 
+ARRAY_V = [float((i % 7) - 3) for i in range(64)]  # fixed vector for the 64-wide mat-vec
+
+
+def _array_sketch_out(sk) -> DataFrame:
+    return sk.to_array().select("trial", "bucket", F.posexplode("v").alias("pos", "val")).select(
+        "trial", "bucket", F.col("pos").cast("int").alias("pos"), rnd("val", 8).alias("val"))
+
+
+def q_sketch_cw_array(spark, sf):
+    return _array_sketch_out(sketch(S.embeddings_matrix(spark, sf), "cw", 100, 1, SEED))
+
+
+def q_sketch_gaussian_array(spark, sf):
+    return _array_sketch_out(sketch(S.embeddings_matrix(spark, sf), "gaussian", C_DENSE, 1, SEED))
+
+
+def q_matvec_array(spark, sf):
+    return V.matvec(S.embeddings_matrix(spark, sf), ARRAY_V).select("key", rnd("av", 8).alias("av"))
+
+
 def queries() -> dict:
     q = {
         "read_text_matrix": q_read_text_matrix,
@@ -377,6 +397,9 @@ def queries() -> dict:
         "solution_sink_roundtrip": q_solution_sink_roundtrip,
         "gen_matrix": q_gen_matrix,
         "stream_sketch_cw": q_stream_sketch_cw,
+        "sketch_cw_array": q_sketch_cw_array,
+        "sketch_gaussian_array": q_sketch_gaussian_array,
+        "matvec_array": q_matvec_array,
     }
     for kind in KINDS:
         q[f"sketch_{kind}"] = q_sketch(kind)
@@ -492,6 +515,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_sketch_cw": O.with_(O.EV, O.sketch("sk", "ev", 2, "cw", 100, 1, SEED))
         + f"SELECT trial, bucket, {O.rnd('v0', 6)} AS v0, {O.rnd('v1', 4)} AS v1, {O.rnd('v2', 4)} AS v2 FROM sk",
     }
+    q["sketch_cw_array"] = O.with_(O.EMB, O.array_sketch("sk", "emb", 64, "cw", 100, SEED)) + \
+        f"SELECT trial, bucket, pos, {O.rnd('val', 8)} AS val FROM sk"
+    q["sketch_gaussian_array"] = O.with_(O.EMB, O.array_sketch("sk", "emb", 64, "gaussian", C_DENSE, SEED)) + \
+        f"SELECT trial, bucket, pos, {O.rnd('val', 8)} AS val FROM sk"
+    dot = " + ".join(f"{v!r} * a[{i + 1}]" for i, v in enumerate(ARRAY_V))
+    q["matvec_array"] = O.with_(O.EMB) + f"SELECT key, {O.rnd(dot, 8)} AS av FROM emb"
     for kind in KINDS:
         q[f"sketch_{kind}"] = O.with_(O.OM, O.sketch("sk", "om", 3, kind, kind_c(kind), 1, SEED)) + _sketch_sel("sk")
         q[f"ls_low_{kind}"] = _low_x(kind)

@@ -90,6 +90,20 @@ def srdht_sketch(name: str, src: str, n: int, c: int, k: int, seed: int) -> str:
     return ",\n".join(ctes)
 
 
+def array_sketch(name: str, src: str, n: int, kind: str, c: int, seed: int) -> str:
+    """One-trial sketch of an array matrix in long form (trial, bucket, pos, val); pos n = b."""
+    if kind == "cw":
+        bucket, sign = cw_bucket_sign_sql(c, seed, 0, "s.key", D)
+        rows = f"SELECT {bucket} AS bucket, {sign} AS w, s.a, s.b FROM {src} s"
+    else:
+        z = H.sql_gaussian("s.key", "bk.bucket", seed, 0, D)
+        rows = (f"SELECT CAST(bk.bucket AS INTEGER) AS bucket, ({z} / sqrt(CAST({c} AS DOUBLE))) AS w, s.a, s.b "
+                f"FROM {src} s CROSS JOIN (SELECT range AS bucket FROM range({c})) bk")
+    return (f"{name} AS (SELECT CAST(0 AS INTEGER) AS trial, bucket, CAST(p.pos - 1 AS INTEGER) AS pos, "
+            f"sum(w * CASE WHEN p.pos <= {n} THEN r.a[p.pos] ELSE r.b END) AS val "
+            f"FROM ({rows}) r CROSS JOIN (SELECT range AS pos FROM range(1, {n + 2})) p GROUP BY bucket, p.pos)")
+
+
 def sketch(name: str, src: str, n: int, kind: str, c: int, k: int, seed: int) -> str:
     if kind == "cw":
         return cw_sketch(name, src, n, c, k, seed)

@@ -110,7 +110,11 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
     timings: dict[str, float] = {}
     if p.partitions:
         mf = mf.with_df(mf.df.repartition(int(p.partitions), "key"))
-    work = mf.persist() if p.persist else mf
+    # Only plans that scan the rows more than once keep them (LSQR: q+1 passes; sampling:
+    # sketch, leverage sum, sample).  A one-pass projection sketch streams the input.
+    multi_pass = p.precision == "high" or p.sketch == "sampling"
+    keep = p.persist and multi_pass
+    work = mf.persist() if keep else mf
     try:
         history = None
         factors: dict[int, np.ndarray] = {}
@@ -144,7 +148,7 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
             write_result(result, p.output_uri)
         return result
     finally:
-        if p.persist:
+        if keep:
             work.unpersist()
 
 

@@ -37,12 +37,28 @@ def head(mf: MatrixFrame, k: int = 10) -> DataFrame:
 
 # ----------------------------------------------------------------------------- factor cache
 
+def _file_states(spark: SparkSession, files: list[str]) -> str:
+    """(path, length, modification time) of every input file, from the filesystem's
+    metadata (driver-side listing calls, no Spark job): a rewritten file changes it."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for f in sorted(files):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        st = path.getFileSystem(conf).getFileStatus(path)
+        out.append(f"{f}:{st.getLen()}:{st.getModificationTime()}")
+    return ",".join(out)
+
+
 def fingerprint(mf: MatrixFrame, params, objective: str) -> str:
-    """Identity of a factor: input plan + row count + every parameter that changes N."""
-    plan = mf.df.semanticHash()
-    files = ",".join(sorted(mf.df.inputFiles()))
-    m = mf.df.count()
-    parts = [str(CACHE_VERSION), mf.name, str(plan), files, str(m), str(mf.n), objective,
+    """Identity of a factor: the analyzed input plan, the state of its input files and every
+    parameter that changes N.  Needs no pass over the rows."""
+    spark = mf.df.sparkSession
+    # The canonicalized analyzed plan (expression ids normalized) is the same text in every
+    # session; Dataset.semanticHash is not stable across sessions.
+    plan = hashlib.sha256(mf.df._jdf.queryExecution().analyzed().canonicalized().toString().encode()).hexdigest()
+    files = _file_states(spark, mf.df.inputFiles())
+    parts = [str(CACHE_VERSION), mf.name, str(plan), files, str(mf.n), objective,
              str(params.sketch), str(params.kind), str(params.c), str(params.s), str(params.trials), str(params.seed)]
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:32]
 
