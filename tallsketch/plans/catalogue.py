@@ -359,6 +359,22 @@ def q_matvec_array(spark, sf):
     return V.matvec(S.embeddings_matrix(spark, sf), ARRAY_V).select("key", rnd("av", 8).alias("av"))
 
 
+def q_stream_ls_low_cw(spark, sf):
+    """Orders arrive as a stream; line items are a static, pre-aggregated side (stream-static
+    left join).  The final micro-batch's solution equals the batch ``ls_low_cw``."""
+    from tallsketch.streaming.sketch_stream import latest_solutions, parquet_stream, stream_low_precision, stream_rows
+
+    items = (S.table(spark, sf, "lineitem").groupBy("l_orderkey")
+             .agg(F.count(F.lit(1)).alias("n_items"), F.sum("l_quantity").alias("sum_qty")))
+    orders = parquet_stream(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    joined = orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
+    rows = stream_rows(joined, "o_orderkey", [F.lit(1.0), F.coalesce(F.col("n_items"), F.lit(0)),
+                                              F.coalesce(F.col("sum_qty"), F.lit(0.0))], "o_totalprice")
+    out = scratch_path(spark, "stream-solutions")
+    stream_low_precision(spark, rows, 3, C_CW, out, k=1, seed=SEED)
+    return _x_out(latest_solutions(spark, out))
+
+
 def queries() -> dict:
     q = {
         "read_text_matrix": q_read_text_matrix,
@@ -397,6 +413,7 @@ def queries() -> dict:
         "solution_sink_roundtrip": q_solution_sink_roundtrip,
         "gen_matrix": q_gen_matrix,
         "stream_sketch_cw": q_stream_sketch_cw,
+        "stream_ls_low_cw": q_stream_ls_low_cw,
         "sketch_cw_array": q_sketch_cw_array,
         "sketch_gaussian_array": q_sketch_gaussian_array,
         "matvec_array": q_matvec_array,
@@ -511,6 +528,7 @@ def oracle_sql() -> dict[str, str]:
             for c, x in STACK_CANDIDATES.items()),
         "factor_cache_roundtrip": _nnt_sql([O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)], "sk"),
         "solution_sink_roundtrip": _low_x("cw"),
+        "stream_ls_low_cw": _low_x("cw"),
         "gen_matrix": O.gen_matrix_sql(4, SEED, GEN_DIGITS),
         "stream_sketch_cw": O.with_(O.EV, O.sketch("sk", "ev", 2, "cw", 100, 1, SEED))
         + f"SELECT trial, bucket, {O.rnd('v0', 6)} AS v0, {O.rnd('v1', 4)} AS v1, {O.rnd('v2', 4)} AS v2 FROM sk",

@@ -52,3 +52,25 @@ def parquet_stream(spark: SparkSession, directory: str, table: str, max_files: i
     schema = spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
             .option("maxFilesPerTrigger", max_files).parquet(directory))
+
+
+def stream_low_precision(spark: SparkSession, rows: DataFrame, n: int, c: int, out_uri: str, k: int = 1,
+                         seed: int = 42) -> None:
+    """Low-precision least squares that tracks a stream: the count-sketch is maintained by a
+    streaming aggregate (complete mode) and ``foreachBatch`` solves it after every
+    micro-batch (TSQR per trial), appending ``(epoch, trial, x)`` to ``out_uri``."""
+    from tallsketch.operators.sketch import SketchFrame
+    from tallsketch.operators.small_solve import solve_sketch
+
+    def on_batch(sketch_df: DataFrame, epoch: int) -> None:
+        # One directory per epoch, overwritten: a retried micro-batch is idempotent.
+        sf = SketchFrame(sketch_df, n, "cw", c, k, seed, "wide")
+        solve_sketch(sf).select("trial", "x").write.mode("overwrite").parquet(f"{out_uri}/epoch={int(epoch)}")
+
+    run_to_table(spark, streaming_cw_sketch(rows, n, c, k, seed), "unused", on_batch=on_batch)
+
+
+def latest_solutions(spark: SparkSession, out_uri: str) -> DataFrame:
+    sols = spark.read.parquet(out_uri)
+    last = sols.agg(F.max("epoch").alias("epoch"))
+    return sols.join(last, "epoch").select("trial", "x")
