@@ -238,3 +238,43 @@ def np_srdht_frequencies(m: int, c: int, seed: int, trial: int) -> list[int]:
 
 def sample_poly(seed: int, purpose: str, trial: int = 0) -> Poly:
     return poly(seed, purpose, trial)
+
+
+# ----------------------------------------------------------------------------- staged Spark columns
+# sql_cubic repeats its argument three times (Horner), so nesting hashes as one expression
+# duplicates the key fold many times and can push whole-stage codegen past the JVM method
+# size.  On the Spark side every hash input is therefore staged as its own column; Catalyst
+# does not collapse a non-trivial projection referenced more than once, so each value is
+# computed once per row.  The numbers are identical to the nested SQL text.
+
+def spark_with_hash(df, key_col: str, h: Poly, out: str):
+    """df + ``out`` = h(key) (BIGINT in [0, P))."""
+    tmp = f"{out}__x"
+    return (df.withColumn(tmp, F.expr(sql_fold_key(key_col, h, "spark")))
+            .withColumn(out, F.expr(sql_cubic(tmp, h))).drop(tmp))
+
+
+def spark_with_row_hash(df, key_col: str, seed: int, trial: int, out: str):
+    """Row part of a dense entry hash (compute it before rows meet buckets)."""
+    hr, _, _, _ = dense_polys(seed, trial)
+    return spark_with_hash(df, key_col, hr, out)
+
+
+def spark_with_dense_entry(df, row_hash_col: str, bucket_sql: str, kind: str, seed: int, trial: int, out: str):
+    """df + ``out`` = Gaussian or Rademacher entry for (row, bucket), from the staged row hash."""
+    _, hc, h1, h2 = dense_polys(seed, trial)
+    per = 2 if kind == "gaussian" else SIGN_BITS
+    slot = _div(f"CAST({bucket_sql} AS BIGINT)", _lit(per), "spark")
+    base = f"{out}__base"
+    df = df.withColumn(base, F.expr(f"(({row_hash_col} + {sql_cubic(slot, hc)}) % {_lit(P)})"))
+    if kind == "gaussian":
+        r, a = f"{out}__r", f"{out}__a"
+        df = (df.withColumn(r, F.expr(f"sqrt(-2.0 * ln({sql_uniform(sql_cubic(base, h1))}))"))
+              .withColumn(a, F.expr(f"(2.0 * pi() * {sql_uniform(sql_cubic(base, h2))})")))
+        df = df.withColumn(out, F.expr(f"({r} * CASE WHEN {bucket_sql} % 2 = 0 THEN cos({a}) ELSE sin({a}) END)"))
+        return df.drop(base, r, a)
+    g = f"{out}__g"
+    df = df.withColumn(g, F.expr(sql_cubic(base, h1)))
+    bit = f"CAST({bucket_sql} % {SIGN_BITS} AS INTEGER)"
+    df = df.withColumn(out, F.expr(f"(CAST((shiftright({g}, {bit}) % 2) * 2 - 1 AS DOUBLE))"))
+    return df.drop(base, g)

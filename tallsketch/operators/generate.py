@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallsketch.functions import hashing as H
-from tallsketch.sources.matrix import MatrixFrame
+from tallsketch.sources.matrix import WIDE_MAX, MatrixFrame
 
 
 def normal_sql(key_sql: str, col: int | str, seed: int, purpose: str, dialect: str) -> str:
@@ -37,9 +37,14 @@ def gen_matrix(keys: DataFrame, key_col: str, n: int, seed: int = 42) -> MatrixF
     special = sorted(special)
     if len(special) < h:
         raise ValueError("G1 needs at least n/2 keys")
+    staged = H.spark_with_row_hash(base, "key", seed, 1000, "__ha")
+    staged = H.spark_with_row_hash(staged, "key", seed, 1002, "__he")
+    for j in range(n):
+        staged = H.spark_with_dense_entry(staged, "__ha", str(j), "gaussian", seed, 1000, f"__z{j}")
+    staged = H.spark_with_dense_entry(staged, "__he", str(n), "gaussian", seed, 1002, "__e")
     cols = []
     for j in range(n):
-        z = F.expr(normal_sql("key", j, seed, "gen-a", "spark"))
+        z = F.col(f"__z{j}")
         normal_val = F.lit(50.0 if j < h else 1e-8) * z
         if j < h:
             ident = F.lit(0.0)
@@ -47,14 +52,14 @@ def gen_matrix(keys: DataFrame, key_col: str, n: int, seed: int = 42) -> MatrixF
             ident = F.when(F.col("key") == F.lit(special[j - h]), F.lit(1.0)).otherwise(F.lit(0.0))
         cols.append(F.when(F.col("key").isin(special), ident).otherwise(normal_val).alias(f"a{j}"))
     x = true_x(n, seed)
-    rows = base.select("key", *cols)
+    rows = staged.select("key", *cols, "__e")
     ax = None
     for j in range(n):
         t = F.lit(float(x[j])) * F.col(f"a{j}")
         ax = t if ax is None else ax + t
-    e = F.expr(normal_sql("key", n, seed, "gen-e", "spark"))
-    rows = rows.select("*", ax.alias("__ax"), e.alias("__e"))
+    rows = rows.select("*", ax.alias("__ax"))
     norms = rows.agg(F.sum(F.col("__ax") * F.col("__ax")).alias("axx"), F.sum(F.col("__e") * F.col("__e")).alias("ee")).first()
     scale = 0.25 * (norms["axx"] ** 0.5) / (norms["ee"] ** 0.5) if norms["ee"] else 0.0
     out = rows.select("key", *[f"a{j}" for j in range(n)], (F.col("__ax") + F.lit(scale) * F.col("__e")).alias("b"))
-    return MatrixFrame(out, n, "wide", f"nonunif_bad_{n}", meta={"x_true": x, "noise_scale": scale})
+    mf = MatrixFrame(out, n, "wide", f"nonunif_bad_{n}", meta={"x_true": x, "noise_scale": scale})
+    return mf.to_array() if n > WIDE_MAX else mf

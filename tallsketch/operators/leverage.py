@@ -90,7 +90,8 @@ def leverage_sample(mf: MatrixFrame, factors: dict[int, np.ndarray], s: float, s
     trials = sorted(factors)
     coin = None
     for t in trials:
-        c = F.expr(_coin_sql(t, seed))
+        probs = H.spark_with_hash(probs, "key", H.sample_poly(seed, "lev-sample", t), f"__c{t}")
+        c = F.expr(H.sql_uniform(f"__c{t}"))
         coin = F.when(F.col("trial") == t, c) if coin is None else coin.when(F.col("trial") == t, c)
     kept = probs.where(coin < F.col("p"))
     w = F.lit(1.0) / F.sqrt(F.col("p"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallsketch.operators.sketch import cw_bucket_sign_sql
+from tallsketch.operators.sketch import cw_draw_columns
 from tallsketch.session import scratch_path
 
 
@@ -22,12 +22,9 @@ def stream_rows(stream: DataFrame, key: str, features: list, target: str) -> Dat
 
 def streaming_cw_sketch(rows: DataFrame, n: int, c: int, k: int = 1, seed: int = 42) -> DataFrame:
     """The streaming aggregate (trial, bucket, v0..vn) of a streaming matrix DataFrame."""
-    draws = []
-    for t in range(k):
-        bucket, sign = cw_bucket_sign_sql(c, seed, t)
-        draws.append(F.struct(F.lit(t).cast("int").alias("trial"), F.expr(bucket).alias("bucket"),
-                              F.expr(sign).alias("sign")))
-    exploded = rows.select("*", F.inline(F.array(*draws)))
+    cols = ["key", *[f"a{i}" for i in range(n)], "b"]
+    staged, draws = cw_draw_columns(rows.select(*cols), c, k, seed)
+    exploded = staged.select(*cols, F.inline(F.array(*draws)))
     vals = [F.sum(F.col("sign") * F.col(f"a{i}")).alias(f"v{i}") for i in range(n)]
     vals.append(F.sum(F.col("sign") * F.col("b")).alias(f"v{n}"))
     return exploded.groupBy("trial", "bucket").agg(*vals)

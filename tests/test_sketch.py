@@ -103,3 +103,11 @@ def test_countsketch_expected_gram_is_identity():
     X = rng.standard_normal((400, 3))
     grams = [sketch_block("cw", keys, X, 50, seed, 0).T @ sketch_block("cw", keys, X, 50, seed, 0) for seed in range(200)]
     assert np.allclose(np.mean(grams, axis=0), X.T @ X, rtol=0.1, atol=15)
+
+
+def test_declarative_dense_sketch_equals_arrow(spark):
+    mf = S.orders_matrix(spark, SF001)
+    for kind in ("gaussian", "rademacher"):
+        a = sketch_numpy(sketch(mf, kind, 25, 2, 11, method="arrow"))
+        b = sketch_numpy(sketch(mf, kind, 25, 2, 11, method="sql"))
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-6)
