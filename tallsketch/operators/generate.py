@@ -37,6 +37,8 @@ def gen_matrix(keys: DataFrame, key_col: str, n: int, seed: int = 42) -> MatrixF
     special = sorted(special)
     if len(special) < h:
         raise ValueError("G1 needs at least n/2 keys")
+    if n > WIDE_MAX:
+        return _gen_array(base, special, n, seed)
     staged = H.spark_with_row_hash(base, "key", seed, 1000, "__ha")
     staged = H.spark_with_row_hash(staged, "key", seed, 1002, "__he")
     for j in range(n):
@@ -63,3 +65,39 @@ def gen_matrix(keys: DataFrame, key_col: str, n: int, seed: int = 42) -> MatrixF
     out = rows.select("key", *[f"a{j}" for j in range(n)], (F.col("__ax") + F.lit(scale) * F.col("__e")).alias("b"))
     mf = MatrixFrame(out, n, "wide", f"nonunif_bad_{n}", meta={"x_true": x, "noise_scale": scale})
     return mf.to_array() if n > WIDE_MAX else mf
+
+
+def _gen_array(base: DataFrame, special: list[int], n: int, seed: int) -> MatrixFrame:
+    """Same numbers for wide n (> WIDE_MAX) drawn with NumPy in Arrow batches: n staged
+    normal columns would exceed the JVM method size of one whole-stage-codegen stage."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallsketch.session import ship_package
+
+    h = n // 2
+    x = np.asarray(true_x(n, seed))
+    special_arr = np.asarray(sorted(special), dtype=np.int64)
+
+    def rows(batches):
+        for rb in batches:
+            keys = rb.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(keys):
+                continue
+            Z = H.np_gaussian_block(keys, n, seed, 1000).T
+            A = np.hstack([50.0 * Z[:, :h], 1e-8 * Z[:, h:]])
+            hit = np.flatnonzero(np.isin(keys, special_arr))
+            if len(hit):
+                A[hit] = 0.0
+                A[hit, h + np.searchsorted(special_arr, keys[hit])] = 1.0
+            e = H.np_gaussian_block(keys, n + 1, seed, 1002)[n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(list(A), type=pa.list_(pa.float64())), pa.array(A @ x), pa.array(e)],
+                names=["key", "a", "__ax", "__e"])
+
+    ship_package(base.sparkSession)
+    gen = base.mapInArrow(rows, "key bigint, a array<double>, __ax double, __e double")
+    norms = gen.agg(F.sum(F.col("__ax") * F.col("__ax")).alias("axx"), F.sum(F.col("__e") * F.col("__e")).alias("ee")).first()
+    scale = 0.25 * (norms["axx"] ** 0.5) / (norms["ee"] ** 0.5) if norms["ee"] else 0.0
+    out = gen.select("key", "a", (F.col("__ax") + F.lit(scale) * F.col("__e")).alias("b"))
+    return MatrixFrame(out, n, "array", f"nonunif_bad_{n}", meta={"x_true": list(x), "noise_scale": scale})

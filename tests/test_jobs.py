@@ -96,3 +96,15 @@ def test_streaming_sketch_equals_batch(spark):
     a = sorted(tuple(round(v, 6) for v in r) for r in got.collect())
     b = sorted(tuple(round(v, 6) for v in r) for r in batch.collect())
     assert a == b
+
+
+def test_generator_wide_and_array_paths_agree(spark):
+    from tallsketch.operators.generate import _gen_array, gen_matrix
+
+    keys = spark.range(300).withColumnRenamed("id", "k")
+    wide = gen_matrix(keys, "k", 6, seed=4)
+    special = sorted(r["key"] for r in wide.df.orderBy(F.col("key").desc()).limit(3).collect())
+    arr = _gen_array(keys.select(F.col("k").alias("key")), special, 6, 4)
+    _, A1, b1 = to_numpy(wide)
+    _, A2, b2 = to_numpy(arr)
+    assert np.allclose(A1, A2, rtol=1e-12, atol=1e-20) and np.allclose(b1, b2, rtol=1e-9)
