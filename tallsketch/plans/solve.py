@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallsketch.operators import leverage as L
 from tallsketch.operators.lsqr import LsqrResult, lsqr

@@ -58,10 +58,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def is_local_path(uri: str) -> bool:
-    return uri.startswith("/") or uri.startswith("file:") or "://" not in uri and os.path.exists(uri)
-
-
 _SHIPPED: set[str] = set()
 
 

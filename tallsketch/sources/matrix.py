@@ -140,8 +140,6 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
     ``key='first'`` to use its first number instead.
     """
     lines = spark.read.text(uri)
-    if partitions:
-        lines = lines.repartition(partitions)
     rows = parse_text_lines(lines, mode)
     if key == "first":
         keyed = rows.select(F.element_at("row", 1).cast("bigint").alias("key"), F.slice("row", 2, 1 << 30).alias("row"))
@@ -154,6 +152,14 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
         if n_all["w"] != n_all["v"]:
             raise ValueError(f"ragged text matrix: rows have {n_all['v']}..{n_all['w']} numbers")
         n = int(n_all["w"]) - 1
+    ok = F.size("row") == F.lit(n + 1)
+    if mode == "drop":
+        keyed = keyed.where(ok)
+    else:
+        keyed = keyed.withColumn("row", F.when(ok, F.col("row")).otherwise(
+            F.raise_error(F.lit(f"text row does not hold {n + 1} numbers")).cast("array<double>")))
+    if partitions:  # after numbering, so line keys keep the file order
+        keyed = keyed.repartition(int(partitions), "key")
     arr = keyed.select("key", F.slice("row", 1, n).alias("a"), F.element_at("row", -1).alias("b"))
     mf = MatrixFrame(arr, n, "array", name or uri)
     return mf.to_wide() if n <= WIDE_MAX else mf
@@ -168,11 +174,17 @@ def read_vector_text(spark: SparkSession, uri: str) -> list[float]:
     return [float(r["value"]) for r in rows.orderBy("i").select(F.trim("value").alias("value")).collect()]
 
 
-def write_text_matrix(mf: MatrixFrame, uri: str) -> None:
-    """Write ``key a0 .. b`` lines (``%.17g`` keeps doubles exact)."""
+def write_text_matrix(mf: MatrixFrame, uri: str, with_key: bool = True) -> None:
+    """Write ``key a0 .. b`` lines (``%.17g`` keeps doubles exact); ``with_key=False`` writes
+    the reference's plain ``[A b]`` lines, in key order."""
     mfw = mf.to_wide() if mf.n <= WIDE_MAX else mf
-    parts = [F.col("key").cast("string")] + [F.format_string("%.17g", c) for c in mfw.features()] + [F.format_string("%.17g", "b")]
-    mfw.df.select(F.concat_ws(" ", *parts).alias("value")).write.mode("overwrite").text(uri)
+    parts = [F.format_string("%.17g", c) for c in mfw.features()] + [F.format_string("%.17g", "b")]
+    df = mfw.df
+    if with_key:
+        parts = [F.col("key").cast("string")] + parts
+    else:
+        df = df.orderBy("key")
+    df.select(F.concat_ws(" ", *parts).alias("value")).write.mode("overwrite").text(uri)
 
 
 # ----------------------------------------------------------------------------- driver-table views

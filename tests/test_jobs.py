@@ -108,3 +108,24 @@ def test_generator_wide_and_array_paths_agree(spark):
     _, A1, b1 = to_numpy(wide)
     _, A2, b2 = to_numpy(arr)
     assert np.allclose(A1, A2, rtol=1e-12, atol=1e-20) and np.allclose(b1, b2, rtol=1e-9)
+
+
+def test_cli_job_end_to_end(spark):
+    from tallsketch.plans import cli
+
+    mf = S.orders_matrix(spark, SF001)
+    _, A, b = to_numpy(mf)
+    x = np.linalg.lstsq(A, b, rcond=None)[0]
+    data = scratch_path(spark, "cli-data")
+    S.write_text_matrix(mf, data, with_key=False)
+    xo, fo = scratch_path(spark, "xopt"), scratch_path(spark, "fopt")
+    spark.createDataFrame([(repr(float(v)),) for v in x], "value string").coalesce(1).write.text(xo)
+    spark.createDataFrame([(repr(float(np.linalg.norm(A @ x - b))),)], "value string").coalesce(1).write.text(fo)
+    out = scratch_path(spark, "cli-out")
+    summary = cli.main([data, "--dims", str(len(b)), "3", "--high_precision", "--projection", "-p", "cw", "-r", "100",
+                        "-q", "8", "-k", "2", "-t", "--x-opt", xo, "--f-opt", fo, "--output", out], spark=spark)
+    finals = [r for r in summary["median_errors"] if r["iter"] == 7]
+    assert finals and finals[0]["x_relerr"] < 1e-6
+    assert spark.read.parquet(f"{out}/solutions").count() == 16
+    with pytest.raises(ValueError):
+        cli.main([data, "--dims", "2", "3", "--low-precision", "--projection", "-r", "10"], spark=spark)

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001, to_numpy
 from tallsketch.operators import shape as M
@@ -97,3 +96,13 @@ def test_uniform_sample_scales_by_inverse_p(spark):
     for r in smp.df.collect():
         assert abs(r["b"] - orig[r["key"]] / p) < 1e-9
     assert 50 < smp.df.count() < 160
+
+
+def test_text_width_is_checked_and_partitions_keep_line_keys(spark):
+    path = scratch_path(spark, "txtw")
+    spark.createDataFrame([("1 2 3",), ("4 5 6",), ("7 8",), ("9 10 11",)], "value string").coalesce(1).write.text(path)
+    with pytest.raises(Exception):
+        S.read_text_matrix(spark, path, n=2).df.collect()
+    mf = S.read_text_matrix(spark, path, n=2, mode="drop", partitions=3)
+    got = sorted((r["key"], r["a0"]) for r in mf.df.collect())
+    assert got == [(0, 1.0), (1, 4.0), (3, 9.0)]
