@@ -14,7 +14,7 @@ plus the LSQR history for high precision.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -92,14 +92,16 @@ def compute_factors(mf: MatrixFrame, p: JobParams, timings: dict) -> dict[int, n
 
 
 def _compute_factors_uncached(mf: MatrixFrame, p: JobParams, timings: dict) -> dict[int, np.ndarray]:
-    t = time.time()
-    sf = sketch(mf, p.kind, p.c, p.trials, p.seed)
-    N = factors_to_numpy(solve_sketch(sf), mf.n)
-    timings["projection"] = time.time() - t
     if p.sketch == "sampling":
+        # the projection factor it starts from is cached on its own (reusable by other s)
+        N = compute_factors(mf, replace(p, sketch="projection"), timings)
         t = time.time()
         N = factors_to_numpy(L.sampling_solve(mf, N, p.s, p.seed), mf.n)
         timings["sampling"] = time.time() - t
+        return N
+    t = time.time()
+    N = factors_to_numpy(solve_sketch(sketch(mf, p.kind, p.c, p.trials, p.seed)), mf.n)
+    timings["projection"] = time.time() - t
     return N
 
 
@@ -122,9 +124,7 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
             if p.sketch == "projection":
                 sol = solve_sketch(sketch(work, p.kind, p.c, p.trials, p.seed))
             else:
-                proj = dict(p.__dict__)
-                proj["sketch"] = "projection"
-                N = compute_factors(work, JobParams(**proj), timings)
+                N = compute_factors(work, replace(p, sketch="projection"), timings)
                 sol = L.sampling_solve(work, N, p.s, p.seed)
             rows = [(int(r["trial"]), 0, [float(v) for v in r["x"]]) for r in sol.select("trial", "x").collect()]
             timings["solve"] = time.time() - t

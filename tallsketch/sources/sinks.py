@@ -59,7 +59,9 @@ def fingerprint(mf: MatrixFrame, params, objective: str) -> str:
     plan = hashlib.sha256(mf.df._jdf.queryExecution().analyzed().canonicalized().toString().encode()).hexdigest()
     files = _file_states(spark, mf.df.inputFiles())
     parts = [str(CACHE_VERSION), mf.name, str(plan), files, str(mf.n), objective,
-             str(params.sketch), str(params.kind), str(params.c), str(params.s), str(params.trials), str(params.seed)]
+             str(params.sketch), str(params.kind), str(params.c),
+             str(params.s) if params.sketch == "sampling" else "-",  # s does not change a projection N
+             str(params.trials), str(params.seed)]
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:32]
 
 

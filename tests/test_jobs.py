@@ -129,3 +129,15 @@ def test_cli_job_end_to_end(spark):
     assert spark.read.parquet(f"{out}/solutions").count() == 16
     with pytest.raises(ValueError):
         cli.main([data, "--dims", "2", "3", "--low-precision", "--projection", "-r", "10"], spark=spark)
+
+
+def test_sampling_factor_reuses_cached_projection_factor(spark):
+    mf = S.orders_matrix(spark, SF001)
+    cache = scratch_path(spark, "fc2")
+    p = JobParams(precision="high", sketch="sampling", kind="cw", c=100, s=300, iters=1, factor_cache=cache)
+    t1, t2 = {}, {}
+    compute_factors(mf, p, t1)
+    assert "factor_cache_hit" not in t1 and "projection" in t1
+    p.s = 400  # another sampling size: the projection factor is reused from the cache
+    compute_factors(mf, p, t2)
+    assert "factor_cache_hit" in t2 and "projection" not in t2 and "sampling" in t2
