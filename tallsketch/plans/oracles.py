@@ -199,3 +199,64 @@ def gen_matrix_sql(n: int, seed: int, digits: list[int]) -> str:
     lines.append("g_scale AS (SELECT CAST(0.25 AS DOUBLE) * sqrt(sum(ax*ax)) / sqrt(sum(e*e)) AS sc FROM g_ax)")
     sel = ", ".join(f"{rnd(f'a{j}', digits[j])} AS a{j}" for j in range(n))
     return with_(*lines) + f"SELECT key, {sel}, {rnd('ax + sc * e', digits[n])} AS b FROM g_ax CROSS JOIN g_scale"
+
+
+def krylov_ctes(k: int, c: int, seed: int) -> tuple[list[str], list[str], list[str]]:
+    """CTEs for the closed-form preconditioned LSQR iterates (n = 3), and the SQL of
+    iterate 1 and iterate 2 (columns of ``ks``).
+
+    In exact arithmetic iterate j minimizes ||Ax - b|| over x in span{d, (MT)d, ..., (MT)^j d}
+    with T = AᵀA, M = ((SA)ᵀSA)^-1 = N Nᵀ and d = M Aᵀb: a 1-D fit, a 2-D fit, then (n = 3
+    directions) the exact solution.  Only M enters, not the sign-ambiguous N itself."""
+    def mv(mat, vec, i):  # row i of a symmetric 3x3 times a 3-vector, names mat(i,j) / vec(j)
+        return " + ".join(f"{mat(i, j)}*{vec(j)}" for j in range(3))
+
+    m = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    # T = AᵀA of the whole matrix (SQL names are case-insensitive: keep clear of the g_ij of kinv)
+    g = lambda i, j: f"T{min(i, j)}{max(i, j)}"
+    full = ("kfull AS (SELECT " + ", ".join(f"sum(a{i}*a{j}) AS T{i}{j}" for i in range(3) for j in range(3) if i <= j)
+            + ", " + ", ".join(f"sum(a{i}*b) AS H{i}" for i in range(3)) + " FROM om)")
+    d1 = "kd AS (SELECT q.*, f.*, " + ", ".join(f"({mv(m, lambda j: f'H{j}', i)}) AS d{i}" for i in range(3)) + \
+         " FROM kinv q CROSS JOIN kfull f)"
+    u = "ku AS (SELECT *, " + ", ".join(f"({mv(g, lambda j: f'd{j}', i)}) AS u{i}" for i in range(3)) + " FROM kd)"
+    d2 = "ke AS (SELECT *, " + ", ".join(f"({mv(m, lambda j: f'u{j}', i)}) AS e{i}" for i in range(3)) + " FROM ku)"
+    w = "kw AS (SELECT *, " + ", ".join(f"({mv(g, lambda j: f'e{j}', i)}) AS w{i}" for i in range(3)) + " FROM ke)"
+    dot = lambda x, y: " + ".join(f"{x}{i}*{y}{i}" for i in range(3))
+    sc = (f"ks AS (SELECT *, ({dot('d', 'u')}) AS a11, ({dot('e', 'u')}) AS a12, ({dot('e', 'w')}) AS a22, "
+          f"({dot('d', 'H')}) AS r1, ({dot('e', 'H')}) AS r2 FROM kw)")
+    det2 = "(a11*a22 - a12*a12)"
+    x1 = [f"(r1 / a11) * d{i}" for i in range(3)]
+    x2 = [f"((r1*a22 - r2*a12) / {det2}) * d{i} + ((a11*r2 - a12*r1) / {det2}) * e{i}" for i in range(3)]
+    ctes = [OM, sketch("ksk", "om", 3, "cw", c, k, seed), gram("kg", "ksk"), inverse("kinv", "kg"), full, d1, u, d2, w, sc,
+            gram("eg", "(SELECT 0 AS trial, * FROM om)", cols3=("a0", "a1", "a2", "b")), cramer("ex", "eg")]
+    return ctes, x1, x2
+
+
+def krylov_history_sql(k: int, c: int, seed: int, iters: int, digits: int) -> str:
+    """LSQR history (trial, iter, x0..x2): iterate 1, iterate 2, then the exact solution."""
+    ctes, x1, x2 = krylov_ctes(k, c, seed)
+    sel = lambda it, xs: (f"SELECT trial, CAST({it} AS INTEGER) AS iter, "
+                          + ", ".join(f"{rnd(x, digits)} AS x{i}" for i, x in enumerate(xs)) + " FROM ks")
+    exact = ("SELECT q.trial, CAST(r.it AS INTEGER) AS iter, " + ", ".join(f"{rnd(f'ex.x{i}', digits)} AS x{i}" for i in range(3))
+             + f" FROM kinv q CROSS JOIN ex CROSS JOIN (SELECT range AS it FROM range(2, {iters})) r")
+    return with_(*ctes) + " UNION ALL ".join([sel(0, x1), sel(1, x2), exact])
+
+
+def krylov_median_trial_sql(k: int, c: int, seed: int, digits: int) -> str:
+    """E4 for a 2-iteration LSQR with k trials: errors of every iterate against the exact
+    optimum, then the history of the trial whose final f error has rank floor((k-1)/2)."""
+    ctes, x1, x2 = krylov_ctes(k, c, seed)
+    cands = ("kc AS (SELECT trial, 0 AS iter, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(x1)) + " FROM ks "
+             "UNION ALL SELECT trial, 1 AS iter, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(x2)) + " FROM ks)")
+    res = lambda x: f"(({x}.x0*o.a0 + {x}.x1*o.a1 + {x}.x2*o.a2 - o.b) * ({x}.x0*o.a0 + {x}.x1*o.a1 + {x}.x2*o.a2 - o.b))"
+    fopt = f"kfopt AS (SELECT sqrt(sum({res('e')})) AS f FROM om o CROSS JOIN ex e)"
+    fx = f"kfx AS (SELECT c.trial, c.iter, sqrt(sum({res('c')})) AS f FROM om o CROSS JOIN kc c GROUP BY c.trial, c.iter)"
+    errs = ("kerr AS (SELECT c.trial, c.iter, sqrt((c.x0-ex.x0)*(c.x0-ex.x0) + (c.x1-ex.x1)*(c.x1-ex.x1) + "
+            "(c.x2-ex.x2)*(c.x2-ex.x2)) / sqrt(ex.x0*ex.x0 + ex.x1*ex.x1 + ex.x2*ex.x2) AS x_relerr, "
+            "abs(kfopt.f - kfx.f) / kfopt.f AS f_relerr FROM kc c CROSS JOIN ex CROSS JOIN kfopt "
+            "JOIN kfx ON kfx.trial = c.trial AND kfx.iter = c.iter)")
+    pick = (f"kpick AS (SELECT trial FROM (SELECT trial, row_number() OVER (ORDER BY f_relerr, trial) - 1 AS rk "
+            f"FROM kerr WHERE iter = 1) WHERE rk = {(k - 1) // 2})")
+    return with_(*ctes, cands, fopt, fx, errs, pick) + (
+        f"SELECT iter, {rnd('x_relerr', digits)} AS x_relerr, {rnd('f_relerr', digits)} AS f_relerr "
+        "FROM kerr WHERE trial = (SELECT trial FROM kpick)")

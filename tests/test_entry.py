@@ -4,7 +4,7 @@ from conftest import SF001
 
 import __spark_entry__ as ENTRY
 
-ROWS_ONLY = {"lsqr_history", "lsqr_monitors", "eval_median_trial"}
+ROWS_ONLY = {"lsqr_monitors"}
 
 
 def test_catalogue_keys_and_oracles():
