@@ -81,6 +81,17 @@ def _final(width: int, n: int):
     return fn
 
 
+def estimated_partitions(df: DataFrame) -> int:
+    """Upper estimate of a DataFrame's partition count from the optimizer's size statistic
+    and the session's split and shuffle settings -- planning only, no job.  (``df.rdd``
+    would execute an adaptive plan's shuffle stages just to count partitions, and the real
+    job would then run them again.)  Only the depth of the TSQR tree depends on it."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    by_size = -(-size // max(1, int(conf.filesMaxPartitionBytes())))
+    return max(1, int(conf.numShufflePartitions()), by_size)
+
+
 def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, layout: str | None = None) -> DataFrame:
     """Least squares per trial over ``rows`` (columns ``trial`` and either ``value_cols`` =
     [A b] names, or the matrix layout columns ``a``/``a0..`` and ``b``)."""
@@ -89,7 +100,7 @@ def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, lay
     src = rows.select(*cols).withColumn("__pid", F.spark_partition_id())
     ship_package(rows.sparkSession)
     level = src.mapInArrow(_local_r(width, n, layout, value_cols), _R_SCHEMA)
-    nparts = rows.rdd.getNumPartitions()
+    nparts = estimated_partitions(rows)
     while nparts > FANOUT:
         level = (level.withColumn("grp", F.floor(F.col("grp") / F.lit(FANOUT)).cast("bigint"))
                  .groupBy("trial", "grp").applyInPandas(_combine(width), _R_SCHEMA))
