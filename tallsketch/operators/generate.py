@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tallsketch.functions import hashing as H
 from tallsketch.sources.matrix import WIDE_MAX, MatrixFrame
 
+# Fixed values of the test-matrix family:
+HEAVY_SCALE = 50.0    # scale of the normal entries of the first n/2 columns
+LIGHT_SCALE = 1e-8    # scale of the normal entries of the last n/2 columns
+NOISE_RATIO = 0.25    # ||e|| = NOISE_RATIO * ||A x||
+
 
 def normal_sql(key_sql: str, col: int | str, seed: int, purpose: str, dialect: str) -> str:
     """Keyed N(0,1) for entry (key, col) of a generated matrix."""
@@ -47,7 +52,7 @@ def gen_matrix(keys: DataFrame, key_col: str, n: int, seed: int = 42) -> MatrixF
     cols = []
     for j in range(n):
         z = F.col(f"__z{j}")
-        normal_val = F.lit(50.0 if j < h else 1e-8) * z
+        normal_val = F.lit(HEAVY_SCALE if j < h else LIGHT_SCALE) * z
         if j < h:
             ident = F.lit(0.0)
         else:  # the r-th special key holds the unit vector e_{h+r}
@@ -61,7 +66,7 @@ def gen_matrix(keys: DataFrame, key_col: str, n: int, seed: int = 42) -> MatrixF
         ax = t if ax is None else ax + t
     rows = rows.select("*", ax.alias("__ax"))
     norms = rows.agg(F.sum(F.col("__ax") * F.col("__ax")).alias("axx"), F.sum(F.col("__e") * F.col("__e")).alias("ee")).first()
-    scale = 0.25 * (norms["axx"] ** 0.5) / (norms["ee"] ** 0.5) if norms["ee"] else 0.0
+    scale = NOISE_RATIO * (norms["axx"] ** 0.5) / (norms["ee"] ** 0.5) if norms["ee"] else 0.0
     out = rows.select("key", *[f"a{j}" for j in range(n)], (F.col("__ax") + F.lit(scale) * F.col("__e")).alias("b"))
     mf = MatrixFrame(out, n, "wide", f"nonunif_bad_{n}", meta={"x_true": x, "noise_scale": scale})
     return mf.to_array() if n > WIDE_MAX else mf
@@ -85,7 +90,7 @@ def _gen_array(base: DataFrame, special: list[int], n: int, seed: int) -> Matrix
             if not len(keys):
                 continue
             Z = H.np_gaussian_block(keys, n, seed, 1000).T
-            A = np.hstack([50.0 * Z[:, :h], 1e-8 * Z[:, h:]])
+            A = np.hstack([HEAVY_SCALE * Z[:, :h], LIGHT_SCALE * Z[:, h:]])
             hit = np.flatnonzero(np.isin(keys, special_arr))
             if len(hit):
                 A[hit] = 0.0
@@ -98,6 +103,6 @@ def _gen_array(base: DataFrame, special: list[int], n: int, seed: int) -> Matrix
     ship_package(base.sparkSession)
     gen = base.mapInArrow(rows, "key bigint, a array<double>, __ax double, __e double")
     norms = gen.agg(F.sum(F.col("__ax") * F.col("__ax")).alias("axx"), F.sum(F.col("__e") * F.col("__e")).alias("ee")).first()
-    scale = 0.25 * (norms["axx"] ** 0.5) / (norms["ee"] ** 0.5) if norms["ee"] else 0.0
+    scale = NOISE_RATIO * (norms["axx"] ** 0.5) / (norms["ee"] ** 0.5) if norms["ee"] else 0.0
     out = gen.select("key", "a", (F.col("__ax") + F.lit(scale) * F.col("__e")).alias("b"))
     return MatrixFrame(out, n, "array", f"nonunif_bad_{n}", meta={"x_true": list(x), "noise_scale": scale})

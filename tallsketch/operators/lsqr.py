@@ -27,7 +27,10 @@ from tallsketch.functions.blocks import arrow_block, partial_long_schema
 from tallsketch.sources.matrix import MatrixFrame
 from tallsketch.session import ship_package
 
-EPS = 32 * np.finfo(float).eps
+# Fixed values of the LSQR recurrences and monitors (kept as in the original method):
+EPS = 32 * np.finfo(float).eps   # convergence / conditioning threshold, slightly above machine eps
+MAX_STAGNATION = 3               # iterations without progress before flagging stagnation
+DEFAULT_TOL = 1e-10              # relative tolerance on norm(A^T r) used by the solvers
 
 
 def lsqr_pass(mf: MatrixFrame, Pm: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ HISTORY_SCHEMA = ("trial int, iter int, x array<double>, y array<double>, nrm_r
                   "nrm_a double, cnd_a double, nrm_x double, stag int, flag int, frozen boolean, elapsed_s double")
 
 
-def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol: float = 1e-10,
+def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol: float = DEFAULT_TOL,
          stop_early: bool = False) -> LsqrResult:
     """Run ``iters`` LSQR iterations on min ||A N y - b|| for every trial's N (identity when
     ``factors`` is None: plain LSQR, one trial).  x = N y is recorded at every iteration."""
@@ -200,7 +203,7 @@ def _step(S: dict, N: np.ndarray, s: float, g: np.ndarray, tol: float, stop_earl
         S["stag"] += 1
     else:
         S["stag"] = 0
-    if S["stag"] >= 3:
+    if S["stag"] >= MAX_STAGNATION:
         S["flag"] = 1
 
     delta = S["sn2"] * rho

@@ -9,7 +9,7 @@ Results are rounded with the same digits as the Spark side (``round(v, d) + 0.0`
 from __future__ import annotations
 
 from tallsketch.functions import hashing as H
-from tallsketch.operators.generate import normal_sql, true_x
+from tallsketch.operators.generate import HEAVY_SCALE, LIGHT_SCALE, NOISE_RATIO, normal_sql, true_x
 from tallsketch.operators.leverage import _coin_sql
 from tallsketch.operators.sketch import cw_bucket_sign_sql
 
@@ -189,14 +189,14 @@ def gen_matrix_sql(n: int, seed: int, digits: list[int]) -> str:
     acols = []
     for j in range(n):
         z = normal_sql("k.key", j, seed, "gen-a", D)
-        scale = "50.0" if j < h else "1e-8"
+        scale = repr(HEAVY_SCALE if j < h else LIGHT_SCALE)
         ident = "CAST(0.0 AS DOUBLE)" if j < h else f"CASE WHEN sp.r = {j - h} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
         acols.append(f"CASE WHEN sp.key IS NOT NULL THEN {ident} ELSE CAST({scale} AS DOUBLE) * {z} END AS a{j}")
     e = normal_sql("k.key", n, seed, "gen-e", D)
     lines.append(f"g_rows AS (SELECT k.key, {', '.join(acols)}, {e} AS e FROM g_keys k LEFT JOIN g_special sp ON k.key = sp.key)")
     ax = " + ".join(f"CAST({float(x[j])!r} AS DOUBLE) * a{j}" for j in range(n))
     lines.append(f"g_ax AS (SELECT *, ({ax}) AS ax FROM g_rows)")
-    lines.append("g_scale AS (SELECT CAST(0.25 AS DOUBLE) * sqrt(sum(ax*ax)) / sqrt(sum(e*e)) AS sc FROM g_ax)")
+    lines.append(f"g_scale AS (SELECT CAST({NOISE_RATIO!r} AS DOUBLE) * sqrt(sum(ax*ax)) / sqrt(sum(e*e)) AS sc FROM g_ax)")
     sel = ", ".join(f"{rnd(f'a{j}', digits[j])} AS a{j}" for j in range(n))
     return with_(*lines) + f"SELECT key, {sel}, {rnd('ax + sc * e', digits[n])} AS b FROM g_ax CROSS JOIN g_scale"
 
