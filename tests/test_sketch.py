@@ -111,3 +111,14 @@ def test_declarative_dense_sketch_equals_arrow(spark):
         a = sketch_numpy(sketch(mf, kind, 25, 2, 11, method="arrow"))
         b = sketch_numpy(sketch(mf, kind, 25, 2, 11, method="sql"))
         assert np.allclose(a, b, rtol=1e-9, atol=1e-6)
+
+
+def test_srdht_reindexes_noncontiguous_keys(spark):
+    df = spark.range(300).select((F.col("id") * 7 + 1000).alias("k"), (F.col("id") % 11).cast("double").alias("x"),
+                                 (F.col("id") % 5).cast("double").alias("y"))
+    mf = S.from_columns(df, "k", [F.lit(1.0), "x"], "y")
+    got = sketch_numpy(sketch(mf, "srdht", 20, 1, 8))
+    pdf = df.toPandas().sort_values("k")
+    X = np.column_stack([np.ones(300), pdf["x"], pdf["y"]])
+    ref = dense_reference("srdht", np.arange(300, dtype=np.int64), X, 20, 8, 0, m=300)
+    assert np.allclose(got[0], ref, atol=1e-9)
