@@ -12,6 +12,8 @@ from tallsketch.functions.blocks import arrow_block, partial_long_schema
 from tallsketch.sources.matrix import MatrixFrame
 from tallsketch.session import ship_package
 
+MAX_EXPR_TERMS = 256  # candidates x features above which residuals use Arrow blocks
+
 
 def _dot(mf: MatrixFrame, v) -> Column:
     v = [float(x) for x in v]
@@ -65,11 +67,15 @@ def residual_norms(mf: MatrixFrame, candidates: dict) -> DataFrame:
 
     ``candidates`` maps an id (int, or tuple (trial, iter)) to an n-vector."""
     ids = list(candidates)
-    sums = [F.sum(F.pow(_dot(mf, candidates[c]) - F.col("b"), 2)).alias(f"r{j}") for j, c in enumerate(ids)]
-    row = mf.df.agg(*sums)
-    pairs = ", ".join(f"{j}, r{j}" for j in range(len(ids)))
-    long = row.select(F.expr(f"stack({len(ids)}, {pairs}) AS (j, ss)"))
     spark = mf.df.sparkSession
+    if mf.layout == "array" or len(ids) * mf.n > MAX_EXPR_TERMS:
+        # many candidates: one block product per Arrow batch instead of len(ids) sum expressions
+        long = _residual_blocks(mf, np.array([np.asarray(candidates[c], dtype=float) for c in ids]))
+    else:
+        sums = [F.sum(F.pow(_dot(mf, candidates[c]) - F.col("b"), 2)).alias(f"r{j}") for j, c in enumerate(ids)]
+        row = mf.df.agg(*sums)
+        pairs = ", ".join(f"{j}, r{j}" for j in range(len(ids)))
+        long = row.select(F.expr(f"stack({len(ids)}, {pairs}) AS (j, ss)"))
     idmap = spark.createDataFrame([(j, *(_as_tuple(c))) for j, c in enumerate(ids)],
                                   "j int, cand int, iter int")
     return (long.join(F.broadcast(idmap), long.j == idmap.j)
@@ -80,3 +86,27 @@ def _as_tuple(c) -> tuple[int, int]:
     if isinstance(c, tuple):
         return int(c[0]), int(c[1])
     return int(c), 0
+
+
+def _residual_blocks(mf: MatrixFrame, C: np.ndarray) -> DataFrame:
+    """Σ (a·x_j - b)² for every candidate row of C at once: per Arrow batch one block
+    product X·Cᵀ, per task one partial per candidate, then a sum (j, ss)."""
+    n = mf.n
+    if C.shape[1] != n:
+        raise ValueError(f"candidates have length {C.shape[1]}, matrix has {n} columns")
+    Cc = C.copy()
+    layout = mf.layout
+
+    def partial(batches):
+        acc = np.zeros(len(Cc))
+        for rb in batches:
+            _, X = arrow_block(rb, n, layout)
+            if len(X):
+                R = X[:, :n] @ Cc.T - X[:, n:n + 1]
+                acc += np.einsum("ij,ij->j", R, R)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(Cc), np.int32)), pa.array(np.arange(len(Cc), dtype=np.int32)),
+                                          pa.array(acc)], names=["trial", "pos", "val"])
+
+    ship_package(mf.df.sparkSession)
+    parts = mf.df.select(*mf.data_columns).mapInArrow(partial, partial_long_schema(["trial"]))
+    return parts.groupBy("pos").agg(F.sum("val").alias("ss")).select(F.col("pos").alias("j"), "ss")

@@ -95,3 +95,13 @@ def test_relative_errors_against_optimum(spark):
     xs = {(0, 0): x_opt * 1.01, (0, 1): x_opt}
     errs = {(r["cand"], r["iter"]): r for r in E.relative_errors(mf, xs, x_opt, f_opt).collect()}
     assert abs(errs[(0, 1)]["f_relerr"]) < 1e-9 and abs(errs[(0, 0)]["x_relerr"] - 0.01) < 1e-9
+
+
+def test_many_candidates_use_block_residuals(spark):
+    mf = S.orders_matrix(spark, SF001)
+    keys, A, b = to_numpy(mf)
+    rng = np.random.default_rng(1)
+    cands = {(t, i): rng.standard_normal(3) * 1000 for t in range(3) for i in range(40)}  # 120 x 3 > 256 terms
+    got = {(r["cand"], r["iter"]): r["norm"] for r in V.residual_norms(mf, cands).collect()}
+    for key, x in cands.items():
+        assert np.isclose(got[key], np.linalg.norm(A @ x - b), rtol=1e-10)
