@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tallsketch.functions import hashing as H
 from tallsketch.functions.blocks import arrow_block
 from tallsketch.sources.matrix import MatrixFrame
+
+MAX_EXPR_TERMS = 512  # trials x n² terms of the quadratic form above which Arrow blocks are used
 from tallsketch.session import ship_package
 
 
@@ -32,7 +34,7 @@ def leverage_scores(mf: MatrixFrame, factors: dict[int, np.ndarray]) -> DataFram
     """L1: (trial, key, <matrix columns>, lev) for every trial's N."""
     trials = sorted(factors)
     n = mf.n
-    if mf.layout == "wide":
+    if mf.layout == "wide" and len(trials) * n * n <= MAX_EXPR_TERMS:
         feats = mf.features()
         structs = []
         for t in trials:
@@ -52,21 +54,23 @@ def leverage_scores(mf: MatrixFrame, factors: dict[int, np.ndarray]) -> DataFram
         return base.select(F.inline(F.array(*structs)), *mf.data_columns).select("trial", *mf.data_columns, "lev")
 
     Ns = {t: np.asarray(factors[t], dtype=float) for t in trials}
+    layout, cols = mf.layout, mf.data_columns
 
     def scores(batches):
         for rb in batches:
-            keys, X = arrow_block(rb, n, "array")
+            keys, X = arrow_block(rb, n, layout)
             if not len(keys):
                 continue
             for t in trials:
                 lev = np.sum((X[:, :n] @ Ns[t]) ** 2, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), t, dtype=np.int32)), rb.column("key"), rb.column("a"),
-                     rb.column("b"), pa.array(lev)], names=["trial", "key", "a", "b", "lev"])
+                    [pa.array(np.full(len(keys), t, dtype=np.int32)), *[rb.column(c) for c in cols], pa.array(lev)],
+                    names=["trial", *cols, "lev"])
 
     ship_package(mf.df.sparkSession)
-    return mf.df.select(*mf.data_columns).mapInArrow(
-        scores, "trial int, key bigint, a array<double>, b double, lev double")
+    value_types = [f"a{i} double" for i in range(n)] if layout == "wide" else ["a array<double>"]
+    schema = ", ".join(["trial int", "key bigint", *value_types, "b double", "lev double"])
+    return mf.df.select(*cols).mapInArrow(scores, schema)
 
 
 def leverage_sums(scores: DataFrame) -> DataFrame:

@@ -32,11 +32,13 @@ EPS = 32 * np.finfo(float).eps   # convergence / conditioning threshold, slightl
 MAX_STAGNATION = 3               # iterations without progress before flagging stagnation
 DEFAULT_TOL = 1e-10              # relative tolerance on norm(A^T r) used by the solvers
 
+MAX_EXPR_TERMS = 1024  # k·(n+1)·n product terms above which a pass uses Arrow blocks, not expressions
+
 
 def lsqr_pass(mf: MatrixFrame, Pm: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: (s, G) with s_t = ||A p_t + q_t b||², G_t = Aᵀ(A p_t + q_t b)."""
     k, n = Pm.shape
-    if mf.layout == "wide":
+    if mf.layout == "wide" and k * (n + 1) * n <= MAX_EXPR_TERMS:
         feats = mf.features()
         us = []
         for t in range(k):
@@ -55,12 +57,13 @@ def lsqr_pass(mf: MatrixFrame, Pm: np.ndarray, q: np.ndarray) -> tuple[np.ndarra
         return s, G
 
     Pc, qc = Pm.copy(), q.copy()
+    layout = mf.layout
 
     def partial(batches):
         acc = np.zeros((k, n + 1))
         seen = False
         for rb in batches:
-            _, X = arrow_block(rb, n, "array")
+            _, X = arrow_block(rb, n, layout)
             if not len(X):
                 continue
             seen = True

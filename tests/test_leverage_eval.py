@@ -105,3 +105,24 @@ def test_many_candidates_use_block_residuals(spark):
     got = {(r["cand"], r["iter"]): r["norm"] for r in V.residual_norms(mf, cands).collect()}
     for key, x in cands.items():
         assert np.isclose(got[key], np.linalg.norm(A @ x - b), rtol=1e-10)
+
+
+def test_wide_block_paths_match_expressions(spark):
+    import tallsketch.operators.leverage as LL
+    import tallsketch.operators.lsqr as LQ
+
+    mf = S.orders_matrix(spark, SF001)
+    N = factors_to_numpy(solve_sketch(sketch(mf, "cw", 100, 2, 4)), 3)
+    P, q = np.array([[1.0, -2.0, 0.5], [0.3, 0.2, 0.1]]), np.array([0.7, -1.1])
+    expr_lev = sorted((r["trial"], r["key"], r["lev"]) for r in LL.leverage_scores(mf, N).collect())
+    expr_pass = LQ.lsqr_pass(mf, P, q)
+    old = (LL.MAX_EXPR_TERMS, LQ.MAX_EXPR_TERMS)
+    LL.MAX_EXPR_TERMS = LQ.MAX_EXPR_TERMS = 0
+    try:
+        block_lev = sorted((r["trial"], r["key"], r["lev"]) for r in LL.leverage_scores(mf, N).collect())
+        block_pass = LQ.lsqr_pass(mf, P, q)
+    finally:
+        LL.MAX_EXPR_TERMS, LQ.MAX_EXPR_TERMS = old
+    assert [a[:2] for a in expr_lev] == [b[:2] for b in block_lev]
+    assert np.allclose([a[2] for a in expr_lev], [b[2] for b in block_lev], rtol=1e-10)
+    assert np.allclose(expr_pass[0], block_pass[0], rtol=1e-10) and np.allclose(expr_pass[1], block_pass[1], rtol=1e-10)
