@@ -276,8 +276,9 @@ def q_lsqr_monitors(spark, sf):
 
 
 def _eval_low(spark, sf) -> DataFrame:
-    mf = _om(spark, sf).persist()
-    p = _params(precision="low", sketch="projection", kind="cw", c=C_CW, trials=K_EVAL, persist=False)
+    # no outer persist: the returned errors are lazy and would pin the cached rows forever
+    mf = _om(spark, sf)
+    p = _params(precision="low", sketch="projection", kind="cw", c=C_CW, trials=K_EVAL)
     return E.evaluate(solve(mf, p), mf, p)
 
 
@@ -296,10 +297,10 @@ def q_eval_median_low(spark, sf):
 
 
 def q_eval_median_trial(spark, sf):
-    mf = _om(spark, sf).persist()
+    mf = _om(spark, sf)  # solve() persists for its own passes and releases them
     # two iterations: with n = 3 a third one is exact for every trial, and ranking trials by
     # a rounding-level final error would pick an arbitrary one
-    p = _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=2, trials=4, persist=False)
+    p = _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=2, trials=4)
     errs = E.evaluate(solve(mf, p), mf, p)
     return E.median_trial(errs).select("iter", rnd("x_relerr", MEDIAN_DIGITS).alias("x_relerr"),
                                        rnd("f_relerr", MEDIAN_DIGITS).alias("f_relerr"))
