@@ -63,8 +63,11 @@ def row_index(df: DataFrame, order_cols: list[str], name: str = "idx", partition
     reliable checkpoint (so both uses below see the same partition layout, even after an
     executor loss), then add per-partition offsets.  Order columns must be a total order
     (include a unique column)."""
+    from tallsketch.operators.small_solve import estimated_partitions
+
     checkpoint_dir(df.sparkSession)
-    nparts = partitions or df.sparkSession.sparkContext.defaultParallelism
+    # range partitions sized by the data (split size), never fewer than the cores
+    nparts = partitions or max(df.sparkSession.sparkContext.defaultParallelism, estimated_partitions(df))
     ordered = df.repartitionByRange(nparts, *order_cols).sortWithinPartitions(*order_cols)
     stable = ordered.checkpoint(eager=True)
     return _attach_offsets(stable, name)
