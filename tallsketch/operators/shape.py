@@ -67,7 +67,8 @@ def row_index(df: DataFrame, order_cols: list[str], name: str = "idx", partition
 
     checkpoint_dir(df.sparkSession)
     # range partitions sized by the data (split size), never fewer than the cores
-    nparts = partitions or max(df.sparkSession.sparkContext.defaultParallelism, estimated_partitions(df))
+    nparts = partitions or max(df.sparkSession.sparkContext.defaultParallelism, estimated_partitions(df) or 0,
+                               int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(nparts, *order_cols).sortWithinPartitions(*order_cols)
     stable = ordered.checkpoint(eager=True)
     return _attach_offsets(stable, name)

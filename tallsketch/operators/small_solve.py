@@ -81,13 +81,19 @@ def _final(width: int, n: int):
     return fn
 
 
-def estimated_partitions(df: DataFrame) -> int:
+UNKNOWN_SIZE = 1 << 62  # the optimizer reports Long.MaxValue when it cannot size a plan
+
+
+def estimated_partitions(df: DataFrame) -> int | None:
     """Upper estimate of a DataFrame's partition count from the optimizer's size statistic
     and the session's split and shuffle settings -- planning only, no job.  (``df.rdd``
     would execute an adaptive plan's shuffle stages just to count partitions, and the real
-    job would then run them again.)  Only the depth of the TSQR tree depends on it."""
+    job would then run them again.)  None when the plan has no size estimate (e.g. a
+    DataFrame built from an RDD)."""
     conf = df.sparkSession._jsparkSession.sessionState().conf()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_SIZE:
+        return None
     by_size = -(-size // max(1, int(conf.filesMaxPartitionBytes())))
     return max(1, int(conf.numShufflePartitions()), by_size)
 
@@ -100,7 +106,8 @@ def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, lay
     src = rows.select(*cols).withColumn("__pid", F.spark_partition_id())
     ship_package(rows.sparkSession)
     level = src.mapInArrow(_local_r(width, n, layout, value_cols), _R_SCHEMA)
-    nparts = estimated_partitions(rows)
+    # unknown size: one intermediate level keeps every group <= FANOUT up to FANOUT² tasks
+    nparts = estimated_partitions(rows) or FANOUT * FANOUT
     while nparts > FANOUT:
         level = (level.withColumn("grp", F.floor(F.col("grp") / F.lit(FANOUT)).cast("bigint"))
                  .groupBy("trial", "grp").applyInPandas(_combine(width), _R_SCHEMA))
