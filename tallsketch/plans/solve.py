@@ -84,6 +84,7 @@ class SolveResult:
 
 def compute_factors(mf: MatrixFrame, p: JobParams, timings: dict) -> dict[int, np.ndarray]:
     """C1 with objective N: projection N, or sampling N (projection N -> sample -> N)."""
+    _check_sizes(mf, p)
     if p.factor_cache:
         from tallsketch.sources.sinks import cached_factors
 
@@ -105,8 +106,15 @@ def _compute_factors_uncached(mf: MatrixFrame, p: JobParams, timings: dict) -> d
     return N
 
 
+def _check_sizes(mf: MatrixFrame, p: JobParams) -> None:
+    """A sketch with fewer rows than columns cannot give a factor or a solve (Q9)."""
+    if p.sketch and int(p.c) < mf.n:
+        raise ValueError(f"projection size c={p.c} is smaller than the number of columns n={mf.n}")
+
+
 def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
     p.validate()
+    _check_sizes(mf, p)
     spark = mf.df.sparkSession
     timings: dict[str, float] = {}
     if p.partitions:

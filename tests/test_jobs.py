@@ -141,3 +141,14 @@ def test_sampling_factor_reuses_cached_projection_factor(spark):
     p.s = 400  # another sampling size: the projection factor is reused from the cache
     compute_factors(mf, p, t2)
     assert "factor_cache_hit" in t2 and "projection" not in t2 and "sampling" in t2
+
+
+def test_projection_smaller_than_columns_is_rejected_before_any_job(spark):
+    mf = S.embeddings_matrix(spark, SF001)  # n = 64
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = jobs()
+    with pytest.raises(ValueError):
+        solve(mf, JobParams(precision="low", sketch="projection", kind="cw", c=32))
+    with pytest.raises(ValueError):
+        compute_factors(mf, JobParams(precision="high", sketch="projection", kind="gaussian", c=10, iters=3), {})
+    assert jobs() == before
