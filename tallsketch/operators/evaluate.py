@@ -80,9 +80,14 @@ def median_trial(errors: DataFrame) -> DataFrame:
 
 
 def evaluate(result, mf_original: MatrixFrame, params, x_opt=None, f_opt=None) -> DataFrame:
-    """Errors of a SolveResult against (x*, f*); computes the optimum when not given."""
+    """Errors of a SolveResult against (x*, f*); computes the optimum when not given.
+
+    Runs now (two passes: TSQR optimum, one residual pass for all candidates) and returns
+    the k·q error rows as a small local frame, so the caller may release the matrix."""
     if x_opt is None or f_opt is None:
         x_opt, f_opt = optimum(mf_original)
     xs = {(int(r["trial"]), int(r["iter"])): list(r["x"]) for r in result.solutions.collect()}
     repnum = getattr(params, "repeat", 1)
-    return relative_errors(mf_original, xs, x_opt, f_opt, repnum, getattr(params, "stack", "all"))
+    errs = relative_errors(mf_original, xs, x_opt, f_opt, repnum, getattr(params, "stack", "all"))
+    spark = mf_original.df.sparkSession
+    return spark.createDataFrame(errs.collect(), "cand int, iter int, x_relerr double, f_relerr double")

@@ -98,7 +98,8 @@ def estimated_partitions(df: DataFrame) -> int | None:
     return max(1, int(conf.numShufflePartitions()), by_size)
 
 
-def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, layout: str | None = None) -> DataFrame:
+def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, layout: str | None = None,
+               partitions: int | None = None) -> DataFrame:
     """Least squares per trial over ``rows`` (columns ``trial`` and either ``value_cols`` =
     [A b] names, or the matrix layout columns ``a``/``a0..`` and ``b``)."""
     width = n + 1
@@ -107,7 +108,7 @@ def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, lay
     ship_package(rows.sparkSession)
     level = src.mapInArrow(_local_r(width, n, layout, value_cols), _R_SCHEMA)
     # unknown size: one intermediate level keeps every group <= FANOUT up to FANOUT² tasks
-    nparts = estimated_partitions(rows) or FANOUT * FANOUT
+    nparts = partitions or estimated_partitions(rows) or FANOUT * FANOUT
     while nparts > FANOUT:
         level = (level.withColumn("grp", F.floor(F.col("grp") / F.lit(FANOUT)).cast("bigint"))
                  .groupBy("trial", "grp").applyInPandas(_combine(width), _R_SCHEMA))

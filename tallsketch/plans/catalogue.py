@@ -276,10 +276,13 @@ def q_lsqr_monitors(spark, sf):
 
 
 def _eval_low(spark, sf) -> DataFrame:
-    # no outer persist: the returned errors are lazy and would pin the cached rows forever
-    mf = _om(spark, sf)
-    p = _params(precision="low", sketch="projection", kind="cw", c=C_CW, trials=K_EVAL)
-    return E.evaluate(solve(mf, p), mf, p)
+    # evaluate() returns materialized k-row errors, so the rows can be released right after
+    mf = _om(spark, sf).persist()
+    try:
+        p = _params(precision="low", sketch="projection", kind="cw", c=C_CW, trials=K_EVAL, persist=False)
+        return E.evaluate(solve(mf, p), mf, p)
+    finally:
+        mf.unpersist()
 
 
 def q_eval_f_relerr(spark, sf):
@@ -297,11 +300,14 @@ def q_eval_median_low(spark, sf):
 
 
 def q_eval_median_trial(spark, sf):
-    mf = _om(spark, sf)  # solve() persists for its own passes and releases them
+    mf = _om(spark, sf).persist()  # released below: evaluate() returns materialized rows
     # two iterations: with n = 3 a third one is exact for every trial, and ranking trials by
     # a rounding-level final error would pick an arbitrary one
-    p = _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=2, trials=4)
-    errs = E.evaluate(solve(mf, p), mf, p)
+    try:
+        p = _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=2, trials=4, persist=False)
+        errs = E.evaluate(solve(mf, p), mf, p)
+    finally:
+        mf.unpersist()
     return E.median_trial(errs).select("iter", rnd("x_relerr", MEDIAN_DIGITS).alias("x_relerr"),
                                        rnd("f_relerr", MEDIAN_DIGITS).alias("f_relerr"))
 
