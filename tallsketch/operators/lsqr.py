@@ -51,7 +51,7 @@ def lsqr_pass(mf: MatrixFrame, Pm: np.ndarray, q: np.ndarray) -> tuple[np.ndarra
         for t in range(k):
             aggs.append(F.sum(F.col(f"__u{t}") * F.col(f"__u{t}")).alias(f"s{t}"))
             aggs += [F.sum(F.col(f"__u{t}") * F.col(f"a{i}")).alias(f"g{t}_{i}") for i in range(n)]
-        row = proj.agg(*aggs).first()
+        row = proj.agg(*aggs).collect()[0]  # one row; collect avoids a limit stage
         s = np.array([row[f"s{t}"] or 0.0 for t in range(k)], dtype=float)
         G = np.array([[row[f"g{t}_{i}"] or 0.0 for i in range(n)] for t in range(k)], dtype=float)
         return s, G
