@@ -134,15 +134,23 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
                      partitions: int | None = None, name: str | None = None, mode: str = "error") -> MatrixFrame:
     """Read ``[A b]`` as blank-separated numbers, last column = b, one row per line.
 
-    The URI scheme picks the filesystem (``file:``, ``hdfs:``, ``s3a:`` ...).  With
-    ``key='line'`` the key is the global line number (M2 over the file order), so the
-    matrix is reproducible across re-reads; a file of ``key a0 .. b`` lines can pass
-    ``key='first'`` to use its first number instead.
+    The URI scheme picks the filesystem (``file:``, ``hdfs:``, ``s3a:`` ...).  Keys:
+
+    * ``'line'``: the global line number (M2 over the file order; one checkpoint write of the
+      parsed rows) -- identical under any cluster or split configuration;
+    * ``'position'``: ``monotonically_increasing_id()`` of the raw file scan -- no extra
+      pass, stable across re-reads of the same files with the same split size
+      (``spark.sql.files.maxPartitionBytes``), not contiguous;
+    * ``'first'``: the first number of each line (files of ``key a0 .. b`` lines).
     """
     lines = spark.read.text(uri)
     rows = parse_text_lines(lines, mode)
     if key == "first":
         keyed = rows.select(F.element_at("row", 1).cast("bigint").alias("key"), F.slice("row", 2, 1 << 30).alias("row"))
+    elif key == "position":
+        keyed = rows.select(F.monotonically_increasing_id().alias("key"), "row")
+    elif key != "line":
+        raise ValueError(f"key must be 'line', 'position' or 'first', not {key!r}")
     else:
         from tallsketch.operators.shape import row_index_natural
 

@@ -106,3 +106,16 @@ def test_text_width_is_checked_and_partitions_keep_line_keys(spark):
     mf = S.read_text_matrix(spark, path, n=2, mode="drop", partitions=3)
     got = sorted((r["key"], r["a0"]) for r in mf.df.collect())
     assert got == [(0, 1.0), (1, 4.0), (3, 9.0)]
+
+
+def test_text_position_keys_are_unique_and_stable(spark):
+    mf = S.orders_matrix(spark, SF001)
+    path = scratch_path(spark, "txtpos")
+    S.write_text_matrix(mf, path, with_key=False)
+    a = S.read_text_matrix(spark, path, key="position")
+    b = S.read_text_matrix(spark, path, key="position")
+    ra = sorted((r["key"], r["b"]) for r in a.df.collect())
+    assert ra == sorted((r["key"], r["b"]) for r in b.df.collect())
+    assert len({k for k, _ in ra}) == len(ra) == mf.df.count()
+    with pytest.raises(ValueError):
+        S.read_text_matrix(spark, path, key="random")
