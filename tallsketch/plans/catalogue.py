@@ -193,6 +193,10 @@ def q_sketch_solve(spark, sf):
 
 
 def q_sketch_factor(spark, sf):
+    """R2 as (trial, i, j, nnt).  N itself is unique only up to signs/rotation, N·Nᵀ =
+    ((SA)ᵀSA)^-1 is not; it is published scaled by the column norms of SA,
+    nnt_ij = (N·Nᵀ)_ij·‖SA_i‖·‖SA_j‖ (the inverse of SA's column-normalized Gram matrix), so
+    all entries have comparable magnitude for rounding."""
     sk = sketch(_om(spark, sf), "cw", C_CW, 1, SEED)
     return _nnt_scaled(spark, factors_to_numpy(solve_sketch(sk), 3), _colnorms(sk))
 
