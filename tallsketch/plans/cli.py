@@ -40,12 +40,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-k", "--ntrials", dest="trials", type=int, default=1)
     p.add_argument("-t", "--test", action="store_true", help="report relative errors")
     p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--storage", default="MEMORY_AND_DISK", help="storage level of the persisted rows (e.g. DISK_ONLY)")
     p.add_argument("--output", default=None, help="URI for solutions/metrics/history (Parquet)")
     p.add_argument("--factor-cache", "--N-dir", dest="factor_cache", default=None, help="URI of the factor cache")
     p.add_argument("--load_N", action="store_true", help="reuse cached factors")
     p.add_argument("--save_N", action="store_true", help="write factors to the cache")
     p.add_argument("--x-opt", default=None)
     p.add_argument("--f-opt", default=None)
+    p.add_argument("--text-key", default="line", choices=("line", "position", "first"),
+                   help="row keys of a text matrix: global line number, scan position, or first number")
     p.add_argument("--parquet", action="store_true")
     p.add_argument("--key", default="key")
     p.add_argument("--features", default=None, help="comma-separated feature columns (Parquet input)")
@@ -56,7 +59,7 @@ def parser() -> argparse.ArgumentParser:
 def params_from_args(a) -> JobParams:
     return JobParams(
         precision=a.precision, sketch=a.sketch, kind=a.kind, c=a.c, s=a.s, iters=a.iters, trials=a.trials,
-        seed=a.seed, persist=True if a.cache or a.precision == "high" or a.sketch == "sampling" else False,
+        seed=a.seed, storage=a.storage, persist=True if a.cache or a.precision == "high" or a.sketch == "sampling" else False,
         partitions=a.npartitions, expect_dims=tuple(a.dims) if a.dims else None, repeat=a.nrepetitions,
         stack="all" if a.stack == 1 else "dense", evaluate=a.test, output_uri=a.output,
         factor_cache=a.factor_cache if (a.load_N or a.save_N) else None, reuse=a.load_N)
@@ -73,7 +76,7 @@ def main(argv=None, spark: SparkSession | None = None) -> dict:
             raise ValueError("--parquet needs --features")
         mf = from_columns(spark.read.parquet(a.dataset), a.key, feats, a.target, name=a.dataset)
     else:
-        mf = read_text_matrix(spark, a.dataset, n=a.dims[1] if a.dims else None, name=a.dataset)
+        mf = read_text_matrix(spark, a.dataset, n=a.dims[1] if a.dims else None, key=a.text_key, name=a.dataset)
     if a.test and a.x_opt and a.f_opt:
         p.x_opt = read_vector_text(spark, a.x_opt)
         p.f_opt = read_vector_text(spark, a.f_opt)[0]

@@ -39,6 +39,7 @@ class JobParams:
     trials: int = 1                    # k
     seed: int = 42
     persist: bool = True
+    storage: str = "MEMORY_AND_DISK"   # StorageLevel name for multi-pass plans (e.g. DISK_ONLY)
     partitions: int | None = None      # hash-repartition the rows by key first (None: keep)
     stop_early: bool = False
     expect_dims: tuple[int, int] | None = None
@@ -69,6 +70,7 @@ class JobParams:
             raise ValueError("please give a projection size c")
         if self.sketch:
             validate(self.kind, self.c, self.trials)
+        _storage_level(self.storage)
         if self.repeat < 1 or self.stack not in ("all", "dense"):
             raise ValueError("repeat must be >= 1 and stack 'all' or 'dense'")
 
@@ -106,6 +108,15 @@ def _compute_factors_uncached(mf: MatrixFrame, p: JobParams, timings: dict) -> d
     return N
 
 
+def _storage_level(name: str):
+    from pyspark import StorageLevel
+
+    level = getattr(StorageLevel, str(name).upper(), None)
+    if not isinstance(level, StorageLevel):
+        raise ValueError(f"unknown storage level {name!r}")
+    return level
+
+
 def _check_sizes(mf: MatrixFrame, p: JobParams) -> None:
     """A sketch with fewer rows than columns cannot give a factor or a solve (Q9)."""
     if p.sketch and int(p.c) < mf.n:
@@ -123,7 +134,7 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
     # sketch, leverage sum, sample).  A one-pass projection sketch streams the input.
     multi_pass = p.precision == "high" or p.sketch == "sampling"
     keep = p.persist and multi_pass
-    work = mf.persist() if keep else mf
+    work = mf.persist(_storage_level(p.storage)) if keep else mf
     try:
         history = None
         factors: dict[int, np.ndarray] = {}

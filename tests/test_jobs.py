@@ -152,3 +152,11 @@ def test_projection_smaller_than_columns_is_rejected_before_any_job(spark):
     with pytest.raises(ValueError):
         compute_factors(mf, JobParams(precision="high", sketch="projection", kind="gaussian", c=10, iters=3), {})
     assert jobs() == before
+
+
+def test_storage_level_option(spark):
+    mf = S.orders_matrix(spark, SF001)
+    res = solve(mf, JobParams(precision="high", sketch="projection", kind="cw", c=100, iters=3, storage="DISK_ONLY"))
+    assert res.solutions.count() == 3
+    with pytest.raises(ValueError):
+        JobParams(precision="low", sketch="projection", c=10, storage="FLOPPY").validate()
