@@ -105,9 +105,10 @@ HISTORY_SCHEMA = ("trial int, iter int, x array<double>, y array<double>, nrm_r
 
 
 def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol: float = DEFAULT_TOL,
-         stop_early: bool = False) -> LsqrResult:
+         stop_early: bool = False, init: tuple[float, np.ndarray] | None = None) -> LsqrResult:
     """Run ``iters`` LSQR iterations on min ||A N y - b|| for every trial's N (identity when
-    ``factors`` is None: plain LSQR, one trial).  x = N y is recorded at every iteration."""
+    ``factors`` is None: plain LSQR, one trial).  x = N y is recorded at every iteration.
+    ``init`` = (bᵀb, Aᵀb) when already known (e.g. from the sketch pass) saves the first pass."""
     if iters is None or int(iters) < 1:
         raise ValueError("LSQR needs a positive number of iterations")
     iters = int(iters)
@@ -120,7 +121,10 @@ def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol
     tol = min(max(tol, EPS), 1 - EPS)
     t0 = time.time()
 
-    s0, G0 = lsqr_pass(mf, np.zeros((1, n)), np.ones(1))
+    if init is None:
+        s0, G0 = lsqr_pass(mf, np.zeros((1, n)), np.ones(1))
+    else:
+        s0, G0 = np.array([float(init[0])]), np.asarray(init[1], dtype=float).reshape(1, n)
     beta0 = math.sqrt(s0[0])
     hist: list[dict] = []
     st = []

@@ -117,9 +117,15 @@ def cw_draw_columns(df: DataFrame, c: int, k: int, seed: int, key_col: str = "ke
     return df, draws
 
 
-def _cw_catalyst(mf: MatrixFrame, c: int, k: int, seed: int) -> SketchFrame:
+NORMAL_TRIAL = -1  # extra group of a count-sketch aggregate: sign = b gives Aᵀb and bᵀb
+
+
+def _cw_catalyst(mf: MatrixFrame, c: int, k: int, seed: int, with_normal_sums: bool = False) -> SketchFrame:
     base, draws = cw_draw_columns(mf.df.select(*mf.data_columns), c, k, seed)
-    if k == 1:
+    if with_normal_sums:  # one more generated row per input row, summed in the same aggregate
+        draws = draws + [F.struct(F.lit(NORMAL_TRIAL).cast("int").alias("trial"), F.lit(0).cast("int").alias("bucket"),
+                                  F.col("b").alias("sign"))]
+    if len(draws) == 1:
         d = draws[0]
         rows = base.select(*mf.data_columns, d.getField("trial").alias("trial"), d.getField("bucket").alias("bucket"),
                            d.getField("sign").alias("sign"))

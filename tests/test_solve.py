@@ -130,3 +130,19 @@ def test_lsqr_stop_early_freezes_after_convergence(spark):
         assert len(early.history) == 15  # the history still has q rows (last iterate repeated)
     finally:
         mf.unpersist()
+
+
+def test_normal_sums_ride_along_the_count_sketch(spark):
+    from tallsketch.operators.small_solve import cw_factors_with_normal_sums
+
+    mf = S.orders_matrix(spark, SF001)
+    _, A, b = to_numpy(mf)
+    factors, (s0, g0) = cw_factors_with_normal_sums(mf, 100, 2, 5)
+    assert np.isclose(s0, b @ b, rtol=1e-12) and np.allclose(g0, A.T @ b, rtol=1e-12)
+    plain = factors_to_numpy(solve_sketch(sketch(mf, "cw", 100, 2, 5)), 3)
+    for t in (0, 1):
+        assert np.allclose(factors[t] @ factors[t].T, plain[t] @ plain[t].T, rtol=1e-9)
+    with_init = lsqr(mf, factors, 5, init=(s0, g0)).final()
+    without = lsqr(mf, factors, 5).final()
+    for t in (0, 1):
+        assert np.allclose(with_init[t], without[t], rtol=1e-9)
