@@ -70,7 +70,7 @@ def validate(kind: str, c, k=1) -> tuple[int, int]:
 
 
 def sketch(mf: MatrixFrame, kind: str = "cw", c: int = 100, k: int = 1, seed: int = 42,
-           method: str = "auto") -> SketchFrame:
+           method: str = "auto", with_normal_sums: bool = False) -> SketchFrame:
     """Sketch [A b] with k independent trials of one projection kind.
 
     ``method='auto'`` picks Catalyst for count-sketch on wide rows and Arrow batches
@@ -78,6 +78,9 @@ def sketch(mf: MatrixFrame, kind: str = "cw", c: int = 100, k: int = 1, seed: in
     rows as pure Catalyst (explode + expression + partial aggregate, no Python workers).
     All give the same numbers up to summation order; on 2M rows x 8 cores the Arrow path
     was 1.25x (Gaussian) and 1.7x (Rademacher) faster than the staged SQL path, hence the default.
+
+    ``with_normal_sums`` adds one group (trial = NORMAL_TRIAL, bucket = 0) holding Aᵀb and bᵀb,
+    computed in the same pass (LSQR's start values); the SQL dense path does not offer it.
     """
     c, k = validate(kind, c, k)
     if kind == "srdht":
@@ -87,12 +90,14 @@ def sketch(mf: MatrixFrame, kind: str = "cw", c: int = 100, k: int = 1, seed: in
         if c > m:
             raise ValueError(f"srdht needs c <= m (c={c}, m={m})")
         freqs = [H.srdht_frequencies(mf.df.sparkSession, m, c, seed, t) for t in range(k)]
-        return _arrow_sketch(mf, kind, c, k, seed, m=m, freqs=freqs)
+        return _arrow_sketch(mf, kind, c, k, seed, m=m, freqs=freqs, with_normal_sums=with_normal_sums)
     if kind == "cw" and mf.layout == "wide" and method != "arrow":
-        return _cw_catalyst(mf, c, k, seed)
+        return _cw_catalyst(mf, c, k, seed, with_normal_sums=with_normal_sums)
     if kind in ("gaussian", "rademacher") and mf.layout == "wide" and method == "sql":
+        if with_normal_sums:
+            raise ValueError("with_normal_sums is not offered by the SQL dense path")
         return _dense_catalyst(mf, kind, c, k, seed)
-    return _arrow_sketch(mf, kind, c, k, seed)
+    return _arrow_sketch(mf, kind, c, k, seed, with_normal_sums=with_normal_sums)
 
 
 # ----------------------------------------------------------------------------- count-sketch, Catalyst
@@ -200,7 +205,7 @@ def sketch_block(kind: str, keys: np.ndarray, X: np.ndarray, c: int, seed: int,
 
 
 def _arrow_sketch(mf: MatrixFrame, kind: str, c: int, k: int, seed: int, m: int | None = None,
-                  freqs: list[list[int]] | None = None) -> SketchFrame:
+                  freqs: list[list[int]] | None = None, with_normal_sums: bool = False) -> SketchFrame:
     n, layout = mf.n, mf.layout
     step = max(1, MAX_BLOCK_ENTRIES // c) if kind != "cw" else 1 << 20
     freq_arrays = [np.asarray(f, dtype=np.int64) for f in freqs] if freqs else None
@@ -208,12 +213,15 @@ def _arrow_sketch(mf: MatrixFrame, kind: str, c: int, k: int, seed: int, m: int
     def partials(batches):
         acc = np.zeros((k, c, n + 1))
         touched = np.zeros((k, c), dtype=bool)  # count-sketch: only buckets some row hit
+        normal = np.zeros(n + 1)  # Aᵀb and bᵀb of this task's rows
         seen = False
         for rb in batches:
             keys, X = arrow_block(rb, n, layout)
             for lo in range(0, len(keys), step):
                 kk, XX = keys[lo:lo + step], X[lo:lo + step]
                 seen = True
+                if with_normal_sums:
+                    normal += XX[:, n] @ XX
                 for t in range(k):
                     acc[t] += sketch_block(kind, kk, XX, c, seed, t, m, freq_arrays[t] if freq_arrays else None)
                     if kind == "cw":
@@ -224,9 +232,14 @@ def _arrow_sketch(mf: MatrixFrame, kind: str, c: int, k: int, seed: int, m: int
             touched[:] = True
         tt, bb = np.nonzero(touched)
         width = n + 1
+        vals = acc[tt, bb].reshape(-1)
+        if with_normal_sums:
+            tt = np.append(tt, NORMAL_TRIAL)
+            bb = np.append(bb, 0)
+            vals = np.concatenate([vals, normal])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(tt, width).astype(np.int32)), pa.array(np.repeat(bb, width).astype(np.int32)),
-             pa.array(np.tile(np.arange(width, dtype=np.int32), len(tt))), pa.array(acc[tt, bb].reshape(-1))],
+             pa.array(np.tile(np.arange(width, dtype=np.int32), len(tt))), pa.array(vals)],
             names=["trial", "bucket", "pos", "val"])
 
     ship_package(mf.df.sparkSession)

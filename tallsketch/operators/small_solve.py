@@ -136,20 +136,22 @@ def exact_solve(mf: MatrixFrame) -> DataFrame:
     return tsqr_solve(rows, mf.n, layout=mf.layout)
 
 
-def cw_factors_with_normal_sums(mf: MatrixFrame, c: int, k: int, seed: int):
-    """Count-sketch factors N per trial AND (bᵀb, Aᵀb) from one pass over the rows: the sums
-    ride along the sketch aggregate as an extra group; the small sketch is cached so both
-    reads reuse it.  Returns (factors, (s0, g0))."""
-    from tallsketch.operators.sketch import NORMAL_TRIAL, SketchFrame, _cw_catalyst
-
-    sk = _cw_catalyst(mf, c, k, seed, with_normal_sums=True)
-    cached = sk.df.persist()  # k·c + 1 rows
+def factors_with_normal_sums(mf: MatrixFrame, kind: str, c: int, k: int, seed: int):
+    """Projection factors N per trial AND (bᵀb, Aᵀb) from one pass over the rows: the sums
+    ride along the sketch aggregate as an extra group; the small sketch (k·c + 1 rows) is
+    cached so both reads reuse it.  Returns (factors, (s0, g0))."""
+    from dataclasses import replace
+
+    from tallsketch.operators.sketch import NORMAL_TRIAL, sketch
+
+    sk = sketch(mf, kind, c, k, seed, with_normal_sums=True)
+    cached = sk.df.persist()
     try:
-        sketch_only = SketchFrame(cached.where(F.col("trial") != NORMAL_TRIAL), mf.n, "cw", c, k, seed, "wide")
+        sketch_only = replace(sk, df=cached.where(F.col("trial") != NORMAL_TRIAL))
         factors = factors_to_numpy(solve_sketch(sketch_only), mf.n)
-        r = cached.where(F.col("trial") == NORMAL_TRIAL).collect()[0]
-        s0 = float(r[f"v{mf.n}"])
-        g0 = np.array([float(r[f"v{i}"]) for i in range(mf.n)])
+        normal = replace(sk, df=cached.where(F.col("trial") == NORMAL_TRIAL)).to_wide().collect()[0]
+        s0 = float(normal[f"v{mf.n}"])
+        g0 = np.array([float(normal[f"v{i}"]) for i in range(mf.n)])
     finally:
         cached.unpersist()
     return factors, (s0, g0)

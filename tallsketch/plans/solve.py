@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallsketch.operators import leverage as L
 from tallsketch.operators.lsqr import LsqrResult, lsqr
 from tallsketch.operators.sketch import sketch, validate
-from tallsketch.operators.small_solve import cw_factors_with_normal_sums, factors_to_numpy, solve_sketch
+from tallsketch.operators.small_solve import factors_to_numpy, factors_with_normal_sums, solve_sketch
 from tallsketch.sources.matrix import MatrixFrame
 
 SOLUTIONS_SCHEMA = "trial int, iter int, x array<double>"
@@ -152,10 +152,10 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
             init = None
             if p.sketch is None:
                 factors = {0: np.eye(mf.n)}
-            elif p.sketch == "projection" and p.kind == "cw" and work.layout == "wide" and not p.factor_cache:
-                # Aᵀb and bᵀb ride along the count-sketch aggregate: LSQR skips its first pass
+            elif p.sketch == "projection" and not p.factor_cache:
+                # Aᵀb and bᵀb ride along the sketch aggregate: LSQR skips its first pass
                 t = time.time()
-                factors, init = cw_factors_with_normal_sums(work, int(p.c), int(p.trials), p.seed)
+                factors, init = factors_with_normal_sums(work, p.kind, int(p.c), int(p.trials), p.seed)
                 timings["projection"] = time.time() - t
             else:
                 factors = compute_factors(work, p, timings)

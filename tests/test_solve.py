@@ -133,11 +133,20 @@ def test_lsqr_stop_early_freezes_after_convergence(spark):
 
 
 def test_normal_sums_ride_along_the_count_sketch(spark):
-    from tallsketch.operators.small_solve import cw_factors_with_normal_sums
+    from tallsketch.operators.small_solve import factors_with_normal_sums
 
     mf = S.orders_matrix(spark, SF001)
     _, A, b = to_numpy(mf)
-    factors, (s0, g0) = cw_factors_with_normal_sums(mf, 100, 2, 5)
+    for kind in ("gaussian", "srdht"):
+        f2, (s2, g2) = factors_with_normal_sums(mf, kind, 40, 1, 5)
+        assert np.isclose(s2, b @ b, rtol=1e-12) and np.allclose(g2, A.T @ b, rtol=1e-12)
+        ref = factors_to_numpy(solve_sketch(sketch(mf, kind, 40, 1, 5)), 3)[0]
+        assert np.allclose(f2[0] @ f2[0].T, ref @ ref.T, rtol=1e-9)
+    emb = S.embeddings_matrix(spark, SF001)
+    _, Ae, be = to_numpy(emb)
+    _, (se, ge) = factors_with_normal_sums(emb, "cw", 200, 1, 5)
+    assert np.isclose(se, be @ be, rtol=1e-12) and np.allclose(ge, Ae.T @ be, rtol=1e-10, atol=1e-9)
+    factors, (s0, g0) = factors_with_normal_sums(mf, "cw", 100, 2, 5)
     assert np.isclose(s0, b @ b, rtol=1e-12) and np.allclose(g0, A.T @ b, rtol=1e-12)
     plain = factors_to_numpy(solve_sketch(sketch(mf, "cw", 100, 2, 5)), 3)
     for t in (0, 1):
