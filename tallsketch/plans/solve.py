@@ -152,11 +152,15 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
             init = None
             if p.sketch is None:
                 factors = {0: np.eye(mf.n)}
-            elif p.sketch == "projection" and not p.factor_cache:
-                # Aᵀb and bᵀb ride along the sketch aggregate: LSQR skips its first pass
+            elif not p.factor_cache:
+                # Aᵀb and bᵀb ride along the projection sketch aggregate: LSQR skips its first pass
                 t = time.time()
                 factors, init = factors_with_normal_sums(work, p.kind, int(p.c), int(p.trials), p.seed)
                 timings["projection"] = time.time() - t
+                if p.sketch == "sampling":  # the sampling factor starts from the projection one
+                    t = time.time()
+                    factors = factors_to_numpy(L.sampling_solve(work, factors, p.s, p.seed), mf.n)
+                    timings["sampling"] = time.time() - t
             else:
                 factors = compute_factors(work, p, timings)
             t = time.time()
