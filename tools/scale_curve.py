@@ -16,6 +16,7 @@ from tallsketch.operators.generate import gen_matrix  # noqa: E402
 from tallsketch.operators.lsqr import lsqr_pass  # noqa: E402
 from tallsketch.operators.sketch import sketch  # noqa: E402
 from tallsketch.operators.small_solve import exact_solve, factors_to_numpy, solve_sketch  # noqa: E402
+from tallsketch.plans.solve import JobParams, solve  # noqa: E402
 from tallsketch.session import local_session  # noqa: E402
 
 
@@ -43,6 +44,8 @@ def main():
     lsqr_pass(mf, P, np.ones(1))
     out["lsqr_pass_s"] = round(np.median([timed(lambda: lsqr_pass(mf, P, np.ones(1))) for _ in range(3)]), 2)
     out["tsqr_exact_s"] = timed(lambda: exact_solve(mf).collect())
+    p = JobParams(precision="high", sketch="projection", kind="cw", c=400, iters=12, seed=3, persist=False)
+    out["ls_high_cw_q12_s"] = timed(lambda: solve(mf, p).solutions.collect())
     print(json.dumps(out))
 
 
