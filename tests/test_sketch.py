@@ -122,3 +122,16 @@ def test_srdht_reindexes_noncontiguous_keys(spark):
     X = np.column_stack([np.ones(300), pdf["x"], pdf["y"]])
     ref = dense_reference("srdht", np.arange(300, dtype=np.int64), X, 20, 8, 0, m=300)
     assert np.allclose(got[0], ref, atol=1e-9)
+
+
+def test_normal_sums_group_and_sql_path_refusal(spark):
+    from tallsketch.operators.sketch import NORMAL_TRIAL
+
+    mf = S.orders_matrix(spark, SF001)
+    _, A, b = to_numpy(mf)
+    sk = sketch(mf, "rademacher", 20, 1, 3, with_normal_sums=True)
+    extra = sk.to_wide().where(F.col("trial") == NORMAL_TRIAL).collect()
+    assert len(extra) == 1 and np.isclose(extra[0]["v3"], b @ b, rtol=1e-12)
+    assert np.allclose([extra[0][f"v{i}"] for i in range(3)], A.T @ b, rtol=1e-12)
+    with pytest.raises(ValueError):
+        sketch(mf, "gaussian", 20, 1, 3, method="sql", with_normal_sums=True)
