@@ -50,6 +50,7 @@ LEV_DIGITS = 8
 P_DIGITS = 7
 ERR_DIGITS = 8
 MEDIAN_DIGITS = 6  # errors of LSQR iterates (Krylov fits in the oracle)
+RESID_EST_DIGITS = 1  # LSQR residual estimates (~1.8e7 at sf0.01)
 GEN_DIGITS = [6, 6, 16, 16, 6]
 
 
@@ -274,6 +275,12 @@ def q_lsqr_history(spark, sf):
     return _x_out(res.solutions, digits=LSQR_DIGITS, extra=["trial", "iter"])
 
 
+def q_lsqr_residual_estimates(spark, sf):
+    """H7's residual estimate phibar per (trial, iter) -- the monitor with a closed form."""
+    res = _history_run(spark, sf)
+    return res.history.to_frame(spark).select("trial", "iter", rnd("nrm_r", RESID_EST_DIGITS).alias("nrm_r"))
+
+
 def q_lsqr_monitors(spark, sf):
     res = _history_run(spark, sf)
     return res.history.to_frame(spark).select("trial", "iter", "nrm_r", "nrm_ar", "nrm_a", "cnd_a", "nrm_x", "stag", "flag")
@@ -419,6 +426,7 @@ def queries() -> dict:
         "exact_solution": q_exact_solution,
         "lsqr_history": q_lsqr_history,
         "lsqr_monitors": q_lsqr_monitors,
+        "lsqr_residual_estimates": q_lsqr_residual_estimates,
         "eval_f_relerr": q_eval_f_relerr,
         "eval_x_relerr": q_eval_x_relerr,
         "eval_median_low": q_eval_median_low,
@@ -546,6 +554,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_ls_low_cw": _low_x("cw"),
         "lsqr_history": O.krylov_history_sql(K_HISTORY, C_CW, SEED, Q_ITERS, LSQR_DIGITS),
         "eval_median_trial": O.krylov_median_trial_sql(4, C_CW, SEED, MEDIAN_DIGITS),
+        "lsqr_residual_estimates": O.krylov_residuals_sql(K_HISTORY, C_CW, SEED, Q_ITERS, RESID_EST_DIGITS),
         "gen_matrix": O.gen_matrix_sql(4, SEED, GEN_DIGITS),
         "stream_sketch_cw": O.with_(O.EV, O.sketch("sk", "ev", 2, "cw", 100, 1, SEED))
         + f"SELECT trial, bucket, {O.rnd('v0', 6)} AS v0, {O.rnd('v1', 4)} AS v1, {O.rnd('v2', 4)} AS v2 FROM sk",

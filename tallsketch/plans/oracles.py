@@ -260,3 +260,18 @@ def krylov_median_trial_sql(k: int, c: int, seed: int, digits: int) -> str:
     return with_(*ctes, cands, fopt, fx, errs, pick) + (
         f"SELECT iter, {rnd('x_relerr', digits)} AS x_relerr, {rnd('f_relerr', digits)} AS f_relerr "
         "FROM kerr WHERE trial = (SELECT trial FROM kpick)")
+
+
+def krylov_residuals_sql(k: int, c: int, seed: int, iters: int, digits: int) -> str:
+    """LSQR's residual estimate (phibar) per iterate: ||A x_j - b|| of the 1-D and 2-D fits,
+    then the optimal residual norm once the n = 3 directions are exhausted."""
+    ctes, x1, x2 = krylov_ctes(k, c, seed)
+    cands = ("kc AS (SELECT trial, 0 AS iter, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(x1)) + " FROM ks "
+             "UNION ALL SELECT trial, 1 AS iter, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(x2)) + " FROM ks)")
+    res = lambda x: f"(({x}.x0*o.a0 + {x}.x1*o.a1 + {x}.x2*o.a2 - o.b) * ({x}.x0*o.a0 + {x}.x1*o.a1 + {x}.x2*o.a2 - o.b))"
+    fx = f"kfx AS (SELECT c.trial, c.iter, sqrt(sum({res('c')})) AS f FROM om o CROSS JOIN kc c GROUP BY c.trial, c.iter)"
+    fopt = f"kfopt AS (SELECT sqrt(sum({res('e')})) AS f FROM om o CROSS JOIN ex e)"
+    return with_(*ctes, cands, fx, fopt) + (
+        f"SELECT trial, CAST(iter AS INTEGER) AS iter, {rnd('f', digits)} AS nrm_r FROM kfx UNION ALL "
+        f"SELECT q.trial, CAST(r.it AS INTEGER) AS iter, {rnd('kfopt.f', digits)} AS nrm_r FROM kinv q CROSS JOIN kfopt "
+        f"CROSS JOIN (SELECT range AS it FROM range(2, {iters})) r")
