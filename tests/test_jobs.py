@@ -160,3 +160,15 @@ def test_storage_level_option(spark):
     assert res.solutions.count() == 3
     with pytest.raises(ValueError):
         JobParams(precision="low", sketch="projection", c=10, storage="FLOPPY").validate()
+
+
+def test_cli_parquet_input(spark):
+    from tallsketch.plans import cli
+
+    summary = cli.main([f"{SF001}/orders.parquet", "--parquet", "--key", "o_orderkey", "--features", "o_custkey",
+                        "--target", "o_totalprice", "--low-precision", "--projection", "-p", "cw", "-r", "50",
+                        "-k", "2", "-t"], spark=spark)
+    med = summary["median_errors"][0]
+    assert 0 <= med["f_relerr_median"] < 0.5 and "solve" in summary["timings"]
+    with pytest.raises(ValueError):
+        cli.main([f"{SF001}/orders.parquet", "--parquet", "--low-precision", "--projection", "-r", "10"], spark=spark)
