@@ -47,6 +47,9 @@ def main():
         ("Matrix view: orders x aggregated line items", "Pruned scans, partial aggregation before the shuffle, AQE join choice.", om.df),
         ("Count-sketch (k=2, c=200)", "Staged keyed hashes, Generate for the trials, partial aggregate, exchange on (trial, bucket).",
          sketch(ev, "cw", 200, 2, 42).df),
+        ("Count-sketch with LSQR start sums (flagship first pass)",
+         "One more generated row per input row (trial -1, sign = b): Aᵀb and bᵀb come out of the same aggregate.",
+         sketch(om, "cw", 200, 1, 42, with_normal_sums=True).df),
         ("Gaussian sketch, Arrow path (c=50)", "MapInArrow partials per task, then the same aggregate.", sketch(ev, "gaussian", 50, 1, 42).df),
         ("Gaussian sketch, SQL path (c=50)", "explode(sequence) + staged entry expression + partial aggregate, all JVM.",
          sketch(ev, "gaussian", 50, 1, 42, method="sql").df),
