@@ -98,7 +98,7 @@ def stack(mf: MatrixFrame, r: int, kind: str = "all") -> MatrixFrame:
     """M3 / M4: repeat rows vertically.
 
     ``all``: every row r times; ``dense``: only rows with more than two non-zeros in
-    [A b] (the reference's stack type 2).  New key = key * r + rep, unique, no extra job."""
+    [A b] (stack type 2).  New key = key * r + rep, unique, no extra job."""
     if r < 1:
         raise ValueError("r must be >= 1")
     if kind not in ("all", "dense"):

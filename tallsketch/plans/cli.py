@@ -1,4 +1,4 @@
-"""Command-line job for ``spark-submit`` (same options and defaults as the reference job).
+"""Command-line job for ``spark-submit`` (options and defaults of the original least-squares job).
 
     spark-submit --py-files tallsketch.zip -m tallsketch.plans.cli DATA_URI --dims m n \\
         --high_precision --projection -p gaussian -r 200 -q 5 -k 3 -t --output URI

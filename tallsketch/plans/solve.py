@@ -53,7 +53,7 @@ class JobParams:
     reuse: bool = True
 
     def validate(self, m: int | None = None, n: int | None = None) -> None:
-        """Checks of the reference job, before any Spark job runs."""
+        """Parameter checks, before any Spark job runs."""
         if self.precision not in ("low", "high"):
             raise ValueError(f"invalid solver type {self.precision!r}")
         if self.sketch not in (None, "projection", "sampling"):

@@ -184,7 +184,7 @@ def read_vector_text(spark: SparkSession, uri: str) -> list[float]:
 
 def write_text_matrix(mf: MatrixFrame, uri: str, with_key: bool = True) -> None:
     """Write ``key a0 .. b`` lines (``%.17g`` keeps doubles exact); ``with_key=False`` writes
-    the reference's plain ``[A b]`` lines, in key order."""
+    plain ``[A b]`` lines (no key column), in key order."""
     mfw = mf.to_wide() if mf.n <= WIDE_MAX else mf
     parts = [F.format_string("%.17g", c) for c in mfw.features()] + [F.format_string("%.17g", "b")]
     df = mfw.df
