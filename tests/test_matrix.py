@@ -119,3 +119,13 @@ def test_text_position_keys_are_unique_and_stable(spark):
     assert len({k for k, _ in ra}) == len(ra) == mf.df.count()
     with pytest.raises(ValueError):
         S.read_text_matrix(spark, path, key="random")
+
+
+def test_dense_stacking_counts_nonzeros_of_b(spark):
+    rows = [(1, 0.0, 1.0, 5.0), (2, 2.0, 1.0, 0.0), (3, 2.0, 1.0, 5.0), (4, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k long, x double, z double, y double")
+    st = M.stack(S.from_columns(df, "k", ["x", "z"], "y"), 3, "dense")
+    reps = {}
+    for r in st.df.collect():
+        reps[r["key"] // 3] = reps.get(r["key"] // 3, 0) + 1
+    assert reps == {1: 1, 2: 1, 3: 3, 4: 1}  # only the row with three non-zeros in [A b] repeats
