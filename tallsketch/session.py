@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,7 +46,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # local-cluster is a cluster
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this job")
     path = tempfile.mkdtemp(prefix="tallsketch-ckpt-")
     sc.setCheckpointDir(path)
