@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallsketch.llm import exact_dedup, sharding
+from tallsketch.llm import bpe, exact_dedup, sharding, warc
 
-MODULES = (sharding, exact_dedup)
+MODULES = (sharding, warc, exact_dedup, bpe)
 
 
 def queries() -> dict:
