@@ -17,7 +17,7 @@ character of [\\x20\\x09-\\x0D] is deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallsketch.llm.common import join_hot, small, stored, table
@@ -43,10 +43,12 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
         hist.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
         .withColumn("cell", F.expr(f"shiftright(prefix, {max_depth} - d)"))
     )
-    full = F.sum("n").over(Window.partitionBy("d", "cell")) > capacity
+    # at most (rows / capacity) cells of each depth, and 2**depth
+    full = F.broadcast(cells.groupBy("d", "cell").agg(F.sum("n").alias("rows")).filter(F.col("rows") > capacity)
+                       .select("d", "cell", F.lit(1).alias("full")))
     return (
-        cells.withColumn("full", full).groupBy("prefix")
-        .agg(F.least(F.lit(max_depth), F.sum(F.col("full").cast("int"))).cast("int").alias("depth"))
+        cells.join(full, ["d", "cell"], "left").groupBy("prefix")
+        .agg(F.least(F.lit(max_depth), F.coalesce(F.sum("full"), F.lit(0))).cast("int").alias("depth"))
         .withColumn("bucket", F.expr(f"(1 << depth) + shiftright(prefix, {max_depth} - depth)"))
     )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallsketch.llm import bpe, exact_dedup, sharding, warc
+from tallsketch.llm import bpe, exact_dedup, sharding, toxicity, warc
 
-MODULES = (sharding, warc, exact_dedup, bpe)
+MODULES = (sharding, warc, exact_dedup, toxicity, bpe)
 
 
 def queries() -> dict:
