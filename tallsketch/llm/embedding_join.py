@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallsketch.llm.blocks import block_stream, cut_blocks, forest, meet
 from tallsketch.llm.common import components, join_hot, stored, table
 from tallsketch.session import ship_package
 
@@ -68,20 +69,6 @@ P = [f"p{j}" for j in range(DIMS)]
 C = [f"c{j}" for j in range(DIMS)]
 
 
-def _blocks(batches):
-    """Numbers the blocks of a sorted partition: at most BLOCK vectors of one group and dimension."""
-    seq, held, last = -1, 0, None
-    for b in batches:
-        out = np.empty(b.num_rows, np.int64)
-        for k, key in enumerate(zip(b.column("grp").to_pylist(), b.column("dim").to_pylist())):
-            if key != last or held == BLOCK:
-                seq, held, last = seq + 1, 0, key
-            held += 1
-            out[k] = seq
-        keep = [b.column(n) for n in ("grp", "dim", "cid", "n", "vec", *P, "part")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(out)], names=["grp", "dim", "cid", "n", "vec", *P, "part", "seq"])
-
-
 def _near(eps: float):
     """Squared distance of two bounding boxes is at most eps squared (with room for rounding)."""
     gap = [F.greatest(F.lit(0.0), F.col(f"a.lo{j}") - F.col(f"b.hi{j}"), F.col(f"b.lo{j}") - F.col(f"a.hi{j}"))
@@ -109,23 +96,6 @@ def block_pairs(boxes: DataFrame, eps: float, bits: int) -> DataFrame:
         pairs = stored(pairs, "ego-pairs")
 
 
-def _forest(link: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component, for a boolean (rows, columns) link matrix: rows
-    are nodes 0.., columns follow them."""
-    m, n = link.shape
-    i, j = np.nonzero(link)
-    j = j + m
-    low = np.arange(m + n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _join(cosine: float):
     """Streams (block a's rows, then partner blocks' rows) and yields links of each pair."""
     def links(a, b):
@@ -135,7 +105,7 @@ def _join(cosine: float):
             np.fill_diagonal(near, False)
         if not near.any():
             return
-        low = _forest(near)
+        low = forest(near)
         ids = np.concatenate([ia, ib])
         count = np.concatenate([near @ nb, np.zeros(len(ib), np.int64) if b is None else na @ near])
         hit = np.flatnonzero(np.concatenate([near.any(1), np.zeros(len(ib), bool) if b is None else near.any(0)]))
@@ -153,31 +123,16 @@ def _join(cosine: float):
         return ids, n, x, np.linalg.norm(x, axis=1)
 
     def run(batches):
-        own, key, rows = None, None, []
-
-        def close():
-            nonlocal own
-            if not rows:
-                return
-            block = pack(rows)
-            if key[-1] == -1:
+        own = None
+        for _, b, slices in block_stream(batches):
+            block = pack([[s.column(n).to_numpy() for n in ("cid", "n", "dim")] + [s.column("vec").to_pylist()]
+                          for s in slices])
+            if b == -1:
                 own = block
                 yield from links(own, None)
             else:
                 yield from links(own, block)
 
-        for b in batches:
-            cols = [b.column(n).to_numpy() for n in ("a", "b")]
-            edge = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))
-            for s, e in zip(edge, [*edge[1:], b.num_rows]):
-                now = (cols[0][s], cols[1][s])
-                if now != key:
-                    yield from close()
-                    key, rows = now, []
-                part = b.slice(s, e - s)
-                rows.append([part.column(n).to_numpy() for n in ("cid", "n", "dim")] + [part.column("vec").to_pylist()])
-        yield from close()
-
     return run
 
 
@@ -204,25 +159,14 @@ def linked(df: DataFrame, key: str, vec: str, group: str, cosine: float) -> Data
     kind = "grp string, dim int, cid long, n long, vec binary, " + ", ".join(f"{p} double" for p in P)
     grid = stored(classes.select("grp", "dim", "cid", "n", "vec").mapInArrow(
         _project(axes, eps), kind + ", " + ", ".join(f"{c} int" for c in C)), "ego-grid")
-    order = ["grp", "dim", *C, "cid"]
-    ordered = grid.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    cut = stored(ordered.mapInArrow(_blocks, kind + ", part int, seq long"), "ego-blocks")
-    top = cut.agg(F.max("part"), F.max("seq")).first()
-    if top[0] is None:
-        found = spark.createDataFrame([], "cid long, links long, root long")
-    else:
-        low_bits = max(1, int(top[1]).bit_length())
-        blocks = cut.withColumn("code", F.shiftleft(F.col("part").cast("long"), low_bits) + F.col("seq"))
-        boxes = stored(blocks.groupBy("grp", "dim", "code").agg(
-            *[F.min(p).alias(f"lo{j}") for j, p in enumerate(P)], *[F.max(p).alias(f"hi{j}") for j, p in enumerate(P)]),
-            "ego-boxes")
-        pairs = block_pairs(boxes, eps, low_bits + max(1, int(top[0]).bit_length()))
-        data = blocks.select("code", "cid", "n", "dim", "vec")
-        others = pairs.filter("a < b").select("a", "b").join(data.withColumnRenamed("code", "b"), "b")
-        both = data.select(F.col("code").alias("a"), F.lit(-1).cast("long").alias("b"), "cid", "n", "dim", "vec")
-        sent = both.unionByName(others.select("a", "b", "cid", "n", "dim", "vec"))
-        found = stored(sent.repartition("a").sortWithinPartitions("a", "b").mapInArrow(
-            _join(cosine), "cid long, links long, root long"), "ego-links")
+    blocks = cut_blocks(grid, ["grp", "dim", *C, "cid"], ["grp", "dim"], BLOCK)
+    boxes = stored(blocks.groupBy("grp", "dim", "code").agg(
+        *[F.min(p).alias(f"lo{j}") for j, p in enumerate(P)], *[F.max(p).alias(f"hi{j}") for j, p in enumerate(P)]),
+        "ego-boxes")
+    bits = max(1, int(boxes.agg(F.max("code")).first()[0] or 0).bit_length())
+    pairs = block_pairs(boxes, eps, bits).filter("a < b").select("a", "b")
+    found = stored(meet(blocks, blocks, pairs, ["cid", "n", "dim", "vec"], _join(cosine),
+                        "cid long, links long, root long"), "ego-links")
     direct = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found, "cid", "root").withColumnRenamed("node", "cid")
     per = stored(classes.join(direct, "cid", "left").join(comp, "cid", "left").select(
