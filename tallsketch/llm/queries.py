@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallsketch.llm import bpe, embedding_join, exact_dedup, minhash_dedup, sharding, toxicity, warc
+from tallsketch.llm import bpe, embedding_join, exact_dedup, licenses, minhash_dedup, packing, sharding, toxicity, warc
 
-MODULES = (sharding, minhash_dedup, warc, exact_dedup, embedding_join, toxicity, bpe)
+MODULES = (licenses, sharding, minhash_dedup, warc, exact_dedup, embedding_join, toxicity, bpe, packing)
 
 
 def queries() -> dict:
