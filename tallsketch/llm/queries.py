@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallsketch.llm import bpe, embedding_join, exact_dedup, licenses, minhash_dedup, packing, sharding, toxicity, warc
+from tallsketch.llm import bpe, embedding_join, exact_dedup, licenses, minhash_dedup, packing, sharding, suffix_dedup, toxicity, warc
 
-MODULES = (licenses, sharding, minhash_dedup, warc, exact_dedup, embedding_join, toxicity, bpe, packing)
+MODULES = (licenses, sharding, minhash_dedup, warc, exact_dedup, embedding_join, toxicity, bpe, suffix_dedup, packing)
 
 
 def queries() -> dict:
