@@ -3,7 +3,7 @@ broadcasts, joins that keep hot keys apart, gapless numbering, connected compone
 
 from __future__ import annotations
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +28,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def located(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with a column that tells its rows apart and is the same whenever it is read again:
+    file and row number of Parquet rows; other tables are stored first."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        return df.withColumn(out, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")))
+    except AnalysisException:
+        return located(stored(df, "located"), out)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a scratch table made by ``stored`` whose readers have all finished."""
     spark = df.sparkSession
@@ -70,7 +87,6 @@ def number_rows(df: DataFrame, group: list[str], key: Column, out: str) -> DataF
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*group, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     upto = Window.partitionBy(*group, "_part").orderBy("_md5", *cols).rowsBetween(Window.unboundedPreceding, -1)
-    same = [parts[c].eqNullSafe(starts[c]) for c in [*group, "_part"]]
     placed = parts.withColumn("_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     same = [placed[c].eqNullSafe(starts[c]) for c in [*group, "_part"]]
     cond = same[0]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallsketch.llm.common import join_hot, small, stored, table
+from tallsketch.llm.common import free_name, join_hot, located, small, stored, table
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Entries a bucket may hold before it is split.
@@ -58,13 +58,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     """One row per document: key, row, text_sha256, keep_id, keep_row, group_size, kept.
 
     Of equal texts the row with the most code points in the original text stays, then the
-    smallest key, then the first row; a null key comes last.  Null text counts as empty.
+    smallest key, then one row of them; a null key comes last.  Null text counts as empty.
     ``row`` tells repeated keys apart.  Empty input gives no rows."""
+    place = free_name(docs, "_row")
+    return _classes(located(docs, place), place, key, text, capacity, max_depth)
+
+
+def _classes(docs: DataFrame, place: str, key: str, text: str, capacity: int = CAPACITY,
+             max_depth: int = MAX_DEPTH) -> DataFrame:
     norm = normalised(F.col(text))
     entries = stored(
         docs.select(
             F.col(key).alias("id"),
-            F.monotonically_increasing_id().alias("row"),
+            F.col(place).alias("row"),
             F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("points"),
             F.xxhash64(norm).alias("h"),
             F.unhex(F.sha2(norm, 256)).alias("sha"),
@@ -73,12 +79,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     )
     # the directory has at most 2**max_depth rows
     dirs = F.broadcast(directory(entries, capacity, max_depth).select("prefix", "bucket"))
-    best = F.max(F.struct("points", F.bitwise_not("id").alias("nid"), F.bitwise_not("row").alias("nrow")))
+    best = F.max(F.struct("points", F.bitwise_not("id").alias("nid"), "row"))
     keys = entries.groupBy("prefix", "h", "sha").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
     index = stored(
         keys.join(dirs, "prefix")
         .select("bucket", "h", "sha", "n", F.bitwise_not("best.nid").alias("keep_id"),
-                F.bitwise_not("best.nrow").alias("keep_row"))
+                F.col("best.row").alias("keep_row"))
         .repartition("bucket").sortWithinPartitions("bucket", "h", "sha"),
         "exact-index",
     )
@@ -104,9 +110,10 @@ def _byte_chains(docs: DataFrame, text: str, index: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns, whatever their names."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    stay = classes(docs, key, text).filter("kept").select(F.col("row").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").drop("_row")
+    place = free_name(docs, "_row")
+    rows = located(docs, place)
+    gone = stored(_classes(rows, place, key, text).filter("not kept").select(F.col("row").alias(place)), "exact-gone")
+    return rows.join(small(gone), place, "left_anti").drop(place)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

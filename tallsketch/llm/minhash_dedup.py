@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallsketch.llm.blocks import linked_groups
-from tallsketch.llm.common import components, join_hot, small, stored, table
+from tallsketch.llm.common import components, free_name, join_hot, located, small, stored, table
 from tallsketch.session import ship_package
 
 WORDS = 5
@@ -38,6 +38,7 @@ PERCENT = 85
 SIGNATURES, SETS, SHINGLES = 512, 256, 300_000
 #: Shingles of a set in one row.
 PIECE = 1024
+_LAST = 2**63 - 1
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = np.random.default_rng(20).integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -110,8 +111,8 @@ def _sign(batches):
             cid.append(class_id(s) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())],
-            names=["doc", "n", "cid", "sig"])
+            [b.column("doc"), b.column("row"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())],
+            names=["doc", "row", "n", "cid", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -199,16 +200,24 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """One row per document: key (long), n_shingles, component_id, kept.
 
     Null and empty texts have no shingles and link with nothing.  The component is the smallest
-    key reachable by links; documents with equal sets are linked.  A document with a null key
-    takes part, but is kept only if it is alone: then its component is null.  Rows of a repeated
-    key are documents of their own; the smallest key's rows are all kept.  Other columns are not
-    read; empty input gives no rows."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = stored(whole.mapInArrow(_sign, "doc long, n long, cid long, sig binary"), "minhash-signed")
+    key reachable by links; documents with equal sets are linked.  Rows of a repeated key are
+    documents of their own; of those with the smallest key of a component, one is kept.  A null
+    key comes after all others, so it names a component (null) only of documents without keys.
+    Other columns are not read; empty input gives no rows."""
+    place = free_name(docs, "_row")
+    return _components(located(docs, place), place, key, text).select(
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _components(docs: DataFrame, place: str, key: str, text: str) -> DataFrame:
+    """(doc, row, n, component_id, kept)"""
+    ship_package(docs.sparkSession)
+    whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(place).alias("row"), F.col(text).alias("text"))
+    order = F.struct(F.coalesce("doc", F.lit(_LAST)).alias("ord"), "row")
+    signed = stored(whole.mapInArrow(_sign, "doc long, row struct<file: long, row: long>, n long, cid long, sig binary"),
+                    "minhash-signed")
     classes = stored(signed.filter("cid is not null").groupBy("cid").agg(
-        F.min("doc").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "minhash-classes")
+        F.min(order).alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "minhash-classes")
     entered = classes.select("cid", "sig").mapInArrow(_enter, "entry long, cid long")
     # one entry for each set of members
     shared = (
@@ -223,32 +232,29 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     inside = stored(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
                     .join(classes.select("cid", "low"), "cid"), "minhash-clusters")
     # the sets of one document per class, from its whole text
-    chosen = whole.join(small(stored(inside.select(F.col("low").alias("doc")).distinct(), "minhash-docs")),
-                        "doc", "left_semi")
+    chosen = whole.join(small(stored(inside.select(F.col("low.row").alias("row")), "minhash-docs")), "row", "left_semi")
     sets = (chosen.select("text").mapInArrow(_sets, "cid long, size long, piece int, part binary")
-            .dropDuplicates(["cid", "piece"]).join(inside.select("cid", "cluster"), "cid"))
+            .join(inside.select("cid", "cluster"), "cid"))
     links = linked_groups(
         sets.select("cluster", "cid", "piece", F.least("size", F.lit(PIECE).cast("long")).alias("weight"), "part"),
         "cluster", "cid", ["piece", "part"], _pack_sets, _similar_sets, SETS, "weight", SHINGLES, ["piece"])
     named = components(links, "u", "v")
     per = stored(classes.select("cid", "low", "copies").join(named.withColumnRenamed("node", "cid"), "cid", "left")
                  .withColumn("component", F.coalesce("component", "cid")), "minhash-per-class")
-    lows = stored(per.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")),
-                  "minhash-lows")
-    total = per.count()
-    final = stored(join_hot(per, lows, ["component"], total, "size").select("cid", "copies", "component_id"), "minhash-final")
-    linked = join_hot(signed.filter("cid is not null").select("doc", "n", "cid"), final, ["cid"], signed.count(), "copies")
-    alone = signed.filter("cid is null").select("doc", "n", F.col("doc").alias("component_id"))
-    return linked.select("doc", "n", "component_id").unionByName(alone).select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+    lows = stored(per.groupBy("component").agg(F.min("low").alias("first"), F.count(F.lit(1)).alias("size")), "minhash-lows")
+    final = stored(join_hot(per, lows, ["component"], per.count(), "size").select("cid", "copies", "first"), "minhash-final")
+    linked = join_hot(signed.filter("cid is not null").select("doc", "row", "n", "cid"), final, ["cid"], signed.count(), "copies")
+    alone = signed.filter("cid is null").select("doc", "row", "n", F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.select("doc", "row", "n", F.when(F.col("first.ord") != _LAST, F.col("first.ord")).alias("component_id"),
+                         (F.col("row") == F.col("first.row")).alias("kept")).unionByName(alone)
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one per component, with all their columns."""
-    gone = near_components(docs, key, text).filter("not kept").select(F.col(key).alias("_gone"))
-    gone = small(stored(gone, "minhash-gone"))
-    return docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents that stay, one per component, with all their columns, whatever their names."""
+    place = free_name(docs, "_row")
+    rows = located(docs, place)
+    gone = stored(_components(rows, place, key, text).filter("not kept").select(F.col("row").alias(place)), "minhash-gone")
+    return rows.join(small(gone), place, "left_anti").drop(place)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
