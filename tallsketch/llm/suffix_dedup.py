@@ -38,8 +38,8 @@ CHUNK, INDEX = 1 << 19, 1 << 18
 #: An anchor that more documents have, and more than this share of all, is hot: its surroundings
 #: are dealt out by more bytes.
 HOT, HOT_SHARE = 5_000, 0.01
-#: Rows of marks that may be broadcast.
-MARKS = 400_000
+#: Documents with spans plus spans that may be broadcast.
+MARKS = 1_500_000
 _LAST = 2**63 - 1
 _MUL = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)]
 
@@ -151,13 +151,14 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _ROWS = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()),
-                   ("end", pa.int64()), ("around", pa.binary())])
-_COLUMNS = "key long, ord long, tag int, start long, end long, around binary"
+                   ("end", pa.int64()), ("at", pa.int32()), ("around", pa.binary())])
+_COLUMNS = "key long, ord long, tag int, start long, end long, at int, around binary"
 
 
 def _surroundings(length: int, hot: set[int]):
-    """Rows (key, ord, tag, start, end, around) for shared anchors; rows without ``around`` are
-    spans already known to repeat from an earlier document of the batch."""
+    """Rows (key, ord, tag, start, end, at, around) for shared anchors; rows without ``around`` are
+    spans already known to repeat from an earlier document of the batch.  ``at`` is the anchor's
+    place in ``around``, -1 for a hot one."""
     reach = length - GRAM
     half = reach // 2
 
@@ -202,13 +203,13 @@ def _surroundings(length: int, hot: set[int]):
                         if first < ords[i]:
                             spans.setdefault(i, []).append((a, e))
                         else:
-                            rows.append((key - 2**63, ords[i], tags[i], a, e, around))
+                            rows.append((key - 2**63, ords[i], tags[i], a, e, -1 if x in hot else p - a, around))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
             for i, s in spans.items():
                 # spans pass through the owner's task; the key only deals them out
-                rows.extend((((ords[i] * 2654435761 + a) % 2**64) - 2**63, ords[i], tags[i], a, e, None)
+                rows.extend((((ords[i] * 2654435761 + a) % 2**64) - 2**63, ords[i], tags[i], a, e, -1, None)
                             for a, e in merge_spans(s))
             if rows:
                 yield batch_of(rows)
@@ -309,6 +310,39 @@ class RunLengthIndex:
         return np.sort(self.suffixes[doc > first[interval]])
 
 
+def _extended(group: dict[bytes, tuple], length: int) -> set[bytes]:
+    """The surroundings of one anchor that may share a string of ``length`` bytes with another:
+    such a string reaches ``half`` bytes beyond the anchor on its right, or the other bytes and
+    one more on its left, and these are equal on both sides."""
+    reach = length - GRAM
+    half = reach // 2
+    left = reach - half + 1
+    sides: dict[tuple[int, bytes], list[bytes]] = {}
+    out = set()
+    for around, row in group.items():
+        at = row[4]
+        if at < 0:
+            out.add(around)
+            continue
+        if len(around) >= at + GRAM + half:
+            sides.setdefault((1, around[at + GRAM : at + GRAM + half]), []).append(around)
+        if at >= left:
+            sides.setdefault((2, around[at - left : at]), []).append(around)
+    for same in sides.values():
+        if len(same) > 1:
+            out.update(same)
+    return out
+
+
+def _merge(batches):
+    for b in batches:
+        merged = [[{"start": s, "end": e} for s, e in merge_spans([(x["start"], x["end"]) for x in spans])]
+                  for spans in b.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("ord"), b.column("tag"), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+            names=["ord", "tag", "spans"])
+
+
 def _mark(length: int):
     """Streams groups of one key, sorted by key and ord; yields (ord, tag, start, end) spans."""
     def run(batches):
@@ -340,14 +374,16 @@ def _mark(length: int):
             """A key with one string only repeats nothing but whole surroundings."""
             nonlocal pending, size
             if len(group) > 1:
-                pending += [*group.values(), *again]
-                size += sum(map(len, group))
+                near = _extended(group, length)
+                pending += [group[x] for x in near]
+                pending += [r for r in again if r[3] in near]
+                size += sum(map(len, near))
             if size >= INDEX:
                 spans_of(pending)
                 pending, size = [], 0
 
         for b in batches:
-            for k, o, t, s, e, around in zip(*(c.to_pylist() for c in b.columns)):
+            for k, o, t, s, e, at, around in zip(*(c.to_pylist() for c in b.columns)):
                 if around is None:
                     out.append((o, t, s, e))
                     continue
@@ -356,7 +392,7 @@ def _mark(length: int):
                     key, group, again = k, {}, []
                 known = group.get(around)
                 if known is None:
-                    group[around] = (o, t, s, around)
+                    group[around] = (o, t, s, around, at)
                 elif known[0] < o:
                     out.append((o, t, s, e))
                 else:  # the same document, or another one of its key: others judge it
@@ -409,6 +445,7 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         .repartition("key").sortWithinPartitions("key", "ord", "start")
         .mapInArrow(_mark(length), "ord long, tag int, start long, end long")
         .groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        .mapInArrow(_merge, "ord long, tag int, spans array<struct<start: long, end: long>>")
     )
     whole = copies.filter(F.col("_bytes") >= length).select(
         "_ord", "_tag", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_bytes").alias("end"))).alias("spans"))
@@ -428,7 +465,10 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 def _joined(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     found = marks(docs, key, text, length)
-    return keyed(docs, key, text).drop("_sha", "_bytes").join(small(found, MARKS), ["_ord", "_tag"], "left")
+    spans = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if spans[0] + spans[1] <= MARKS:
+        found = F.broadcast(found)
+    return keyed(docs, key, text).drop("_sha", "_bytes").join(found, ["_ord", "_tag"], "left")
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
