@@ -8,12 +8,12 @@ distributed LSQR that costs one Spark aggregate per iteration for all trials.
 
 from tallsketch.sources.matrix import MatrixFrame, from_array, from_columns, read_text_matrix
 from tallsketch.operators.sketch import sketch
-from tallsketch.operators.small_solve import factor_from_sketch, solve_sketch, exact_solve
+from tallsketch.operators.small_solve import solve_sketch, exact_solve
 from tallsketch.operators.lsqr import lsqr
 from tallsketch.plans.solve import JobParams, SolveResult, run_job, solve
 
 __all__ = [
     "MatrixFrame", "from_array", "from_columns", "read_text_matrix", "sketch",
-    "factor_from_sketch", "solve_sketch", "exact_solve", "lsqr",
+    "solve_sketch", "exact_solve", "lsqr",
     "JobParams", "SolveResult", "run_job", "solve",
 ]

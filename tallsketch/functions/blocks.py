@@ -72,18 +72,19 @@ def qr_r(X: np.ndarray, width: int) -> np.ndarray:
     return R
 
 
-def solve_from_r(R: np.ndarray, n: int, rows: int) -> dict:
+def solve_from_r(R: np.ndarray, n: int) -> dict:
     """Least squares from the R factor of [SA Sb]: thin SVD of R11 gives the singular values
     and V of SA, hence N = V / s (so SA·N has orthonormal columns) and x = N Uᵀ r12.
 
-    Singular values under ``max(rows, n)·eps·s_max`` are treated as zero (pseudo-inverse,
-    reported rank) instead of dividing by them."""
+    Singular values under ``n·eps·s_max`` are treated as zero (pseudo-inverse, reported rank)
+    instead of dividing by them.  R11 is n x n: the cutoff does not depend on how many rows
+    were folded into it."""
     R11 = R[:n, :n]
     r12 = R[:n, n]
     r22 = R[n, n] if R.shape[0] > n else 0.0
     U, s, Vt = np.linalg.svd(R11)
     smax = s[0] if s.size else 0.0
-    tol = max(rows, n) * np.finfo(float).eps * smax
+    tol = n * np.finfo(float).eps * smax
     keep = s > tol
     inv = np.where(keep, 1.0 / np.where(keep, s, 1.0), 0.0)
     N = Vt.T * inv[None, :]

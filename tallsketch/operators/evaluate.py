@@ -17,8 +17,14 @@ from tallsketch.operators.small_solve import exact_solve
 from tallsketch.sources.matrix import MatrixFrame
 
 
-def optimum(mf: MatrixFrame) -> tuple[np.ndarray, float]:
-    """E5: x*, f* by TSQR of [A b] (only R factors move)."""
+def optimum(mf: MatrixFrame, repnum: int = 1, stack_kind: str = "all") -> tuple[np.ndarray, float]:
+    """E5: x*, f* by TSQR of [A b] (only R factors move).  For a dense stack, the optimum of
+    the weighted rows that ``stack_cost`` measures: heavy rows count once, light ones 1/r."""
+    if repnum > 1 and stack_kind == "dense":
+        w = F.when(nnz(mf) > 2, F.lit(1.0)).otherwise(F.lit((1.0 / repnum) ** 0.5))
+        cols = ([(F.col(c) * w).alias(c) for c in mf.feature_names] if mf.layout == "wide"
+                else [F.transform("a", lambda v: v * w).alias("a")])
+        mf = mf.with_df(mf.df.select("key", *cols, (F.col("b") * w).alias("b")))
     r = exact_solve(mf).first()
     return np.asarray(r["x"], dtype=float), float(r["resid"])
 
@@ -44,19 +50,21 @@ def relative_errors(mf_original: MatrixFrame, xs: dict, x_opt, f_opt: float, rep
                     stack_kind: str = "all") -> DataFrame:
     """E1/E2 for every candidate: (cand, iter, x_relerr, f_relerr)."""
     x_opt = np.asarray(x_opt, dtype=float)
+    ids = list(xs)
+    spark = mf_original.df.sparkSession
     if repnum > 1 and stack_kind == "dense":
-        costs = stack_cost(mf_original, {c[0] * 100000 + c[1] if isinstance(c, tuple) else c: v
-                                         for c, v in xs.items()}, repnum, "dense")
-        costs = costs.select((F.col("cand") / 100000).cast("int").alias("cand"),
-                             (F.col("cand") % 100000).cast("int").alias("iter"), F.col("cost").alias("norm"))
+        costs = stack_cost(mf_original, {j: xs[c] for j, c in enumerate(ids)}, repnum, "dense")
+        names = spark.createDataFrame([(j, *_pair(c)) for j, c in enumerate(ids)], "id int, cand int, iter int")
+        costs = costs.withColumnRenamed("cand", "id").join(F.broadcast(names), "id").select("cand", "iter", F.col("cost").alias("norm"))
     else:
         costs = residual_norms(mf_original, xs)
-    spark = mf_original.df.sparkSession
-    xerr = [(*(_pair(c)), float(np.linalg.norm(np.asarray(v) - x_opt) / np.linalg.norm(x_opt))) for c, v in xs.items()]
+    # an optimum of zero has no relative error: the absolute one is given
+    size = float(np.linalg.norm(x_opt)) or 1.0
+    xerr = [(*(_pair(c)), float(np.linalg.norm(np.asarray(v) - x_opt) / size)) for c, v in xs.items()]
     xdf = spark.createDataFrame(xerr, "cand int, iter int, x_relerr double")
     return (costs.join(F.broadcast(xdf), ["cand", "iter"])
             .select("cand", "iter", "x_relerr",
-                    (F.abs(F.lit(float(f_opt)) - F.col("norm")) / F.lit(float(f_opt))).alias("f_relerr")))
+                    (F.abs(F.lit(float(f_opt)) - F.col("norm")) / F.lit(float(f_opt) or 1.0)).alias("f_relerr")))
 
 
 def _pair(c) -> tuple[int, int]:
@@ -85,7 +93,7 @@ def evaluate(result, mf_original: MatrixFrame, params, x_opt=None, f_opt=None) -
     Runs now (two passes: TSQR optimum, one residual pass for all candidates) and returns
     the k·q error rows as a small local frame, so the caller may release the matrix."""
     if x_opt is None or f_opt is None:
-        x_opt, f_opt = optimum(mf_original)
+        x_opt, f_opt = optimum(mf_original, getattr(params, "repeat", 1), getattr(params, "stack", "all"))
     xs = {(int(r["trial"]), int(r["iter"])): list(r["x"]) for r in result.solutions.collect()}
     repnum = getattr(params, "repeat", 1)
     errs = relative_errors(mf_original, xs, x_opt, f_opt, repnum, getattr(params, "stack", "all"))

@@ -8,8 +8,9 @@ over the rows therefore gives, for *all* k trials at once,
 
 (k·(n+1) numbers to the driver) and the rest of the recurrence works on n-vectors and
 scalars on the driver.  No distributed state, no lineage growth; a lost executor only
-re-runs tasks of the current pass, and the recurrences follow the textbook LSQR with the
-same monitors (norm r, norm Aᵀr, norm A, cond A, norm x, stagnation).
+re-runs tasks of the current pass.  The driver keeps the small bidiagonal matrix of each trial,
+solves its least-squares problem and reads the monitors (norm r, norm Aᵀr, norm A, cond A,
+norm x, stagnation) off it.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ def lsqr_pass(mf: MatrixFrame, Pm: np.ndarray, q: np.ndarray) -> tuple[np.ndarra
             aggs.append(F.sum(F.col(f"__u{t}") * F.col(f"__u{t}")).alias(f"s{t}"))
             aggs += [F.sum(F.col(f"__u{t}") * F.col(f"a{i}")).alias(f"g{t}_{i}") for i in range(n)]
         row = proj.agg(*aggs).collect()[0]  # one row; collect avoids a limit stage
-        s = np.array([row[f"s{t}"] or 0.0 for t in range(k)], dtype=float)
-        G = np.array([[row[f"g{t}_{i}"] or 0.0 for i in range(n)] for t in range(k)], dtype=float)
+        s = np.array([row[f"s{t}"] if row[f"s{t}"] is not None else 0.0 for t in range(k)], dtype=float)
+        G = np.array([[row[f"g{t}_{i}"] if row[f"g{t}_{i}"] is not None else 0.0 for i in range(n)] for t in range(k)])
         return s, G
 
     Pc, qc = Pm.copy(), q.copy()
@@ -125,103 +126,100 @@ def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol
         s0, G0 = lsqr_pass(mf, np.zeros((1, n)), np.ones(1))
     else:
         s0, G0 = np.array([float(init[0])]), np.asarray(init[1], dtype=float).reshape(1, n)
-    beta0 = math.sqrt(s0[0])
+    runs = [Bidiagonal(N, math.sqrt(max(s0[0], 0.0)), G0[0]) for N in Ns]
     hist: list[dict] = []
-    st = []
-    for j in range(k):
-        N = Ns[j]
-        if beta0 == 0:
-            v = np.zeros(n)
-            alpha = 0.0
-        else:
-            v = N.T @ (G0[0] / beta0)
-            alpha = float(np.linalg.norm(v))
-            if alpha != 0:
-                v = v / alpha
-        st.append(dict(p=np.zeros(n), q=(1.0 / beta0) if beta0 else 0.0, v=v, w=v.copy(), y=np.zeros(n),
-                       alpha=alpha, beta=beta0, phibar=beta0, rhobar=alpha, nrm_a=0.0, cnd_a=0.0, sq_d=0.0,
-                       nrm_r=beta0, nrm_ar=alpha * beta0, nrm_ar0=alpha * beta0, nrm_x=0.0, sq_x=0.0, z=0.0,
-                       cs2=-1.0, sn2=0.0, stag=0, flag=-1, frozen=(alpha * beta0 == 0)))
-
     for it in range(iters):
-        Pm = np.zeros((k, n))
-        qv = np.zeros(k)
-        for j, S in enumerate(st):
-            if S["frozen"]:
-                continue
-            S["p"] = Ns[j] @ S["v"] - S["alpha"] * S["p"]
-            S["q"] = -S["alpha"] * S["q"]
-            Pm[j], qv[j] = S["p"], S["q"]
-        if any(not S["frozen"] for S in st):
-            s, G = lsqr_pass(mf, Pm, qv)
-        else:
-            s, G = np.zeros(k), np.zeros((k, n))
+        asked = [r.next_combination() for r in runs]
+        if any(not r.done for r in runs):
+            s, G = lsqr_pass(mf, np.array([a[0] for a in asked]), np.array([a[1] for a in asked]))
         elapsed = time.time() - t0
-        for j, S in enumerate(st):
-            if not S["frozen"]:
-                _step(S, Ns[j], float(s[j]), G[j], tol, stop_early)
-            hist.append(dict(trial=int(trials[j]), iter=it, x=(Ns[j] @ S["y"]).tolist(), y=S["y"].tolist(),
-                             nrm_r=float(S["nrm_r"]), nrm_ar=float(S["nrm_ar"]), nrm_a=float(S["nrm_a"]),
-                             cnd_a=float(S["cnd_a"]), nrm_x=float(S["nrm_x"]), stag=int(S["stag"]),
-                             flag=int(S["flag"]), frozen=bool(S["frozen"]), elapsed_s=float(elapsed)))
+        for j, run in enumerate(runs):
+            if not run.done:
+                run.extend(float(s[j]), G[j])
+                run.check(tol, stop_early)
+            hist.append(dict(trial=int(trials[j]), iter=it, x=(Ns[j] @ run.y).tolist(), y=run.y.tolist(),
+                             **run.monitors(), frozen=run.done, elapsed_s=float(elapsed)))
     return LsqrResult(hist, n, k)
 
 
-def _step(S: dict, N: np.ndarray, s: float, g: np.ndarray, tol: float, stop_early: bool) -> None:
-    beta = math.sqrt(max(s, 0.0))
-    if not beta or not math.isfinite(beta):
-        S["frozen"] = True  # exact convergence: keep the last iterate (no division by 0)
-        return
-    S["p"] = S["p"] / beta
-    S["q"] = S["q"] / beta
-    alpha_old = S["alpha"]
-    S["nrm_a"] = math.sqrt(S["nrm_a"] ** 2 + alpha_old ** 2 + beta ** 2)
-    v = N.T @ (g / beta) - beta * S["v"]
-    alpha = float(np.linalg.norm(v))
-    if alpha != 0 and math.isfinite(alpha):
-        v = v / alpha
-    else:
-        alpha = 0.0
-        S["frozen"] = True
-    S["v"], S["alpha"], S["beta"] = v, alpha, beta
-
-    rho = math.sqrt(S["rhobar"] ** 2 + beta ** 2)
-    cs = S["rhobar"] / rho
-    sn = beta / rho
-    theta = sn * alpha
-    S["rhobar"] = -cs * alpha
-    phi = cs * S["phibar"]
-    S["phibar"] = sn * S["phibar"]
-
-    S["y"] = S["y"] + (phi / rho) * S["w"]
-    S["w"] = v - (theta / rho) * S["w"]
-
-    S["nrm_r"] = S["phibar"]
-    S["nrm_ar"] = S["phibar"] * alpha * abs(cs)
-    if S["nrm_ar"] < tol * S["nrm_ar0"] or S["nrm_ar"] < EPS * S["nrm_a"] * S["nrm_r"]:
-        S["flag"] = 0
-    sq_w = float(S["w"] @ S["w"])
-    nrm_w = math.sqrt(sq_w)
-    S["sq_d"] += sq_w / rho ** 2
-    S["cnd_a"] = S["nrm_a"] * math.sqrt(S["sq_d"])
-    if S["cnd_a"] > 1 / EPS:
-        S["flag"] = 1
-    if abs(phi / rho) * nrm_w < EPS * S["nrm_x"]:
-        S["stag"] += 1
-    else:
-        S["stag"] = 0
-    if S["stag"] >= MAX_STAGNATION:
-        S["flag"] = 1
-
-    delta = S["sn2"] * rho
-    gambar = -S["cs2"] * rho
-    rhs = phi - delta * S["z"]
-    zbar = rhs / gambar
-    S["nrm_x"] = math.sqrt(S["sq_x"] + zbar ** 2)
-    gamma = math.sqrt(gambar ** 2 + theta ** 2)
-    S["cs2"] = gambar / gamma
-    S["sn2"] = theta / gamma
-    S["z"] = rhs / gamma
-    S["sq_x"] += S["z"] ** 2
-    if stop_early and S["flag"] >= 0:
-        S["frozen"] = True
+class Bidiagonal:
+    """Golub-Kahan bidiagonalization of A N from b for one trial, and the least-squares
+    problem in its Krylov space: after j steps, A N V = U B with B lower bidiagonal
+    (diagonal ``alphas``, below it ``betas[1:]``), and y = V z where z minimizes
+    ||betas[0] e1 - B z||.  Everything reported is read off B and z.
+
+    ``done``: the space cannot grow (an entry of B is zero), or the caller
+    stops early; later iterations then repeat the last values."""
+
+    def __init__(self, N: np.ndarray, norm_b: float, atb: np.ndarray):
+        self.N = N
+        self.betas, self.alphas = [norm_b], []
+        self.basis: list[np.ndarray] = []
+        self.left = (np.zeros(len(N)), 1.0 / norm_b if norm_b else 0.0)  # u = A p + q b
+        self.y, self.z = np.zeros(N.shape[1]), np.zeros(0)
+        self.residual, self.still, self.flag = norm_b, 0, -1
+        self.done = False
+        self._grow(N.T @ (atb / norm_b) if norm_b else np.zeros(N.shape[1]))
+        self.normal0 = self.next_alpha * norm_b
+        self.done = self.normal0 == 0
+
+    def _grow(self, v: np.ndarray) -> None:
+        """Keep v's length as the next diagonal entry and its direction as the next vector."""
+        self.next_alpha = float(np.linalg.norm(v))
+        self.next_v = v / self.next_alpha if self.next_alpha and math.isfinite(self.next_alpha) else np.zeros_like(v)
+
+    def next_combination(self) -> tuple[np.ndarray, float]:
+        """(p, q) of the next left vector before scaling: A N v - alpha u."""
+        p, q = self.left
+        return self.N @ self.next_v - self.next_alpha * p, -self.next_alpha * q
+
+    def matrix(self) -> np.ndarray:
+        j = len(self.alphas)
+        B = np.zeros((j + 1, j))
+        B[np.arange(j), np.arange(j)] = self.alphas
+        B[np.arange(1, j + 1), np.arange(j)] = self.betas[1:]
+        return B
+
+    def extend(self, square: float, product: np.ndarray) -> None:
+        """One step, given ||A p + q b||^2 and A^T (A p + q b) of ``next_combination``."""
+        p, q = self.next_combination()
+        beta = math.sqrt(max(square, 0.0))
+        self.alphas.append(self.next_alpha)
+        self.basis.append(self.next_v)
+        self.betas.append(beta)
+        B = self.matrix()
+        if beta:
+            self.left = (p / beta, q / beta)
+            self._grow(self.N.T @ (product / beta) - beta * self.next_v)
+        else:
+            self.next_alpha = 0.0
+        if not self.next_alpha or not math.isfinite(self.next_alpha):
+            self.next_alpha, self.done = 0.0, True
+        Q, R = np.linalg.qr(B)
+        goal = np.zeros(len(B))
+        goal[0] = self.betas[0]
+        self.z = np.linalg.solve(R, Q.T @ goal)
+        self.residual = float(np.linalg.norm(goal - B @ self.z))
+        y = np.column_stack(self.basis) @ self.z
+        self.still = self.still + 1 if np.linalg.norm(y - self.y) < EPS * np.linalg.norm(y) else 0
+        self.y = y
+
+    def monitors(self) -> dict:
+        """Norms of the residual, of (A N)^T r, of A N (Frobenius), of y, and the condition
+        estimate ||B|| ||B^+||, from the bidiagonal problem alone."""
+        if not self.alphas:
+            return dict(nrm_r=self.residual, nrm_ar=self.normal0, nrm_a=0.0, cnd_a=0.0, nrm_x=0.0, stag=0, flag=self.flag)
+        B = self.matrix()
+        size = float(np.linalg.norm(B))
+        return dict(nrm_r=self.residual, nrm_ar=float(self.next_alpha * self.betas[-1] * abs(self.z[-1])), nrm_a=size,
+                    cnd_a=size * float(np.linalg.norm(np.linalg.pinv(B))), nrm_x=float(np.linalg.norm(self.z)),
+                    stag=self.still, flag=self.flag)
+
+    def check(self, tol: float, stop_early: bool) -> None:
+        """Flag 0: converged; 1: too ill-conditioned or no progress; -1: neither."""
+        m = self.monitors()
+        if m["cnd_a"] > 1 / EPS or self.still >= MAX_STAGNATION:
+            self.flag = 1
+        elif self.done or m["nrm_ar"] < max(tol * self.normal0, EPS * m["nrm_a"] * m["nrm_r"]):
+            self.flag = 0
+        self.done = self.done or (stop_early and self.flag >= 0)

@@ -74,7 +74,7 @@ def _final(width: int, n: int):
         stacked = np.vstack([np.asarray(r, dtype=np.float64).reshape(width, width) for r in pdf["R"]])
         R = qr_r(stacked, width)
         rows = int(pdf["rows"].sum())
-        sol = solve_from_r(R, n, rows)
+        sol = solve_from_r(R, n)
         return pd.DataFrame({"trial": [int(pdf["trial"].iloc[0])], "x": [sol["x"].tolist()],
                              "N": [sol["N"].reshape(-1).tolist()], "sv": [sol["sv"].tolist()],
                              "rank": [sol["rank"]], "resid": [sol["resid"]], "rows": [rows]})
@@ -124,11 +124,6 @@ def solve_sketch(sf) -> DataFrame:
     return tsqr_solve(wide, sf.n, value_cols=[f"v{i}" for i in range(sf.n + 1)])
 
 
-def factor_from_sketch(sf) -> DataFrame:
-    """R2: N with SA·N orthonormal (same solve; use the ``N`` column)."""
-    return solve_sketch(sf)
-
-
 def exact_solve(mf: MatrixFrame) -> DataFrame:
     """The exact least-squares solution of the whole matrix by TSQR; only R
     factors move, never rows."""
@@ -157,7 +152,18 @@ def factors_with_normal_sums(mf: MatrixFrame, kind: str, c: int, k: int, seed: i
     return factors, (s0, g0)
 
 
-def factors_to_numpy(sol: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Collect the k small n x n factors (k·n² doubles) to the driver."""
-    return {int(r["trial"]): np.asarray(r["N"], dtype=np.float64).reshape(n, n)
-            for r in sol.select("trial", "N").collect()}
+def factors_to_numpy(sol: DataFrame, n: int, trials: int | None = None) -> dict[int, np.ndarray]:
+    """Collect the k small n x n factors (k·n² doubles) to the driver.  With ``trials`` given
+    (a sample that must carry the whole column space), a missing or rank-deficient trial raises."""
+    rows = sol.select("trial", "N", "rank").collect()
+    if trials is not None:
+        require_full_rank([(r["trial"], r["rank"]) for r in rows], n, trials)
+    return {int(r["trial"]): np.asarray(r["N"], dtype=np.float64).reshape(n, n) for r in rows}
+
+
+def require_full_rank(ranks: list[tuple[int, int]], n: int, trials: int) -> None:
+    """A sample without rows, or of less than full rank, gives no factor and no solution."""
+    low = sorted(int(t) for t, r in ranks if r < n)
+    if len(ranks) < trials or low:
+        raise ValueError(f"the sample is too small: {trials - len(ranks)} of {trials} trials are empty and trials {low} "
+                         f"have less than rank {n}; raise the sampling size")

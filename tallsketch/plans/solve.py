@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallsketch.operators import leverage as L
 from tallsketch.operators.lsqr import LsqrResult, lsqr
 from tallsketch.operators.sketch import sketch, validate
-from tallsketch.operators.small_solve import factors_to_numpy, factors_with_normal_sums, solve_sketch
+from tallsketch.operators.small_solve import factors_to_numpy, factors_with_normal_sums, require_full_rank, solve_sketch
 from tallsketch.sources.matrix import MatrixFrame
 
 SOLUTIONS_SCHEMA = "trial int, iter int, x array<double>"
@@ -99,7 +99,7 @@ def _compute_factors_uncached(mf: MatrixFrame, p: JobParams, timings: dict) -> d
         # the projection factor it starts from is cached on its own (reusable by other s)
         N = compute_factors(mf, replace(p, sketch="projection"), timings)
         t = time.time()
-        N = factors_to_numpy(L.sampling_solve(mf, N, p.s, p.seed), mf.n)
+        N = factors_to_numpy(L.sampling_solve(mf, N, p.s, p.seed), mf.n, len(N))
         timings["sampling"] = time.time() - t
         return N
     t = time.time()
@@ -121,6 +121,8 @@ def _check_sizes(mf: MatrixFrame, p: JobParams) -> None:
     """A sketch with fewer rows than columns cannot give a factor or a solve (Q9)."""
     if p.sketch and int(p.c) < mf.n:
         raise ValueError(f"projection size c={p.c} is smaller than the number of columns n={mf.n}")
+    if p.sketch == "sampling" and p.s is not None and float(p.s) < mf.n:
+        raise ValueError(f"sampling size s={p.s} is smaller than the number of columns n={mf.n}")
 
 
 def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
@@ -145,7 +147,10 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
             else:
                 N = compute_factors(work, replace(p, sketch="projection"), timings)
                 sol = L.sampling_solve(work, N, p.s, p.seed)
-            rows = [(int(r["trial"]), 0, [float(v) for v in r["x"]]) for r in sol.select("trial", "x").collect()]
+            solved = sol.select("trial", "x", "rank").collect()
+            if p.sketch == "sampling":
+                require_full_rank([(r["trial"], r["rank"]) for r in solved], mf.n, len(N))
+            rows = [(int(r["trial"]), 0, [float(v) for v in r["x"]]) for r in solved]
             timings["solve"] = time.time() - t
             solutions = spark.createDataFrame(rows, SOLUTIONS_SCHEMA)
         else:
@@ -159,7 +164,7 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
                 timings["projection"] = time.time() - t
                 if p.sketch == "sampling":  # the sampling factor starts from the projection one
                     t = time.time()
-                    factors = factors_to_numpy(L.sampling_solve(work, factors, p.s, p.seed), mf.n)
+                    factors = factors_to_numpy(L.sampling_solve(work, factors, p.s, p.seed), mf.n, len(factors))
                     timings["sampling"] = time.time() - t
             else:
                 factors = compute_factors(work, p, timings)

@@ -85,12 +85,17 @@ def _cast_key(c) -> Column:
 def from_columns(df: DataFrame, key: str | Column, features: list, target: str | Column,
                  name: str = "matrix", mode: str = "error") -> MatrixFrame:
     """S3: matrix from numeric columns.  Features may be names or Column expressions
-    (e.g. ``F.lit(1.0)`` for an intercept).  Cast to DOUBLE (D3)."""
+    (e.g. ``F.lit(1.0)`` for an intercept).  Cast to DOUBLE (D3).  A row with a null feature,
+    target or key raises (``mode='error'``) or is dropped, whatever is computed from it."""
     feats = [(F.col(f) if isinstance(f, str) else f).cast("double").alias(f"a{i}") for i, f in enumerate(features)]
     tgt = (F.col(target) if isinstance(target, str) else target).cast("double").alias("b")
     out = df.select(_cast_key(key).alias("key"), *feats, tgt)
     if mode == "drop":
         out = out.dropna()
+    else:
+        whole = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in out.columns))
+        out = out.where(F.when(whole, F.lit(True)).otherwise(
+            F.raise_error(F.lit("matrix row with a null (mode='drop' leaves such rows out)")).cast("boolean")))
     n = len(features)
     if n > WIDE_MAX:
         return MatrixFrame(out, n, "wide", name).to_array()
@@ -105,9 +110,10 @@ def from_array(df: DataFrame, key: str | Column, vector: str | Column, target: s
     tgt = (F.col(target) if isinstance(target, str) else target).cast("double").alias("b")
     out = df.select(_cast_key(key).alias("key"), F.transform(vec, lambda v: v.cast("double")).alias("a"), tgt)
     if n is None:
-        from tallsketch.operators.shape import dims
-
-        _, n = dims(MatrixFrame(out, 1, "array", name))
+        first = out.where(F.col("a").isNotNull()).select(F.size("a").alias("n")).first()  # the others are checked below
+        if first is None:
+            raise ValueError("no row to take the number of columns from")
+        n = first["n"]
     ok = (F.size("a") == F.lit(n)) & F.col("b").isNotNull() & F.forall("a", lambda v: v.isNotNull())
     if mode == "drop":
         out = out.where(ok)
@@ -156,10 +162,10 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
 
         keyed = row_index_natural(rows, "key")
     if n is None:
-        n_all = keyed.agg(F.max(F.size("row")).alias("w"), F.min(F.size("row")).alias("v")).first()
-        if n_all["w"] != n_all["v"]:
-            raise ValueError(f"ragged text matrix: rows have {n_all['v']}..{n_all['w']} numbers")
-        n = int(n_all["w"]) - 1
+        first = keyed.select(F.size("row").alias("w")).first()  # every other row is checked against it below
+        if first is None:
+            raise ValueError("no row to take the number of columns from")
+        n = int(first["w"]) - 1
     ok = F.size("row") == F.lit(n + 1)
     if mode == "drop":
         keyed = keyed.where(ok)

@@ -45,10 +45,14 @@ def run_to_table(spark: SparkSession, agg: DataFrame, name: str, on_batch=None)
 
 
 def parquet_stream(spark: SparkSession, directory: str, table: str, max_files: int = 1) -> DataFrame:
-    """A file stream over one driver table (schema taken from the batch read)."""
-    schema = spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(directory))
+    """A file stream over one table, a single Parquet file or a folder of part files."""
+    path = f"{directory.rstrip('/')}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return files.parquet(path)
+    return files.option("pathGlobFilter", f"{table}.parquet").parquet(directory)
 
 
 def stream_low_precision(spark: SparkSession, rows: DataFrame, n: int, c: int, out_uri: str, k: int = 1,

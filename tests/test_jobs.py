@@ -172,3 +172,12 @@ def test_cli_parquet_input(spark):
     assert 0 <= med["f_relerr_median"] < 0.5 and "solve" in summary["timings"]
     with pytest.raises(ValueError):
         cli.main([f"{SF001}/orders.parquet", "--parquet", "--low-precision", "--projection", "-r", "10"], spark=spark)
+
+
+def test_stream_reads_a_folder_in_several_batches(spark, tmp_path):
+    from tallsketch.streaming.sketch_stream import parquet_stream, run_to_table
+
+    df = spark.range(200).withColumnRenamed("id", "k")
+    df.repartition(4).write.parquet(str(tmp_path / "numbers.parquet"))
+    agg = parquet_stream(spark, str(tmp_path), "numbers").groupBy().sum("k")
+    assert run_to_table(spark, agg, "folder_sum").first()[0] == sum(range(200))

@@ -155,3 +155,38 @@ def test_normal_sums_ride_along_the_count_sketch(spark):
     without = lsqr(mf, factors, 5).final()
     for t in (0, 1):
         assert np.allclose(with_init[t], without[t], rtol=1e-9)
+
+
+def test_rank_cutoff_does_not_grow_with_rows():
+    from tallsketch.functions.blocks import solve_from_r
+
+    R = np.diag([5e7, 5e7, 1.0, 1.0, 0.0])
+    R[:4, 4] = R.diagonal()[:4] * np.array([1.0, 2.0, 3.0, 4.0])
+    sol = solve_from_r(R, 4)  # the R factor of a matrix with 1e12 rows
+    assert sol["rank"] == 4 and np.allclose(sol["x"], [1, 2, 3, 4])
+
+
+def test_null_rows_raise_or_drop_on_every_path(spark):
+    from tallsketch.sources.matrix import from_columns
+
+    rows = [(k, 1.0, float(k % 7), float(k)) for k in range(40)] + [(40, 1.0, None, 3.0)]
+    df = spark.createDataFrame(rows, "id long, u double, v double, y double")
+    for mode, n in (("drop", 40), ("error", None)):
+        mf = from_columns(df, "id", ["u", "v"], "y", mode=mode)
+        for run in (lambda: sketch(mf, "cw", 10, 1, 3).df.collect(), lambda: lsqr(mf, None, 2),
+                    lambda: lsqr(mf, {t: np.eye(2) for t in range(200)}, 1), lambda: exact_solve(mf).collect()):
+            if n is None:
+                with pytest.raises(Exception, match="null"):
+                    run()
+            else:
+                run()
+
+
+def test_too_small_samples_are_refused(spark):
+    mf = S.orders_matrix(spark, SF001).persist()
+    try:
+        for s, precision in ((2, "high"), (1e-9, "low"), (3, "low")):
+            with pytest.raises(ValueError, match="sampl"):
+                solve(mf, JobParams(precision=precision, sketch="sampling", kind="cw", c=100, s=s, iters=3, trials=3, seed=1))
+    finally:
+        mf.unpersist()
