@@ -35,7 +35,7 @@ CHUNKS = 12
 #: Link when PERCENT * (size of the union) <= 100 * (size of the intersection).
 PERCENT = 85
 #: Members of a block of signatures; documents and shingles of a block of sets.
-SIGNATURES, SETS, SHINGLES = 512, 256, 300_000
+SIGNATURES, SETS, SHINGLES = 4096, 256, 300_000
 #: Shingles of a set in one row.
 PIECE = 1024
 _LAST = 2**63 - 1
@@ -140,10 +140,23 @@ def _pack_signatures(slices):
 
 
 def _close_signatures(a, b):
-    d = np.zeros((len(a[0]), len(b[0])), np.uint8)
-    for j in range(SYMBOLS):
-        d += a[1][:, j, None] != b[1][None, :, j]
-    return d <= DISTANCE
+    """Pairs within DISTANCE.  Unrelated pairs differ in nearly all of the first symbols and are
+    beyond it already; the others are counted to the end."""
+    first = DISTANCE + 3
+    out = np.zeros((len(a[0]), len(b[0])), bool)
+    there = np.ascontiguousarray(b[1].T)
+    for at in range(0, len(a[0]), 512):
+        mine = a[1][at : at + 512]
+        here = np.ascontiguousarray(mine.T)
+        d = np.zeros((len(mine), len(b[0])), np.uint8)
+        for j in range(first):
+            d += here[j][:, None] != there[j][None, :]
+        i, k = np.nonzero(d <= DISTANCE)
+        for s in range(0, len(i), 200_000):
+            x, y = i[s : s + 200_000], k[s : s + 200_000]
+            rest = (mine[x, first:] != b[1][y, first:]).sum(axis=1)
+            out[at + x, y] = d[x, y] + rest <= DISTANCE
+    return out
 
 
 def _sets(batches):
