@@ -107,16 +107,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     the smallest node reachable; nodes without edges do not occur.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each a groupBy and a
-    join; every round is written to the shared folder.  Edges never reach the driver; a star
-    forest is reached after a number of rounds that is logarithmic in practice.
+    join; every round is written to the shared folder.  Both keep the components and let every
+    edge point to a smaller node, so the search is over as soon as the edges are stars.  Edges
+    never reach the driver; the number of rounds is logarithmic in practice.
     """
-    def pairs(x, y):
-        return edges.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v"))
-
-    now = stored(pairs(a, b).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                 .distinct(), "cc")
-    sign = None
-    while True:
+    now = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+                 .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    while not _stars(now):
         # large-star: every larger neighbour of u points to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -126,16 +123,25 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         down = _star(large, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = stored(down.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
-        new = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         discard(large)
-        if new == sign or new[0] == 0:
-            return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                nxt.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        now, sign = nxt, new
+        now = nxt
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges (u, v) either has one edge out or only edges in."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return per.filter("out > 1 or (out > 0 and in > 0)").count() == 0
 
 
 def _star(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    """Give each pair its node's minimum; nodes with many neighbours do not gather in one task."""
+    """Give each pair its node's minimum; nodes with many neighbours do not gather in one task.
+    ``low`` has no more rows than ``pairs``, so a small one is broadcast."""
     total = pairs.count()
+    if total <= BROADCAST_ROWS:
+        return pairs.join(F.broadcast(low), "u")
     return join_hot(pairs, low, ["u"], total, "n")
