@@ -75,13 +75,9 @@ def block_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int,
         yield *key, held
 
 
-def forest(link: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component, for a boolean (rows, columns) link matrix: rows
-    are nodes 0.., columns follow them."""
-    m, n = link.shape
-    i, j = np.nonzero(link)
-    j = j + m
-    low = np.arange(m + n)
+def smallest(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Smallest node of each node's component, for links i - j among the nodes 0..size-1."""
+    low = np.arange(size)
     while True:
         new = low.copy()
         np.minimum.at(new, i, low[j])
@@ -92,11 +88,23 @@ def forest(link: np.ndarray) -> np.ndarray:
         low = new
 
 
+def ends(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a boolean (rows, columns) matrix: rows are nodes 0.., columns follow them."""
+    i, j = np.nonzero(link)
+    return i, j + len(link)
+
+
+def forest(link: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component, for a boolean link matrix as in ``ends``."""
+    return smallest(*ends(link), sum(link.shape))
+
+
 def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pack, link, max_ids: int,
                   weight: str | None = None, max_weight: int = 0, order: list[str] | None = None) -> DataFrame:
     """(u, v) edges with the connected components of the graph ``link`` among the keys (long)
-    that share a group; ``link(pack(slices), pack(slices))`` is a boolean matrix and
-    ``pack(slices)[0]`` the keys.  Linked keys of different groups that meet may be joined too.
+    that share a group; ``pack(slices)[0]`` are the keys of a block.  ``link(a, b)`` of two packed
+    blocks is a boolean matrix, or two arrays of row numbers (those of b follow those of a) that
+    connect whatever the links among the rows of a group connect.  Linked keys of different groups that meet may be joined too.
 
     First every block meets itself and the first block of each group it shares; in groups of
     three or more blocks, keys outside the group's largest component then meet all of its
@@ -113,10 +121,11 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
                     if not self_pairs:
                         continue
                 near = link(own, block)
-                if not near.any():
+                i, j = near if isinstance(near, tuple) else ends(near)
+                if not len(i):
                     continue
                 ids = np.concatenate([own[0], block[0]])
-                root = ids[forest(near)]
+                root = ids[smallest(i, j, len(ids))]
                 hit = np.flatnonzero(root != ids)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(root[hit])], names=["u", "v"])
@@ -127,7 +136,7 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
     spans = stored(where.groupBy(group).agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("codes"))
                    .filter("codes > 1"), "group-spans")
     to_first = where.join(spans, group).filter("code > first").select(F.col("first").alias("a"), F.col("code").alias("b"))
-    cols = [key, *columns]
+    cols = [group, key, *columns]
     edges = stored(meet(blocks, blocks, to_first.distinct(), cols, run_with(True), "u long, v long",
                         [key, *(order or [])]).distinct(), "group-edges")
     large = spans.filter("codes > 2")

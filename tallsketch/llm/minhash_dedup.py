@@ -10,7 +10,7 @@ Pigeonhole: of ``CHUNKS`` chunks, a pair within ``DISTANCE`` has one with at mos
 ``DISTANCE // CHUNKS`` = 1 errors, so the chunk agrees in all symbols but one.  Each chunk is
 entered once per symbol that may be wrong, with that symbol left out: all pairs within the
 distance share an entry, for sure.  Entries with the same members are merged; members are
-compared by whole signatures in blocks, and what hangs together is a cluster of candidates.
+compared by whole signatures, entry by entry in blocks, and what hangs together is a cluster of candidates.
 Inside the clusters, links are confirmed on the full sets.
 
 Documents with equal sets are one class throughout.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallsketch.llm.blocks import linked_groups
+from tallsketch.llm.blocks import linked_groups, smallest
 from tallsketch.llm.common import components, free_name, join_hot, located, small, stored, table
 from tallsketch.session import ship_package
 
@@ -36,6 +36,8 @@ CHUNKS = 12
 PERCENT = 85
 #: Members of a block of signatures; documents and shingles of a block of sets.
 SIGNATURES, SETS, SHINGLES = 4096, 256, 300_000
+#: Rows of an entry within a block compared pair by pair; rows compared with all first in larger ones.
+FEW, PIVOTS = 16, 4
 #: Shingles of a set in one row.
 PIECE = 1024
 _LAST = 2**63 - 1
@@ -133,30 +135,60 @@ def _enter(batches):
 
 
 def _pack_signatures(slices):
-    cid = np.concatenate([s.column("cid").to_numpy() for s in slices])
-    sig = np.concatenate([_matrix(s.column("sig")) for s in slices])
-    cid, first = np.unique(cid, return_index=True)  # a class may be there through several entries
-    return cid, sig[first]
+    return (*(np.concatenate([s.column(n).to_numpy() for s in slices]) for n in ("cid", "entry")),
+            np.concatenate([_matrix(s.column("sig")) for s in slices]))
 
 
 def _close_signatures(a, b):
-    """Pairs within DISTANCE.  Unrelated pairs differ in nearly all of the first symbols and are
-    beyond it already; the others are counted to the end."""
-    first = DISTANCE + 3
-    out = np.zeros((len(a[0]), len(b[0])), bool)
-    there = np.ascontiguousarray(b[1].T)
-    for at in range(0, len(a[0]), 512):
-        mine = a[1][at : at + 512]
-        here = np.ascontiguousarray(mine.T)
-        d = np.zeros((len(mine), len(b[0])), np.uint8)
-        for j in range(first):
-            d += here[j][:, None] != there[j][None, :]
-        i, k = np.nonzero(d <= DISTANCE)
-        for s in range(0, len(i), 200_000):
-            x, y = i[s : s + 200_000], k[s : s + 200_000]
-            rest = (mine[x, first:] != b[1][y, first:]).sum(axis=1)
-            out[at + x, y] = d[x, y] + rest <= DISTANCE
-    return out
+    """Links within DISTANCE among the rows of two blocks (or one) that share an entry: all of
+    small entries, and of large ones enough to connect what all of them connect."""
+    entry, sig = (a[1], a[2]) if a is b else (np.concatenate([a[k], b[k]]) for k in (1, 2))
+    order = np.argsort(entry, kind="stable")
+    sorted_entry = entry[order]
+    edge = np.flatnonzero(np.diff(sorted_entry)) + 1
+    start, stop = np.append(0, edge), np.append(edge, len(entry))
+    few = np.repeat(stop - start <= FEW, stop - start)
+    i, j = [], []
+    for d in range(1, FEW):
+        at = np.flatnonzero((sorted_entry[d:] == sorted_entry[:-d]) & few[d:])
+        for s in range(0, len(at), 100_000):
+            x, y = order[at[s : s + 100_000]], order[at[s : s + 100_000] + d]
+            near = (sig[x] != sig[y]).sum(axis=1) <= DISTANCE
+            i.append(x[near])
+            j.append(y[near])
+    for s, t in zip(start, stop):
+        if t - s > FEW:
+            rows = order[s:t]
+            for x, y in _connect(sig[rows]):
+                i.append(rows[x])
+                j.append(rows[y])
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
+
+
+def _connect(sig):
+    """Links that connect what all links within DISTANCE connect: a few rows are compared with
+    all, then every row outside the largest component so far with all."""
+    links, left = [], np.arange(len(sig))
+    for _ in range(PIVOTS):
+        if len(left):
+            near = np.flatnonzero((sig != sig[left[0]]).sum(axis=1) <= DISTANCE)
+            links.append((np.full(len(near), left[0]), near))
+            left = np.setdiff1d(left, near, assume_unique=True)
+    low = smallest(*(np.concatenate(k) for k in zip(*links)), len(sig))
+    outside = np.flatnonzero(low != np.bincount(low).argmax())
+    # unrelated rows differ in nearly all of the first symbols and are beyond the distance already
+    first, there = DISTANCE + 3, np.ascontiguousarray(sig.T)
+    for at in range(0, len(outside), 512):
+        mine = outside[at : at + 512]
+        d = np.zeros((len(mine), len(sig)), np.uint8)
+        for k in range(first):
+            d += there[k][mine][:, None] != there[k][None, :]
+        x, y = np.nonzero(d <= DISTANCE)
+        for s in range(0, len(x), 200_000):
+            u, v = x[s : s + 200_000], y[s : s + 200_000]
+            near = d[u, v] + (sig[mine[u], first:] != sig[v, first:]).sum(axis=1) <= DISTANCE
+            links.append((mine[u[near]], v[near]))
+    return links
 
 
 def _sets(batches):
