@@ -15,6 +15,12 @@ checks and in NumPy int64.
 A 64-bit key is folded into [0, P) as  (pmod(key, P) + pmod(key div P, P) * d) % P  with
 a per-purpose multiplier d, so keys beyond 2^31 do not collide systematically; keys in
 [0, P) map to themselves.
+
+One hash has 31 bits.  What must stay distinct over more rows than that is drawn from two
+independent hashes of the key: a coin is (h(x) + (h'(x) + 1/2) / P) / P, down to about 2^-62,
+and the row part of a dense sketch entry is a pair, mixed with the bucket as
+(h(x) + h'(x) * g(bucket) + g'(bucket)) mod P, so two rows share a column of the sketch only
+if both hashes collide.
 """
 
 from __future__ import annotations
@@ -50,6 +56,11 @@ def poly(seed: int, purpose: str, trial: int = 0) -> Poly:
     return Poly(c3, words[1], words[2], words[3], d)
 
 
+def second(h: Poly) -> Poly:
+    """An independent hash function that belongs to ``h`` (its low 31 bits of a 62-bit draw)."""
+    return poly(h.c0, f"second|{h.c3}|{h.c2}|{h.c1}|{h.d}")
+
+
 # ----------------------------------------------------------------------------- SQL text
 # One generator for both dialects; Spark evaluates it through F.expr.
 
@@ -82,6 +93,15 @@ def sql_uniform(h_sql: str) -> str:
     return f"((CAST({h_sql} AS DOUBLE) + 0.5) / {float(P)!r})"
 
 
+def sql_coin(high_sql: str, low_sql: str) -> str:
+    """Uniform in (0, 1) of 62 bits from two independent hash values."""
+    return f"((CAST({high_sql} AS DOUBLE) + {sql_uniform(low_sql)}) / {float(P)!r})"
+
+
+def sql_key_coin(key_sql: str, h: Poly, dialect: str = "spark") -> str:
+    return sql_coin(sql_hash_key(key_sql, h, dialect), sql_hash_key(key_sql, second(h), dialect))
+
+
 def sql_sign(h_sql: str) -> str:
     return f"(CAST(({h_sql} % 2) * 2 - 1 AS DOUBLE))"
 
@@ -121,6 +141,10 @@ def np_uniform(hv: np.ndarray) -> np.ndarray:
     return (hv.astype(np.float64) + 0.5) / float(P)
 
 
+def np_key_coin(keys: np.ndarray, h: Poly) -> np.ndarray:
+    return (np_hash_key(keys, h).astype(np.float64) + np_uniform(np_hash_key(keys, second(h)))) / float(P)
+
+
 def np_sign(hv: np.ndarray) -> np.ndarray:
     return ((hv % 2) * 2 - 1).astype(np.float64)
 
@@ -143,18 +167,27 @@ def dense_polys(seed: int, trial: int) -> tuple[Poly, Poly, Poly, Poly]:
 
 
 def np_dense_base(keys: np.ndarray, slots: int, seed: int, trial: int) -> np.ndarray:
-    """(slots, r) matrix of entry hashes base[j, i] = (h_row(key_i) + h_col(j)) % P."""
+    """(slots, r) matrix of entry hashes base[j, i] from both row hashes of key_i and both
+    hashes of slot j."""
     hr, hc, _, _ = dense_polys(seed, trial)
-    ra = np_hash_key(keys, hr)
-    rb = np_cubic(np.arange(slots, dtype=np.int64), hc)
-    s = rb[:, None] + ra[None, :]
-    s -= P * (s >= P)  # both terms are < P
+    high, low = np_hash_key(keys, hr), np_hash_key(keys, second(hr))
+    j = np.arange(slots, dtype=np.int64)
+    s = np_cubic(j, second(hc))[:, None] * low[None, :]  # < 2^62, the sums below stay under 2^63
+    s += high[None, :]
+    s += np_cubic(j, hc)[:, None]
+    s %= P
     return s
 
 
+def sql_dense_mix(high_sql: str, low_sql: str, slot_sql: str, seed: int, trial: int) -> str:
+    _, hc, _, _ = dense_polys(seed, trial)
+    return f"(({low_sql} * {sql_cubic(slot_sql, second(hc))} + {high_sql} + {sql_cubic(slot_sql, hc)}) % {_lit(P)})"
+
+
 def sql_dense_base(key_sql: str, slot_sql: str, seed: int, trial: int, dialect: str) -> str:
-    hr, hc, _, _ = dense_polys(seed, trial)
-    return f"(({sql_hash_key(key_sql, hr, dialect)} + {sql_cubic(f'CAST({slot_sql} AS BIGINT)', hc)}) % {_lit(P)})"
+    hr, _, _, _ = dense_polys(seed, trial)
+    return sql_dense_mix(sql_hash_key(key_sql, hr, dialect), sql_hash_key(key_sql, second(hr), dialect),
+                         f"CAST({slot_sql} AS BIGINT)", seed, trial)
 
 
 def _div(a: str, b: str, dialect: str) -> str:
@@ -254,19 +287,26 @@ def spark_with_hash(df, key_col: str, h: Poly, out: str):
             .withColumn(out, F.expr(sql_cubic(tmp, h))).drop(tmp))
 
 
+def spark_with_coin(df, key_col: str, h: Poly, out: str):
+    """df + ``out`` = the 62-bit coin of the key (DOUBLE in (0, 1))."""
+    high, low = f"{out}__h", f"{out}__l"
+    df = spark_with_hash(spark_with_hash(df, key_col, h, high), key_col, second(h), low)
+    return df.withColumn(out, F.expr(sql_coin(high, low))).drop(high, low)
+
+
 def spark_with_row_hash(df, key_col: str, seed: int, trial: int, out: str):
-    """Row part of a dense entry hash (compute it before rows meet buckets)."""
+    """Row part of a dense entry hash, ``out`` and ``out``_low (compute it before rows meet buckets)."""
     hr, _, _, _ = dense_polys(seed, trial)
-    return spark_with_hash(df, key_col, hr, out)
+    return spark_with_hash(spark_with_hash(df, key_col, hr, out), key_col, second(hr), f"{out}_low")
 
 
 def spark_with_dense_entry(df, row_hash_col: str, bucket_sql: str, kind: str, seed: int, trial: int, out: str):
     """df + ``out`` = Gaussian or Rademacher entry for (row, bucket), from the staged row hash."""
-    _, hc, h1, h2 = dense_polys(seed, trial)
+    _, _, h1, h2 = dense_polys(seed, trial)
     per = 2 if kind == "gaussian" else SIGN_BITS
     slot = _div(f"CAST({bucket_sql} AS BIGINT)", _lit(per), "spark")
     base = f"{out}__base"
-    df = df.withColumn(base, F.expr(f"(({row_hash_col} + {sql_cubic(slot, hc)}) % {_lit(P)})"))
+    df = df.withColumn(base, F.expr(sql_dense_mix(row_hash_col, f"{row_hash_col}_low", slot, seed, trial)))
     if kind == "gaussian":
         r, a = f"{out}__r", f"{out}__a"
         df = (df.withColumn(r, F.expr(f"sqrt(-2.0 * ln({sql_uniform(sql_cubic(base, h1))}))"))

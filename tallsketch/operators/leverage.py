@@ -27,7 +27,7 @@ from tallsketch.session import ship_package
 
 
 def _coin_sql(trial: int, seed: int, dialect: str = "spark", key_sql: str = "key") -> str:
-    return H.sql_uniform(H.sql_hash_key(key_sql, H.sample_poly(seed, "lev-sample", trial), dialect))
+    return H.sql_key_coin(key_sql, H.sample_poly(seed, "lev-sample", trial), dialect)
 
 
 def leverage_scores(mf: MatrixFrame, factors: dict[int, np.ndarray]) -> DataFrame:
@@ -94,8 +94,8 @@ def leverage_sample(mf: MatrixFrame, factors: dict[int, np.ndarray], s: float, s
     trials = sorted(factors)
     coin = None
     for t in trials:
-        probs = H.spark_with_hash(probs, "key", H.sample_poly(seed, "lev-sample", t), f"__c{t}")
-        c = F.expr(H.sql_uniform(f"__c{t}"))
+        probs = H.spark_with_coin(probs, "key", H.sample_poly(seed, "lev-sample", t), f"__c{t}")
+        c = F.col(f"__c{t}")
         coin = F.when(F.col("trial") == t, c) if coin is None else coin.when(F.col("trial") == t, c)
     kept = probs.where(coin < F.col("p"))
     w = F.lit(1.0) / F.sqrt(F.col("p"))

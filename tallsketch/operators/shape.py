@@ -136,8 +136,8 @@ def uniform_sample(mf: MatrixFrame, s: float, seed: int, m: int | None = None) -
     if m is None:
         m = dims(mf)[0]
     p = min(1.0, float(s) / float(m))
-    hashed = H.spark_with_hash(mf.df, "key", H.sample_poly(seed, "uniform"), "__u")
-    kept = hashed.where(F.expr(H.sql_uniform("__u")) < F.lit(p)).drop("__u")
+    tossed = H.spark_with_coin(mf.df, "key", H.sample_poly(seed, "uniform"), "__u")
+    kept = tossed.where(F.col("__u") < F.lit(p)).drop("__u")
     scale = 1.0 / p
     if mf.layout == "wide":
         out = kept.select("key", *[(F.col(c) * scale).alias(c) for c in mf.feature_names], (F.col("b") * scale).alias("b"))

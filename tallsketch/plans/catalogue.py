@@ -524,7 +524,7 @@ def oracle_sql() -> dict[str, str]:
             for c, x in RESID_CANDIDATES.items()),
         "uniform_sample": O.with_(O.EV, "pm AS (SELECT 1000.0 / CAST(count(*) AS DOUBLE) AS p FROM ev)")
         + f"SELECT key, {O.rnd('b * (1.0 / least(1.0, p))', 6)} AS b_scaled FROM ev CROSS JOIN pm WHERE "
-          f"{H.sql_uniform(H.sql_hash_key('key', H.sample_poly(SEED, 'uniform'), 'duckdb'))} < least(1.0, p)",
+          f"{H.sql_key_coin('key', H.sample_poly(SEED, 'uniform'), 'duckdb')} < least(1.0, p)",
         "sketch_merge": O.with_(O.OM, O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)) + _sketch_sel("sk"),
         "sketch_trials": O.with_(O.OM, O.sketch("sk", "om", 3, "cw", C_CW, 3, SEED)) + _sketch_sel("sk"),
         "sketch_solve": _low_x("cw"),

@@ -69,3 +69,26 @@ def test_srdht_frequencies_spark_equals_numpy(spark):
     assert H.srdht_frequencies(spark, 1000, 30, 42, 2) == H.np_srdht_frequencies(1000, 30, 42, 2)
     f = H.np_srdht_frequencies(1000, 30, 42, 2)
     assert len(set(f)) == 30 and all(0 <= x < 1000 for x in f)
+
+
+def test_coins_have_62_bits(spark):
+    h = H.poly(42, "coin")
+    npv = H.np_key_coin(np.array(KEYS, dtype=np.int64), h)
+    assert spark_values(spark, lambda d: H.sql_key_coin("key", h, d)) == list(npv)
+    assert duck_values(lambda d: H.sql_key_coin("key", h, d)) == list(npv)
+    df = H.spark_with_coin(spark.createDataFrame([(k,) for k in KEYS], "key bigint"), "key", h, "u")
+    assert [r["u"] for r in df.collect()] == list(npv)
+    # rows of one high hash value toss different coins, so a probability below 2^-31 does not
+    # take all of them or none
+    high, low = H.P // 3, np.arange(0, H.P, H.P // 1000, dtype=np.int64)
+    coins = (high + H.np_uniform(low)) / float(H.P)
+    assert len(np.unique(coins)) == len(low) and coins.max() - coins.min() < 1 / H.P
+
+
+def test_rows_that_share_one_hash_have_different_sketch_columns(monkeypatch):
+    hr, _, _, _ = H.dense_polys(3, 0)
+    keys = np.arange(50, dtype=np.int64)
+    plain = H.np_hash_key
+    monkeypatch.setattr(H, "np_hash_key", lambda k, h: np.full(len(k), 7) if h == hr else plain(k, h))
+    assert len(np.unique(H.np_gaussian_block(keys, 8, 3, 0).T, axis=0)) == 50
+    assert len(np.unique(H.np_rademacher_block(keys, 64, 3, 0).T, axis=0)) == 50

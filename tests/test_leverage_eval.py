@@ -21,7 +21,7 @@ def test_leverage_probabilities_and_sample_match_numpy(spark):
     for t in range(2):
         lev = np.sum((A @ N[t]) ** 2, axis=1)
         p = np.minimum(1.0, 200 * lev / lev.sum())
-        u = H.np_uniform(H.np_hash_key(keys, H.sample_poly(4, "lev-sample", t)))
+        u = H.np_key_coin(keys, H.sample_poly(4, "lev-sample", t))
         kept = keys[u < p]
         for i, k in enumerate(keys):
             assert abs(probs[(t, int(k))][0] - lev[i]) < 1e-12 + 1e-9 * lev[i]
