@@ -147,11 +147,16 @@ def solve(mf: MatrixFrame, p: JobParams) -> SolveResult:
             else:
                 N = compute_factors(work, replace(p, sketch="projection"), timings)
                 sol = L.sampling_solve(work, N, p.s, p.seed)
-            solved = sol.select("trial", "x", "rank").collect()
+            solved = sol.select("trial", "x", "rank", "N").collect()
             if p.sketch == "sampling":
                 require_full_rank([(r["trial"], r["rank"]) for r in solved], mf.n, len(N))
             rows = [(int(r["trial"]), 0, [float(v) for v in r["x"]]) for r in solved]
             timings["solve"] = time.time() - t
+            if p.factor_cache:
+                from tallsketch.sources.sinks import keep_factors
+
+                factors = {int(r["trial"]): np.asarray(r["N"], dtype=np.float64).reshape(mf.n, mf.n) for r in solved}
+                keep_factors(work, p, factors, timings["solve"])
             solutions = spark.createDataFrame(rows, SOLUTIONS_SCHEMA)
         else:
             init = None

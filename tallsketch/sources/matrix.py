@@ -149,7 +149,7 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
       (``spark.sql.files.maxPartitionBytes``), not contiguous;
     * ``'first'``: the first number of each line (files of ``key a0 .. b`` lines).
     """
-    lines = spark.read.text(uri)
+    lines, meta = spark.read.text(uri), {}
     rows = parse_text_lines(lines, mode)
     if key == "first":
         keyed = rows.select(F.element_at("row", 1).cast("bigint").alias("key"), F.slice("row", 2, 1 << 30).alias("row"))
@@ -159,7 +159,9 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
         raise ValueError(f"key must be 'line', 'position' or 'first', not {key!r}")
     else:
         from tallsketch.operators.shape import row_index_natural
+        from tallsketch.sources.sinks import source_state
 
+        meta = {"source": source_state(lines)}  # the checkpoint below cuts the plan from its files
         keyed = row_index_natural(rows, "key")
     if n is None:
         first = keyed.select(F.size("row").alias("w")).first()  # every other row is checked against it below
@@ -175,7 +177,7 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
     if partitions:  # after numbering, so line keys keep the file order
         keyed = keyed.repartition(int(partitions), "key")
     arr = keyed.select("key", F.slice("row", 1, n).alias("a"), F.element_at("row", -1).alias("b"))
-    mf = MatrixFrame(arr, n, "array", name or uri)
+    mf = MatrixFrame(arr, n, "array", name or uri, meta)
     return mf.to_wide() if n <= WIDE_MAX else mf
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tallsketch.sources.matrix import MatrixFrame
 
-CACHE_VERSION = 1
+CACHE_VERSION = 2
 
 
 def write_result(result, uri: str, fmt: str = "parquet") -> None:
@@ -37,27 +37,46 @@ def head(mf: MatrixFrame, k: int = 10) -> DataFrame:
 
 # ----------------------------------------------------------------------------- factor cache
 
-def _file_states(spark: SparkSession, files: list[str]) -> str:
-    """(path, length, modification time) of every input file, from the filesystem's
-    metadata (driver-side listing calls, no Spark job): a rewritten file changes it."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for f in sorted(files):
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        st = path.getFileSystem(conf).getFileStatus(path)
-        out.append(f"{f}:{st.getLen()}:{st.getModificationTime()}")
-    return ",".join(out)
-
-
-def fingerprint(mf: MatrixFrame, params, objective: str) -> str:
+def file_states(spark: SparkSession, roots: list[str]) -> str:
+    """Digest of (path, length, modification time) of every file below ``roots``: one Spark job
+    over the listing, which opens no file and brings one row to the driver."""
+    if not roots:
+        return ""
+    state = F.xxhash64("path", "length", "modificationTime")
+    row = spark.read.format("binaryFile").load(sorted(set(roots))).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(state.cast("decimal(38,0)")).alias("digest"),
+        F.bit_xor(state).alias("parity"), F.sum("length").alias("bytes")).first()
+    return "|".join(map(str, row))
+
+
+def source_state(df: DataFrame) -> str | None:
+    """What ``df`` is read from, persisted or not: the state of the files below its relations.
+    None when a leaf of its plan is neither files nor a range, so the rows have no known origin."""
+    roots: list[str] = []
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "Range":
+            continue
+        if kind != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        paths = leaf.relation().location().rootPaths()
+        roots += [paths.apply(i).toString() for i in range(paths.size())]
+    return file_states(df.sparkSession, roots)
+
+
+def fingerprint(mf: MatrixFrame, params, objective: str) -> str | None:
     """Identity of a factor: the analyzed input plan, the state of its input files and every
-    parameter that changes N.  Needs no pass over the rows."""
-    spark = mf.df.sparkSession
+    parameter that changes N.  Needs no pass over the rows.  None when the origin of the rows
+    is unknown (rows of a local collection or an RDD): such factors are never cached."""
+    # a matrix whose plan was cut carries the state of the files it was read from
+    files = mf.meta.get("source") or source_state(mf.df)
+    if files is None:
+        return None
     # The canonicalized analyzed plan (expression ids normalized) is the same text in every
     # session; Dataset.semanticHash is not stable across sessions.
     plan = hashlib.sha256(mf.df._jdf.queryExecution().analyzed().canonicalized().toString().encode()).hexdigest()
-    files = _file_states(spark, mf.df.inputFiles())
     parts = [str(CACHE_VERSION), mf.name, str(plan), files, str(mf.n), objective,
              str(params.sketch), str(params.kind), str(params.c),
              str(params.s) if params.sketch == "sampling" else "-",  # s does not change a projection N
@@ -91,12 +110,20 @@ def cached_factors(mf: MatrixFrame, params, timings: dict, compute) -> dict[int,
     """Load N for (input, parameters) if cached and ``reuse``; else compute and save."""
     spark = mf.df.sparkSession
     fp = fingerprint(mf, params, "N")
-    if params.reuse:
+    if params.reuse and fp:
         hit = load_factors(spark, params.factor_cache, fp)
         if hit is not None:
             timings["factor_cache_hit"] = hit[1]
             return hit[0]
     t = time.time()
     factors = compute(mf, params, timings)
-    save_factors(spark, params.factor_cache, fp, factors, time.time() - t)
+    if fp:
+        save_factors(spark, params.factor_cache, fp, factors, time.time() - t)
     return factors
+
+
+def keep_factors(mf: MatrixFrame, params, factors: dict[int, np.ndarray], elapsed_s: float) -> None:
+    """Save N that a low-precision solve has found on its way, for later solves."""
+    fp = fingerprint(mf, params, "N")
+    if fp:
+        save_factors(mf.df.sparkSession, params.factor_cache, fp, factors, elapsed_s)

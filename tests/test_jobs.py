@@ -181,3 +181,34 @@ def test_stream_reads_a_folder_in_several_batches(spark, tmp_path):
     df.repartition(4).write.parquet(str(tmp_path / "numbers.parquet"))
     agg = parquet_stream(spark, str(tmp_path), "numbers").groupBy().sum("k")
     assert run_to_table(spark, agg, "folder_sum").first()[0] == sum(range(200))
+
+
+def _cached(spark, mf, cache, **kw):
+    p = JobParams(**{**dict(precision="high", sketch="projection", kind="cw", c=60, iters=1, factor_cache=cache), **kw})
+    return {r["stage"] for r in solve(mf, p).metrics.collect()}
+
+
+def test_factor_cache_tells_sources_apart(spark):
+    cache, one, two = (scratch_path(spark, n) for n in ("fc", "fc-one", "fc-two"))
+    base = spark.range(500).selectExpr("id AS key", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS y")
+    base.write.parquet(one)
+    base.withColumn("x", F.col("x") * 3).write.parquet(two)
+    read = lambda path: S.from_columns(spark.read.parquet(path), "key", [F.lit(1.0), "x"], "y")
+    assert "factor_cache_hit" not in _cached(spark, read(one), cache)
+    assert "factor_cache_hit" not in _cached(spark, read(two), cache)
+    assert "factor_cache_hit" in _cached(spark, read(one), cache)
+    assert "factor_cache_hit" in _cached(spark, read(one), cache, persist=False)
+    # rows without a known origin are never taken for others
+    for scale in (1.0, 2.0):
+        rows = spark.createDataFrame([(i, float(i % 5) * scale, float(i % 3)) for i in range(200)], "key long, x double, y double")
+        assert "factor_cache_hit" not in _cached(spark, S.from_columns(rows, "key", [F.lit(1.0), "x"], "y"), cache)
+
+
+def test_factor_cache_of_a_rewritten_text_file_and_of_low_precision(spark):
+    cache, path = scratch_path(spark, "fc"), scratch_path(spark, "fc-text")
+    lines = lambda k: spark.range(300).selectExpr(f"concat_ws(' ', '1', CAST(id % {k} AS STRING), CAST(id % 5 AS STRING)) AS value")
+    lines(7).write.text(path)
+    assert "factor_cache_hit" not in _cached(spark, S.read_text_matrix(spark, path), cache, precision="low", iters=None)
+    assert "factor_cache_hit" in _cached(spark, S.read_text_matrix(spark, path), cache)
+    lines(9).write.mode("overwrite").text(path)
+    assert "factor_cache_hit" not in _cached(spark, S.read_text_matrix(spark, path), cache)
