@@ -74,11 +74,24 @@ def row_index(df: DataFrame, order_cols: list[str], name: str = "idx", partition
     return _attach_offsets(stable, name)
 
 
-def row_index_natural(df: DataFrame, name: str = "idx") -> DataFrame:
-    """M2 in the input's own order (file order for text): checkpoint, then offsets."""
+def row_index_natural(df: DataFrame, split: list[str], name: str = "idx") -> DataFrame:
+    """M2 in the order of the files: ``split`` columns (path, start of the split) order the splits,
+    and the rows of one are in their own order.  How splits are packed into tasks does not matter.
+
+    A checkpoint fixes the rows; one (count, first position) row per split gives the offsets, which
+    are broadcast if there are at most MAX_BROADCAST_PARTITIONS."""
+    from pyspark.sql.window import Window
+
     checkpoint_dir(df.sparkSession)
-    stable = df.checkpoint(eager=True)
-    return _attach_offsets(stable, name)
+    placed = df.checkpoint(eager=True).withColumn("__pos", F.monotonically_increasing_id())
+    w = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy(*split).agg(F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first"))
+               .select(*split, (F.coalesce(F.sum("__cnt").over(w), F.lit(0)) - F.col("__first")).alias("__off"))
+               .checkpoint(eager=True))
+    if offsets.count() <= MAX_BROADCAST_PARTITIONS:
+        offsets = F.broadcast(offsets)
+    return (placed.join(offsets, split).withColumn(name, (F.col("__pos") + F.col("__off")).cast("bigint"))
+            .drop(*split, "__pos", "__off"))
 
 
 def contiguous_keys(mf: MatrixFrame) -> tuple[MatrixFrame, int]:

@@ -123,14 +123,25 @@ def from_array(df: DataFrame, key: str | Column, vector: str | Column, target: s
     return MatrixFrame(out, int(n), "array", name)
 
 
-def parse_text_lines(lines: DataFrame, mode: str = "error") -> DataFrame:
-    """One text line -> array<double>, split on runs of blanks after trimming."""
+#: The columns that order the splits of text files.
+SPLIT = ["__file", "__start"]
+
+
+def _text_lines(spark: SparkSession, uri: str) -> DataFrame:
+    """Lines with the file and the start of the split they come from."""
+    return spark.read.text(uri).select("value", F.col("_metadata.file_path").alias("__file"),
+                                       F.col("_metadata.file_block_start").alias("__start"))
+
+
+def parse_text_lines(lines: DataFrame, mode: str = "error", keep: list[str] | None = None) -> DataFrame:
+    """One text line -> array<double>, split on runs of blanks after trimming; the columns
+    ``keep`` stay as they are."""
     tokens = F.split(F.trim(F.col("value")), r"\s+")
     if mode == "drop":
         vals = F.transform(tokens, lambda t: t.try_cast("double"))
     else:
         vals = F.transform(tokens, lambda t: t.cast("double"))
-    out = lines.where(F.length(F.trim("value")) > 0).select(vals.alias("row"))
+    out = lines.where(F.length(F.trim("value")) > 0).select(vals.alias("row"), *(keep or []))
     if mode == "drop":
         out = out.where(F.forall("row", lambda v: v.isNotNull()))
     return out
@@ -142,15 +153,15 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
 
     The URI scheme picks the filesystem (``file:``, ``hdfs:``, ``s3a:`` ...).  Keys:
 
-    * ``'line'``: the global line number (M2 over the file order; one checkpoint write of the
-      parsed rows) -- identical under any cluster or split configuration;
+    * ``'line'``: the number of the non-blank line over all files, ordered by path (M2 over the
+      file order; one checkpoint write of the parsed rows) -- identical under any cluster or split configuration;
     * ``'position'``: ``monotonically_increasing_id()`` of the raw file scan -- no extra
       pass, stable across re-reads of the same files with the same split size
       (``spark.sql.files.maxPartitionBytes``), not contiguous;
     * ``'first'``: the first number of each line (files of ``key a0 .. b`` lines).
     """
     lines, meta = spark.read.text(uri), {}
-    rows = parse_text_lines(lines, mode)
+    rows = parse_text_lines(lines, mode) if key != "line" else parse_text_lines(_text_lines(spark, uri), mode, SPLIT)
     if key == "first":
         keyed = rows.select(F.element_at("row", 1).cast("bigint").alias("key"), F.slice("row", 2, 1 << 30).alias("row"))
     elif key == "position":
@@ -162,7 +173,7 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
         from tallsketch.sources.sinks import source_state
 
         meta = {"source": source_state(lines)}  # the checkpoint below cuts the plan from its files
-        keyed = row_index_natural(rows, "key")
+        keyed = row_index_natural(rows, SPLIT, "key").select("key", "row")
     if n is None:
         first = keyed.select(F.size("row").alias("w")).first()  # every other row is checked against it below
         if first is None:
@@ -186,7 +197,7 @@ def read_vector_text(spark: SparkSession, uri: str) -> list[float]:
     read with Spark so any filesystem works."""
     from tallsketch.operators.shape import row_index_natural
 
-    rows = row_index_natural(spark.read.text(uri).where(F.length(F.trim("value")) > 0), "i")
+    rows = row_index_natural(_text_lines(spark, uri).where(F.length(F.trim("value")) > 0), SPLIT, "i")
     return [float(r["value"]) for r in rows.orderBy("i").select(F.trim("value").alias("value")).collect()]
 
 

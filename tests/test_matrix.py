@@ -129,3 +129,21 @@ def test_dense_stacking_counts_nonzeros_of_b(spark):
     for r in st.df.collect():
         reps[r["key"] // 3] = reps.get(r["key"] // 3, 0) + 1
     assert reps == {1: 1, 2: 1, 3: 3, 4: 1}  # only the row with three non-zeros in [A b] repeats
+
+
+def test_line_keys_follow_files_and_lines_under_any_split_size(spark):
+    folder = scratch_path(spark, "lines")
+    at = 0
+    for k, count in enumerate([5, 4000, 300]):  # unequal files: tasks pack splits by length
+        part = spark.range(at, at + count, 1, 1).selectExpr("concat(id, ' 1 ', id * 2) as value")
+        part.write.mode("append").text(f"{folder}/part={k}")
+        at += count
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            mf = S.read_text_matrix(spark, folder + "/part=*", key="line")
+            assert mf.df.count() == at
+            assert mf.df.where("key <> a0 or b <> 2 * a0").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
