@@ -110,9 +110,4 @@ def sampling_solve(mf: MatrixFrame, factors: dict[int, np.ndarray], s: float, se
     """X and N of the sampled problem per trial (SOLUTION_SCHEMA)."""
     from tallsketch.operators.small_solve import tsqr_solve
 
-    from tallsketch.operators.small_solve import estimated_partitions
-
-    sample = leverage_sample(mf, factors, s, seed)
-    # the sample keeps the matrix's partitioning (narrow ops + a k-row broadcast); the
-    # optimizer's join estimate would multiply sizes, so pass the matrix's estimate
-    return tsqr_solve(sample, mf.n, layout=mf.layout, partitions=estimated_partitions(mf.df))
+    return tsqr_solve(leverage_sample(mf, factors, s, seed), mf.n, layout=mf.layout)

@@ -5,9 +5,9 @@ exact solution E5) are reduced to an (n+1) x (n+1) R factor:
 
 1. ``mapInArrow``: each task folds its rows into one R per trial (incremental QR over
    Arrow batches, bounded memory);
-2. a tree of ``groupBy(trial, group).applyInPandas`` combines at most FANOUT R factors
-   per group until one per trial is left;
-3. the last combine also solves: thin SVD of R11 gives N = V/s (R2), x (R1/R3), the
+2. the factors are dealt to FANOUT groups per trial and each group's stream is folded the
+   same way, so a group holds one factor whatever the number of tasks is;
+3. a last task per trial combines at most FANOUT factors and solves: thin SVD of R11 gives N = V/s (R2), x (R1/R3), the
    singular values, the numerical rank and the residual norm.
 
 Nothing is vstacked whole in one task, and the normal equations are never formed.
@@ -15,8 +15,6 @@ Nothing is vstacked whole in one task, and the normal equations are never formed
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -60,12 +58,29 @@ def _local_r(width: int, n: int, layout: str | None, value_cols: list[str] | Non
     return fn
 
 
-def _combine(width: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        stacked = np.vstack([np.asarray(r, dtype=np.float64).reshape(width, width) for r in pdf["R"]])
-        R = qr_r(stacked, width)
-        return pd.DataFrame({"trial": [int(pdf["trial"].iloc[0])], "grp": [int(pdf["grp"].iloc[0])],
-                             "rows": [int(pdf["rows"].sum())], "R": [R.reshape(-1).tolist()]})
+def _fold(width: int):
+    """One R factor per (trial, grp) of a stream sorted by both; one factor is held at a time."""
+    def fn(batches):
+        key, R, count = None, None, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([count], pa.int64()),
+                 pa.array([R.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["trial", "grp", "rows", "R"])
+
+        for rb in batches:
+            for i in range(rb.num_rows):
+                at = (rb.column("trial")[i].as_py(), rb.column("grp")[i].as_py())
+                part = np.asarray(rb.column("R")[i].values, dtype=np.float64).reshape(width, width)
+                if at != key:
+                    if key is not None:
+                        yield row()
+                    key, R, count = at, part, 0
+                else:
+                    R = qr_r(np.vstack([R, part]), width)
+                count += rb.column("rows")[i].as_py()
+        if key is not None:
+            yield row()
     return fn
 
 
@@ -99,29 +114,30 @@ def estimated_partitions(df: DataFrame) -> int | None:
 
 
 def tsqr_solve(rows: DataFrame, n: int, value_cols: list[str] | None = None, layout: str | None = None,
-               partitions: int | None = None) -> DataFrame:
+               max_tasks: int | None = None) -> DataFrame:
     """Least squares per trial over ``rows`` (columns ``trial`` and either ``value_cols`` =
-    [A b] names, or the matrix layout columns ``a``/``a0..`` and ``b``)."""
+    [A b] names, or the matrix layout columns ``a``/``a0..`` and ``b``).
+
+    ``max_tasks`` is a proven bound on the tasks that read ``rows``, if there is one; at most
+    FANOUT of them need no folding level."""
     width = n + 1
     cols = ["trial", *(value_cols or (["a", "b"] if layout == "array" else [f"a{i}" for i in range(n)] + ["b"]))]
     src = rows.select(*cols).withColumn("__pid", F.spark_partition_id())
     ship_package(rows.sparkSession)
     level = src.mapInArrow(_local_r(width, n, layout, value_cols), _R_SCHEMA)
-    # unknown size: one intermediate level keeps every group <= FANOUT up to FANOUT² tasks
-    nparts = partitions or estimated_partitions(rows) or FANOUT * FANOUT
-    while nparts > FANOUT:
-        level = (level.withColumn("grp", F.floor(F.col("grp") / F.lit(FANOUT)).cast("bigint"))
-                 .groupBy("trial", "grp").applyInPandas(_combine(width), _R_SCHEMA))
-        nparts = math.ceil(nparts / FANOUT)
+    if not max_tasks or max_tasks > FANOUT:
+        level = (level.withColumn("grp", F.pmod("grp", F.lit(FANOUT)).cast("bigint")).repartition("trial", "grp")
+                 .sortWithinPartitions("trial", "grp").mapInArrow(_fold(width), _R_SCHEMA))
     return level.groupBy("trial").applyInPandas(_final(width, n), SOLUTION_SCHEMA)
 
 
 def solve_sketch(sf) -> DataFrame:
     """X (and N) of min ||SA x - Sb|| for every trial of a sketch."""
-    if sf.layout == "wide":
-        return tsqr_solve(sf.df, sf.n, value_cols=sf.value_names)
-    wide = sf.to_wide()
-    return tsqr_solve(wide, sf.n, value_cols=[f"v{i}" for i in range(sf.n + 1)])
+    wide = sf.layout == "wide"
+    names = sf.value_names if wide else [f"v{i}" for i in range(sf.n + 1)]
+    # a sketch comes out of a shuffle by (trial, bucket): its tasks are the shuffle's
+    tasks = int(sf.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tsqr_solve(sf.df if wide else sf.to_wide(), sf.n, value_cols=names, max_tasks=tasks)
 
 
 def exact_solve(mf: MatrixFrame) -> DataFrame:
