@@ -7,46 +7,61 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallsketch.llm.common import components, stored
+from tallsketch.llm.common import components, small, stored
 
 
 def cut_blocks(rows: DataFrame, order: list[str], same: list[str], max_ids: int, weight: str | None = None,
-               max_weight: int = 0) -> DataFrame:
-    """``rows`` sorted over all tasks by ``order``, with the block's ``code`` (ordered alike).
-
-    A block has at most ``max_ids`` ids and, beyond its first id, ``max_weight`` of ``weight``;
-    a new one begins where a column of ``same`` changes.  The last column of ``order`` is the
-    id; rows of one id stay together."""
+               max_weight: int = 0, ordered: bool = True) -> DataFrame:
+    """``rows`` sorted over all tasks by ``order``, with the block's ``code`` (ordered alike, unless
+    ``ordered`` is off).
+
+    Runs of ``max_ids`` ids or ``max_weight`` of ``weight`` are cut within each task; those that
+    begin in the same ``max_ids`` ids and ``max_weight`` of all rows are one block, so the number
+    of tasks does not make blocks small (ordered blocks with ``same`` end with their task).  A block has less than twice as many ids and, beyond its
+    first id of each task, twice as much weight; a new one begins where a column of ``same``
+    changes.  The last column of ``order`` is the id; rows of one id stay together."""
     key = order[-1]
     schema = rows.schema
     names = rows.columns
+    places = ["_seq", "_ids", "_mass", "_all_ids", "_all_mass"]
 
     def run(batches):
-        seq, ids, mass, last, group = -1, 0, 0, None, None
+        seq, ids, mass, at_ids, at_mass, last, group = -1, 0, 0, 0, 0, None, None
         for b in batches:
-            out = np.empty(b.num_rows, np.int64)
+            out = np.empty((5, b.num_rows), np.int64)
             keys = b.column(key).to_pylist()
             groups = list(zip(*(b.column(n).to_pylist() for n in same))) if same else [None] * len(keys)
             weights = b.column(weight).to_pylist() if weight else [0] * len(keys)
             for k, now in enumerate(keys):
-                if seq < 0 or groups[k] != group or now != last:
-                    if seq < 0 or groups[k] != group or ids == max_ids or (weight and mass + weights[k] > max_weight):
-                        seq, ids, mass = seq + 1, 0, 0
+                if not ids or groups[k] != group or now != last:
+                    if not ids or groups[k] != group or ids - at_ids == max_ids or (
+                            weight and mass - at_mass + weights[k] > max_weight):
+                        seq, at_ids, at_mass = seq + 1, ids, mass
                     ids, last, group = ids + 1, now, groups[k]
                 mass += weights[k]
-                out[k] = seq
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), b.column("_part"), pa.array(out)],
-                                             names=[*names, "_part", "_seq"])
+                out[:, k] = seq, at_ids, at_mass, ids, mass
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), b.column("_part"), *map(pa.array, out)],
+                                             names=[*names, "_part", *places])
 
     # rows of one id must meet: the range is by every column of order, which equal ids share
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    cut = stored(ranged.mapInArrow(run, f"{kinds}, _part int, _seq long"), "blocks")
-    bits = max(1, int(cut.agg(F.max("_seq")).first()[0] or 0).bit_length())
-    return cut.select(*names, (F.shiftleft(F.col("_part").cast("long"), bits) + F.col("_seq")).alias("code"))
+    cut = stored(ranged.mapInArrow(run, f"{kinds}, _part int, " + ", ".join(f"{p} long" for p in places)), "blocks")
+    if same and ordered:
+        bits = max(1, int(cut.agg(F.max("_seq")).first()[0] or 0).bit_length())
+        return cut.select(*names, (F.shiftleft(F.col("_part").cast("long"), bits) + F.col("_seq")).alias("code"))
+    # ids and weight before each task: one row per task
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = stored(cut.groupBy("_part").agg(F.max("_all_ids").alias("i"), F.max("_all_mass").alias("m"))
+                  .select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in "im")), "block-starts")
+    code = F.floor((F.col("_ids") + F.col("_i")) / max_ids)
+    if weight:
+        code += F.floor((F.col("_mass") + F.col("_m")) / max_weight)
+    code = F.xxhash64(*same, code) if same else code.cast("long")
+    return cut.join(small(base), "_part").select(*names, code.alias("code"))
 
 
 def meet(own: DataFrame, partners: DataFrame, pairs: DataFrame, columns: list[str],
@@ -152,7 +167,7 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
     if left_out.isEmpty():
         return edges
     some = cut_blocks(blocks.drop("code").join(left_out, [group, key], "left_semi"), [group, key], [group], max_ids,
-                      weight, max_weight)
+                      weight, max_weight, ordered=False)
     pairs = some.select(group, F.col("code").alias("a")).distinct().join(
         where.select(group, F.col("code").alias("b")), group).select("a", "b").distinct()
     more = meet(some, blocks, pairs, cols, run_with(False), "u long, v long", [key, *(order or [])])
