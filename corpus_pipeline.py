@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tallsketch.llm import exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity
 from tallsketch.llm.common import stored, table
 
+#: Similarity, in a hundred, of near-duplicates (op3's own is minhash_dedup.PERCENT).
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the model learns from the labels of the
@@ -27,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays."""
-    return minhash_dedup.near_dedup(docs)
+    """One document of each component of near-duplicates (similarity 0.8 or more) stays."""
+    return minhash_dedup.near_dedup(docs, percent=NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

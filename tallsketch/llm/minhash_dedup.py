@@ -2,12 +2,11 @@
 
 A document's set is its distinct shingles of five words.  ``SYMBOLS`` minima of 16 bits make its
 signature; two sets of Jaccard similarity J differ in a symbol with probability 1 - J.  The
-signature threshold ``DISTANCE`` lies 5 standard deviations above the expected distance of a pair
-at the similarity threshold (a pair just at it is missed with probability below 1e-5, a closer
-one hardly ever).
+signature threshold (``distance_of``) is the smallest distance that a pair just at the similarity
+threshold exceeds with probability below ``MISS`` (a closer pair hardly ever does).
 
-Pigeonhole: of ``CHUNKS`` chunks, a pair within ``DISTANCE`` has one with at most
-``DISTANCE // CHUNKS`` = 1 errors, so the chunk agrees in all symbols but one.  Each chunk is
+Pigeonhole: of more chunks than half the distance (``chunks_of``), a pair within it has one with
+at most one error, so the chunk agrees in all symbols but one.  Each chunk is
 entered once per symbol that may be wrong, with that symbol left out: all pairs within the
 distance share an entry, for sure.  Entries with the same members are merged; members are
 compared by whole signatures, entry by entry in blocks, and what hangs together is a cluster of candidates.
@@ -18,6 +17,9 @@ Documents with equal sets are one class throughout.
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,10 +32,28 @@ from tallsketch.session import ship_package
 
 WORDS = 5
 SYMBOLS = 64
-DISTANCE = 23
-CHUNKS = 12
-#: Link when PERCENT * (size of the union) <= 100 * (size of the intersection).
+#: Probability that the signatures of a pair just at the similarity threshold are too far apart.
+MISS = 1e-5
+
+
+def distance_of(percent: int) -> int:
+    """Signature threshold for a similarity of ``percent``: a pair just at it differs in a
+    binomial number of symbols."""
+    p, tail, d = 1 - percent / 100, 0.0, SYMBOLS
+    while d and (more := tail + math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)) < MISS:
+        tail, d = more, d - 1
+    return d
+
+
+def chunks_of(distance: int) -> int:
+    """Chunks of which one has at most one of ``distance`` errors."""
+    return distance // 2 + 1
+
+
+#: Link when percent * (size of the union) <= 100 * (size of the intersection); op3's percent.
 PERCENT = 85
+DISTANCE = distance_of(PERCENT)
+CHUNKS = chunks_of(DISTANCE)
 #: Members of a block of signatures; documents and shingles of a block of sets.
 SIGNATURES, SETS, SHINGLES = 4096, 256, 300_000
 #: Rows of an entry within a block compared pair by pair; rows compared with all first in larger ones.
@@ -87,14 +107,14 @@ def class_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def _chunks() -> list[np.ndarray]:
-    return np.array_split(np.arange(SYMBOLS), CHUNKS)
+def _chunks(chunks: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(SYMBOLS), chunks)
 
 
-def entries(sigs: np.ndarray) -> np.ndarray:
+def entries(sigs: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """(rows, SYMBOLS) 64-bit entries: for each chunk and each of its symbols, the others."""
     wide, cols = sigs.astype(np.uint64), []
-    for c, chunk in enumerate(_chunks()):
+    for c, chunk in enumerate(_chunks(chunks)):
         for skip in chunk:
             key = np.full(len(sigs), np.uint64(c * 1000 + skip))
             for j in chunk:
@@ -121,17 +141,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def _enter(batches):
-    for b in batches:
-        if not b.num_rows:
-            continue
-        e = entries(_matrix(b.column("sig")))
-        cid = b.column("cid").to_numpy()
-        for at in range(0, len(e), 2000):
-            part = e[at : at + 2000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.ravel().view(np.int64)), pa.array(np.repeat(cid[at : at + 2000], SYMBOLS))],
-                names=["entry", "cid"])
+def _enter(chunks: int):
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            e = entries(_matrix(b.column("sig")), chunks)
+            cid = b.column("cid").to_numpy()
+            for at in range(0, len(e), 2000):
+                part = e[at : at + 2000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.ravel().view(np.int64)), pa.array(np.repeat(cid[at : at + 2000], SYMBOLS))],
+                    names=["entry", "cid"])
+    return run
 
 
 def _pack_signatures(slices):
@@ -139,8 +161,8 @@ def _pack_signatures(slices):
             np.concatenate([_matrix(s.column("sig")) for s in slices]))
 
 
-def _close_signatures(a, b):
-    """Links within DISTANCE among the rows of two blocks (or one) that share an entry: all of
+def _close_signatures(a, b, distance):
+    """Links within ``distance`` among the rows of two blocks (or one) that share an entry: all of
     small entries, and of large ones enough to connect what all of them connect."""
     entry, sig = (a[1], a[2]) if a is b else (np.concatenate([a[k], b[k]]) for k in (1, 2))
     order = np.argsort(entry, kind="stable")
@@ -153,40 +175,40 @@ def _close_signatures(a, b):
         at = np.flatnonzero((sorted_entry[d:] == sorted_entry[:-d]) & few[d:])
         for s in range(0, len(at), 100_000):
             x, y = order[at[s : s + 100_000]], order[at[s : s + 100_000] + d]
-            near = (sig[x] != sig[y]).sum(axis=1) <= DISTANCE
+            near = (sig[x] != sig[y]).sum(axis=1) <= distance
             i.append(x[near])
             j.append(y[near])
     for s, t in zip(start, stop):
         if t - s > FEW:
             rows = order[s:t]
-            for x, y in _connect(sig[rows]):
+            for x, y in _connect(sig[rows], distance):
                 i.append(rows[x])
                 j.append(rows[y])
     return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
 
 
-def _connect(sig):
-    """Links that connect what all links within DISTANCE connect: a few rows are compared with
+def _connect(sig, distance):
+    """Links that connect what all links within ``distance`` connect: a few rows are compared with
     all, then every row outside the largest component so far with all."""
     links, left = [], np.arange(len(sig))
     for _ in range(PIVOTS):
         if len(left):
-            near = np.flatnonzero((sig != sig[left[0]]).sum(axis=1) <= DISTANCE)
+            near = np.flatnonzero((sig != sig[left[0]]).sum(axis=1) <= distance)
             links.append((np.full(len(near), left[0]), near))
             left = np.setdiff1d(left, near, assume_unique=True)
     low = smallest(*(np.concatenate(k) for k in zip(*links)), len(sig))
     outside = np.flatnonzero(low != np.bincount(low).argmax())
     # unrelated rows differ in nearly all of the first symbols and are beyond the distance already
-    first, there = DISTANCE + 3, np.ascontiguousarray(sig.T)
+    first, there = distance + 3, np.ascontiguousarray(sig.T)
     for at in range(0, len(outside), 512):
         mine = outside[at : at + 512]
         d = np.zeros((len(mine), len(sig)), np.uint8)
         for k in range(first):
             d += there[k][mine][:, None] != there[k][None, :]
-        x, y = np.nonzero(d <= DISTANCE)
+        x, y = np.nonzero(d <= distance)
         for s in range(0, len(x), 200_000):
             u, v = x[s : s + 200_000], y[s : s + 200_000]
-            near = d[u, v] + (sig[mine[u], first:] != sig[v, first:]).sum(axis=1) <= DISTANCE
+            near = d[u, v] + (sig[mine[u], first:] != sig[v, first:]).sum(axis=1) <= distance
             links.append((mine[u[near]], v[near]))
     return links
 
@@ -216,7 +238,7 @@ def _pack_sets(slices):
     return keys, np.bincount(owner, minlength=len(keys)), values, owner
 
 
-def _similar_sets(a, b):
+def _similar_sets(a, b, percent):
     """Exact: intersections are counted over the shingles that occur on both sides."""
     common = np.intersect1d(a[2], b[2]) if a is not b else None
     if common is None:
@@ -238,24 +260,27 @@ def _similar_sets(a, b):
             dense.append(m)
         both += dense[0] @ dense[1].T
     inter = both.astype(np.int64)
-    return 100 * inter >= PERCENT * (a[1][:, None] + b[1][None, :] - inter)
+    return 100 * inter >= percent * (a[1][:, None] + b[1][None, :] - inter)
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: key (long), n_shingles, component_id, kept.
 
+    Documents whose sets have a similarity of ``percent`` or more in a hundred are linked.
+
     Null and empty texts have no shingles and link with nothing.  The component is the smallest
     key reachable by links; documents with equal sets are linked.  Rows of a repeated key are
     documents of their own; of those with the smallest key of a component, one is kept.  A null
     key comes after all others, so it names a component (null) only of documents without keys.
     Other columns are not read; empty input gives no rows."""
     place = free_name(docs, "_row")
-    return _components(located(docs, place), place, key, text).select(
+    return _components(located(docs, place), place, key, text, percent).select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def _components(docs: DataFrame, place: str, key: str, text: str) -> DataFrame:
+def _components(docs: DataFrame, place: str, key: str, text: str, percent: int) -> DataFrame:
     """(doc, row, n, component_id, kept)"""
+    distance = distance_of(percent)
     ship_package(docs.sparkSession)
     whole = docs.select(F.col(key).cast("long").alias("doc"), F.col(place).alias("row"), F.col(text).alias("text"))
     order = F.struct(F.coalesce("doc", F.lit(_LAST)).alias("ord"), "row")
@@ -263,7 +288,7 @@ def _components(docs: DataFrame, place: str, key: str, text: str) -> DataFrame:
                     "minhash-signed")
     classes = stored(signed.filter("cid is not null").groupBy("cid").agg(
         F.min(order).alias("low"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "minhash-classes")
-    entered = classes.select("cid", "sig").mapInArrow(_enter, "entry long, cid long")
+    entered = classes.select("cid", "sig").mapInArrow(_enter(chunks_of(distance)), "entry long, cid long")
     # one entry for each set of members
     shared = (
         entered.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b"),
@@ -272,7 +297,8 @@ def _components(docs: DataFrame, place: str, key: str, text: str) -> DataFrame:
     )
     members = entered.join(small(stored(shared, "minhash-entries")), "entry").join(classes.select("cid", "sig"), "cid")
     clusters = components(
-        linked_groups(stored(members, "minhash-members"), "entry", "cid", ["sig"], _pack_signatures, _close_signatures, SIGNATURES),
+        linked_groups(stored(members, "minhash-members"), "entry", "cid", ["sig"], _pack_signatures,
+                      partial(_close_signatures, distance=distance), SIGNATURES),
         "u", "v")
     inside = stored(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
                     .join(classes.select("cid", "low"), "cid"), "minhash-clusters")
@@ -282,7 +308,7 @@ def _components(docs: DataFrame, place: str, key: str, text: str) -> DataFrame:
             .join(inside.select("cid", "cluster"), "cid"))
     links = linked_groups(
         sets.select("cluster", "cid", "piece", F.least("size", F.lit(PIECE).cast("long")).alias("weight"), "part"),
-        "cluster", "cid", ["piece", "part"], _pack_sets, _similar_sets, SETS, "weight", SHINGLES, ["piece"])
+        "cluster", "cid", ["piece", "part"], _pack_sets, partial(_similar_sets, percent=percent), SETS, "weight", SHINGLES, ["piece"])
     named = components(links, "u", "v")
     per = stored(classes.select("cid", "low", "copies").join(named.withColumnRenamed("node", "cid"), "cid", "left")
                  .withColumn("component", F.coalesce("component", "cid")), "minhash-per-class")
@@ -294,11 +320,11 @@ def _components(docs: DataFrame, place: str, key: str, text: str) -> DataFrame:
                          (F.col("row") == F.col("first.row")).alias("kept")).unionByName(alone)
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, one per component, with all their columns, whatever their names."""
     place = free_name(docs, "_row")
     rows = located(docs, place)
-    gone = stored(_components(rows, place, key, text).filter("not kept").select(F.col("row").alias(place)), "minhash-gone")
+    gone = stored(_components(rows, place, key, text, percent).filter("not kept").select(F.col("row").alias(place)), "minhash-gone")
     return rows.join(small(gone), place, "left_anti").drop(place)
 
 

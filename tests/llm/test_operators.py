@@ -144,6 +144,40 @@ def test_near_dedup(spark, docs, by_id):
     assert minhash_dedup.near_components(empty(spark)).collect() == []
 
 
+def test_near_stage_links_from_80_on(spark):
+    assert (minhash_dedup.DISTANCE, minhash_dedup.CHUNKS) == (23, 12)
+    rng, by_id = random.Random(12), {}
+    for base in range(0, 240, 8):  # each base and copies with one changed run of words
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(90, 140))]
+        by_id[base] = " ".join(words)
+        for k in range(1, 8):
+            at, n = rng.randrange(5, 60), rng.randint(4, 16)
+            by_id[base + k] = " ".join([*words[:at], *(f"v{rng.randrange(10**6)}" for _ in range(n)), *words[at + n :]])
+    sets = brute_sets(by_id)
+    links = {p: [(a, b) for a, b in itertools.combinations(sets, 2)
+                 if 100 * len(sets[a] & sets[b]) >= p * len(sets[a] | sets[b])] for p in (80, 85)}
+    low = {p: brute_components(sets, x) for p, x in links.items()}
+    assert len(links[80]) > len(links[85]) + 20 and low[80] != low[85]
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    for p in (80, 85):
+        got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_components(docs, percent=p).collect()}
+        assert got == low[p]
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert left == {i for i in sets if low[80][i] == i}
+
+
+def test_every_pair_within_each_distance_shares_an_entry():
+    rng = np.random.default_rng(3)
+    for percent in (70, 80, 85, 95):
+        distance = minhash_dedup.distance_of(percent)
+        a = rng.integers(0, 2**16, (200, minhash_dedup.SYMBOLS), dtype=np.uint16)
+        b = a.copy()
+        for row in b:
+            row[rng.choice(minhash_dedup.SYMBOLS, distance, replace=False)] ^= 1
+        ea, eb = (minhash_dedup.entries(x, minhash_dedup.chunks_of(distance)) for x in (a, b))
+        assert (ea == eb).any(axis=1).all()
+
+
 def test_near_dedup_repeated_and_null_keys(spark):
     t = " ".join(f"w{k}" for k in range(40))
     df = spark.createDataFrame([(7, t), (7, t), (None, t), (None, "a b"), (9, t + " z")], "doc_id long, text string")
