@@ -9,6 +9,9 @@ with a smaller key.  The corpus is dealt out so that equal strings meet:
    documents have.
 3. For those anchors alone, the bytes around (all strings that contain the anchor) are sent to
    the task that owns the anchor's hash.  Equal surroundings are collapsed before and after.
+   A hot anchor's strings are sent one by one instead, as 128-bit hashes: the strings whose
+   smallest gram it is, each once per batch by its first document.  The owner of a hash streams
+   its documents in order and marks all but the first, so no group of surroundings gathers.
 4. The owner builds an index of the surroundings, a few hundred KB at a time: the run-compressed
    Burrows-Wheeler transform with the text positions and the match lengths at its run heads.
    Matching statistics stream over the text from those samples: inside a run the match with the
@@ -35,9 +38,11 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of texts that are hashed at once, bytes of surroundings in an index.
 CHUNK, INDEX = 1 << 19, 1 << 18
-#: An anchor that more documents have, and more than this share of all, is hot: its surroundings
-#: are dealt out by more bytes.
+#: An anchor that occurs more often, and more often than in this share of all documents, is hot
+#: (a repeated line makes it occur often in one): its strings are dealt out one by one.
 HOT, HOT_SHARE = 5_000, 0.01
+#: Strings of hot anchors that are collapsed at once; ``at`` of their rows.
+STRINGS, HASHED = 1 << 19, -2
 #: Documents with spans plus spans that may be broadcast.
 MARKS = 1_500_000
 _LAST = 2**63 - 1
@@ -99,21 +104,23 @@ def _bytes(column) -> list[bytes]:
 
 
 def _anchor_rows(length: int):
-    """(h, ord, tag, several, local): an anchor once per batch, by its first document; the other
-    documents of the batch that have it are known to share it and carry the list along."""
+    """(h, ord, tag, several, times, local): an anchor once per batch, by its first document, with
+    its occurrences in the batch; the other documents of the batch that have it are known to share
+    it and carry the list along."""
     def run(batches):
         for b in batches:
             ords, tags = b.column("ord").to_numpy(), b.column("tag").to_numpy()
-            hs, owners = [], []
+            hs, owners, times = [], [], []
             for i, _, h in anchors(_bytes(b.column("text")), length):
-                u = np.unique(h)
+                u, c = np.unique(h, return_counts=True)
                 hs.append(u)
+                times.append(c)
                 owners.append(np.full(len(u), i))
             if not hs:
                 continue
-            h, owner = np.concatenate(hs), np.concatenate(owners)
+            h, owner, c = np.concatenate(hs), np.concatenate(owners), np.concatenate(times)
             order = np.lexsort((ords[owner], h))
-            h, owner = h[order], owner[order]
+            h, owner, c = h[order], owner[order], c[order]
             first = np.concatenate([[True], h[1:] != h[:-1]])
             group = np.cumsum(first) - 1
             # several: documents of different keys in the batch have it
@@ -125,7 +132,8 @@ def _anchor_rows(length: int):
             for i, x in zip(owner[rest].tolist(), h[rest].tolist()):
                 local.setdefault(i, []).append(x)
             same = ~first & ~several[group]  # rows of one key: each takes part by itself
-            k, s = np.concatenate([owner[first], owner[same]]), np.concatenate([n, np.ones(same.sum(), np.int64)])
+            k = np.concatenate([owner[first], owner[same]])
+            s = np.concatenate([np.add.reduceat(np.where(same, 0, c), np.flatnonzero(first)), c[same]])
             flag = np.concatenate([several, np.zeros(same.sum(), bool)])
             out_h = np.concatenate([h[first], h[same]]).view(np.int64)
             extra = list(local)
@@ -135,7 +143,7 @@ def _anchor_rows(length: int):
                  pa.array(np.concatenate([tags[k], tags[extra].astype(np.int32)])), pa.array(np.concatenate([flag, np.ones(len(extra), bool)])),
                  pa.array(np.concatenate([s, np.ones(len(extra), np.int64)])),
                  pa.array([None] * len(k) + [np.array(local[i], np.uint64).tobytes() for i in extra], pa.binary())],
-                names=["h", "ord", "tag", "several", "docs", "local"])
+                names=["h", "ord", "tag", "several", "times", "local"])
     return run
 
 
@@ -155,27 +163,50 @@ _ROWS = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("tag", pa.int32())
 _COLUMNS = "key long, ord long, tag int, start long, end long, at int, around binary"
 
 
+def _hot_starts(size: int, pos: np.ndarray, h: np.ndarray, hot: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the strings whose smallest gram is hot; ``pos`` and ``h`` are all anchors of a
+    text of ``size`` bytes, so each string has its smallest gram among them."""
+    low = np.full(size - GRAM + 1, np.uint64(2**64 - 1))
+    low[pos] = h
+    return np.flatnonzero(np.isin(slide(low, length - GRAM + 1, np.minimum), hot))
+
+
+def _collapsed(owner: np.ndarray, start: np.ndarray, digests: bytes, ords: np.ndarray, tags: np.ndarray, length: int):
+    """(rows, spans) of strings given by text number, start and hash: of each hash the rows of the
+    smallest ord go to its owner, overlapping ones of a text as one; those of others are spans
+    (text number, start, end)."""
+    h = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    o = ords[owner]
+    order = np.lexsort((start, owner, o, h[:, 1], h[:, 0]))
+    h, o, owner, start = h[order], o[order], owner[order], start[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)])
+    later = o > o[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+    def merged(owner, start, edge):
+        edge = np.concatenate([[True], edge | (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + length)])
+        at = np.flatnonzero(edge)
+        return at, owner[at], start[at], start[np.append(at[1:], len(start)) - 1] + length
+
+    rows = spans = None
+    if later.any():
+        by = np.lexsort((start[later], owner[later]))
+        spans = merged(owner[later][by], start[later][by], False)[1:]
+    h, owner, start, new = h[~later], owner[~later], start[~later], new[~later]
+    at, i, a, e = merged(owner, start, (h[1:] != h[:-1]).any(axis=1))
+    data = h[at].tobytes()
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(h[at, 0].view(np.int64)), pa.array(ords[i]), pa.array(tags[i]), pa.array(a), pa.array(e),
+         pa.array(np.full(len(at), HASHED, np.int32)), pa.array([data[k : k + 16] for k in range(0, len(data), 16)], pa.binary())],
+        schema=_ROWS)
+    return rows, spans
+
+
 def _surroundings(length: int, hot: set[int]):
     """Rows (key, ord, tag, start, end, at, around) for shared anchors; rows without ``around`` are
     spans already known to repeat from an earlier document of the batch.  ``at`` is the anchor's
-    place in ``around``, -1 for a hot one."""
+    place in ``around``.  For the strings of hot anchors, ``at`` is HASHED, ``around`` the hash."""
     reach = length - GRAM
-    half = reach // 2
-
-    def pieces(text, p, h):
-        """(key, begin, end) of what is sent for the anchor at p."""
-        a, e = max(0, p - reach), min(len(text), p + length)
-        if h not in hot:
-            return ((h, a, e),)
-        # a string of ``length`` bytes around the anchor holds ``half`` more bytes on its right, or
-        # reach - half + 1 more on its left: the key of a hot anchor is made from those too
-        out = []
-        if p + GRAM + half <= len(text):
-            out.append((_key(text[p : p + GRAM + half], 1), max(0, p - reach + half), e))
-        left = reach - half + 1
-        if p >= left:
-            out.append((_key(text[p - left : p + GRAM], 2), a, min(len(text), p - left + length)))
-        return out
+    hot_hashes = np.array(sorted(hot), np.uint64)
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
@@ -184,9 +215,20 @@ def _surroundings(length: int, hot: set[int]):
         for b in batches:
             texts = _bytes(b.column("text"))
             ords, tags = b.column("ord").to_pylist(), b.column("tag").to_pylist()
+            all_ords, all_tags = np.array(ords, np.int64), np.array(tags, np.int32)
             hs, locals_ = b.column("hs"), b.column("locals")
             found = {i: (pos, h) for i, pos, h in anchors(texts, length)}
             rows, spans, seen = [], {}, {}
+            owners, starts, digests, strings = [], [], [], 0
+
+            def collapse():
+                nonlocal owners, starts, digests, strings
+                out, later = _collapsed(np.concatenate(owners), np.concatenate(starts), b"".join(digests), all_ords, all_tags, length)
+                for i, a, e in zip(*(x.tolist() for x in later)) if later else ():
+                    spans.setdefault(i, []).append((a, e))
+                owners, starts, digests, strings = [], [], [], 0
+                return out
+
             for i in sorted(found, key=lambda i: ords[i]):
                 pos, h = found[i]
                 own = [hs[i].values.to_numpy().view(np.uint64), *(np.frombuffer(x, np.uint64) for x in locals_[i].as_py())]
@@ -194,19 +236,28 @@ def _surroundings(length: int, hot: set[int]):
                 at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
                 keep = shared[at] == h
                 text = texts[i]
+                if len(hot_hashes) and (hot_here := np.isin(h, hot_hashes)).any():
+                    keep &= ~hot_here
+                    at = _hot_starts(len(text), pos, h, hot_hashes, length)
+                    owners.append(np.full(len(at), i))
+                    starts.append(at)
+                    digests.append(b"".join(xxhash.xxh3_128_digest(text[q : q + length]) for q in at.tolist()))
+                    strings += len(at)
+                    if strings >= STRINGS:
+                        yield collapse()
                 for p, x in zip(pos[keep].tolist(), h[keep].tolist()):
-                    for key, a, e in pieces(text, p, x):
-                        if e - a < length:
-                            continue
-                        around = text[a:e]
-                        first = seen.setdefault((key, xxhash.xxh3_128_digest(around, seed=p - a)), ords[i])
-                        if first < ords[i]:
-                            spans.setdefault(i, []).append((a, e))
-                        else:
-                            rows.append((key - 2**63, ords[i], tags[i], a, e, -1 if x in hot else p - a, around))
+                    a, e = max(0, p - reach), min(len(text), p + length)
+                    around = text[a:e]
+                    first = seen.setdefault((x, xxhash.xxh3_128_digest(around, seed=p - a)), ords[i])
+                    if first < ords[i]:
+                        spans.setdefault(i, []).append((a, e))
+                    else:
+                        rows.append((x - 2**63, ords[i], tags[i], a, e, p - a, around))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
+            if strings:
+                yield collapse()
             for i, s in spans.items():
                 # spans pass through the owner's task; the key only deals them out
                 rows.extend((((ords[i] * 2654435761 + a) % 2**64) - 2**63, ords[i], tags[i], a, e, -1, None)
@@ -216,10 +267,6 @@ def _surroundings(length: int, hot: set[int]):
     return run
 
 
-def _key(part: bytes, side: int) -> int:
-    return xxhash.xxh3_64_intdigest(part, seed=side)
-
-
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of a list of strings, with samples at run heads.
 
@@ -321,9 +368,6 @@ def _extended(group: dict[bytes, tuple], length: int) -> set[bytes]:
     out = set()
     for around, row in group.items():
         at = row[4]
-        if at < 0:
-            out.add(around)
-            continue
         if len(around) >= at + GRAM + half:
             sides.setdefault((1, around[at + GRAM : at + GRAM + half]), []).append(around)
         if at >= left:
@@ -368,7 +412,7 @@ def _mark(length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
 
         schema = pa.schema([("ord", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-        key, group, again, pending, size = None, {}, [], [], 0
+        key, group, again, firsts, pending, size = None, {}, [], {}, [], 0
 
         def close():
             """A key with one string only repeats nothing but whole surroundings."""
@@ -389,7 +433,11 @@ def _mark(length: int):
                     continue
                 if k != key:
                     close()
-                    key, group, again = k, {}, []
+                    key, group, again, firsts = k, {}, [], {}
+                if at == HASHED:
+                    if firsts.setdefault(around, o) < o:
+                        out.append((o, t, s, e))
+                    continue
                 known = group.get(around)
                 if known is None:
                     group[around] = (o, t, s, around, at)
@@ -424,20 +472,20 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                     .select("_ord", "_sha", "_tag", "_bytes").distinct(), "suffix-copies")
     once = own.join(small(copies).select("_ord", "_sha"), ["_ord", "_sha"], "left_anti")
     body = once.select(F.col("_ord").alias("ord"), F.col("_tag").alias("tag"), F.coalesce("_text", F.lit("")).alias("text"))
-    rows = body.mapInArrow(_anchor_rows(length), "h long, ord long, tag int, several boolean, docs long, local binary")
-    hot_docs = max(HOT, int(heads.count() * HOT_SHARE))
+    rows = body.mapInArrow(_anchor_rows(length), "h long, ord long, tag int, several boolean, times long, local binary")
+    hot_times = max(HOT, int(heads.count() * HOT_SHARE))
     same = Window.partitionBy("h")
     flagged = (
         rows.withColumn("lo", F.min("ord").over(same)).withColumn("hi", F.max("ord").over(same))
-        .withColumn("any", F.max(F.col("several").cast("int")).over(same)).withColumn("all", F.sum("docs").over(same))
+        .withColumn("any", F.max(F.col("several").cast("int")).over(same)).withColumn("all", F.sum("times").over(same))
         .filter("lo < hi or any = 1 or local is not null")
         .select("ord", "tag", F.when(F.col("local").isNull(), F.col("h")).alias("h"), "local",
-                (F.col("all") > hot_docs).alias("hot"))
+                (F.col("all") > hot_times).alias("hot"))
     )
     lists = stored(flagged.groupBy("ord", "tag").agg(
         F.collect_list("h").alias("hs"), F.collect_list("local").alias("locals"),
         F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hots")), "suffix-lists")
-    # anchors that more than one in HOT_SHARE documents have: a bounded number
+    # as many as the anchors of a document over HOT_SHARE: a bounded number
     hot = {r[0] % 2**64 for r in lists.select(F.explode("hots")).distinct().collect()}
     spans = (
         body.join(lists.select("ord", "tag", "hs", "locals"), ["ord", "tag"])

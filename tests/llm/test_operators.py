@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables with nulls, empty and long texts,
 ties, repeated rows, clashing column names, and on empty tables."""
 
+import collections
 import hashlib
 import io
 import itertools
@@ -11,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +401,48 @@ def test_suffix_dedup(spark, docs, by_id, hot, monkeypatch):
         assert suffix_dedup.digest(empty(spark)).collect() == []
 
 
+def test_hot_passage_gathers_in_no_group(spark, monkeypatch):
+    """Documents that share a passage between bytes of their own: no key gets a row per document."""
+    rng = random.Random(8)
+    own = lambda n: bytes(rng.choices(range(97, 123), k=n)).decode()
+    passage = own(130)
+    rows = [(k, own(rng.randint(40, 90)) + passage + own(rng.randint(0, 90))) for k in range(300)]
+    rows += [(300, passage[:90]), (301, "x" * 200), (302, "y" + "x" * 120 + passage), (302, passage + passage), (None, passage * 2)]
+    found = {i: h for i, _, h in suffix_dedup.anchors([t.encode() for _, t in rows])}
+    count = collections.Counter(x for h in found.values() for x in set(h.tolist()))
+    hot = {x for x, n in count.items() if n > 50}
+    assert hot
+    batches = [pa.RecordBatch.from_pydict({
+        "text": [t for _, t in rows[k : k + 30]], "ord": [o for o, _ in rows[k : k + 30]], "tag": pa.array([0] * 30, pa.int32()),
+        "hs": [found[i].view(np.int64).tolist() for i in range(k, k + 30)],
+        "locals": pa.array([[]] * 30, pa.list_(pa.binary()))}) for k in range(0, 300, 30)]
+    sent = pa.Table.from_batches(suffix_dedup._surroundings(50, hot)(iter(batches))).to_pylist()
+    keys = collections.Counter(r["key"] for r in sent if r["around"] is not None)
+    assert max(keys.values()) <= len(batches)
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(docs).collect())
+    order = [(2**63 if o is None else o, t.encode()) for o, t in rows]
+    want = [(len(b), len(g), sum(k - 1 not in g for k in g), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in g)).hexdigest())
+            for (_, b), g in zip(order, brute_removed(order, 50))]
+    assert got == sorted(want)
+
+
+def test_anchors_count_every_occurrence():
+    """A line repeated within documents makes an anchor hot like a line of many documents."""
+    line = "".join(random.Random(9).choices("abcdefghijklmnop", k=30))
+    batch = pa.RecordBatch.from_pydict({"ord": [1, 2, 2], "tag": pa.array([1, 2, 3], pa.int32()), "text": [line * 40, line * 30, line * 20]})
+    rows = pa.Table.from_batches(suffix_dedup._anchor_rows(50)(iter([batch]))).to_pylist()
+    assert max(r["times"] for r in rows) > 80
+    same = batch.slice(1)
+    rows = pa.Table.from_batches(suffix_dedup._anchor_rows(50)(iter([same]))).to_pylist()
+    per = collections.Counter()
+    for r in rows:
+        per[r["h"]] += r["times"]
+    assert max(per.values()) == sum(max(collections.Counter(h.tolist()).values()) for _, _, h in suffix_dedup.anchors([(line * 30).encode(), (line * 20).encode()]))
+
+
 def test_suffix_dedup_repeated_and_null_keys(spark):
     a, b = "abcdefghij" * 8, "0123456789" * 7
     rows = [(2, a), (2, a + b), (1, b), (None, a), (None, "q" * 70), (None, "q" * 70)]
