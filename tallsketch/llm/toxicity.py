@@ -7,8 +7,11 @@ probabilities; a text is described by the ratio normalised by its length and by
 three strongest words, and a logistic curve fitted on labelled documents that the models have
 not seen turns the two into a probability.
 
-The models are fitted on at most ``MAX_DOCS`` labelled documents (the smallest md5(doc_id)), so
-what is collected and broadcast is bounded.  Counts are of documents, not occurrences.
+The models count all labelled documents outside the held-out fold; only the curve is fitted on a
+bounded sample (the smallest md5(doc_id)), which the models do not count.  Counts are of
+documents, not occurrences.  A model of up to ``MODEL_ROWS`` words and pairs is collected and
+broadcast; a larger one stays a table: every block of documents is joined with the entries of its
+own words and pairs.
 """
 
 import math
@@ -17,18 +20,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallsketch.llm.common import stored, table
+from tallsketch.llm.common import free_name, located, small, stored, table
 from tallsketch.session import ship_package
 
-#: Labelled documents that the models and the curve are fitted on, at most.
+#: A CURVE_SHARE-th of the labelled documents, of at most so many, fits the curve; all others count.
 MAX_DOCS = 12_000
-#: Every fourth of them fits the curve, the others the models.
 CURVE_SHARE = 4
-#: Documents that a word or a word pair must occur in to be in the model.
+#: Words and pairs of a model that is broadcast, at most; rows of a block that meets a larger one.
+MODEL_ROWS, BLOCK = 500_000, 1000
+#: Grams that a task counts before it passes them on.
+COUNTED = 200_000
+#: Documents that a word or a word pair must occur in to be in the model.  Fewer are below the
+#: discount in both classes, so they leave the ratio to the shared backoff in any case.
 MIN_WORD, MIN_PAIR = 3, 3
 #: Absolute discount, in documents: an expression seen in fewer documents of a class is left to
 #: the backoff that both classes share, so that rare words are no evidence by themselves.
@@ -92,92 +100,205 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + f @ self.curve[1:], -40, 40)))
 
 
-def training_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(key, toxic, part): the labelled documents to learn from; a repeated one counts as its
-    largest label, null labels and keys are left out."""
+@dataclass
+class Tables:
+    """A model too large to collect: ``entries`` (before, word, a, b, c, d) holds a word's two
+    probabilities and context weights (before is empty) and a pair's two probabilities."""
+
+    entries: DataFrame
+    unknown: tuple[float, float]  # P_c of a word outside the model
+    curve: np.ndarray = None
+
+
+def training_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_docs: int | None = MAX_DOCS) -> DataFrame:
+    """(key, toxic, order, curve): the labelled documents to learn from, all or the first
+    ``max_docs``; a repeated one counts as its largest label, null labels and keys are left out.
+    ``_curve`` marks those that may fit the curve."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     fold = F.crc32(F.col(key).cast("string")) % FOLDS
     order = F.md5(F.col(key).cast("string"))
-    return (
-        known.filter(fold != HELD_OUT).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_toxic"))
-        .withColumn("_order", order).orderBy("_order").limit(max_docs)
-        .select(key, "_toxic", (F.crc32("_order") % CURVE_SHARE == 0).alias("_curve"))
-    )
+    rows = known.filter(fold != HELD_OUT).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_toxic")).withColumn("_order", order)
+    if max_docs is not None:
+        rows = rows.orderBy("_order").limit(max_docs)
+    return rows.select(key, "_toxic", "_order", (F.crc32("_order") % CURVE_SHARE == 0).alias("_curve"))
 
 
 def _count_grams(batches):
-    """(before, word, toxic, ordinary) documents per batch; before is null for single words."""
+    """(gram, n): a word or two words with a blank between, a bounded number of grams at a time;
+    n holds the toxic documents in its upper 32 bits, the ordinary ones in the lower."""
+    def counted():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                          names=["gram", "n"])
+
+    counts: dict[str, int] = {}
     for b in batches:
-        counts: dict[tuple, list[int]] = {}
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            w = words(text)
-            for gram in {*((None, x) for x in w), *zip(w, w[1:])}:
-                counts.setdefault(gram, [0, 0])[1 - toxic] += 1
-        if counts:
-            before, word = zip(*counts)
-            toxic, ordinary = zip(*counts.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(before, pa.string()), pa.array(word, pa.string()), pa.array(toxic, pa.int64()),
-                 pa.array(ordinary, pa.int64())], names=["before", "word", "toxic", "ordinary"])
+            w, one = words(text), 1 << 32 if toxic else 1
+            for gram in {*w, *map(" ".join, zip(w, w[1:]))}:
+                counts[gram] = counts.get(gram, 0) + one
+            if len(counts) >= COUNTED:
+                yield counted()
+                counts = {}
+    if counts:
+        yield counted()
+
+
+def _grams(train: DataFrame) -> DataFrame:
+    """(before, word, toxic, ordinary, left, begun_toxic, begun_ordinary): of words (before is
+    empty) the documents, the distinct words before it and the sums of the pairs it begins; of
+    pairs with MIN_PAIR documents the documents."""
+    counted = (train.mapInArrow(_count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+               .select(F.when(F.instr("gram", " ") > 0, F.substring_index("gram", " ", 1)).otherwise("").alias("before"),
+                       F.substring_index("gram", " ", -1).alias("word"), F.shiftright("n", 32).alias("t"),
+                       F.col("n").bitwiseAND(F.lit(2**32 - 1)).alias("o")))
+    names = ("before", "word", "toxic", "ordinary", "left", "begun_toxic", "begun_ordinary")
+
+    def row(*values):
+        return F.struct(*[v.cast("long" if k > 1 else "string").alias(n) for k, (n, v) in enumerate(zip(names, values))])
+
+    none, single = F.lit(0), F.col("before") == ""
+    rows = F.array_compact(F.array(
+        F.when(single | (F.col("t") + F.col("o") >= MIN_PAIR), row(F.col("before"), F.col("word"), F.col("t"), F.col("o"), none, none, none)),
+        F.when(~single, row(F.lit(""), F.col("word"), none, none, F.lit(1), none, none)),
+        F.when(~single, row(F.lit(""), F.col("before"), none, none, none, F.col("t"), F.col("o")))))
+    return counted.select(F.explode(rows).alias("r")).select("r.*").groupBy("before", "word").agg(
+        *[F.sum(n).alias(n) for n in names[2:]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        max_docs: int = MAX_DOCS) -> Model:
-    """Fit the models and the curve.  With one class or no labels at all, every score is the
-    smoothed share of toxic labels."""
+        max_docs: int = MAX_DOCS) -> "Model | Tables":
+    """Fit the models on all labelled documents and the curve on at most ``max_docs`` //
+    CURVE_SHARE others.  With one class or no labels at all, every score is the smoothed share of
+    toxic labels."""
     ship_package(docs.sparkSession)
-    chosen = F.broadcast(training_rows(labels, key, label, max_docs))  # at most max_docs rows
+    chosen = small(stored(training_rows(labels, key, label, None), "toxicity-labels"))
     train = stored(docs.select(key, F.col(text).alias("_text")).join(chosen, key)
-                   .select("_text", "_toxic", "_curve"), "toxicity-train")
-    grams = stored(train.filter("not _curve").select("_text", "_toxic")
-                   .mapInArrow(_count_grams, "before string, word string, toxic long, ordinary long")
-                   .groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
-                   "toxicity-grams")
+                   .select("_text", "_toxic", "_order", "_curve"), "toxicity-train")
+    sample = stored(train.filter("_curve").orderBy("_order").limit(max(1, max_docs // CURVE_SHARE)), "toxicity-curve")
+    last = sample.agg(F.max("_order")).first()[0] or ""
+    grams = stored(_grams(train.filter(~F.col("_curve") | (F.col("_order") > last)).select("_text", "_toxic")), "toxicity-grams")
     model = _kneser_ney(grams)
+    if model.entries.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS:
+        model = _collected(model.entries.toArrow(), model.unknown)
     model.curve = np.zeros(3)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def features(batches):
-        for b in batches:
-            f = shared.value.features(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["y", "a", "b"])
-
-    seen = train.filter("_curve").select("_text", "_toxic").mapInArrow(features, "y int, a double, b double").toPandas()
+    place = "_row"
+    seen = _described(located(sample, place), place, "_text", model).join(
+        located(sample, place).select(F.col(place).alias("row"), "_toxic"), "row").select("_toxic", "a", "b").toPandas()
     every = train.agg(F.count(F.lit(1)), F.sum("_toxic")).first()
-    model.curve = _logistic(seen[["a", "b"]].to_numpy(float), seen["y"].to_numpy(float),
+    model.curve = _logistic(seen[["a", "b"]].to_numpy(float), seen["_toxic"].to_numpy(float),
                             ((every[1] or 0) + 0.5) / (every[0] + 1.0))
     return model
 
 
-def _kneser_ney(grams: DataFrame) -> Model:
-    single, pair = grams.filter("before is null"), grams.filter("before is not null")
-    # each is bounded by the training documents
-    follow = pair.groupBy("word").agg(F.count(F.lit(1)).alias("left"))
-    uni = (single.join(follow, "word", "left").filter(F.col("toxic") + F.col("ordinary") >= MIN_WORD)
-           .select("word", "toxic", "ordinary", F.coalesce("left", F.lit(0)).alias("left")).toPandas().sort_values("word"))
-    total = single.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("toxic", "ordinary")]).first()
-    left_total = pair.count()
-    numbers = {w: i + 1 for i, w in enumerate(uni["word"])}
+def _kneser_ney(grams: DataFrame) -> Tables:
+    single, pair = grams.filter("before = ''"), grams.filter("before <> ''")
+    both = F.col("toxic") + F.col("ordinary")
+    uni = single.filter(both >= MIN_WORD)
+
+    def over(name):
+        return F.greatest(F.col(name) - DISCOUNT, F.lit(0.0))
+
+    total = single.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("ordinary", "toxic", "left")]).first()
+    kept = uni.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(over(x)), F.lit(0.0)) for x in ("ordinary", "toxic")]).first()
+    among = total[2] + 0.5 * (kept[0] + 1)
+    of = [max(float(t), 1.0) for t in total[:2]]
+    rest = [1 - kept[c + 1] / of[c] for c in (0, 1)]
+    begin = single.select(F.col("word").alias("before"), F.col("begun_ordinary").alias("co"), F.col("begun_toxic").alias("ct"))
+    pairs = stored(pair.select("before", "word", "toxic", "ordinary").join(begin, "before").select(
+        "before", "word", *[(over(n) / F.greatest(F.col(base), F.lit(1))).alias(out)
+                            for n, base, out in (("ordinary", "co", "a"), ("toxic", "ct", "b"))]), "toxicity-pairs")
+    given = pairs.groupBy(F.col("before").alias("word")).agg(*[F.greatest(1 - F.sum(x), F.lit(1e-6)).alias(y) for x, y in (("a", "c"), ("b", "d"))])
+    share = (F.col("left") + 0.5) / among
+    singles = uni.join(given, "word", "left").select(
+        F.lit("").alias("before"), "word", *[(over(n) / of[c] + rest[c] * share).alias("ab"[c]) for c, n in ((0, "ordinary"), (1, "toxic"))],
+        F.coalesce("c", F.lit(1.0)).alias("c"), F.coalesce("d", F.lit(1.0)).alias("d"))
+    # pairs without a probability of their own change nothing
+    entries = singles.unionByName(pairs.filter("a > 0 or b > 0").withColumn("c", F.lit(1.0)).withColumn("d", F.lit(1.0)))
+    return Tables(stored(entries, "toxicity-model"), tuple(r * 0.5 / among for r in rest))
+
+
+def _collected(entries: pa.Table, unknown: tuple[float, float]) -> Model:
+    """The model of the given entries; other words are unknown."""
+    value = np.array([entries.column(n).to_numpy() for n in "abcd"], float).reshape(4, -1)
+    single = pc.equal(entries.column("before"), "").to_numpy().astype(bool)
+    names = np.array(entries.column("word").filter(pa.array(single)).to_pylist(), object)
+    order = np.argsort(names)
+    numbers = {w: i + 1 for i, w in enumerate(names[order])}
     size = len(numbers) + 1
-    share = np.concatenate([[0.5], uni["left"].to_numpy(float) + 0.5]) / (left_total + 0.5 * size)
-    p = np.empty((2, size))
-    for c, name in ((0, "ordinary"), (1, "toxic")):
-        n = np.concatenate([[0.0], uni[name].to_numpy(float)])
-        kept = np.maximum(n - DISCOUNT, 0) / max(float(total[1 - c]), 1.0)
-        p[c] = kept + (1 - kept.sum()) * share
-    begin = pair.groupBy("before").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    kept = pair.filter(F.col("toxic") + F.col("ordinary") >= MIN_PAIR).join(
-        begin.select("before", F.col("toxic").alias("ct"), F.col("ordinary").alias("co")), "before").toPandas()
-    kept = kept[kept["before"].isin(numbers) & kept["word"].isin(numbers)]
-    a, b = (kept[x].map(numbers).to_numpy(np.int64) for x in ("before", "word"))
-    order = np.argsort(a * size + b)
-    a, b = a[order], b[order]
-    pair_p, context = np.zeros((2, len(a))), np.ones((2, size))
-    for c, name, of in ((0, "ordinary", "co"), (1, "toxic", "ct")):
-        n, base = kept[name].to_numpy(float)[order], kept[of].to_numpy(float)[order]
-        pair_p[c] = np.maximum(n - DISCOUNT, 0) / np.maximum(base, 1.0)
-        context[c] -= np.bincount(a, pair_p[c], size)
-    return Model(numbers, p, np.maximum(context, 1e-6), a * size + b, pair_p)
+    uni = value[:, single][:, order]
+    # a pair's words have at least its documents, so they are in the model too
+    at, known = np.flatnonzero(~single), pa.array(names[order], pa.string())
+    i, j = (pc.index_in(entries.column(n).filter(pa.array(~single)), known).to_numpy().astype(np.int64) + 1 for n in ("before", "word"))
+    keys = i * size + j
+    by = np.argsort(keys)
+    return Model(numbers, np.column_stack([unknown, uni[:2]]), np.column_stack([[1.0, 1.0], uni[2:]]), keys[by], value[:2, at[by]])
+
+
+def _block_grams(batches):
+    """(block, before, word): the grams of each run of documents of one block, distinct but for
+    those of a long run."""
+    def passed():
+        before, word = zip(*grams)
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(before, pa.string()),
+                                           pa.array(word, pa.string())], names=["block", "before", "word"])
+
+    block, grams = None, set()
+    for b in batches:
+        for now, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if grams and (now != block or len(grams) >= COUNTED):
+                yield passed()
+                grams = set()
+            block = now
+            w = words(text)
+            grams.update((("", x) for x in w), zip(w, w[1:]))
+    if grams:
+        yield passed()
+
+
+def _block_features(unknown: tuple[float, float]):
+    """Streams blocks, of each its entries and then its documents; yields (row, a, b)."""
+    def run(batches):
+        block, held, model = None, [], None
+        for batch in batches:
+            ids, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])])) if len(ids) else []
+            for s, e in zip(edge, [*edge[1:], len(ids)]):
+                if ids[s] != block:
+                    block, held, model = ids[s], [], None
+                part = batch.slice(s, e - s)
+                if kinds[s] == 0:
+                    held.append(part.select(["before", "word", "a", "b", "c", "d"]))
+                    continue
+                if model is None:
+                    empty = batch.slice(0, 0).select(["before", "word", "a", "b", "c", "d"])
+                    rows = pa.Table.from_batches(held or [empty])
+                    # an entry that was found twice
+                    rows = rows.group_by(["before", "word"]).aggregate([(x, "min") for x in "abcd"])
+                    model, held = _collected(rows.rename_columns({f"{x}_min": x for x in "abcd"}), unknown), []
+                f = model.features(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["row", "a", "b"])
+    return run
+
+
+def _described(docs: DataFrame, place: str, text: str, model: "Model | Tables") -> DataFrame:
+    """(row, a, b): the two features of every document of ``docs``, located by ``place``."""
+    row = "row struct<file: long, row: long>"
+    own = docs.select(F.col(place).alias("row"), F.col(text).alias("text"))
+    if isinstance(model, Model):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            for b in batches:
+                f = shared.value.features(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["row", "a", "b"])
+
+        return own.mapInArrow(run, f"{row}, a double, b double")
+    own = own.withColumn("block", F.xxhash64("row.file", F.floor(F.col("row.row") / BLOCK)))
+    found = own.select("block", "text").mapInArrow(_block_grams, "block long, before string, word string").join(
+        model.entries, ["before", "word"])
+    sent = found.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return (sent.select("block", "kind", "row", "text", "before", "word", "a", "b", "c", "d").repartition("block")
+            .sortWithinPartitions("block", "kind").mapInArrow(_block_features(model.unknown), f"{row}, a double, b double"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
@@ -196,11 +317,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: "Model | Tables", text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` (its other columns unread and unchanged) with the probability of being toxic.
 
-    No shuffle.  Null and empty texts are scored as texts without words."""
+    No shuffle for a model that is broadcast.  Null and empty texts are scored as texts without
+    words."""
     ship_package(docs.sparkSession)
+    if isinstance(model, Tables):
+        place = free_name(docs, "_row")
+        rows = located(docs, place)
+        w = [float(x) for x in model.curve]
+        z = F.greatest(F.least(F.lit(w[0]) + w[1] * F.col("a") + w[2] * F.col("b"), F.lit(40.0)), F.lit(-40.0))
+        found = _described(rows, place, text, model).select(F.col("row").alias(place), (1 / (1 + F.exp(-z))).alias(out))
+        return rows.join(found, place, "left").drop(place)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

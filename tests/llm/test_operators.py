@@ -325,6 +325,38 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs.limit(3), none).collect()} == {0.5}
 
 
+def test_all_labels_are_counted(spark, monkeypatch):
+    """Labelled documents beyond the curve's sample teach the models; a model kept as a table
+    gives the scores of the one that is broadcast."""
+    rng = random.Random(6)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150)]
+    order = sorted(range(1200), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    late = {k for k in order[600:] if k % 3 == 0}  # outside the first 400 by md5
+    rows, labels = [], []
+    for k in range(1200):
+        w = rng.choices(vocab, k=rng.randint(5, 40))
+        for bad in ["vile"] * 3 * (k % 3 == 0 and k not in late) + ["fiend"] * 3 * (k in late):
+            w.insert(rng.randrange(len(w)), bad)
+        rows.append((k, " ".join(w), "clash"))
+        labels.append((k, int(k % 3 == 0)))
+    probe = [(5000, "vile " + rows[1][1], ""), (5001, "fiend fiend fiend " + rows[1][1], ""), (5002, None, ""), (5003, "", ""), (5003, "new word", "")]
+    docs = spark.createDataFrame(rows + probe, "doc_id long, text string, _row string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, max_docs=400)
+    assert isinstance(model, toxicity.Model)
+    key = lambda r: (r["doc_id"], r["text"] or "", r["score"])
+    small = sorted(map(key, toxicity.score(docs, model).collect()))
+    assert dict((i, s) for i, _, s in small)[5001] > 0.5
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    tables = toxicity.fit(docs, marks, max_docs=400)
+    assert isinstance(tables, toxicity.Tables)
+    scored = toxicity.score(docs, tables)
+    assert scored.columns == [*docs.columns, "score"]
+    large = sorted(map(key, scored.collect()))
+    assert [x[:2] for x in large] == [x[:2] for x in small]
+    assert np.allclose([x[2] for x in large], [x[2] for x in small], atol=1e-6)
+
+
 def test_held_out_labels_are_not_learned(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(500)], "doc_id long, toxic int")
     rows = toxicity.training_rows(labels, max_docs=100).collect()
