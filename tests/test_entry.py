@@ -1,6 +1,12 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
+import pytest
 
-from conftest import SF001
+from conftest import ROOT, SF001
 
 import __spark_entry__ as ENTRY
 
@@ -33,3 +39,19 @@ def test_some_oracles_match_at_smallest_scale(spark):
         ocols = [d[0] for d in res.description]
         want = sorted(tuple(r[ocols.index(c)] for c in sorted(cols)) for r in res.fetchall())
         assert sorted(ocols) == sorted(cols) and got == want, name
+
+
+@pytest.mark.parametrize("gone", [["tallsketch/llm"], ["tallsketch/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_optional_modules(tmp_path, gone):
+    """The solver's queries stay whatever of the text operators and their pipeline is missing."""
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "tallsketch"):
+        at = os.path.join(ROOT, name)
+        skip = shutil.ignore_patterns("__pycache__", *(["llm"] if "tallsketch/llm" in gone else []))
+        if os.path.isdir(at):
+            shutil.copytree(at, tmp_path / name, ignore=skip)
+        elif os.path.exists(at) and name not in gone:
+            shutil.copy(at, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(set(e.catalogue.queries()) - set(e.queries())), len(e.oracle_sql()) > 50, 'pipeline' in e.queries())"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300)
+    assert out.stdout.split() == ["0", "True", "False"], out.stderr[-2000:]
