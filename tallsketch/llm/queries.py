@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallsketch.llm import bpe, embedding_join, exact_dedup, licenses, minhash_dedup, packing, sharding, suffix_dedup, toxicity, warc
+from tallsketch.llm import (bpe, embedding_join, exact_dedup, licenses, minhash_dedup, packing, secret_scan, sharding, spelling,
+                            suffix_dedup, toxicity, warc, whitening)
 
-MODULES = (licenses, sharding, minhash_dedup, warc, exact_dedup, embedding_join, toxicity, bpe, suffix_dedup, packing)
+MODULES = (licenses, sharding, minhash_dedup, warc, exact_dedup, embedding_join, toxicity, bpe, suffix_dedup, packing,
+           secret_scan, whitening, spelling)
 
 
 def queries() -> dict:
