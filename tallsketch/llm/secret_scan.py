@@ -148,8 +148,12 @@ def scan(versions: DataFrame, keys: list[str], text: str, ledger: Ledger, rules:
                   .select("blob", "place", F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>"))).alias("todo"))
                   .filter(F.size("todo") > 0), "secret-todo")
     if todo.limit(1).count():
+        # texts of files without an unseen blob stay where they are; the others meet their rows as
+        # Spark's own size check says, by a broadcast of these narrow rows or a shuffle of the texts
+        files = small(stored(todo.select("place.file").distinct(), "secret-files"))
         want = rows.select(F.col(place).alias("place"), whole.alias("text"))
-        ledger.commit(_find(want.join(small(todo), "place"), rules), todo.select("blob", F.col("todo").alias("rules")))
+        want = want.join(files, F.col("place.file") == files["file"], "left_semi")
+        ledger.commit(_find(want.join(todo, "place"), rules), todo.select("blob", F.col("todo").alias("rules")))
     order = F.create_map(*[x for k, i in enumerate(ids) for x in (F.lit(i), F.lit(k))])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     found = (ledger.spans().filter(F.col("rule").isin(ids))
