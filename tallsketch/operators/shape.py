@@ -3,6 +3,10 @@ uniform sampling (M8)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from tallsketch.sources.matrix import MatrixFrame
 
 LOCAL_BITS = 33  # monotonically_increasing_id = (partition id << 33) + position in partition
 MAX_BROADCAST_PARTITIONS = 100_000  # offsets table = one (pid, offset) row per partition
+MAX_RUNS = 1 << 17  # runs of consecutive keys that are sent to the tasks: two longs each
 
 
 def dims(mf: MatrixFrame) -> tuple[int, int]:
@@ -94,17 +99,73 @@ def row_index_natural(df: DataFrame, split: list[str], name: str = "idx") -> Dat
             .drop(*split, "__pos", "__off"))
 
 
-def contiguous_keys(mf: MatrixFrame) -> tuple[MatrixFrame, int]:
-    """Matrix whose keys are exactly 0..m-1 (needed by the Hartley transform).
+@dataclass(frozen=True)
+class KeyRuns:
+    """The rank of a key among all keys, from the runs of consecutive keys: ``starts`` are the
+    first keys of the runs, ``ranks`` theirs."""
+    starts: np.ndarray
+    ranks: np.ndarray
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(self.starts, keys, side="right") - 1
+        return keys - self.starts[run] + self.ranks[run]
+
 
-    One aggregate checks whether the (unique) keys already are 0..m-1; only otherwise
-    is M2 run."""
+def key_ranks(mf: MatrixFrame) -> DataFrame:
+    """(key, idx): the 0-based rank of every (unique) key.  Only the keys are sorted and written."""
+    return row_index(mf.df.select("key"), ["key"], "idx")
+
+
+def _key_range(mf: MatrixFrame) -> tuple[int, int, int]:
     r = mf.df.agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    m = int(r["m"])
-    if m == 0 or (r["lo"] == 0 and r["hi"] == m - 1):
-        return mf, m
-    indexed = row_index(mf.df, ["key"], "__idx")
-    return mf.with_df(indexed.drop("key").withColumnRenamed("__idx", "key").select(*mf.data_columns)), m
+    return int(r["m"]), int(r["lo"] or 0), int(r["hi"] or 0)
+
+
+def _run_starts(batches):
+    """The rows that do not go on from the one before; a run cut by a batch counts as two."""
+    for b in batches:
+        if b.num_rows:
+            keys = b.column("key").to_numpy()
+            yield b.filter(pa.array(np.concatenate([[True], np.diff(keys) != 1])))
+
+
+def _rekeyed(mf: MatrixFrame, ranks: DataFrame) -> MatrixFrame:
+    """Rows meet their rank by one shuffle on the key; the narrow side is the hashed one, so the
+    rows are not sorted."""
+    rows = mf.df.join(ranks.hint("shuffle_hash"), "key").drop("key").withColumnRenamed("idx", "key")
+    return mf.with_df(rows.select(*mf.data_columns))
+
+
+def contiguous_keys(mf: MatrixFrame) -> tuple[MatrixFrame, int]:
+    """Matrix whose keys are exactly 0..m-1, in the order of the old ones.
+
+    One aggregate checks whether the (unique) keys are consecutive already, which needs a
+    subtraction at most; only otherwise are ranks computed and joined."""
+    m, lo, hi = _key_range(mf)
+    if m == 0 or hi - lo + 1 == m:
+        if m == 0 or lo == 0:
+            return mf, m
+        return mf.with_df(mf.df.withColumn("key", F.col("key") - F.lit(lo)).select(*mf.data_columns)), m
+    return _rekeyed(mf, key_ranks(mf)), m
+
+
+def ranked_keys(mf: MatrixFrame, max_runs: int = MAX_RUNS) -> tuple[MatrixFrame, int, KeyRuns | None]:
+    """(matrix, m, ranks): the ranks 0..m-1 of the keys for work in Arrow batches, which apply
+    ``ranks`` to a batch's keys (None: the keys are ranks already).
+
+    Keys of at most ``max_runs`` runs of consecutive numbers (1..m, order numbers with gaps) need no
+    movement of rows at all: the runs go to the tasks.  Others are joined with a (key, rank) table."""
+    m, lo, hi = _key_range(mf)
+    if m == 0 or (lo == 0 and hi == m - 1):
+        return mf, m, None
+    if hi - lo + 1 == m:
+        return mf, m, KeyRuns(np.array([lo], np.int64), np.zeros(1, np.int64))
+    ranks = key_ranks(mf)
+    runs = ranks.select("key", "idx").mapInArrow(_run_starts, "key long, idx long")
+    if runs.count() > max_runs:
+        return _rekeyed(mf, ranks), m, None
+    runs = runs.toArrow().sort_by("key")
+    return mf, m, KeyRuns(runs["key"].to_numpy(), runs["idx"].to_numpy())
 
 
 def stack(mf: MatrixFrame, r: int, kind: str = "all") -> MatrixFrame:

@@ -8,7 +8,8 @@ grain of the final aggregate is (trial, bucket): k·c groups, whatever m is.
 * count-sketch on wide rows: pure Catalyst, ``groupBy(trial, bucket).agg(sum(sign*a_i))``
   with map-side partial aggregation (k·c rows per task leave the map side).
 * dense kinds, and count-sketch on array rows: NumPy on Arrow batches inside
-  ``mapInArrow`` accumulates a k x c x (n+1) partial per task, then the same sum.
+  ``mapInArrow`` accumulates a k x c x (n+1) partial per task, then the same sum.  The
+  Hartley kind takes its entries from tables (``hartley.py``), not from a cosine each.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from tallsketch.functions import hashing as H
 from tallsketch.functions.blocks import arrow_block, partial_long_schema, sum_long_partials
+from tallsketch.operators.hartley import Hartley
 from tallsketch.sources.matrix import MatrixFrame
 from tallsketch.session import ship_package
 
 KINDS = ("cw", "gaussian", "rademacher", "srdht")
 MAX_BLOCK_ENTRIES = 1 << 16  # c x rows of a dense draw held at once (cache-sized chunks)
+MAX_HARTLEY_BLOCK = 1 << 20  # entries of rows in one Hartley block, which may lay them out in four times the room
 
 
 @dataclass(frozen=True)
@@ -84,13 +87,13 @@ def sketch(mf: MatrixFrame, kind: str = "cw", c: int = 100, k: int = 1, seed: in
     """
     c, k = validate(kind, c, k)
     if kind == "srdht":
-        from tallsketch.operators.shape import contiguous_keys
+        from tallsketch.operators.shape import ranked_keys
 
-        mf, m = contiguous_keys(mf)
+        mf, m, ranks = ranked_keys(mf)
         if c > m:
             raise ValueError(f"srdht needs c <= m (c={c}, m={m})")
         freqs = [H.srdht_frequencies(mf.df.sparkSession, m, c, seed, t) for t in range(k)]
-        return _arrow_sketch(mf, kind, c, k, seed, m=m, freqs=freqs, with_normal_sums=with_normal_sums)
+        return _arrow_sketch(mf, kind, c, k, seed, m=m, freqs=freqs, ranks=ranks, with_normal_sums=with_normal_sums)
     if kind == "cw" and mf.layout == "wide" and method != "arrow":
         return _cw_catalyst(mf, c, k, seed, with_normal_sums=with_normal_sums)
     if kind in ("gaussian", "rademacher") and mf.layout == "wide" and method == "sql":
@@ -167,21 +170,7 @@ def _dense_catalyst(mf: MatrixFrame, kind: str, c: int, k: int, seed: int) -> Sk
 
 # ----------------------------------------------------------------------------- Arrow path
 
-def _mulmod(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
-    """(a*b) % m for int64 a, b in [0, m) without overflow (m < 2^47)."""
-    if m < (1 << 31):
-        return (a * b) % m
-    if m >= (1 << 47):
-        raise ValueError("srdht supports m < 2^47 rows")
-    res = np.zeros(np.broadcast(a, b).shape, dtype=np.int64)
-    for shift in (32, 16, 0):
-        chunk = (b >> shift) & 0xFFFF
-        res = (((res << 16) % m) + (a * chunk) % m) % m
-    return res
-
-
-def sketch_block(kind: str, keys: np.ndarray, X: np.ndarray, c: int, seed: int, trial: int,
-                 m: int | None = None, freqs: np.ndarray | None = None) -> np.ndarray:
+def sketch_block(kind: str, keys: np.ndarray, X: np.ndarray, c: int, seed: int, trial: int) -> np.ndarray:
     """Contribution of one block of rows (keys, X = [A b]) to trial's c x (n+1) sketch."""
     if kind == "cw":
         hb, hs = H.cw_polys(seed, trial)
@@ -194,36 +183,37 @@ def sketch_block(kind: str, keys: np.ndarray, X: np.ndarray, c: int, seed: int,
         S = H.np_gaussian_block(keys, c, seed, trial) / math.sqrt(c)
     elif kind == "rademacher":
         S = H.np_rademacher_block(keys, c, seed, trial) / math.sqrt(c)
-    elif kind == "srdht":
-        signs = H.np_sign(H.np_hash_key(keys, H.srdht_sign_poly(seed, trial)))
-        phase = _mulmod(np.asarray(freqs, dtype=np.int64)[:, None], np.asarray(keys, dtype=np.int64)[None, :], m)
-        theta = 2.0 * math.pi * phase / m - math.pi / 4.0
-        S = math.sqrt(2.0 / c) * np.cos(theta) * signs[None, :]
     else:
         raise ValueError(kind)
     return S @ X
 
 
 def _arrow_sketch(mf: MatrixFrame, kind: str, c: int, k: int, seed: int, m: int | None = None,
-                  freqs: list[list[int]] | None = None, with_normal_sums: bool = False) -> SketchFrame:
+                  freqs: list[list[int]] | None = None, ranks=None, with_normal_sums: bool = False) -> SketchFrame:
     n, layout = mf.n, mf.layout
-    step = max(1, MAX_BLOCK_ENTRIES // c) if kind != "cw" else 1 << 20
-    freq_arrays = [np.asarray(f, dtype=np.int64) for f in freqs] if freqs else None
+    # rows of a dense draw, of a padded Hartley block, of count-sketch
+    step = {"cw": 1 << 20, "srdht": max(1024, MAX_HARTLEY_BLOCK // (n + 1))}.get(kind, max(1, MAX_BLOCK_ENTRIES // c))
 
     def partials(batches):
+        hartley = [Hartley(m, f, seed, t) for t, f in enumerate(freqs or [])]
         acc = np.zeros((k, c, n + 1))
         touched = np.zeros((k, c), dtype=bool)  # count-sketch: only buckets some row hit
         normal = np.zeros(n + 1)  # Aᵀb and bᵀb of this task's rows
         seen = False
         for rb in batches:
             keys, X = arrow_block(rb, n, layout)
+            if ranks is not None:
+                keys = ranks(keys)
             for lo in range(0, len(keys), step):
                 kk, XX = keys[lo:lo + step], X[lo:lo + step]
                 seen = True
                 if with_normal_sums:
                     normal += XX[:, n] @ XX
                 for t in range(k):
-                    acc[t] += sketch_block(kind, kk, XX, c, seed, t, m, freq_arrays[t] if freq_arrays else None)
+                    if hartley:
+                        hartley[t].add(acc[t], kk, XX)
+                        continue
+                    acc[t] += sketch_block(kind, kk, XX, c, seed, t)
                     if kind == "cw":
                         touched[t, H.np_hash_key(kk, H.cw_polys(seed, t)[0]) % c] = True
         if not seen:

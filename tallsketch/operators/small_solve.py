@@ -96,7 +96,7 @@ def _final(width: int, n: int):
     return fn
 
 
-UNKNOWN_SIZE = 1 << 62  # the optimizer reports Long.MaxValue when it cannot size a plan
+UNKNOWN_SIZE = 1 << 55  # the optimizer reports Long.MaxValue, or a share of it, when it cannot size a plan
 
 
 def estimated_partitions(df: DataFrame) -> int | None:

@@ -178,6 +178,13 @@ def q_sketch(kind):
     return q
 
 
+def q_sketch_srdht_gaps(spark, sf):
+    """P4 on keys with gaps: the transform runs over the ranks of the keys, which stay as they are."""
+    mf = _om(spark, sf)
+    wide = mf.with_df(mf.df.withColumn("key", F.col("key") * 7 + F.col("key") % 5).select(*mf.data_columns))
+    return _sketch_out(sketch(wide, "srdht", C_DENSE, 1, SEED))
+
+
 def q_sketch_merge(spark, sf):
     mf = _om(spark, sf)
     even = mf.with_df(mf.df.where(F.col("key") % 2 == 0))
@@ -412,6 +419,7 @@ def queries() -> dict:
         "vecmat": q_vecmat,
         "residual_norms": q_residual_norms,
         "uniform_sample": q_uniform_sample,
+        "sketch_srdht_gaps": q_sketch_srdht_gaps,
         "sketch_merge": q_sketch_merge,
         "sketch_trials": q_sketch_trials,
         "sketch_solve": q_sketch_solve,
@@ -525,6 +533,8 @@ def oracle_sql() -> dict[str, str]:
         "uniform_sample": O.with_(O.EV, "pm AS (SELECT 1000.0 / CAST(count(*) AS DOUBLE) AS p FROM ev)")
         + f"SELECT key, {O.rnd('b * (1.0 / least(1.0, p))', 6)} AS b_scaled FROM ev CROSS JOIN pm WHERE "
           f"{H.sql_key_coin('key', H.sample_poly(SEED, 'uniform'), 'duckdb')} < least(1.0, p)",
+        "sketch_srdht_gaps": O.with_(O.OM, "gaps AS (SELECT key * 7 + key % 5 AS key, a0, a1, a2, b FROM om)",
+                                     O.sketch("sk", "gaps", 3, "srdht", C_DENSE, 1, SEED)) + _sketch_sel("sk"),
         "sketch_merge": O.with_(O.OM, O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)) + _sketch_sel("sk"),
         "sketch_trials": O.with_(O.OM, O.sketch("sk", "om", 3, "cw", C_CW, 3, SEED)) + _sketch_sel("sk"),
         "sketch_solve": _low_x("cw"),

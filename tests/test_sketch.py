@@ -124,6 +124,52 @@ def test_srdht_reindexes_noncontiguous_keys(spark):
     assert np.allclose(got[0], ref, atol=1e-9)
 
 
+@pytest.mark.parametrize("m", [7, 1000, 3001, 5_000_011, 2**40 + 15])
+def test_hartley_tables_equal_cosines(m):
+    """Dense runs, sparse rows and mixtures of both, whatever the order and the number of digits."""
+    from fractions import Fraction
+
+    from tallsketch.operators.hartley import Hartley
+
+    rng = np.random.default_rng(m % 1000)
+    freqs = sorted({int(f) for f in rng.integers(0, m, 9)})
+    dense = np.arange(min(m, 2500)) + (m - min(m, 2500)) // 2
+    picks = {"dense": dense, "sparse": np.unique(rng.integers(0, m, 60)),
+             "mixed": np.unique(np.concatenate([dense, rng.integers(0, m, 60), [0, m - 1]]))}
+    sign = H.srdht_sign_poly(5, 1)
+    for index in picks.values():
+        index = rng.permutation(index).astype(np.int64)
+        X = rng.standard_normal((len(index), 3))
+        turns = np.array([[float(Fraction(int(j) * k % m, m)) for j in index] for k in freqs])
+        want = math.sqrt(2 / len(freqs)) * np.cos(2 * math.pi * turns - math.pi / 4) * H.np_sign(H.np_hash_key(index, sign)) @ X
+        acc = np.zeros((len(freqs), 3))
+        for part in np.array_split(np.arange(len(index)), 3):
+            if len(part):
+                Hartley(m, freqs, 5, 1).add(acc, index[part], X[part])
+        assert np.allclose(acc, want, atol=1e-10 * len(index) ** 0.5)
+
+
+def test_srdht_rows_stay_where_they_are(spark, monkeypatch):
+    """Keys in runs go as runs to the tasks; keys without runs are joined with their narrow ranks."""
+    from tallsketch.operators import shape
+
+    df = spark.range(400).select((F.col("id") * 3 - F.col("id") % 3 * 2 - 50).alias("k"), F.rand(3).alias("x"), F.rand(4).alias("y"))
+    mf = S.from_columns(spark.createDataFrame(df.toPandas()), "k", [F.lit(1.0), "x"], "y")
+    pdf = mf.df.toPandas().sort_values("key")
+    X = pdf[["a0", "a1", "b"]].to_numpy()
+    ref = dense_reference("srdht", np.arange(400, dtype=np.int64), X, 30, 8, 0, m=400)
+    same, m, ranks = shape.ranked_keys(mf)
+    assert same is mf and m == 400 and 100 < len(ranks.starts) < 400
+    assert np.allclose(sketch_numpy(sketch(mf, "srdht", 30, 1, 8))[0], ref, atol=1e-9)
+    moved, m, none = shape.ranked_keys(mf, max_runs=5)
+    assert none is None and m == 400 and sorted(r["key"] for r in moved.df.collect()) == list(range(400))
+    assert "ShuffledHashJoin" in moved.df._jdf.queryExecution().toString()
+    monkeypatch.setattr(shape, "ranked_keys", lambda mf: (moved, m, None))
+    assert np.allclose(sketch_numpy(sketch(mf, "srdht", 30, 1, 8))[0], ref, atol=1e-9)
+    shifted, m = shape.contiguous_keys(mf.with_df(mf.df.withColumn("key", F.expr("row_number() over (order by key) + 9").cast("bigint"))))
+    assert m == 400 and sorted(r["key"] for r in shifted.df.collect()) == list(range(400))
+
+
 def test_normal_sums_group_and_sql_path_refusal(spark):
     from tallsketch.operators.sketch import NORMAL_TRIAL
 
