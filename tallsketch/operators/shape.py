@@ -16,6 +16,7 @@ from tallsketch.sources.matrix import MatrixFrame
 
 LOCAL_BITS = 33  # monotonically_increasing_id = (partition id << 33) + position in partition
 MAX_BROADCAST_PARTITIONS = 100_000  # offsets table = one (pid, offset) row per partition
+MAX_BROADCAST_SPLITS = 1_000_000  # index of file splits: four longs each
 MAX_RUNS = 1 << 17  # runs of consecutive keys that are sent to the tasks: two longs each
 
 
@@ -81,22 +82,32 @@ def row_index(df: DataFrame, order_cols: list[str], name: str = "idx", partition
 
 def row_index_natural(df: DataFrame, split: list[str], name: str = "idx") -> DataFrame:
     """M2 in the order of the files: ``split`` columns (path, start of the split) order the splits,
-    and the rows of one are in their own order.  How splits are packed into tasks does not matter.
+    and the rows of one are in their own order.  ``df`` is a scan of files and narrow steps on it.
 
-    A checkpoint fixes the rows; one (count, first position) row per split gives the offsets, which
-    are broadcast if there are at most MAX_BROADCAST_PARTITIONS."""
+    No row is written: one job counts the rows of each split (and reads no other column), and the
+    first position of each split, a row per split, is joined to the scan.  A scan whose splits are
+    cut or dealt to tasks in another way than the counted one raises: some split would then be
+    found in a task that the index does not have it in, before any row behind it is numbered."""
     from pyspark.sql.window import Window
 
     checkpoint_dir(df.sparkSession)
-    placed = df.checkpoint(eager=True).withColumn("__pos", F.monotonically_increasing_id())
-    w = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy(*split).agg(F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first"))
-               .select(*split, (F.coalesce(F.sum("__cnt").over(w), F.lit(0)) - F.col("__first")).alias("__off"))
-               .checkpoint(eager=True))
-    if offsets.count() <= MAX_BROADCAST_PARTITIONS:
+    path, start = split
+    placed = df.withColumn("__pid", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id())
+    at = ["__pid", "__path", "__begin"]
+    counts = placed.groupBy("__pid", path, start).agg(F.count(F.lit(1)).alias("__cnt"), F.min("__pos").alias("__first"))
+    # one row per split: a single-partition window bounded by the files, not by the rows
+    w = Window.orderBy(path, start).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.xxhash64(path).alias("__path"), F.col(start).alias("__begin"),
+                            (F.coalesce(F.sum("__cnt").over(w), F.lit(0)) - F.col("__first")).alias("__off")).checkpoint(eager=True)
+    size = offsets.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*at).alias("keys")).first()
+    if size["rows"] != size["keys"]:
+        raise RuntimeError("two files of one task share a hash of their paths")
+    if size["rows"] <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    return (placed.join(offsets, split).withColumn(name, (F.col("__pos") + F.col("__off")).cast("bigint"))
-            .drop(*split, "__pos", "__off"))
+    joined = placed.withColumn("__path", F.xxhash64(path)).withColumn("__begin", F.col(start)).join(offsets, at, "left")
+    number = F.coalesce(F.col("__pos") + F.col("__off"), F.raise_error(F.lit(
+        "the files are split in another way than when their rows were counted; read them again")).cast("bigint"))
+    return joined.withColumn(name, number.cast("bigint")).drop(*split, *at, "__pos", "__off")
 
 
 @dataclass(frozen=True)

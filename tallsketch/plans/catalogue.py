@@ -116,6 +116,25 @@ def q_read_text_matrix(spark, sf):
     return mf.df.select("key", *[rnd(f"a{i}", OM_DIGITS[i]).alias(f"a{i}") for i in range(3)], rnd("b", 6).alias("b"))
 
 
+def q_read_text_line_keys(spark, sf):
+    """S1 with its default key: lines without a key, numbered over all files in path order."""
+    path = scratch_path(spark, "om-lines")
+    S.write_text_matrix(_om(spark, sf), path, with_key=False)
+    mf = S.read_text_matrix(spark, path)
+    return mf.df.select("key", *[rnd(f"a{i}", OM_DIGITS[i]).alias(f"a{i}") for i in range(3)], rnd("b", 6).alias("b"))
+
+
+def q_read_optimum(spark, sf):
+    """The optimum of the whole matrix, written as two texts and read back."""
+    sol = exact_solve(_om(spark, sf))
+    path = scratch_path(spark, "optimum")
+    S.write_vector_text(sol.select(F.explode("x").alias("value")), f"{path}/x_opt")
+    S.write_vector_text(sol.select(F.col("resid").alias("value")), f"{path}/f_opt")
+    rows = [(*S.read_vector_text(spark, f"{path}/x_opt"), *S.read_vector_text(spark, f"{path}/f_opt"))]
+    out = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, f double")
+    return out.select(*[rnd(f"x{i}", X_DIGITS).alias(f"x{i}") for i in range(3)], rnd("f", 2).alias("f"))
+
+
 def q_matrix_from_columns(spark, sf):
     mf = _om(spark, sf)
     return mf.df.select("key", *[rnd(f"a{i}", OM_DIGITS[i]).alias(f"a{i}") for i in range(3)], rnd("b", 6).alias("b"))
@@ -407,6 +426,8 @@ def q_stream_ls_low_cw(spark, sf):
 def queries() -> dict:
     q = {
         "read_text_matrix": q_read_text_matrix,
+        "read_text_line_keys": q_read_text_line_keys,
+        "read_optimum": q_read_optimum,
         "matrix_from_columns": q_matrix_from_columns,
         "matrix_from_array": q_matrix_from_array,
         "matrix_dims": q_matrix_dims,
@@ -509,6 +530,8 @@ def oracle_sql() -> dict[str, str]:
     lev_chain = O.leverage_chain("L", "om", "cw", C_CW, 1, SEED, S_SAMPLE)
     q = {
         "read_text_matrix": O.with_(O.OM) + f"SELECT key, {om_sel}, {O.rnd('b', 6)} AS b FROM om",
+        "read_text_line_keys": O.with_(O.OM) + f"SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS key, {om_sel}, "
+                                               f"{O.rnd('b', 6)} AS b FROM om",
         "matrix_from_columns": O.with_(O.OM) + f"SELECT key, {om_sel}, {O.rnd('b', 6)} AS b FROM om",
         "matrix_from_array": O.with_(O.EMB) + f"SELECT key, {O.rnd('a[1]', 6)} AS a_first, {O.rnd('a[len(a)]', 6)} AS a_last, "
                                               f"CAST(len(a) AS INTEGER) AS n, {O.rnd('b', 6)} AS b FROM emb",
@@ -569,6 +592,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_sketch_cw": O.with_(O.EV, O.sketch("sk", "ev", 2, "cw", 100, 1, SEED))
         + f"SELECT trial, bucket, {O.rnd('v0', 6)} AS v0, {O.rnd('v1', 4)} AS v1, {O.rnd('v2', 4)} AS v2 FROM sk",
     }
+    q["read_optimum"] = q["exact_solution"]
     q["sketch_cw_array"] = O.with_(O.EMB, O.array_sketch("sk", "emb", 64, "cw", 100, SEED)) + \
         f"SELECT trial, bucket, pos, {O.rnd('val', 8)} AS val FROM sk"
     q["sketch_gaussian_array"] = O.with_(O.EMB, O.array_sketch("sk", "emb", 64, "gaussian", C_DENSE, SEED)) + \

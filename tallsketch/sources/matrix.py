@@ -154,7 +154,8 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
     The URI scheme picks the filesystem (``file:``, ``hdfs:``, ``s3a:`` ...).  Keys:
 
     * ``'line'``: the number of the non-blank line over all files, ordered by path (M2 over the
-      file order; one checkpoint write of the parsed rows) -- identical under any cluster or split configuration;
+      file order; one more pass that counts lines and writes a row per split) -- identical under any
+      cluster or split configuration;
     * ``'position'``: ``monotonically_increasing_id()`` of the raw file scan -- no extra
       pass, stable across re-reads of the same files with the same split size
       (``spark.sql.files.maxPartitionBytes``), not contiguous;
@@ -172,7 +173,7 @@ def read_text_matrix(spark: SparkSession, uri: str, n: int | None = None, key: s
         from tallsketch.operators.shape import row_index_natural
         from tallsketch.sources.sinks import source_state
 
-        meta = {"source": source_state(lines)}  # the checkpoint below cuts the plan from its files
+        meta = {"source": source_state(lines)}  # the index of the splits has no files of its own
         keyed = row_index_natural(rows, SPLIT, "key").select("key", "row")
     if n is None:
         first = keyed.select(F.size("row").alias("w")).first()  # every other row is checked against it below
@@ -201,6 +202,11 @@ def read_vector_text(spark: SparkSession, uri: str) -> list[float]:
     return [float(r["value"]) for r in rows.orderBy("i").select(F.trim("value").alias("value")).collect()]
 
 
+def write_vector_text(values: DataFrame, uri: str) -> None:
+    """Write the doubles ``value`` of one row or one small vector, one a line, in their order."""
+    values.select(F.format_string("%.17g", F.col("value").cast("double")).alias("value")).coalesce(1).write.text(uri)
+
+
 def write_text_matrix(mf: MatrixFrame, uri: str, with_key: bool = True) -> None:
     """Write ``key a0 .. b`` lines (``%.17g`` keeps doubles exact); ``with_key=False`` writes
     plain ``[A b]`` lines (no key column), in key order."""

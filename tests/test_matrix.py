@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF001, to_numpy
 from tallsketch.operators import shape as M
@@ -147,3 +148,29 @@ def test_line_keys_follow_files_and_lines_under_any_split_size(spark):
             assert mf.df.where("key <> a0 or b <> 2 * a0").count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_keys_write_no_rows_and_notice_other_splits(spark):
+    """Line numbers under any split configuration; a scan whose splits changed after the count raises."""
+    path = scratch_path(spark, "txtl")
+    df = spark.range(4000).selectExpr("concat(id, '.5 ', id % 7, ' ', id * 3, if(id % 100 = 0, '\\n\\n', '')) AS value")
+    df.repartitionByRange(5, F.expr("cast(split(value, '[.]')[0] as int)")).sortWithinPartitions(
+        F.expr("cast(split(value, '[.]')[0] as int)")).write.text(path)
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        frames = []
+        for size in ("900", "7000", before):
+            spark.conf.set(name, size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            mf = S.read_text_matrix(spark, path)
+            assert "FileScan text" in mf.df._jdf.queryExecution().toString()
+            rows = sorted((r["key"], r["a0"]) for r in mf.df.collect())
+            assert rows == [(k, k + 0.5) for k in range(4000)]
+            frames.append(mf)
+        spark.conf.set(name, "900")
+        with pytest.raises(Exception, match="read them again"):
+            frames[1].with_df(frames[1].df.select("*")).df.collect()
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
