@@ -407,20 +407,37 @@ def q_matvec_array(spark, sf):
     return V.matvec(S.embeddings_matrix(spark, sf), ARRAY_V).select("key", rnd("av", 8).alias("av"))
 
 
+def _order_stream(spark, sf):
+    """Orders and line items, each dealt to three files that arrive one a micro-batch, so line items
+    come before, with and after their orders."""
+    from tallsketch.streaming.sketch_stream import folder_stream, row_changes
+
+    sides = {}
+    for name, cols in (("orders", ["o_orderkey", "o_totalprice"]), ("lineitem", ["l_orderkey", "l_quantity"])):
+        sides[name] = scratch_path(spark, f"stream-{name}")
+        S.table(spark, sf, name).select(*cols).repartition(3).write.parquet(sides[name])
+    return row_changes(folder_stream(spark, sides["orders"]), "o_orderkey", [F.lit(1.0), F.lit(0.0), F.lit(0.0), "o_totalprice"],
+                       folder_stream(spark, sides["lineitem"]), "l_orderkey", [F.lit(0.0), F.lit(1.0), "l_quantity", F.lit(0.0)])
+
+
+def q_stream_sketch_rows(spark, sf):
+    """The sketch of orders x line items, both streamed, after the last micro-batch."""
+    from tallsketch.streaming.sketch_stream import latest, maintain_sketch
+
+    out = scratch_path(spark, "stream-sketch")
+    maintain_sketch(_order_stream(spark, sf), 3, C_CW, out, k=1, seed=SEED, solve=False)
+    df = latest(spark, f"{out}/sketch")
+    return df.select("trial", "bucket", *[rnd(f"v{i}", SKETCH_DIGITS[i]).alias(f"v{i}") for i in range(4)])
+
+
 def q_stream_ls_low_cw(spark, sf):
-    """Orders arrive as a stream; line items are a static, pre-aggregated side (stream-static
-    left join).  The final micro-batch's solution equals the batch ``ls_low_cw``."""
-    from tallsketch.streaming.sketch_stream import latest_solutions, parquet_stream, stream_low_precision, stream_rows
-
-    items = (S.table(spark, sf, "lineitem").groupBy("l_orderkey")
-             .agg(F.count(F.lit(1)).alias("n_items"), F.sum("l_quantity").alias("sum_qty")))
-    orders = parquet_stream(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    joined = orders.join(items, orders.o_orderkey == items.l_orderkey, "left")
-    rows = stream_rows(joined, "o_orderkey", [F.lit(1.0), F.coalesce(F.col("n_items"), F.lit(0)),
-                                              F.coalesce(F.col("sum_qty"), F.lit(0.0))], "o_totalprice")
+    """Orders and line items both arrive as streams.  The final micro-batch's solution equals the
+    batch ``ls_low_cw``."""
+    from tallsketch.streaming.sketch_stream import latest, maintain_sketch
+
     out = scratch_path(spark, "stream-solutions")
-    stream_low_precision(spark, rows, 3, C_CW, out, k=1, seed=SEED)
-    return _x_out(latest_solutions(spark, out))
+    maintain_sketch(_order_stream(spark, sf), 3, C_CW, out, k=1, seed=SEED)
+    return _x_out(latest(spark, f"{out}/solutions"))
 
 
 def queries() -> dict:
@@ -465,6 +482,7 @@ def queries() -> dict:
         "solution_sink_roundtrip": q_solution_sink_roundtrip,
         "gen_matrix": q_gen_matrix,
         "stream_sketch_cw": q_stream_sketch_cw,
+        "stream_sketch_rows": q_stream_sketch_rows,
         "stream_ls_low_cw": q_stream_ls_low_cw,
         "sketch_cw_array": q_sketch_cw_array,
         "sketch_gaussian_array": q_sketch_gaussian_array,
@@ -584,6 +602,7 @@ def oracle_sql() -> dict[str, str]:
             for c, x in STACK_CANDIDATES.items()),
         "factor_cache_roundtrip": _nnt_sql([O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)], "sk"),
         "solution_sink_roundtrip": _low_x("cw"),
+        "stream_sketch_rows": O.with_(O.OM, O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)) + _sketch_sel("sk"),
         "stream_ls_low_cw": _low_x("cw"),
         "lsqr_history": O.krylov_history_sql(K_HISTORY, C_CW, SEED, Q_ITERS, LSQR_DIGITS),
         "eval_median_trial": O.krylov_median_trial_sql(4, C_CW, SEED, MEDIAN_DIGITS),

@@ -4,6 +4,12 @@ A count-sketch is additive over rows, so a Structured Streaming aggregation
 ``groupBy(trial, bucket).agg(sum(sign*a_i))`` maintains it exactly as rows arrive; the
 state is k·c rows whatever the stream length.  ``foreachBatch`` can re-solve the small
 problem after each micro-batch (low-precision x that tracks the stream).
+
+It is additive within a row as well: a row whose features are sums over parts (an order and its
+line items) changes by exactly the new part's values, under the row's own bucket and sign.  So
+parts are a stream of their own: a stream-stream join keeps the keys and the parts that
+wait for each other as keyed state, every part comes out once, when both it and its row are
+there, and a micro-batch adds the sketch of its own changes to the one before.
 """
 
 from __future__ import annotations
@@ -71,7 +77,76 @@ def stream_low_precision(spark: SparkSession, rows: DataFrame, n: int, c: int, o
     run_to_table(spark, streaming_cw_sketch(rows, n, c, k, seed), "unused", on_batch=on_batch)
 
 
+def latest(spark: SparkSession, out_uri: str) -> DataFrame:
+    """The rows of the last epoch below ``out_uri``."""
+    rows = spark.read.parquet(out_uri)
+    last = F.broadcast(rows.agg(F.max("epoch").alias("epoch")))  # one row
+    return rows.join(last, "epoch").drop("epoch")
+
+
 def latest_solutions(spark: SparkSession, out_uri: str) -> DataFrame:
-    sols = spark.read.parquet(out_uri)
-    last = sols.agg(F.max("epoch").alias("epoch"))
-    return sols.join(last, "epoch").select("trial", "x")
+    return latest(spark, out_uri).select("trial", "x")
+
+
+# ----------------------------------------------------------------------------- rows made of parts
+
+def row_changes(rows: DataFrame, key: str, row_values: list, parts: DataFrame, part_key: str, part_values: list,
+                within=None) -> DataFrame:
+    """(key, a0 .. a{n-1}, b): the changes of the matrix rows that the streams ``rows`` and ``parts``
+    bring.  A row's own values arrive with it; each of its parts adds ``part_values`` to them, early
+    (the part waits for its row) or late.  Parts whose row never comes add nothing; null keys
+    match nothing; values are n features and the target, columns or names.
+
+    Both sides' keys are kept as state.  Streams with watermarks and a time condition
+    ``within`` (over the columns of both) let Spark drop what can no longer match."""
+    def values(vals):
+        cols = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in vals]
+        return [c.alias(f"a{i}") for i, c in enumerate(cols[:-1])] + [cols[-1].alias("b")]
+
+    if len(row_values) != len(part_values):
+        raise ValueError("rows and parts need the same number of values")
+    own = rows.select(F.col(key).cast("bigint").alias("key"), *values(row_values))
+    side = rows.withColumn("__row", F.col(key).cast("bigint"))
+    side = side.select("__row") if within is None else side
+    on = parts[part_key].cast("bigint") == F.col("__row")
+    met = parts.join(side, on if within is None else on & within)
+    return own.unionByName(met.select(F.col("__row").alias("key"), *values(part_values)))
+
+
+def maintain_sketch(changes: DataFrame, n: int, c: int, out_uri: str, k: int = 1, seed: int = 42, solve: bool = True):
+    """Keep the count-sketch of a streamed matrix up to date and solve it after each micro-batch.
+
+    ``{out_uri}/sketch/epoch=e`` is the sketch after micro-batch e, that of e-1 plus the sketch of the
+    batch's changes (k·c rows each); ``{out_uri}/solutions/epoch=e`` its (trial, x).  A batch
+    reads its own rows and k·c old ones.  Both are overwritten by a repeated micro-batch from the same
+    predecessor, so a retry gives the same.  Runs what is available and returns the
+    finished query; the checkpoint is in the shared folder."""
+    from tallsketch.operators.sketch import SketchFrame, sketch
+    from tallsketch.operators.small_solve import solve_sketch
+    from tallsketch.sources.matrix import MatrixFrame
+
+    names = [f"v{i}" for i in range(n + 1)]
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        total = sketch(MatrixFrame(batch, n), "cw", c, k, seed).df
+        if epoch:
+            total = total.unionByName(spark.read.parquet(f"{out_uri}/sketch/epoch={epoch - 1}"))
+            total = total.groupBy("trial", "bucket").agg(*[F.sum(v).alias(v) for v in names])
+        path = f"{out_uri}/sketch/epoch={int(epoch)}"
+        total.write.mode("overwrite").parquet(path)
+        if solve:
+            kept = SketchFrame(spark.read.parquet(path), n, "cw", c, k, seed, "wide")
+            solve_sketch(kept).select("trial", "x").write.mode("overwrite").parquet(f"{out_uri}/solutions/epoch={int(epoch)}")
+
+    spark = changes.sparkSession
+    q = (changes.writeStream.outputMode("append").option("checkpointLocation", scratch_path(spark, "stream-rows"))
+         .foreachBatch(on_batch).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def folder_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """A stream over the Parquet files of a folder, ``max_files`` a micro-batch."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +214,38 @@ def test_factor_cache_of_a_rewritten_text_file_and_of_low_precision(spark):
     assert "factor_cache_hit" in _cached(spark, S.read_text_matrix(spark, path), cache)
     lines(9).write.mode("overwrite").text(path)
     assert "factor_cache_hit" not in _cached(spark, S.read_text_matrix(spark, path), cache)
+
+
+def test_streamed_parts_change_the_sketch_of_their_row(spark, tmp_path):
+    """Items before, with and after their order, an item without one, null keys, repeated items: after
+    every micro-batch the sketch is that of the rows so far, and a batch reads its own rows only."""
+    from tallsketch.operators.sketch import sketch
+    from tallsketch.sources.matrix import MatrixFrame
+    from tallsketch.streaming.sketch_stream import folder_stream, latest, maintain_sketch, row_changes
+
+    orders = [[(k, 10.0 * k) for k in part] for part in (range(0, 12), range(12, 20), [(20)])] + [[(None, 5.0)]]
+    items = [[(k % 25, 1.0 + k) for k in range(30)], [(3, 2.0), (3, 2.0), (19, 4.0), (None, 9.0), (99, 1.0)], [(0, 7.0)], [(20, 1.5)]]
+    for name, batches, schema in (("o", orders, "o long, price double"), ("i", items, "l long, qty double")):
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            time.sleep(1.1)  # files are streamed by modification time
+    changes = row_changes(folder_stream(spark, str(tmp_path / "o")).filter("o is not null"), "o", [F.lit(1.0), F.lit(0.0), F.lit(0.0), "price"],
+                          folder_stream(spark, str(tmp_path / "i")), "l", [F.lit(0.0), F.lit(1.0), "qty", F.lit(0.0)])
+    out = str(tmp_path / "out")
+    query = maintain_sketch(changes, 3, 16, out, k=2, seed=4)
+    assert sum(p["numInputRows"] for p in query.recentProgress) <= 2 * 22 + 37
+    seen = {}
+    for epoch in range(4):
+        o = [r for part in orders[:epoch + 1] for r in part if r[0] is not None]
+        i = [r for part in items[:epoch + 1] for r in part]
+        rows = [(k, 1.0, float(sum(x[0] == k for x in i)), float(sum(x[1] for x in i if x[0] == k)), p) for k, p in o]
+        mf = MatrixFrame(spark.createDataFrame(rows, "key long, a0 double, a1 double, a2 double, b double"), 3)
+        want = {(r["trial"], r["bucket"]): np.array(r[2:]) for r in sketch(mf, "cw", 16, 2, 4).df.collect()}
+        got = {(r["trial"], r["bucket"]): np.array(r[2:]) for r in
+               spark.read.parquet(f"{out}/sketch/epoch={epoch}").select("trial", "bucket", "v0", "v1", "v2", "v3").collect()}
+        assert want.keys() <= got.keys() and all(np.allclose(got[k], want.get(k, 0.0), atol=1e-9) for k in got)
+        seen[epoch] = got
+    assert any(not np.allclose(seen[2][k], seen[1][k]) for k in seen[1])  # the late item of order 0
+    assert latest(spark, f"{out}/solutions").count() == 2
+    with pytest.raises(ValueError):
+        row_changes(spark.range(1), "id", ["id"], spark.range(1), "id", ["id", "id"])
