@@ -6,14 +6,19 @@ the rows."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallsketch.operators.products import _dot, residual_norms
+from tallsketch.functions.blocks import arrow_block, partial_long_schema
+from tallsketch.operators.products import MAX_EXPR_TERMS, _dot, residual_blocks, residual_norms
 from tallsketch.operators.shape import nnz
 from tallsketch.operators.small_solve import exact_solve
+from tallsketch.session import ship_package
 from tallsketch.sources.matrix import MatrixFrame
 
 
@@ -36,14 +41,56 @@ def stack_cost(mf_original: MatrixFrame, candidates: dict, repnum: int, kind: st
     ``kind='all'`` evaluates the original rows (every row repeated, same minimizer)."""
     if kind == "all":
         return residual_norms(mf_original, candidates).withColumnRenamed("norm", "cost")
-    w = F.when(nnz(mf_original) > 2, F.lit(float(repnum))).otherwise(F.lit(1.0))
     ids = list(candidates)
-    sums = [F.sum(w * F.pow(_dot(mf_original, candidates[c]) - F.col("b"), 2)).alias(f"r{j}")
-            for j, c in enumerate(ids)]
-    pairs = ", ".join(f"{int(c) if not isinstance(c, tuple) else int(c[0])}, r{j}" for j, c in enumerate(ids))
-    return (mf_original.df.agg(*sums)
-            .select(F.expr(f"stack({len(ids)}, {pairs}) AS (cand, ss)"))
-            .select(F.col("cand").cast("int").alias("cand"), F.sqrt(F.col("ss") / F.lit(float(repnum))).alias("cost")))
+    number = [int(c[0]) if isinstance(c, tuple) else int(c) for c in ids]
+    if mf_original.layout == "array" or len(ids) * mf_original.n > MAX_EXPR_TERMS:
+        # many candidates: one block product per Arrow batch, not an expression per candidate
+        long = residual_blocks(mf_original, np.array([np.asarray(candidates[c], dtype=float) for c in ids]), float(repnum))
+    else:
+        w = F.when(nnz(mf_original) > 2, F.lit(float(repnum))).otherwise(F.lit(1.0))
+        sums = [F.sum(w * F.pow(_dot(mf_original, candidates[c]) - F.col("b"), 2)).alias(f"r{j}") for j, c in enumerate(ids)]
+        pairs = ", ".join(f"{j}, r{j}" for j in range(len(ids)))
+        long = mf_original.df.agg(*sums).select(F.expr(f"stack({len(ids)}, {pairs}) AS (j, ss)"))
+    names = mf_original.df.sparkSession.createDataFrame(list(enumerate(number)), "j int, cand int")
+    return long.join(F.broadcast(names), "j").select("cand", F.sqrt(F.col("ss") / F.lit(float(repnum))).alias("cost"))
+
+
+def preconditioner_quality(mf: MatrixFrame, factors: dict[int, np.ndarray]) -> DataFrame:
+    """How well each trial's N preconditions A: (trial, sv_min, sv_max, cond), the extreme
+    singular values of A N and their ratio, on which LSQR's number of iterations depends.
+
+    One pass over the rows sums the Gram matrices of A N for all trials (k n² numbers to the
+    driver, whatever m is).  N makes them well conditioned, so squaring costs no accuracy that
+    a good N would show; a rank-deficient A N has sv_min 0 and cond null."""
+    trials, n, layout = sorted(factors), mf.n, mf.layout
+    if any(np.shape(factors[t]) != (n, n) for t in trials):
+        raise ValueError(f"factors must be {n} x {n}")
+    Ns = np.array([np.asarray(factors[t], dtype=float) for t in trials])
+
+    def partial(batches):
+        acc = np.zeros((len(Ns), n, n))
+        for rb in batches:
+            _, X = arrow_block(rb, n, layout)
+            for j, N in enumerate(Ns):
+                Y = X[:, :n] @ N
+                acc[j] += Y.T @ Y
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(Ns), dtype=np.int32), n * n)),
+             pa.array(np.tile(np.arange(n * n, dtype=np.int32), len(Ns))), pa.array(acc.reshape(-1))],
+            names=["trial", "pos", "val"])
+
+    spark = mf.df.sparkSession
+    ship_package(spark)
+    parts = mf.df.select(*mf.data_columns).mapInArrow(partial, partial_long_schema(["trial"]))
+    gram = np.zeros((len(Ns), n * n))
+    for r in parts.groupBy("trial", "pos").agg(F.sum("val").alias("val")).collect():
+        gram[r["trial"], r["pos"]] = r["val"]
+    rows = []
+    for t, G in zip(trials, gram.reshape(-1, n, n)):
+        values = np.linalg.eigvalsh((G + G.T) / 2)
+        lo, hi = math.sqrt(max(values[0], 0.0)), math.sqrt(max(values[-1], 0.0))
+        rows.append((int(t), lo, hi, hi / lo if lo > 0 else None))
+    return spark.createDataFrame(rows, "trial int, sv_min double, sv_max double, cond double")
 
 
 def relative_errors(mf_original: MatrixFrame, xs: dict, x_opt, f_opt: float, repnum: int = 1,

@@ -106,10 +106,11 @@ HISTORY_SCHEMA = ("trial int, iter int, x array<double>, y array<double>, nrm_r
 
 
 def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol: float = DEFAULT_TOL,
-         stop_early: bool = False, init: tuple[float, np.ndarray] | None = None) -> LsqrResult:
+         stop_early: bool = False, init: tuple[float, np.ndarray] | None = None, before_s: float = 0.0) -> LsqrResult:
     """Run ``iters`` LSQR iterations on min ||A N y - b|| for every trial's N (identity when
     ``factors`` is None: plain LSQR, one trial).  x = N y is recorded at every iteration.
-    ``init`` = (bᵀb, Aᵀb) when already known (e.g. from the sketch pass) saves the first pass."""
+    ``init`` = (bᵀb, Aᵀb) when already known (e.g. from the sketch pass) saves the first pass.
+    ``before_s``, the seconds that the factors took, is part of every iteration's time."""
     if iters is None or int(iters) < 1:
         raise ValueError("LSQR needs a positive number of iterations")
     iters = int(iters)
@@ -132,7 +133,7 @@ def lsqr(mf: MatrixFrame, factors: dict[int, np.ndarray] | None, iters: int, tol
         asked = [r.next_combination() for r in runs]
         if any(not r.done for r in runs):
             s, G = lsqr_pass(mf, np.array([a[0] for a in asked]), np.array([a[1] for a in asked]))
-        elapsed = time.time() - t0
+        elapsed = before_s + time.time() - t0
         for j, run in enumerate(runs):
             if not run.done:
                 run.extend(float(s[j]), G[j])

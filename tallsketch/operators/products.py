@@ -30,8 +30,21 @@ def _dot(mf: MatrixFrame, v) -> Column:
 
 
 def matvec(mf: MatrixFrame, v) -> DataFrame:
-    """V1: A·v as a keyed column (key, av); never collected."""
-    return mf.df.select("key", _dot(mf, v).alias("av"))
+    """V1: A·v as a keyed column (key, av); never collected.  Wide rows: one expression; array
+    rows: one block product per Arrow batch, beside the batch's keys."""
+    if mf.layout == "wide":
+        return mf.df.select("key", _dot(mf, v).alias("av"))
+    n, vec = mf.n, np.array([float(x) for x in v])
+    if len(vec) != n:
+        raise ValueError(f"vector has length {len(vec)}, matrix has {n} columns")
+
+    def product(batches):
+        for rb in batches:
+            keys, X = arrow_block(rb, n, "array")
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(X[:, :n] @ vec)], names=["key", "av"])
+
+    ship_package(mf.df.sparkSession)
+    return mf.df.select(*mf.data_columns).mapInArrow(product, "key long, av double")
 
 
 def vecmat(mf: MatrixFrame, u: Column | DataFrame) -> DataFrame:
@@ -70,7 +83,7 @@ def residual_norms(mf: MatrixFrame, candidates: dict) -> DataFrame:
     spark = mf.df.sparkSession
     if mf.layout == "array" or len(ids) * mf.n > MAX_EXPR_TERMS:
         # many candidates: one block product per Arrow batch instead of len(ids) sum expressions
-        long = _residual_blocks(mf, np.array([np.asarray(candidates[c], dtype=float) for c in ids]))
+        long = residual_blocks(mf, np.array([np.asarray(candidates[c], dtype=float) for c in ids]))
     else:
         sums = [F.sum(F.pow(_dot(mf, candidates[c]) - F.col("b"), 2)).alias(f"r{j}") for j, c in enumerate(ids)]
         row = mf.df.agg(*sums)
@@ -88,9 +101,10 @@ def _as_tuple(c) -> tuple[int, int]:
     return int(c), 0
 
 
-def _residual_blocks(mf: MatrixFrame, C: np.ndarray) -> DataFrame:
-    """Σ (a·x_j - b)² for every candidate row of C at once: per Arrow batch one block
-    product X·Cᵀ, per task one partial per candidate, then a sum (j, ss)."""
+def residual_blocks(mf: MatrixFrame, C: np.ndarray, dense_weight: float = 1.0) -> DataFrame:
+    """Σ w (a·x_j - b)² for every candidate row of C at once: per Arrow batch one block
+    product X·Cᵀ, per task one partial per candidate, then a sum (j, ss).  Rows with more than
+    two non-zeros in [A b] weigh ``dense_weight``, the others 1 (stack type 2)."""
     n = mf.n
     if C.shape[1] != n:
         raise ValueError(f"candidates have length {C.shape[1]}, matrix has {n} columns")
@@ -103,6 +117,8 @@ def _residual_blocks(mf: MatrixFrame, C: np.ndarray) -> DataFrame:
             _, X = arrow_block(rb, n, layout)
             if len(X):
                 R = X[:, :n] @ Cc.T - X[:, n:n + 1]
+                if dense_weight != 1.0:
+                    R *= np.sqrt(np.where((X != 0).sum(axis=1) > 2, dense_weight, 1.0))[:, None]
                 acc += np.einsum("ij,ij->j", R, R)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(Cc), np.int32)), pa.array(np.arange(len(Cc), dtype=np.int32)),
                                           pa.array(acc)], names=["trial", "pos", "val"])

@@ -18,10 +18,11 @@ from tallsketch.operators import leverage as L
 from tallsketch.operators import products as V
 from tallsketch.operators import shape as M
 from tallsketch.operators.generate import gen_matrix
+from tallsketch.operators.lsqr import DEFAULT_TOL
 from tallsketch.operators.sketch import KINDS, merge, sketch
 from tallsketch.operators.small_solve import exact_solve, factors_to_numpy, solve_sketch
 from tallsketch.plans import oracles as O
-from tallsketch.plans.solve import JobParams, compute_factors, solve
+from tallsketch.plans.solve import JobParams, compute_factors, run_job, solve
 from tallsketch.session import scratch_path
 from tallsketch.sources import matrix as S
 from tallsketch.sources import sinks
@@ -38,6 +39,7 @@ STACK_R = 3
 # Fixed parameter vectors (products and costs evaluated over the whole table)
 MATVEC_V = [1.0, 2.0, 3.0]
 RESID_CANDIDATES = {0: [250000.0, -2500.0, 60.0], 1: [0.0, 0.0, 0.0], 2: [1.0, 1.0, 1.0], 3: [100000.0, 1000.0, 100.0]}
+MANY_CANDIDATES = {j: [j / 500.0 - 0.5, float(j % 40)] for j in range(1000)}
 STACK_CANDIDATES = {0: [0.5, 100.0], 1: [1.0, 50.0], 2: [2.0, 0.0]}
 
 # Rounding digits per column of the OM view (a0 = 1, a1 = item count, a2 = quantity, b = price)
@@ -51,6 +53,9 @@ P_DIGITS = 7
 ERR_DIGITS = 8
 MEDIAN_DIGITS = 6  # errors of LSQR iterates (Krylov fits in the oracle)
 RESID_EST_DIGITS = 1  # LSQR residual estimates (~1.8e7 at sf0.01)
+MONITOR_DIGITS = {"nrm_r": 1, "nrm_ar": 0, "nrm_a": 6, "cnd_a": 6, "nrm_x": 0}
+K_COND = 2
+COND_DIGITS = 6
 GEN_DIGITS = [6, 6, 16, 16, 6]
 
 
@@ -308,8 +313,27 @@ def q_lsqr_residual_estimates(spark, sf):
 
 
 def q_lsqr_monitors(spark, sf):
-    res = _history_run(spark, sf)
-    return res.history.to_frame(spark).select("trial", "iter", "nrm_r", "nrm_ar", "nrm_a", "cnd_a", "nrm_x", "stag", "flag")
+    """H7 after the first two iterations, before n = 3 exhausts the Krylov space."""
+    res = solve(_om(spark, sf), _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=2, trials=K_HISTORY))
+    return res.history.to_frame(spark).select("trial", "iter", *[rnd(c, d).alias(c) for c, d in MONITOR_DIGITS.items()], "stag", "flag")
+
+
+def q_preconditioner_cond(spark, sf):
+    """H3/H4: extreme singular values of A N for the factors of every sketch, on the whole matrix."""
+    mf = _om(spark, sf).persist()
+    try:
+        found = []
+        for kind, sketch_type in [(k, "projection") for k in KINDS] + [("cw", "sampling")]:
+            p = _params(precision="high", sketch=sketch_type, kind=kind, c=kind_c(kind), s=S_SAMPLE, iters=1, trials=K_COND)
+            quality = E.preconditioner_quality(mf, compute_factors(mf, p, {}))
+            label = kind if sketch_type == "projection" else sketch_type
+            found.append(quality.select(F.lit(label).alias("factor"), "trial", *[rnd(c, COND_DIGITS).alias(c) for c in ("sv_min", "sv_max", "cond")]))
+    finally:
+        mf.unpersist()
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def _eval_low(spark, sf) -> DataFrame:
@@ -354,6 +378,24 @@ def q_eval_stack_cost(spark, sf):
         "cand", rnd("cost", 4).alias("cost"))
 
 
+def q_eval_stack_cost_many(spark, sf):
+    """E3 for 1000 candidates in one pass, as a history of k·q iterates asks for."""
+    return E.stack_cost(S.events_dense_matrix(spark, sf), MANY_CANDIDATES, STACK_R, "dense").select("cand", rnd("cost", 3).alias("cost"))
+
+
+def q_job_end_to_end(spark, sf):
+    """Text in, rows stacked, solved, written, evaluated; solutions and errors read back."""
+    path = scratch_path(spark, "job")
+    S.write_text_matrix(_om(spark, sf), f"{path}/in", with_key=False)
+    p = _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=Q_ITERS, repeat=2, output_uri=f"{path}/out",
+                evaluate=True, expect_dims=(S.table(spark, sf, "orders").count(), 3))
+    run_job(spark, f"{path}/in", p, n=3)
+    last = _final_iterates(sinks.read_solutions(spark, f"{path}/out"))
+    errors = sinks.read_errors(spark, f"{path}/out").filter(F.col("iter") == Q_ITERS - 1)
+    return _x_out(last).join(errors.select(F.col("cand").alias("trial"), rnd("x_relerr", 6).alias("x_relerr"),
+                                           rnd("f_relerr", 6).alias("f_relerr")), "trial")
+
+
 def q_factor_cache_roundtrip(spark, sf):
     mf = _om(spark, sf)
     p = _params(precision="high", sketch="projection", kind="cw", c=C_CW, iters=1, factor_cache=scratch_path(spark, "factors"))
@@ -473,6 +515,9 @@ def queries() -> dict:
         "lsqr_history": q_lsqr_history,
         "lsqr_monitors": q_lsqr_monitors,
         "lsqr_residual_estimates": q_lsqr_residual_estimates,
+        "preconditioner_cond": q_preconditioner_cond,
+        "job_end_to_end": q_job_end_to_end,
+        "eval_stack_cost_many": q_eval_stack_cost_many,
         "eval_f_relerr": q_eval_f_relerr,
         "eval_x_relerr": q_eval_x_relerr,
         "eval_median_low": q_eval_median_low,
@@ -600,6 +645,16 @@ def oracle_sql() -> dict[str, str]:
         "eval_stack_cost": O.with_(O.EVD) + " UNION ALL ".join(
             f"SELECT CAST({c} AS INTEGER) AS cand, {O.rnd(f'sqrt(sum(CASE WHEN ((CASE WHEN a0 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN a1 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN b <> 0 THEN 1 ELSE 0 END)) > 2 THEN {float(STACK_R)!r} ELSE 1.0 END * pow({x[0]!r}*a0 + {x[1]!r}*a1 - b, 2)) / {float(STACK_R)!r})', 4)} AS cost FROM evd"
             for c, x in STACK_CANDIDATES.items()),
+        "lsqr_monitors": O.krylov_monitors_sql(K_HISTORY, C_CW, SEED, DEFAULT_TOL, MONITOR_DIGITS),
+        "preconditioner_cond": O.conditions_sql({k: kind_c(k) for k in KINDS}, K_COND, SEED, S_SAMPLE, COND_DIGITS),
+        "job_end_to_end": O.with_(O.OM, O.gram("eg", "(SELECT 0 AS trial, * FROM om)", cols3=("a0", "a1", "a2", "b")), O.cramer("ex", "eg"))
+        + "SELECT *, CAST(0.0 AS DOUBLE) AS x_relerr, CAST(0.0 AS DOUBLE) AS f_relerr FROM (" + O.x_select("ex", X_DIGITS) + ")",
+        "eval_stack_cost_many": O.with_(O.EVD, "w AS (SELECT *, CASE WHEN ((CASE WHEN a0 <> 0 THEN 1 ELSE 0 END) + "
+                                        "(CASE WHEN a1 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN b <> 0 THEN 1 ELSE 0 END)) > 2 "
+                                        f"THEN {float(STACK_R)!r} ELSE 1.0 END AS w FROM evd)",
+                                        "cand AS (SELECT CAST(range AS INTEGER) AS cand, range / 500.0 - 0.5 AS x0, "
+                                        "CAST(range % 40 AS DOUBLE) AS x1 FROM range(1000))")
+        + f"SELECT cand, {O.rnd(f'sqrt(sum(w * pow(x0*a0 + x1*a1 - b, 2)) / {float(STACK_R)!r})', 3)} AS cost FROM w CROSS JOIN cand GROUP BY cand",
         "factor_cache_roundtrip": _nnt_sql([O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)], "sk"),
         "solution_sink_roundtrip": _low_x("cw"),
         "stream_sketch_rows": O.with_(O.OM, O.sketch("sk", "om", 3, "cw", C_CW, 1, SEED)) + _sketch_sel("sk"),

@@ -57,12 +57,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def params_from_args(a) -> JobParams:
+    if (a.load_N or a.save_N) and not a.factor_cache:
+        raise ValueError("--load_N and --save_N need the URI of the factors (--factor-cache)")
     return JobParams(
         precision=a.precision, sketch=a.sketch, kind=a.kind, c=a.c, s=a.s, iters=a.iters, trials=a.trials,
-        seed=a.seed, storage=a.storage, persist=True if a.cache or a.precision == "high" or a.sketch == "sampling" else False,
+        seed=a.seed, storage=a.storage, persist=a.cache,
         partitions=a.npartitions, expect_dims=tuple(a.dims) if a.dims else None, repeat=a.nrepetitions,
         stack="all" if a.stack == 1 else "dense", evaluate=a.test, output_uri=a.output,
-        factor_cache=a.factor_cache if (a.load_N or a.save_N) else None, reuse=a.load_N)
+        factor_cache=a.factor_cache if (a.load_N or a.save_N) else None, reuse=a.load_N,
+        save=a.save_N or not a.load_N)
 
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:

@@ -275,3 +275,68 @@ def krylov_residuals_sql(k: int, c: int, seed: int, iters: int, digits: int) ->
         f"SELECT trial, CAST(iter AS INTEGER) AS iter, {rnd('f', digits)} AS nrm_r FROM kfx UNION ALL "
         f"SELECT q.trial, CAST(r.it AS INTEGER) AS iter, {rnd('kfopt.f', digits)} AS nrm_r FROM kinv q CROSS JOIN kfopt "
         f"CROSS JOIN (SELECT range AS it FROM range(2, {iters})) r")
+
+
+def krylov_monitors_sql(k: int, c: int, seed: int, tol: float, digits: dict[str, int]) -> str:
+    """LSQR's monitors after its first two iterations, from the entries of the bidiagonal matrix.
+
+    With the vectors of ``krylov_ctes`` (d = M A'b, u = T d, e = M u, w = T e) and p = d'A'b:
+    alpha1^2 = p / b'b, alpha1^2 + beta2^2 = d'u / p, and the next entries follow from the norms of
+    A'A v and A v, written in d, e and w.  The residual, the norms of B and of its pseudo-inverse
+    and the solution are those of the 2 x 1 and 3 x 2 least-squares problems."""
+    ctes, _, _ = krylov_ctes(k, c, seed)
+    row = lambda i: " + ".join(f"i{min(i, j)}{max(i, j)}*w{j}" for j in range(3))
+    steps = [
+        "k0 AS (SELECT trial, r1 AS p, a11, a12, a22, " + " + ".join(f"w{i}*({row(i)})" for i in range(3))
+        + " AS a33, (SELECT sum(b*b) FROM om) AS bb FROM ks)",
+        "k1 AS (SELECT *, sqrt(bb) AS be1, sqrt(p / bb) AS al1, a11 / p AS rho, a12 / p AS sigma FROM k0)",
+        "k2 AS (SELECT *, rho - al1*al1 AS be2q, (sigma - rho*rho) / (rho - al1*al1) AS al2q FROM k1)",
+        "k3 AS (SELECT *, (a22 - 2*rho*a12 + rho*rho*a11) / (p*be2q*al2q) - al2q AS be3q, "
+        "(a33 - 2*rho*a22 + rho*rho*a12) / (p*be2q*al2q) AS nu FROM k2)",
+        "k4 AS (SELECT *, (nu - (al2q + be3q)*(al2q + be3q) - al2q*be2q) / be3q AS al3q, "
+        "rho * (al2q + be3q) - al2q*be2q AS det FROM k3)",
+        # the solutions z of the two small problems
+        "k5 AS (SELECT *, be1*al1 / rho AS z, be1*al1*(al2q + be3q) / det AS z1, -be1*al1*sqrt(al2q*be2q) / det AS z2 FROM k4)",
+        "km AS (SELECT trial, 0 AS iter, be1*sqrt(be2q) / sqrt(rho) AS nrm_r, sqrt(al2q*be2q)*abs(z) AS nrm_ar, sqrt(rho) AS nrm_a, "
+        "CAST(1.0 AS DOUBLE) AS cnd_a, abs(z) AS nrm_x, al1*be1 AS first FROM k5 UNION ALL "
+        "SELECT trial, 1, sqrt(bb - al1*be1*z1), sqrt(al3q*be3q)*abs(z2), sqrt(rho + al2q + be3q), (rho + al2q + be3q) / sqrt(det), "
+        "sqrt(z1*z1 + z2*z2), al1*be1 FROM k5)",
+    ]
+    names = ["nrm_r", "nrm_ar", "nrm_a", "cnd_a", "nrm_x"]
+    return with_(*ctes, *steps) + ("SELECT trial, CAST(iter AS INTEGER) AS iter, " + ", ".join(
+        f"{rnd(n, digits[n])} AS {n}" for n in names) + ", CAST(0 AS INTEGER) AS stag, "
+        f"CAST(CASE WHEN nrm_ar < {tol!r} * first THEN 0 ELSE -1 END AS INTEGER) AS flag FROM km")
+
+
+def condition_sql(name: str, factor_gram: str, label: str, digits: int) -> str:
+    """Extreme singular values of A N from the grams of the sketch (``factor_gram``) and of A (``kgram``):
+    the eigenvalues of ((SA)'SA)^-1 A'A, the roots of a cubic with three real ones."""
+    p = lambda i, j: " + ".join(f"i{min(i, m)}{max(i, m)}*E{min(m, j)}{max(m, j)}" for m in range(3))
+    entries = ", ".join(f"{p(i, j)} AS P{i}{j}" for i in range(3) for j in range(3))
+    trace = "P00 + P11 + P22"
+    square = " + ".join(f"P{i}{j}*P{j}{i}" for i in range(3) for j in range(3))
+    det = "P00*(P11*P22 - P12*P21) - P01*(P10*P22 - P12*P20) + P02*(P10*P21 - P11*P20)"
+    return ",\n".join([
+        inverse(f"{name}_i", factor_gram),
+        f"{name}_p AS (SELECT trial, {entries} FROM {name}_i CROSS JOIN kgram)",
+        f"{name}_c AS (SELECT trial, {trace} AS c1, (({trace})*({trace}) - ({square})) / 2 AS c2, {det} AS c3 FROM {name}_p)",
+        f"{name}_d AS (SELECT *, c1*c1 - 3*c2 AS dd FROM {name}_c)",
+        f"{name}_a AS (SELECT *, acos(greatest(-1.0, least(1.0, (2*c1*c1*c1 - 9*c1*c2 + 27*c3) / (2*dd*sqrt(dd))))) / 3 AS phi FROM {name}_d)",
+        f"{name}_e AS (SELECT trial, sqrt(c1/3 + 2*sqrt(dd)/3*cos(phi)) AS hi, sqrt(c1/3 + 2*sqrt(dd)/3*cos(phi + 2*pi()/3)) AS lo FROM {name}_a)",
+        f"{name} AS (SELECT '{label}' AS factor, trial, {rnd('lo', digits)} AS sv_min, {rnd('hi', digits)} AS sv_max, "
+        f"{rnd('hi/lo', digits)} AS cond FROM {name}_e)",
+    ])
+
+
+def conditions_sql(kinds: dict[str, int], trials: int, seed: int, s: float, digits: int) -> str:
+    """``preconditioner_cond``: every projection kind, and the leverage sample that starts from ``cw``."""
+    full = ("kgram AS (SELECT " + ", ".join(f"sum(a{i}*a{j}) AS E{i}{j}" for i in range(3) for j in range(3) if i <= j) + " FROM om)")
+    ctes, names = [OM, full], []
+    for kind, c in kinds.items():
+        ctes += [sketch(f"c_{kind}", "om", 3, kind, c, trials, seed), gram(f"g_{kind}", f"c_{kind}"),
+                 condition_sql(f"q_{kind}", f"g_{kind}", kind, digits)]
+        names.append(f"q_{kind}")
+    ctes += [*leverage_chain("L", "om", "cw", kinds["cw"], trials, seed, s),
+             gram("g_sampling", "L_smp", weight="(1.0 / p)", cols3=("a0", "a1", "a2", "b")),
+             condition_sql("q_sampling", "g_sampling", "sampling", digits)]
+    return with_(*ctes) + " UNION ALL ".join(f"SELECT * FROM {n}" for n in [*names, "q_sampling"])

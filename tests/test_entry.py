@@ -10,7 +10,7 @@ from conftest import ROOT, SF001
 
 import __spark_entry__ as ENTRY
 
-ROWS_ONLY = {"lsqr_monitors"}
+ROWS_ONLY = set()
 
 
 def test_catalogue_keys_and_oracles():

@@ -249,3 +249,85 @@ def test_streamed_parts_change_the_sketch_of_their_row(spark, tmp_path):
     assert latest(spark, f"{out}/solutions").count() == 2
     with pytest.raises(ValueError):
         row_changes(spark.range(1), "id", ["id"], spark.range(1), "id", ["id", "id"])
+
+
+def _two_features(spark, shift, broadcast=None):
+    """The same file with a feature from a Python function of one name and another body or value."""
+    from pyspark.sql.types import DoubleType
+
+    if broadcast is not None:
+        feature = F.udf(lambda v: float(v) * broadcast.value, DoubleType())
+    else:
+        feature = F.udf(lambda v: float(v) * 1.0 + shift, DoubleType())
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    return S.from_columns(ev, "event_id", [F.lit(1.0), feature(F.col("user_id"))], "value", name="udf")
+
+
+def test_factor_cache_tells_the_code_of_functions_apart(spark):
+    cache = scratch_path(spark, "cache-udf")
+    assert "factor_cache_hit" not in _cached(spark, _two_features(spark, 0.0), cache)
+    assert "factor_cache_hit" not in _cached(spark, _two_features(spark, 7.0), cache)
+    assert "factor_cache_hit" in _cached(spark, _two_features(spark, 0.0), cache)
+    named = spark.read.parquet(f"{SF001}/events.parquet")
+    root = F.udf(np.sqrt, "double")  # a function that is pickled by its name: its module's file counts
+    mf = S.from_columns(named.withColumn("u", root(F.col("user_id") + 0.0)), "event_id", [F.lit(1.0), "u"], "value")
+    assert len(sinks.plan_code(mf.df) or ["x"]) == 1
+    value = spark.sparkContext.broadcast(3.0)
+    for _ in range(2):  # the value of a broadcast variable is not in the plan: never cached
+        assert "factor_cache_hit" not in _cached(spark, _two_features(spark, 0.0, value), cache)
+    assert sinks.plan_code(named.filter("event_id in (select max(id) from range(3))")) == []
+
+
+def test_factor_cache_modes_and_half_written_sets(spark):
+    mf, cache = S.orders_matrix(spark, SF001), scratch_path(spark, "cache-modes")
+    params = dict(precision="high", sketch="projection", kind="cw", c=60, iters=1, factor_cache=cache)
+    fp = sinks.fingerprint(mf, JobParams(**params), "N")
+    t = {}
+    compute_factors(mf, JobParams(**params, save=False), t)  # load only: nothing there, nothing written
+    assert "factor_cache_hit" not in t and sinks.complete_sets(spark, cache, fp) == []
+    spark.range(3).write.parquet(f"{cache}/fp={fp}/set-dead/_temporary/0")  # a save that died
+    assert sinks.load_factors(spark, cache, fp) is None
+    first = compute_factors(mf, JobParams(**params, reuse=False), {})
+    kept = sinks.complete_sets(spark, cache, fp)
+    assert len(kept) == 1
+    t = {}
+    again = compute_factors(mf, JobParams(**params, reuse=False), t)  # save only: not read, and no set is replaced
+    assert "factor_cache_hit" not in t and len(sinks.complete_sets(spark, cache, fp)) == 2 and kept[0] in sinks.complete_sets(spark, cache, fp)
+    t = {}
+    found = compute_factors(mf, JobParams(**params, save=False), t)
+    assert "factor_cache_hit" in t and np.allclose(found[0] @ found[0].T, again[0] @ again[0].T) and np.allclose(abs(found[0]), abs(first[0]))
+    with pytest.raises(ValueError):
+        JobParams(**params, save=False, reuse=False).validate()
+
+
+def test_cli_factor_flags_and_persist(spark):
+    from tallsketch.plans.cli import params_from_args, parser
+
+    base = ["data", "--high_precision", "--projection", "-r", "50", "-q", "3"]
+    args = lambda *more: params_from_args(parser().parse_args(base + list(more)))
+    assert not args().persist and args("-c").persist
+    for flag in ("--load_N", "--save_N"):
+        with pytest.raises(ValueError, match="factor-cache"):
+            args(flag)
+    load, save, both = args("--load_N", "--N-dir", "u"), args("--save_N", "--N-dir", "u"), args("--load_N", "--save_N", "--N-dir", "u")
+    assert (load.reuse, load.save) == (True, False) and (save.reuse, save.save) == (False, True) and (both.reuse, both.save) == (True, True)
+
+
+def test_history_times_count_from_the_first_sketch(spark):
+    cache = scratch_path(spark, "cache-time")
+    p = JobParams(precision="high", sketch="projection", kind="cw", c=60, iters=2, factor_cache=cache)
+    mf = S.orders_matrix(spark, SF001)
+    for stage in ("projection", "factor_cache_hit"):
+        res = solve(mf, p)
+        spent = {r["stage"]: r["elapsed_s"] for r in res.metrics.collect()}
+        times = [h["elapsed_s"] for h in res.history.history]
+        assert spent[stage] > 0 and times[0] > spent[stage] and times == sorted(times)
+
+
+def test_job_writes_its_errors(spark):
+    path = scratch_path(spark, "job")
+    S.write_text_matrix(S.orders_matrix(spark, SF001), f"{path}/in", with_key=False)
+    p = JobParams(precision="low", sketch="projection", kind="cw", c=100, trials=3, repeat=2, output_uri=f"{path}/out", evaluate=True)
+    run_job(spark, f"{path}/in", p, n=3)
+    assert sinks.read_solutions(spark, f"{path}/out").count() == 3
+    assert all(0 <= r["x_relerr"] < 1 for r in sinks.read_errors(spark, f"{path}/out").collect())

@@ -126,3 +126,39 @@ def test_wide_block_paths_match_expressions(spark):
     assert [a[:2] for a in expr_lev] == [b[:2] for b in block_lev]
     assert np.allclose([a[2] for a in expr_lev], [b[2] for b in block_lev], rtol=1e-10)
     assert np.allclose(expr_pass[0], block_pass[0], rtol=1e-10) and np.allclose(expr_pass[1], block_pass[1], rtol=1e-10)
+
+
+def test_preconditioner_quality_against_numpy(spark):
+    from tallsketch.operators.evaluate import preconditioner_quality
+    from tallsketch.operators.sketch import sketch
+    from tallsketch.operators.small_solve import factors_to_numpy, solve_sketch
+
+    for mf, kind, c in ((S.orders_matrix(spark, SF001), "cw", 100), (S.embeddings_matrix(spark, SF001), "gaussian", 300)):
+        _, A, _ = to_numpy(mf)
+        factors = factors_to_numpy(solve_sketch(sketch(mf, kind, c, 2, 3)), mf.n)
+        wrong = {0: factors[0], 1: np.eye(mf.n), 2: factors[1] @ np.diag([0.0] + [1.0] * (mf.n - 1))}
+        got = {r["trial"]: r for r in preconditioner_quality(mf, {**wrong, 3: factors[1]}).collect()}
+        for t, N in {**wrong, 3: factors[1]}.items():
+            values = np.linalg.svd(A @ N, compute_uv=False)
+            assert np.isclose(got[t]["sv_max"], values[0], rtol=1e-8)
+            assert np.isclose(got[t]["sv_min"], values[-1], rtol=1e-6, atol=1e-5 * values[0])
+        assert got[3]["cond"] < 3.5 and not (got[2]["cond"] or 1e9) < 1e6
+        if kind == "cw":  # ill-conditioned without a factor
+            assert got[1]["cond"] > 50 * got[3]["cond"]
+    with pytest.raises(ValueError):
+        preconditioner_quality(mf, {0: np.eye(2)})
+
+
+def test_stack_cost_of_many_candidates_is_the_same_by_blocks(spark):
+    from tallsketch.operators.evaluate import stack_cost
+
+    mf = S.events_dense_matrix(spark, SF001)
+    few = {(3, 1): [0.5, 100.0], (9, 2): [1.0, 50.0], (4, 0): [0.0, 0.0]}
+    many = {k: [k / 10.0, 100.0 - k] for k in range(200)}
+    by_row = {r["cand"]: r["cost"] for r in stack_cost(mf, few, 3).collect()}
+    assert set(by_row) == {3, 9, 4}
+    blocks = {r["cand"]: r["cost"] for r in stack_cost(mf, many, 3).collect()}
+    for k in (0, 5, 77, 199):
+        assert np.isclose(blocks[k], next(iter(stack_cost(mf, {k: many[k]}, 3).collect()))["cost"], rtol=1e-12)
+    arr = {r["cand"]: r["cost"] for r in stack_cost(mf.to_array(), few, 3).collect()}
+    assert all(np.isclose(arr[k], by_row[k], rtol=1e-12) for k in by_row)
