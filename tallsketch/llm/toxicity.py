@@ -9,9 +9,11 @@ not seen turns the two into a probability.
 
 The models count all labelled documents outside the held-out fold; only the curve is fitted on a
 bounded sample (the smallest md5(doc_id)), which the models do not count.  Counts are of
-documents, not occurrences.  A model of up to ``MODEL_ROWS`` words and pairs is collected and
-broadcast; a larger one stays a table: every block of documents is joined with the entries of its
-own words and pairs.
+documents, not occurrences.  Words are known by a 64-bit hash throughout.  Tasks count grams in
+arrays and pass on, for each word, the words before it; the pairs of a word are dealt over
+``SALTS`` keys and are final after that one exchange.  A model of up to ``MODEL_BYTES`` is
+collected as sorted arrays and broadcast; a larger one stays a table: every block of documents is
+joined with the entries of its own words and pairs.
 """
 
 import math
@@ -20,8 +22,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,18 @@ from tallsketch.session import ship_package
 #: A CURVE_SHARE-th of the labelled documents, of at most so many, fits the curve; all others count.
 MAX_DOCS = 12_000
 CURVE_SHARE = 4
-#: Words and pairs of a model that is broadcast, at most; rows of a block that meets a larger one.
-MODEL_ROWS, BLOCK = 500_000, 1000
-#: Grams that a task counts before it passes them on.
-COUNTED = 200_000
+#: Bytes of a model that is broadcast, at most; rows of a block that meets a larger one.
+MODEL_BYTES, BLOCK = 128 << 20, 1000
+#: Bytes of a pair and of a word in a broadcast model.
+PAIR_BYTES, WORD_BYTES = 24, 40
+#: Grams that a task holds before it passes them on.
+COUNTED = 2_000_000
+#: Keys that the pairs of one word are dealt over.
+SALTS = 16
+#: In place of the word before: the documents of the word itself, and of the pairs it begins.
+ITSELF, BEGUN = 0, 1
+#: Words whose hashes a task remembers, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 #: Documents that a word or a word pair must occur in to be in the model.  Fewer are below the
 #: discount in both classes, so they leave the ratio to the shared backoff in any case.
 MIN_WORD, MIN_PAIR = 3, 3
@@ -53,41 +63,71 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+_HASHES: dict[str, int] = {}
+
+
+def hashed(found: list[str]) -> np.ndarray:
+    """64-bit hashes of words; none is ITSELF or BEGUN."""
+    out = []
+    for w in found:
+        h = _HASHES.get(w)
+        if h is None:
+            h = max(2, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+            if len(w) <= LONGEST:
+                if len(_HASHES) >= REMEMBERED:
+                    _HASHES.clear()
+                _HASHES[w] = h
+        out.append(h)
+    return np.array(out, np.uint64).view(np.int64)
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit key of two hashes in their order."""
+    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _place(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """1 + place of each key in the sorted ``among``; 0: not there."""
+    if not len(among):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return np.where(among[at] == keys, at + 1, 0)
+
+
 @dataclass
 class Model:
-    """Probabilities by word number; number 0 is a word outside the model."""
-
-    numbers: dict[str, int]
-    unigram: np.ndarray  # (2, V): P_c(w), class 1 toxic
-    context: np.ndarray  # (2, V): the weight of the unigram after w
-    pairs: np.ndarray    # sorted keys before * V + word
-    pair_p: np.ndarray   # (2, pairs): discounted probabilities
+    """Sorted hashes of words and of pairs, and their probabilities by place; place 0 is a word or
+    pair outside the model."""
+
+    words: np.ndarray
+    unigram: np.ndarray  # (2, 1 + words): P_c(w), class 1 toxic
+    context: np.ndarray  # (2, 1 + words): the weight of the unigram after w
+    pairs: np.ndarray
+    pair_p: np.ndarray   # (2, 1 + pairs): discounted probabilities
     curve: np.ndarray = None
 
-    def ratios(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log P_toxic(w | before) / P_ordinary(w | before) of word numbers; ``first`` marks
+    def ratios(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log P_toxic(w | before) / P_ordinary(w | before) of word hashes; ``first`` marks
         words that begin a text."""
-        before = np.where(first, 0, np.roll(ids, 1))
-        weight = np.where(first, 1.0, self.context[:, before])
-        p = weight * self.unigram[:, ids]
-        if len(self.pairs):
-            key = before * len(self.unigram[0]) + ids
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            p = p + np.where(~first & (self.pairs[at] == key), self.pair_p[:, at], 0.0)
+        ids = _place(h, self.words)
+        weight = np.where(first, 1.0, self.context[:, np.roll(ids, 1)])
+        pair = np.where(first, 0, _place(pair_keys(np.roll(h, 1), h), self.pairs))
+        p = weight * self.unigram[:, ids] + self.pair_p[:, pair]
         return np.log(p[1]) - np.log(p[0])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """(texts, 2): mean log ratio, mean of the TOP largest ones; zero without words."""
-        get, out = self.numbers.get, np.zeros((len(texts), 2))
-        lists = [[get(w, 0) for w in words(t)] for t in texts]
+        out = np.zeros((len(texts), 2))
+        lists = [hashed(words(t)) for t in texts]
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         if not lengths.sum():
             return out
-        ids = np.fromiter((i for x in lists for i in x), np.int64, lengths.sum())
         ends = np.cumsum(lengths)
-        first = np.zeros(len(ids), bool)
+        first = np.zeros(lengths.sum(), bool)
         first[(ends - lengths)[lengths > 0]] = True
-        r = self.ratios(ids, first)
+        r = self.ratios(np.concatenate(lists), first)
         for k, (a, b) in enumerate(zip(ends - lengths, ends)):
             if b > a:
                 part = r[a:b]
@@ -102,84 +142,123 @@ class Model:
 
 @dataclass
 class Tables:
-    """A model too large to collect: ``entries`` (before, word, a, b, c, d) holds a word's two
-    probabilities and context weights (before is empty) and a pair's two probabilities."""
+    """A model too large to collect: ``singles`` (word, a, b, c, d) holds a word's two probabilities
+    and context weights, ``pairs`` (before, word, a, b) a pair's two probabilities."""
 
-    entries: DataFrame
+    singles: DataFrame
+    pairs: DataFrame
     unknown: tuple[float, float]  # P_c of a word outside the model
     curve: np.ndarray = None
 
 
-def training_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_docs: int | None = MAX_DOCS) -> DataFrame:
-    """(key, toxic, order, curve): the labelled documents to learn from, all or the first
-    ``max_docs``; a repeated one counts as its largest label, null labels and keys are left out.
-    ``_curve`` marks those that may fit the curve."""
+def training_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(key, toxic, order, curve): the labelled documents to learn from; a repeated one counts as
+    its largest label, null labels and keys are left out.  ``_curve`` marks those that may fit
+    the curve."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     fold = F.crc32(F.col(key).cast("string")) % FOLDS
-    order = F.md5(F.col(key).cast("string"))
-    rows = known.filter(fold != HELD_OUT).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_toxic")).withColumn("_order", order)
-    if max_docs is not None:
-        rows = rows.orderBy("_order").limit(max_docs)
-    return rows.select(key, "_toxic", "_order", (F.crc32("_order") % CURVE_SHARE == 0).alias("_curve"))
+    rows = known.filter(fold != HELD_OUT).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_toxic"))
+    return rows.withColumn("_order", F.md5(F.col(key).cast("string"))).select(
+        key, "_toxic", "_order", (F.crc32("_order") % CURVE_SHARE == 0).alias("_curve"))
+
+
+def last_of_sample(rows: DataFrame, size: int) -> str:
+    """The ``size``-th smallest ``_order`` (an md5) of ``rows``, or the largest.  Only rows below a
+    threshold that about twice as many pass are put in order, whatever the number of rows."""
+    total, share = rows.count(), 0.0
+    while True:
+        share = min(1.0, 2 * share or 2.0 * size / max(total, 1))
+        few = rows.select("_order")
+        if share < 1:
+            few = few.filter(F.col("_order") < f"{int(share * 16**8):08x}")
+        if share == 1 or few.count() >= size:
+            return few.orderBy("_order").limit(size).agg(F.max("_order")).first()[0] or ""
+
+
+def _count_grams(most: int, salts: int):
+    """(word, salt, before, n): for each word, of the words before it, and of ITSELF and BEGUN, the
+    documents; n holds the toxic ones in its upper 32 bits, the ordinary ones in the lower.  At
+    most about ``most`` grams are held at a time."""
+    def summed(held: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[1] % salts, rows[0]))]
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]))
+        return np.vstack([rows[:2, edge], np.add.reduceat(rows[2], edge)])
+
+    def passed(rows: np.ndarray) -> pa.RecordBatch:
+        salt = rows[1] % salts
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(salt) != 0)]))
+        ends = pa.array(np.append(edge, rows.shape[1]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[0, edge]), pa.array(salt[edge].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(rows[1])),
+             pa.ListArray.from_arrays(ends, pa.array(rows[2]))], names=["word", "salt", "before", "n"])
 
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h, one = hashed(words(text)), 1 << 32 if toxic else 1
+                if not len(h):
+                    continue
+                _, at = np.unique(pair_keys(h[:-1], h[1:]), return_index=True)
+                single = np.unique(h)
+                begun, times = np.unique(h[at], return_counts=True)
+                held.append(np.vstack([np.concatenate([single, begun, h[at + 1]]),
+                                       np.concatenate([np.full(len(single), ITSELF), np.full(len(begun), BEGUN), h[at]]),
+                                       one * np.concatenate([np.ones(len(single), np.int64), times, np.ones(len(at), np.int64)])]))
+                size += held[-1].shape[1]
+                if size >= most:
+                    held = [summed(held)]
+                    size = held[0].shape[1]
+                    if size >= most // 2:  # few repeat: hand them on
+                        yield passed(held[0])
+                        held, size = [], 0
+        if held:
+            yield passed(summed(held))
 
-def _count_grams(batches):
-    """(gram, n): a word or two words with a blank between, a bounded number of grams at a time;
-    n holds the toxic documents in its upper 32 bits, the ordinary ones in the lower."""
-    def counted():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                          names=["gram", "n"])
-
-    counts: dict[str, int] = {}
-    for b in batches:
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            w, one = words(text), 1 << 32 if toxic else 1
-            for gram in {*w, *map(" ".join, zip(w, w[1:]))}:
-                counts[gram] = counts.get(gram, 0) + one
-            if len(counts) >= COUNTED:
-                yield counted()
-                counts = {}
-    if counts:
-        yield counted()
+    return run
 
 
 def _grams(train: DataFrame) -> DataFrame:
-    """(before, word, toxic, ordinary, left, begun_toxic, begun_ordinary): of words (before is
-    empty) the documents, the distinct words before it and the sums of the pairs it begins; of
-    pairs with MIN_PAIR documents the documents."""
-    counted = (train.mapInArrow(_count_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-               .select(F.when(F.instr("gram", " ") > 0, F.substring_index("gram", " ", 1)).otherwise("").alias("before"),
-                       F.substring_index("gram", " ", -1).alias("word"), F.shiftright("n", 32).alias("t"),
-                       F.col("n").bitwiseAND(F.lit(2**32 - 1)).alias("o")))
-    names = ("before", "word", "toxic", "ordinary", "left", "begun_toxic", "begun_ordinary")
-
-    def row(*values):
-        return F.struct(*[v.cast("long" if k > 1 else "string").alias(n) for k, (n, v) in enumerate(zip(names, values))])
-
-    none, single = F.lit(0), F.col("before") == ""
-    rows = F.array_compact(F.array(
-        F.when(single | (F.col("t") + F.col("o") >= MIN_PAIR), row(F.col("before"), F.col("word"), F.col("t"), F.col("o"), none, none, none)),
-        F.when(~single, row(F.lit(""), F.col("word"), none, none, F.lit(1), none, none)),
-        F.when(~single, row(F.lit(""), F.col("before"), none, none, none, F.col("t"), F.col("o")))))
-    return counted.select(F.explode(rows).alias("r")).select("r.*").groupBy("before", "word").agg(
-        *[F.sum(n).alias(n) for n in names[2:]])
+    """(word, salt, n, begun, left, kept): a share of what is known of each word: documents, sum of the
+    pairs it begins, distinct words before it, and the pairs of MIN_PAIR documents that end in it."""
+    raw = train.mapInArrow(_count_grams(COUNTED, SALTS), "word long, salt int, before array<long>, n array<long>").repartition("word", "salt")
+    # both groupings keep the partitioning: no further exchange
+    counted = (raw.select("word", "salt", F.explode(F.arrays_zip("before", "n")).alias("x"))
+               .select("word", "salt", F.col("x.before").alias("before"), F.col("x.n").alias("n"))
+               .groupBy("word", "salt", "before").agg(F.sum("n").alias("n")))
+    pair = ~F.col("before").isin(ITSELF, BEGUN)
+    enough = pair & (_toxic("n") + _ordinary("n") >= MIN_PAIR)
+    return counted.groupBy("word", "salt").agg(
+        F.sum(F.when(F.col("before") == ITSELF, F.col("n"))).alias("n"), F.sum(F.when(F.col("before") == BEGUN, F.col("n"))).alias("begun"),
+        F.sum(pair.cast("long")).alias("left"), F.collect_list(F.when(enough, F.struct("before", "n"))).alias("kept"))
+
+
+def _toxic(n: str):
+    return F.shiftright(n, 32)
+
+
+def _ordinary(n: str):
+    return F.col(n).bitwiseAND(F.lit(2**32 - 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
         max_docs: int = MAX_DOCS) -> "Model | Tables":
     """Fit the models on all labelled documents and the curve on at most ``max_docs`` //
     CURVE_SHARE others.  With one class or no labels at all, every score is the smoothed share of
-    toxic labels."""
+    toxic labels.  Repeated documents count each time, null texts have no words, labels without a
+    document are not used, and other columns of both tables are not read."""
     ship_package(docs.sparkSession)
-    chosen = small(stored(training_rows(labels, key, label, None), "toxicity-labels"))
+    chosen = small(stored(training_rows(labels, key, label), "toxicity-labels"))
     train = stored(docs.select(key, F.col(text).alias("_text")).join(chosen, key)
                    .select("_text", "_toxic", "_order", "_curve"), "toxicity-train")
-    sample = stored(train.filter("_curve").orderBy("_order").limit(max(1, max_docs // CURVE_SHARE)), "toxicity-curve")
-    last = sample.agg(F.max("_order")).first()[0] or ""
+    last = last_of_sample(train.filter("_curve"), max(1, max_docs // CURVE_SHARE))
+    sample = stored(train.filter(F.col("_curve") & (F.col("_order") <= last)), "toxicity-curve")
     grams = stored(_grams(train.filter(~F.col("_curve") | (F.col("_order") > last)).select("_text", "_toxic")), "toxicity-grams")
     model = _kneser_ney(grams)
-    if model.entries.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS:
-        model = _collected(model.entries.toArrow(), model.unknown)
+    if PAIR_BYTES * model.pairs.count() + WORD_BYTES * model.singles.count() <= MODEL_BYTES:
+        model = _collected(model.singles.toArrow(), model.pairs.toArrow(), model.unknown)
     model.curve = np.zeros(3)
     place = "_row"
     seen = _described(located(sample, place), place, "_text", model).join(
@@ -191,9 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _kneser_ney(grams: DataFrame) -> Tables:
-    single, pair = grams.filter("before = ''"), grams.filter("before <> ''")
-    both = F.col("toxic") + F.col("ordinary")
-    uni = single.filter(both >= MIN_WORD)
+    sums = grams.groupBy("word").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "begun", "left")])
+    single = stored(sums.select("word", _toxic("n").alias("toxic"), _ordinary("n").alias("ordinary"), "left",
+                                _toxic("begun").alias("ct"), _ordinary("begun").alias("co")), "toxicity-words")
+    uni = single.filter(F.col("toxic") + F.col("ordinary") >= MIN_WORD)
 
     def over(name):
         return F.greatest(F.col(name) - DISCOUNT, F.lit(0.0))
@@ -203,60 +283,63 @@ def _kneser_ney(grams: DataFrame) -> Tables:
     among = total[2] + 0.5 * (kept[0] + 1)
     of = [max(float(t), 1.0) for t in total[:2]]
     rest = [1 - kept[c + 1] / of[c] for c in (0, 1)]
-    begin = single.select(F.col("word").alias("before"), F.col("begun_ordinary").alias("co"), F.col("begun_toxic").alias("ct"))
-    pairs = stored(pair.select("before", "word", "toxic", "ordinary").join(begin, "before").select(
+    pair = grams.select("word", F.inline("kept")).select("before", "word", _toxic("n").alias("toxic"), _ordinary("n").alias("ordinary"))
+    begin = single.select(F.col("word").alias("before"), "co", "ct")
+    pairs = stored(pair.join(begin, "before").select(
         "before", "word", *[(over(n) / F.greatest(F.col(base), F.lit(1))).alias(out)
                             for n, base, out in (("ordinary", "co", "a"), ("toxic", "ct", "b"))]), "toxicity-pairs")
     given = pairs.groupBy(F.col("before").alias("word")).agg(*[F.greatest(1 - F.sum(x), F.lit(1e-6)).alias(y) for x, y in (("a", "c"), ("b", "d"))])
     share = (F.col("left") + 0.5) / among
     singles = uni.join(given, "word", "left").select(
-        F.lit("").alias("before"), "word", *[(over(n) / of[c] + rest[c] * share).alias("ab"[c]) for c, n in ((0, "ordinary"), (1, "toxic"))],
+        "word", *[(over(n) / of[c] + rest[c] * share).alias("ab"[c]) for c, n in ((0, "ordinary"), (1, "toxic"))],
         F.coalesce("c", F.lit(1.0)).alias("c"), F.coalesce("d", F.lit(1.0)).alias("d"))
     # pairs without a probability of their own change nothing
-    entries = singles.unionByName(pairs.filter("a > 0 or b > 0").withColumn("c", F.lit(1.0)).withColumn("d", F.lit(1.0)))
-    return Tables(stored(entries, "toxicity-model"), tuple(r * 0.5 / among for r in rest))
+    return Tables(stored(singles, "toxicity-singles"), pairs.filter("a > 0 or b > 0"), tuple(r * 0.5 / among for r in rest))
 
 
-def _collected(entries: pa.Table, unknown: tuple[float, float]) -> Model:
+def _collected(singles: pa.Table, pairs: pa.Table, unknown: tuple[float, float]) -> Model:
     """The model of the given entries; other words are unknown."""
-    value = np.array([entries.column(n).to_numpy() for n in "abcd"], float).reshape(4, -1)
-    single = pc.equal(entries.column("before"), "").to_numpy().astype(bool)
-    names = np.array(entries.column("word").filter(pa.array(single)).to_pylist(), object)
-    order = np.argsort(names)
-    numbers = {w: i + 1 for i, w in enumerate(names[order])}
-    size = len(numbers) + 1
-    uni = value[:, single][:, order]
-    # a pair's words have at least its documents, so they are in the model too
-    at, known = np.flatnonzero(~single), pa.array(names[order], pa.string())
-    i, j = (pc.index_in(entries.column(n).filter(pa.array(~single)), known).to_numpy().astype(np.int64) + 1 for n in ("before", "word"))
-    keys = i * size + j
-    by = np.argsort(keys)
-    return Model(numbers, np.column_stack([unknown, uni[:2]]), np.column_stack([[1.0, 1.0], uni[2:]]), keys[by], value[:2, at[by]])
+    def numbers(table, names):
+        return np.array([table.column(n).to_numpy() for n in names], float).reshape(len(names), -1)
+
+    word = singles.column("word").to_numpy().astype(np.int64)
+    by = np.argsort(word)
+    value = numbers(singles, "abcd")[:, by]
+    keys = pair_keys(*(pairs.column(n).to_numpy().astype(np.int64) for n in ("before", "word")))
+    order = np.argsort(keys)
+    return Model(word[by], np.column_stack([unknown, value[:2]]), np.column_stack([[1.0, 1.0], value[2:]]),
+                 keys[order], np.column_stack([[0.0, 0.0], numbers(pairs, "ab")[:, order]]))
 
 
 def _block_grams(batches):
-    """(block, before, word): the grams of each run of documents of one block, distinct but for
-    those of a long run."""
+    """(block, before, word): the words (before is ITSELF) and pairs of each run of documents of one
+    block, distinct but for those of a long run."""
+    block, held, size = None, [], 0
+
     def passed():
-        before, word = zip(*grams)
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(before, pa.string()),
-                                           pa.array(word, pa.string())], names=["block", "before", "word"])
+        rows = np.unique(np.concatenate(held, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], block)), pa.array(rows[0]), pa.array(rows[1])],
+                                          names=["block", "before", "word"])
 
-    block, grams = None, set()
     for b in batches:
         for now, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if grams and (now != block or len(grams) >= COUNTED):
+            if held and (now != block or size >= COUNTED):
                 yield passed()
-                grams = set()
+                held, size = [], 0
             block = now
-            w = words(text)
-            grams.update((("", x) for x in w), zip(w, w[1:]))
-    if grams:
+            h = hashed(words(text))
+            single = np.unique(h)
+            _, at = np.unique(pair_keys(h[:-1], h[1:]), return_index=True)
+            held.append(np.vstack([np.concatenate([np.full(len(single), ITSELF), h[at]]), np.concatenate([single, h[at + 1] if len(at) else h[:0]])]))
+            size += held[-1].shape[1]
+    if held:
         yield passed()
 
 
 def _block_features(unknown: tuple[float, float]):
     """Streams blocks, of each its entries and then its documents; yields (row, a, b)."""
+    names = ["before", "word", "a", "b", "c", "d"]
+
     def run(batches):
         block, held, model = None, [], None
         for batch in batches:
@@ -267,14 +350,15 @@ def _block_features(unknown: tuple[float, float]):
                     block, held, model = ids[s], [], None
                 part = batch.slice(s, e - s)
                 if kinds[s] == 0:
-                    held.append(part.select(["before", "word", "a", "b", "c", "d"]))
+                    held.append(part.select(names))
                     continue
                 if model is None:
-                    empty = batch.slice(0, 0).select(["before", "word", "a", "b", "c", "d"])
-                    rows = pa.Table.from_batches(held or [empty])
+                    rows = pa.Table.from_batches(held or [batch.slice(0, 0).select(names)])
                     # an entry that was found twice
                     rows = rows.group_by(["before", "word"]).aggregate([(x, "min") for x in "abcd"])
-                    model, held = _collected(rows.rename_columns({f"{x}_min": x for x in "abcd"}), unknown), []
+                    rows = rows.rename_columns({f"{x}_min": x for x in "abcd"})
+                    own = rows.column("before").to_numpy() == ITSELF
+                    model, held = _collected(rows.filter(pa.array(own)), rows.filter(pa.array(~own)), unknown), []
                 f = model.features(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["row", "a", "b"])
     return run
@@ -294,8 +378,9 @@ def _described(docs: DataFrame, place: str, text: str, model: "Model | Tables")
 
         return own.mapInArrow(run, f"{row}, a double, b double")
     own = own.withColumn("block", F.xxhash64("row.file", F.floor(F.col("row.row") / BLOCK)))
-    found = own.select("block", "text").mapInArrow(_block_grams, "block long, before string, word string").join(
-        model.entries, ["before", "word"])
+    asked = own.select("block", "text").mapInArrow(_block_grams, "block long, before long, word long")
+    found = asked.filter(F.col("before") != ITSELF).join(model.pairs, ["before", "word"]).unionByName(
+        asked.filter(F.col("before") == ITSELF).join(model.singles, "word"), allowMissingColumns=True)
     sent = found.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     return (sent.select("block", "kind", "row", "text", "before", "word", "a", "b", "c", "d").repartition("block")
             .sortWithinPartitions("block", "kind").mapInArrow(_block_features(model.unknown), f"{row}, a double, b double"))
@@ -321,7 +406,7 @@ def score(docs: DataFrame, model: "Model | Tables", text: str = "text", out: str
     """``docs`` (its other columns unread and unchanged) with the probability of being toxic.
 
     No shuffle for a model that is broadcast.  Null and empty texts are scored as texts without
-    words."""
+    words; repeated rows stay, and an empty table gives no rows."""
     ship_package(docs.sparkSession)
     if isinstance(model, Tables):
         place = free_name(docs, "_row")
@@ -329,7 +414,8 @@ def score(docs: DataFrame, model: "Model | Tables", text: str = "text", out: str
         w = [float(x) for x in model.curve]
         z = F.greatest(F.least(F.lit(w[0]) + w[1] * F.col("a") + w[2] * F.col("b"), F.lit(40.0)), F.lit(-40.0))
         found = _described(rows, place, text, model).select(F.col("row").alias(place), (1 / (1 + F.exp(-z))).alias(out))
-        return rows.join(found, place, "left").drop(place)
+        joined = rows.join(found, place, "left").drop(place)
+        return joined.withColumn(out, F.coalesce(out, F.raise_error(F.lit("a document was not scored")).cast("double")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

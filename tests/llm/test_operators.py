@@ -347,20 +347,95 @@ def test_all_labels_are_counted(spark, monkeypatch):
     key = lambda r: (r["doc_id"], r["text"] or "", r["score"])
     small = sorted(map(key, toxicity.score(docs, model).collect()))
     assert dict((i, s) for i, _, s in small)[5001] > 0.5
-    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "MODEL_BYTES", 0)
     tables = toxicity.fit(docs, marks, max_docs=400)
     assert isinstance(tables, toxicity.Tables)
     scored = toxicity.score(docs, tables)
     assert scored.columns == [*docs.columns, "score"]
     large = sorted(map(key, scored.collect()))
     assert [x[:2] for x in large] == [x[:2] for x in small]
-    assert np.allclose([x[2] for x in large], [x[2] for x in small], atol=1e-6)
+    assert np.allclose([x[2] for x in large], [x[2] for x in small], atol=1e-12)
+
+
+def brute_kneser_ney(rows, toxic_of, in_models):
+    """Both models by their definition over plain dictionaries: log ratios of a list of words."""
+    docs = {c: [toxicity.words(t) for k, t in rows if in_models(k) and toxic_of.get(k) == c] for c in (0, 1)}
+    single = {c: collections.Counter(w for d in docs[c] for w in set(d)) for c in docs}
+    pair = {c: collections.Counter(p for d in docs[c] for p in set(zip(d, d[1:]))) for c in docs}
+    left = collections.Counter(w for _, w in {**pair[0], **pair[1]})
+    begun = {c: collections.Counter() for c in docs}
+    for c in docs:
+        for (u, _), n in pair[c].items():
+            begun[c][u] += n
+    D, known = toxicity.DISCOUNT, {w for w in {**single[0], **single[1]} if single[0][w] + single[1][w] >= toxicity.MIN_WORD}
+    seen = {p for p in {**pair[0], **pair[1]} if pair[0][p] + pair[1][p] >= toxicity.MIN_PAIR}
+    among = sum(left.values()) + 0.5 * (len(known) + 1)
+    over = lambda n: max(n - D, 0.0)
+    total = {c: max(sum(single[c].values()), 1) for c in docs}
+    rest = {c: 1 - sum(over(single[c][w]) for w in known) / total[c] for c in docs}
+    spread = {c: collections.Counter() for c in docs}
+    for u, w in seen:
+        for c in docs:
+            spread[c][u] += over(pair[c][u, w]) / max(begun[c][u], 1)
+
+    def ratio(w, before):
+        p = {}
+        for c in docs:
+            uni = over(single[c][w]) / total[c] + rest[c] * (left[w] + 0.5) / among if w in known else rest[c] * 0.5 / among
+            weight = 1.0 if before is None or before not in known else max(1 - spread[c][before], 1e-6)
+            bi = over(pair[c][before, w]) / max(begun[c][before], 1) if (before, w) in seen else 0.0
+            p[c] = weight * uni + bi
+        return math.log(p[1]) - math.log(p[0])
+
+    return lambda found: [ratio(w, found[k - 1] if k else None) for k, w in enumerate(found)]
+
+
+@pytest.mark.parametrize("held,salts", [(toxicity.COUNTED, 16), (50, 3)])
+def test_scores_are_kneser_ney(spark, monkeypatch, held, salts):
+    """Every score equals that of models counted in dictionaries, whatever tasks hold at a time."""
+    monkeypatch.setattr(toxicity, "COUNTED", held)
+    monkeypatch.setattr(toxicity, "SALTS", salts)
+    rng = random.Random(12)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)] + ["É", "ñu"]
+    rows = []
+    for k in range(700):
+        w = rng.choices(vocab, [1 / (j + 1) for j in range(len(vocab))], k=rng.randint(1, 30))
+        rows.append((k, " ".join(w + ["vile", "thing"] * (k % 4 == 0)).replace("w", rng.choice("wW")) * rng.choice([1, 1, 1, 2])))
+    rows += [(k, rows[k][1]) for k in range(3)] + [(800, None), (801, ""), (802, "unknown words"), (803, "one")]
+    toxic_of = {k: int(k % 4 == 0) for k in range(690)} | {800: 1, 801: 0}
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, word string").repartition(4)
+    marks = spark.createDataFrame(list(toxic_of.items()), "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, max_docs=160)
+    learned = {k for k in toxic_of if zlib.crc32(str(k).encode()) % 5}
+    md5 = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    curve = sorted(((md5(k), k) for k, _ in rows if k in learned and zlib.crc32(md5(k).encode()) % 4 == 0))
+    last = curve[:40][-1][0]
+    sample = {k for _, k in curve if md5(k) <= last}
+    ratios = brute_kneser_ney(rows, toxic_of, lambda k: k in learned and k not in sample)
+
+    def features(text):
+        r = ratios(toxicity.words(text))
+        return [sum(r) / len(r), sum(max(x, 0) for x in sorted(r)[-3:]) / 3] if r else [0.0, 0.0]
+
+    for k, t in rows:
+        assert np.allclose(model.features([t])[0], features(t), rtol=1e-9, atol=1e-9), k
+    x = np.array([features(t) for k, t in rows if k in sample])
+    y = np.array([toxic_of[k] for k, _ in rows if k in sample], float)
+    assert np.allclose(model.curve, toxicity._logistic(x, y, 0.5), atol=1e-6)
+
+
+def test_sample_threshold_is_exact(spark):
+    df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("_order")).unionAll(spark.createDataFrame([("0" * 32,)] * 4, "_order string"))
+    every = sorted(r[0] for r in df.collect())
+    for size in (1, 3, 7, 500, 2999, 3004, 9000):
+        assert toxicity.last_of_sample(df, size) == every[min(size, len(every)) - 1]
+    assert toxicity.last_of_sample(df.limit(0), 5) == ""
 
 
 def test_held_out_labels_are_not_learned(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(500)], "doc_id long, toxic int")
-    rows = toxicity.training_rows(labels, max_docs=100).collect()
-    assert len(rows) == 100 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+    rows = toxicity.training_rows(labels).collect()
+    assert len(rows) > 350 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
 
 
 # ---- 8 -----------------------------------------------------------------------------------
