@@ -10,8 +10,8 @@ not seen turns the two into a probability.
 The models count all labelled documents outside the held-out fold; only the curve is fitted on a
 bounded sample (the smallest md5(doc_id)), which the models do not count.  Counts are of
 documents, not occurrences.  Words are known by a 64-bit hash throughout.  Tasks count grams in
-arrays and pass on, for each word, the words before it; the pairs of a word are dealt over
-``SALTS`` keys and are final after that one exchange.  A model of up to ``MODEL_BYTES`` is
+arrays and pass them on by bucket, for each word the words before it; the pairs of a word are dealt
+over ``SALTS`` buckets and are final after that one exchange.  A model of up to ``MODEL_BYTES`` is
 collected as sorted arrays and broadcast; a larger one stays a table: every block of documents is
 joined with the entries of its own words and pairs.
 """
@@ -39,8 +39,8 @@ MODEL_BYTES, BLOCK = 128 << 20, 1000
 PAIR_BYTES, WORD_BYTES = 24, 40
 #: Grams that a task holds before it passes them on.
 COUNTED = 2_000_000
-#: Keys that the pairs of one word are dealt over.
-SALTS = 16
+#: Buckets that the pairs of one word are dealt over; buckets at least, and characters a bucket.
+SALTS, BUCKETS, BUCKET_CHARS = 16, 64, 16_000_000
 #: In place of the word before: the documents of the word itself, and of the pairs it begins.
 ITSELF, BEGUN = 0, 1
 #: Words whose hashes a task remembers, and the longest of them.
@@ -175,72 +175,110 @@ def last_of_sample(rows: DataFrame, size: int) -> str:
             return few.orderBy("_order").limit(size).agg(F.max("_order")).first()[0] or ""
 
 
-def _count_grams(most: int, salts: int):
-    """(word, salt, before, n): for each word, of the words before it, and of ITSELF and BEGUN, the
-    documents; n holds the toxic ones in its upper 32 bits, the ordinary ones in the lower.  At
-    most about ``most`` grams are held at a time."""
-    def summed(held: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.lexsort((rows[1], rows[1] % salts, rows[0]))]
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]))
-        return np.vstack([rows[:2, edge], np.add.reduceat(rows[2], edge)])
-
-    def passed(rows: np.ndarray) -> pa.RecordBatch:
-        salt = rows[1] % salts
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(salt) != 0)]))
-        ends = pa.array(np.append(edge, rows.shape[1]).astype(np.int32))
+_COUNTS = "bucket int, words array<long>, runs array<int>, before array<long>, toxic array<int>, ordinary array<int>"
+_WORDS = ("word long, toxic long, ordinary long, begun_toxic long, begun_ordinary long, left long, "
+          "before array<long>, pair_toxic array<long>, pair_ordinary array<long>")
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin to differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of equal keys (first key first) added up, in order."""
+    by = np.lexsort(keys[::-1])
+    keys = [k[by] for k in keys]
+    at = _edges(*keys) if len(by) else by
+    return [k[at] for k in keys], [np.add.reduceat(c[by], at) if len(by) else c for c in counts]
+
+
+def _lists(starts: np.ndarray, size: int, values: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, size).astype(np.int32)), pa.array(values.astype(kind)))
+
+
+def _count_grams(most: int, buckets: int, salts: int):
+    """A row per bucket: its words, and for each a run of the words before it, of ITSELF and BEGUN,
+    with the toxic and ordinary documents of each.  A word's pairs are dealt over ``salts``
+    buckets.  At most about ``most`` grams are held at a time."""
+    def passed(keys, counts):
+        bucket, word, before = keys
+        row, run = _edges(bucket), _edges(bucket, word)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows[0, edge]), pa.array(salt[edge].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(rows[1])),
-             pa.ListArray.from_arrays(ends, pa.array(rows[2]))], names=["word", "salt", "before", "n"])
+            [pa.array(bucket[row].astype(np.int32)), _lists(np.searchsorted(run, row), len(run), word[run], np.int64),
+             _lists(np.searchsorted(run, row), len(run), np.diff(np.append(run, len(word))), np.int32),
+             *[_lists(row, len(word), c, k) for c, k in ((before, np.int64), (counts[0], np.int32), (counts[1], np.int32))]],
+            names=["bucket", "words", "runs", "before", "toxic", "ordinary"])
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         size = 0
+
+        def summed():
+            word, before, toxic, n = (np.concatenate(c) for c in zip(*held))
+            bucket = pair_keys(before % salts, word).view(np.uint64) % np.uint64(buckets)
+            return _summed([bucket.astype(np.int64), word, before], [n * toxic, n * ~toxic])
+
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h, one = hashed(words(text)), 1 << 32 if toxic else 1
+                h = hashed(words(text))
                 if not len(h):
                     continue
                 _, at = np.unique(pair_keys(h[:-1], h[1:]), return_index=True)
                 single = np.unique(h)
                 begun, times = np.unique(h[at], return_counts=True)
-                held.append(np.vstack([np.concatenate([single, begun, h[at + 1]]),
-                                       np.concatenate([np.full(len(single), ITSELF), np.full(len(begun), BEGUN), h[at]]),
-                                       one * np.concatenate([np.ones(len(single), np.int64), times, np.ones(len(at), np.int64)])]))
-                size += held[-1].shape[1]
+                word = np.concatenate([single, begun, h[at + 1]])
+                held.append((word, np.concatenate([np.full(len(single), ITSELF), np.full(len(begun), BEGUN), h[at]]),
+                             np.full(len(word), bool(toxic)), np.concatenate([np.ones(len(single), np.int64), times, np.ones(len(at), np.int64)])))
+                size += len(word)
                 if size >= most:
-                    held = [summed(held)]
-                    size = held[0].shape[1]
-                    if size >= most // 2:  # few repeat: hand them on
-                        yield passed(held[0])
-                        held, size = [], 0
+                    yield passed(*summed())
+                    held, size = [], 0
         if held:
-            yield passed(summed(held))
+            yield passed(*summed())
 
     return run
 
 
-def _grams(train: DataFrame) -> DataFrame:
-    """(word, salt, n, begun, left, kept): a share of what is known of each word: documents, sum of the
-    pairs it begins, distinct words before it, and the pairs of MIN_PAIR documents that end in it."""
-    raw = train.mapInArrow(_count_grams(COUNTED, SALTS), "word long, salt int, before array<long>, n array<long>").repartition("word", "salt")
-    # both groupings keep the partitioning: no further exchange
-    counted = (raw.select("word", "salt", F.explode(F.arrays_zip("before", "n")).alias("x"))
-               .select("word", "salt", F.col("x.before").alias("before"), F.col("x.n").alias("n"))
-               .groupBy("word", "salt", "before").agg(F.sum("n").alias("n")))
-    pair = ~F.col("before").isin(ITSELF, BEGUN)
-    enough = pair & (_toxic("n") + _ordinary("n") >= MIN_PAIR)
-    return counted.groupBy("word", "salt").agg(
-        F.sum(F.when(F.col("before") == ITSELF, F.col("n"))).alias("n"), F.sum(F.when(F.col("before") == BEGUN, F.col("n"))).alias("begun"),
-        F.sum(pair.cast("long")).alias("left"), F.collect_list(F.when(enough, F.struct("before", "n"))).alias("kept"))
-
+def _merge_grams(batches):
+    """The words of each bucket, one bucket at a time: documents, sums of the pairs that a word begins,
+    distinct words before it, and its pairs of MIN_PAIR documents."""
+    bucket, held = None, []
+
+    def merged():
+        (word, before), (toxic, ordinary) = _summed([np.concatenate(c) for c in list(zip(*held))[:2]],
+                                                    [np.concatenate(c).astype(np.int64) for c in list(zip(*held))[2:]])
+        at, pair = _edges(word), (before != ITSELF) & (before != BEGUN)
+        over = lambda mask, n: np.add.reduceat(np.where(mask, n, 0), at)
+        keep = pair & (toxic + ordinary >= MIN_PAIR)
+        starts = np.concatenate([[0], np.cumsum(keep)])[at]
+        lists = [_lists(starts, int(keep.sum()), c[keep], np.int64) for c in (before, toxic, ordinary)]
+        sums = [over(before == ITSELF, toxic), over(before == ITSELF, ordinary), over(before == BEGUN, toxic),
+                over(before == BEGUN, ordinary), over(pair, np.ones(len(word), np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(word[at]), *map(pa.array, sums), *lists],
+                                          names=["word", "toxic", "ordinary", "begun_toxic", "begun_ordinary", "left",
+                                                 "before", "pair_toxic", "pair_ordinary"])
 
-def _toxic(n: str):
-    return F.shiftright(n, 32)
+    for b in batches:
+        for k, now in enumerate(b.column("bucket").to_pylist()):
+            if held and now != bucket:
+                yield merged()
+                held = []
+            bucket = now
+            found, runs, *rest = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("words", "runs", "before", "toxic", "ordinary"))
+            held.append((np.repeat(found, runs), *rest))
+    if held:
+        yield merged()
 
 
-def _ordinary(n: str):
-    return F.col(n).bitwiseAND(F.lit(2**32 - 1))
+def _grams(train: DataFrame) -> DataFrame:
+    """(_WORDS): a share of what is known of each word, from each of its buckets.  A pair is in one
+    bucket, so its counts are final after the one exchange; buckets grow in number with the text."""
+    chars = train.agg(F.sum(F.char_length("_text"))).first()[0] or 0
+    return (train.mapInArrow(_count_grams(COUNTED, max(BUCKETS, chars // BUCKET_CHARS), SALTS), _COUNTS)
+            .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_grams, _WORDS))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -270,9 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _kneser_ney(grams: DataFrame) -> Tables:
-    sums = grams.groupBy("word").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "begun", "left")])
-    single = stored(sums.select("word", _toxic("n").alias("toxic"), _ordinary("n").alias("ordinary"), "left",
-                                _toxic("begun").alias("ct"), _ordinary("begun").alias("co")), "toxicity-words")
+    single = stored(grams.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("left").alias("left"),
+                                              F.sum("begun_toxic").alias("ct"), F.sum("begun_ordinary").alias("co")), "toxicity-words")
     uni = single.filter(F.col("toxic") + F.col("ordinary") >= MIN_WORD)
 
     def over(name):
@@ -283,7 +320,8 @@ def _kneser_ney(grams: DataFrame) -> Tables:
     among = total[2] + 0.5 * (kept[0] + 1)
     of = [max(float(t), 1.0) for t in total[:2]]
     rest = [1 - kept[c + 1] / of[c] for c in (0, 1)]
-    pair = grams.select("word", F.inline("kept")).select("before", "word", _toxic("n").alias("toxic"), _ordinary("n").alias("ordinary"))
+    pair = grams.select("word", F.inline(F.arrays_zip("before", "pair_toxic", "pair_ordinary"))).select(
+        "before", "word", F.col("pair_toxic").alias("toxic"), F.col("pair_ordinary").alias("ordinary"))
     begin = single.select(F.col("word").alias("before"), "co", "ct")
     pairs = stored(pair.join(begin, "before").select(
         "before", "word", *[(over(n) / F.greatest(F.col(base), F.lit(1))).alias(out)
