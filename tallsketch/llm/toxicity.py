@@ -10,8 +10,8 @@ not seen turns the two into a probability.
 The models count all labelled documents outside the held-out fold; only the curve is fitted on a
 bounded sample (the smallest md5(doc_id)), which the models do not count.  Counts are of
 documents, not occurrences.  Words are known by a 64-bit hash throughout.  Tasks count grams in
-arrays and pass them on by bucket, for each word the words before it; the pairs of a word are dealt
-over ``SALTS`` buckets and are final after that one exchange.  A model of up to ``MODEL_BYTES`` is
+arrays and pass them on by bucket, for each word the words before it; the pairs of frequent words
+are dealt over all buckets.  All pairs are final after that one exchange.  A model of up to ``MODEL_BYTES`` is
 collected as sorted arrays and broadcast; a larger one stays a table: every block of documents is
 joined with the entries of its own words and pairs.
 """
@@ -39,8 +39,9 @@ MODEL_BYTES, BLOCK = 128 << 20, 1000
 PAIR_BYTES, WORD_BYTES = 24, 40
 #: Grams that a task holds before it passes them on.
 COUNTED = 2_000_000
-#: Buckets that the pairs of one word are dealt over; buckets at least, and characters a bucket.
-SALTS, BUCKETS, BUCKET_CHARS = 16, 64, 16_000_000
+#: Words that make up more than one in HOT are counted pair by pair; buckets at least, and
+#: characters a bucket.
+HOT, BUCKETS, BUCKET_CHARS = 500, 64, 16_000_000
 #: In place of the word before: the documents of the word itself, and of the pairs it begins.
 ITSELF, BEGUN = 0, 1
 #: Words whose hashes a task remembers, and the longest of them.
@@ -199,10 +200,10 @@ def _lists(starts: np.ndarray, size: int, values: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, size).astype(np.int32)), pa.array(values.astype(kind)))
 
 
-def _count_grams(most: int, buckets: int, salts: int):
+def _count_grams(most: int, buckets: int, hot: np.ndarray):
     """A row per bucket: its words, and for each a run of the words before it, of ITSELF and BEGUN,
-    with the toxic and ordinary documents of each.  A word's pairs are dealt over ``salts``
-    buckets.  At most about ``most`` grams are held at a time."""
+    with the toxic and ordinary documents of each.  A word is in one bucket, but the pairs of the
+    sorted ``hot`` words are dealt over all.  At most about ``most`` grams are held at a time."""
     def passed(keys, counts):
         bucket, word, before = keys
         row, run = _edges(bucket), _edges(bucket, word)
@@ -212,15 +213,14 @@ def _count_grams(most: int, buckets: int, salts: int):
              *[_lists(row, len(word), c, k) for c, k in ((before, np.int64), (counts[0], np.int32), (counts[1], np.int32))]],
             names=["bucket", "words", "runs", "before", "toxic", "ordinary"])
 
+    def summed(held):
+        word, before, toxic, ordinary = (np.concatenate(c) for c in zip(*held))
+        key = np.where(_place(word, hot) > 0, pair_keys(before, word), word)
+        return _summed([(key.view(np.uint64) % np.uint64(buckets)).astype(np.int64), word, before], [toxic, ordinary])
+
     def run(batches):
         held: list[tuple] = []
         size = 0
-
-        def summed():
-            word, before, toxic, n = (np.concatenate(c) for c in zip(*held))
-            bucket = pair_keys(before % salts, word).view(np.uint64) % np.uint64(buckets)
-            return _summed([bucket.astype(np.int64), word, before], [n * toxic, n * ~toxic])
-
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = hashed(words(text))
@@ -230,14 +230,18 @@ def _count_grams(most: int, buckets: int, salts: int):
                 single = np.unique(h)
                 begun, times = np.unique(h[at], return_counts=True)
                 word = np.concatenate([single, begun, h[at + 1]])
+                n, none = np.concatenate([np.ones(len(single), np.int64), times, np.ones(len(at), np.int64)]), np.zeros(len(word), np.int64)
                 held.append((word, np.concatenate([np.full(len(single), ITSELF), np.full(len(begun), BEGUN), h[at]]),
-                             np.full(len(word), bool(toxic)), np.concatenate([np.ones(len(single), np.int64), times, np.ones(len(at), np.int64)])))
+                             *((n, none) if toxic else (none, n))))
                 size += len(word)
                 if size >= most:
-                    yield passed(*summed())
-                    held, size = [], 0
+                    keys, counts = summed(held)
+                    held, size = [(*keys[1:], *counts)], len(keys[0])
+                    if size >= most // 2:  # few repeat: hand them on
+                        yield passed(keys, counts)
+                        held, size = [], 0
         if held:
-            yield passed(*summed())
+            yield passed(*summed(held))
 
     return run
 
@@ -273,11 +277,25 @@ def _merge_grams(batches):
         yield merged()
 
 
-def _grams(train: DataFrame) -> DataFrame:
-    """(_WORDS): a share of what is known of each word, from each of its buckets.  A pair is in one
+def _sample_words(batches):
+    for b in batches:
+        h, n = np.unique(np.concatenate([hashed(words(t)) for t in b.column(0).to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def hot_words(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that make up more than 1 / HOT of the words of the bounded sample:
+    fewer than HOT.  They only decide where grams are counted, not how."""
+    found = stored(sample.select("_text").mapInArrow(_sample_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "toxicity-sample")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return np.array(sorted(r[0] for r in found.filter(F.col("n") * HOT > total).select("word").collect()), np.int64)
+
+
+def _grams(train: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(_WORDS): what is known of each word, of hot words a share from each bucket.  A pair is in one
     bucket, so its counts are final after the one exchange; buckets grow in number with the text."""
     chars = train.agg(F.sum(F.char_length("_text"))).first()[0] or 0
-    return (train.mapInArrow(_count_grams(COUNTED, max(BUCKETS, chars // BUCKET_CHARS), SALTS), _COUNTS)
+    return (train.mapInArrow(_count_grams(COUNTED, max(BUCKETS, chars // BUCKET_CHARS), hot), _COUNTS)
             .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_grams, _WORDS))
 
 
@@ -293,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                    .select("_text", "_toxic", "_order", "_curve"), "toxicity-train")
     last = last_of_sample(train.filter("_curve"), max(1, max_docs // CURVE_SHARE))
     sample = stored(train.filter(F.col("_curve") & (F.col("_order") <= last)), "toxicity-curve")
-    grams = stored(_grams(train.filter(~F.col("_curve") | (F.col("_order") > last)).select("_text", "_toxic")), "toxicity-grams")
+    grams = stored(_grams(train.filter(~F.col("_curve") | (F.col("_order") > last)).select("_text", "_toxic"), hot_words(sample)),
+                   "toxicity-grams")
     model = _kneser_ney(grams)
     if PAIR_BYTES * model.pairs.count() + WORD_BYTES * model.singles.count() <= MODEL_BYTES:
         model = _collected(model.singles.toArrow(), model.pairs.toArrow(), model.unknown)

@@ -390,12 +390,12 @@ def brute_kneser_ney(rows, toxic_of, in_models):
     return lambda found: [ratio(w, found[k - 1] if k else None) for k, w in enumerate(found)]
 
 
-@pytest.mark.parametrize("held,salts", [(toxicity.COUNTED, 16), (50, 3)])
-def test_scores_are_kneser_ney(spark, monkeypatch, held, salts):
+@pytest.mark.parametrize("held,hot", [(toxicity.COUNTED, 500), (50, 20), (300, 1)])
+def test_scores_are_kneser_ney(spark, monkeypatch, held, hot):
     """Every score equals that of models counted in dictionaries, whatever tasks hold at a time."""
     monkeypatch.setattr(toxicity, "COUNTED", held)
-    monkeypatch.setattr(toxicity, "SALTS", salts)
-    monkeypatch.setattr(toxicity, "BUCKETS", 64 if salts == 16 else 5)
+    monkeypatch.setattr(toxicity, "HOT", hot)
+    monkeypatch.setattr(toxicity, "BUCKETS", 64 if hot == 500 else 5)
     rng = random.Random(12)
     vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)] + ["É", "ñu"]
     rows = []
