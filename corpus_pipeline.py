@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallsketch.llm import exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity
-from tallsketch.llm.common import stored, table
+from tallsketch.llm.common import free_name, stored, table
 
 #: Similarity, in a hundred, of near-duplicates (op3's own is minhash_dedup.PERCENT).
 NEAR = 80
@@ -19,9 +19,11 @@ NEAR = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the model learns from the labels of the
-    documents at hand."""
+    documents at hand.  Texts without words get one score, repeated rows stay or go together, other
+    columns stay whatever their names, and an empty table gives an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").filter("_score < 0.5").drop("_score")
+    score = free_name(docs, "_score")
+    return toxicity.score(docs, model, out=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
