@@ -27,8 +27,8 @@ from tallsketch.session import ship_package
 
 #: Longest word, in symbols, that is encoded by scanning.
 SHORT = 128
-#: Words whose ids a worker remembers.
-CACHE = 200_000
+#: Words whose ids a worker remembers, and the longest of them in characters.
+CACHE, LONGEST = 200_000, 128
 
 #: Fixed: the white space of the tokenizer's regular expressions (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -113,19 +113,20 @@ class WordBpe:
         return [p for p in alive if p is not None]
 
     def word(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, the ids as text, the decoded tokens) of a word, remembered."""
-        parts = self.merge(word)
-        got = (len(parts), " ".join(str(self.vocab[p]) for p in parts), " ".join(parts))
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[word] = got
+        """(number of ids, the ids as text, the ids decoded) of a word; short words are remembered."""
+        ids = [self.vocab[p] for p in self.merge(word)]
+        got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        if len(word) <= LONGEST:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[word] = got
         return got
 
     def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
         known = self.known
         for part in self.cut.split(text) if self.cut else [text]:
             if (i := self.special.get(part)) is not None:
-                yield 1, str(i), part
+                yield 1, str(i), self.decode([i])
                 continue
             # lower-casing is by character: a final capital sigma has no form of its own
             clean = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
@@ -181,8 +182,8 @@ def digest(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) per row, in one pass without a shuffle.
 
     Null and empty text give no tokens; repeated rows and null keys are encoded like any other;
-    other columns are not read.  A word's ids and their decoded tokens are remembered together,
-    so the hashes are of what ``encode`` and ``decode`` return."""
+    other columns are not read; empty input gives no rows.  A word's ids are decoded once and
+    remembered with it; decoded words are joined as ``decode`` joins tokens, by a blank."""
     ship_package(df.sparkSession)
 
     def run(batches):
