@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,12 +118,13 @@ def parse_arc(data) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
               records: int = RECORDS) -> None:
-    """Write pages as gzipped ARC files, version 1 and 2 in turn.
+    """Write pages as gzipped ARC files, version 1 and 2 in turn: from file to file of a task, and
+    from task to task.
 
     Null html is an empty payload, a null url is about:blank, a null key has no page header.
     The archive date counts seconds from 2000-01-01 by key, as pages carry no time."""
     def run(batches):
-        n, version, offset, name = 0, 2, 0, ""
+        n, version, offset, name = 0, 2 - TaskContext.get().partitionId() % 2, 0, ""
         for b in batches:
             out = []
             for k, u, h in zip(*(c.to_pylist() for c in b.columns)):
@@ -186,19 +188,24 @@ ARC_COLUMNS = ("file string, offset long, record_id string, url string, date str
                "payload_bytes long, sha1 binary, block binary")
 
 
+def arc_rows(path: str, content) -> Iterator[tuple]:
+    """The records of one ARC file, as tuples of ARC_SCHEMA."""
+    name = path.rpartition("/")[2]
+    for offset, head, block in parse_arc(_open(content)):
+        http, at = _http(block)
+        payload = memoryview(block)[at:]
+        yield (name, offset, record_id(name, offset, head["URL"]), head["URL"], head["Archive-date"],
+               head["IP-address"], _page(http), len(payload), hashlib.sha1(payload).digest(), block)
+
+
 def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """The records of the ARC files under ``path``; without ``blocks`` the block stays null."""
+    """The records of the ARC files under ``path``; without ``blocks`` the block is empty."""
     def run(batches):
         def rows():
             for b in batches:
                 for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                    name = name.rpartition("/")[2]
-                    for offset, head, block in parse_arc(_open(content.as_buffer())):
-                        http, at = _http(block)
-                        payload = memoryview(block)[at:]
-                        yield (name, offset, record_id(name, offset, head["URL"]), head["URL"], head["Archive-date"],
-                               head["IP-address"], _page(http), len(payload), hashlib.sha1(payload).digest(),
-                               block if blocks else b"")
+                    for row in arc_rows(name, content.as_buffer()):
+                        yield row if blocks else (*row[:-1], b"")
         return _batches(rows(), ARC_SCHEMA, 9)
 
     return _files(spark, path).mapInArrow(run, ARC_COLUMNS)
@@ -227,7 +234,10 @@ def iso_date(date: str) -> str:
 
 
 def convert(spark: SparkSession, arc: str, warc: str, records: int = RECORDS) -> None:
-    """Convert the ARC files under ``arc`` to gzipped WARC files under ``warc``."""
+    """Convert the ARC files under ``arc`` to gzipped WARC files under ``warc``.
+
+    A file is the unit of work: the list of its revisits (at most a row per record of it) meets the
+    compressed file, and its blocks go from the parser to the writer in one task."""
     ship_package(spark)
     heads = stored(read_arc(spark, arc, blocks=False).drop("block", "ip"), "arc-heads")
     large = heads.filter(F.col("payload_bytes") >= MIN_REVISIT)
@@ -241,39 +251,45 @@ def convert(spark: SparkSession, arc: str, warc: str, records: int = RECORDS) ->
     revisits = (
         join_hot(large.select("sha1", "payload_bytes", "file", "offset", "record_id"), stored(keep, "arc-keep"),
                  ["sha1", "payload_bytes"], heads.count(), "n")
-        .filter("record_id <> to_id").select("file", "offset", "to_id", "to_url", "to_date")
+        .filter("record_id <> to_id")
     )
+    per_file = stored(revisits.groupBy("file").agg(
+        F.collect_list(F.struct("offset", "to_id", "to_url", "to_date")).alias("again")), "arc-revisits")
 
     def run(batches):
         info = b"software: tallsketch\r\nformat: WARC File Format 1.0\r\n"
         def rows():
-            first = True
             for b in batches:
-                for r in b.to_pylist():
-                    if first:
-                        name = record_id("warcinfo", r["offset"], r["record_id"])
-                        yield (warc_record("warcinfo", {"WARC-Record-ID": f"<{name}>", "WARC-Date": iso_date(r["date"]),
-                                                        "Content-Type": "application/warc-fields"}, info),)
-                        first = False
-                    yield (to_warc(r),)
+                for path, content, again in zip(*(b.column(n) for n in ("path", "content", "again"))):
+                    to = {x["offset"]: x for x in again.as_py() or ()}
+                    first = True
+                    for row in arc_rows(path.as_py(), content.as_buffer()):
+                        r = dict(zip(ARC_SCHEMA.names, row))
+                        if first:
+                            name = record_id("warcinfo", r["offset"], r["record_id"])
+                            yield (warc_record("warcinfo", {"WARC-Record-ID": f"<{name}>", "WARC-Date": iso_date(r["date"]),
+                                                            "Content-Type": "application/warc-fields"}, info),)
+                            first = False
+                        yield (to_warc(r, to.get(r["offset"])),)
         return _batches(rows(), pa.schema([("record", pa.binary())]), 0)
 
-    rows = read_arc(spark, arc).join(revisits, ["file", "offset"], "left").mapInArrow(run, "record binary")
+    files = _files(spark, arc).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    rows = files.join(per_file, "file", "left").select("path", "content", "again").mapInArrow(run, "record binary")
     _write(rows.select(F.col("record").cast("string")), warc, "\r\n", records)
 
 
-def to_warc(r: dict) -> bytes:
-    """A converted ARC record; a revisit keeps the HTTP head and leaves the payload out."""
+def to_warc(r: dict, to: dict | None) -> bytes:
+    """A converted ARC record; a revisit (of ``to``) keeps the HTTP head and leaves the payload out."""
     block = r["block"]
     head = {"WARC-Record-ID": f"<{r['record_id']}>", "WARC-Date": iso_date(r["date"]), "WARC-Target-URI": r["url"],
             "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": digest32(r["sha1"])}
-    if r["to_id"] is not None:
+    if to is not None:
         block = block[: len(block) - r["payload_bytes"]]
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{r['to_id']}>",
-                 "WARC-Refers-To-Target-URI": r["to_url"], "WARC-Refers-To-Date": iso_date(r["to_date"])}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{to['to_id']}>",
+                 "WARC-Refers-To-Target-URI": to["to_url"], "WARC-Refers-To-Date": iso_date(to["to_date"])}
     kind = "application/http; msgtype=response" if block.startswith(b"HTTP/") else "text/html"
     head |= {"WARC-Block-Digest": digest32(hashlib.sha1(block).digest()), "Content-Type": kind}
-    return warc_record("response" if r["to_id"] is None else "revisit", head, block)
+    return warc_record("response" if to is None else "revisit", head, block)
 
 
 def parse_warc(data) -> Iterator[tuple[dict[str, str], bytes]]:
