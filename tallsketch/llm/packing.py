@@ -1,9 +1,9 @@
 """Optimal length buckets: boundaries that minimise padding, then batches within a token budget.
 
-The histogram of lengths over all rows is grouped into cells (exact up to ``EXACT`` tokens, then
-``EXACT`` cells per doubling, so a few thousand cells for any corpus).  Dynamic programming picks
-at most ``buckets`` boundaries among the cells' largest lengths so that the padding, the sum of
-boundary minus length over all rows, is the least.  Rows of a bucket are numbered in a fixed
+The histogram holds one entry per distinct length over all rows; distinct lengths are at most the
+root of twice the corpus' tokens.  Dynamic programming picks at most ``buckets`` boundaries among
+them so that the padding, the sum of boundary minus length over all rows, is the least.  The costs
+of a row of the table are the lower envelope of lines, so a bucket takes linear time.  Rows of a bucket are numbered in a fixed
 pseudo-random order and cut into batches of as many rows as the padded budget holds.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tallsketch.llm.common import number_rows, stored, table
 
-EXACT = 512
 BUCKETS = 16
 #: Padded tokens of a batch; a longer row is a batch by itself.
 BUDGET = 65_536
@@ -28,18 +27,27 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     m = len(lengths)
     if not m:
         return []
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.float64)
-    rows = np.concatenate([[0.0], np.cumsum(counts)])
-    # padding of a bucket over cells i..j-1: lengths[j-1] * rows - tokens; the tokens are constant
-    best = lengths * rows[1:]
+    size, rows = [int(x) for x in lengths], [int(x) for x in np.cumsum(counts)]
+    # padding of a bucket of lengths i+1..j: size[j] * (rows[j] - rows[i]) - tokens; the tokens are constant
+    best = [s * r for s, r in zip(size, rows)]
     choice = []
     for _ in range(min(buckets, m) - 1):
-        new, at = best.copy(), np.zeros(m, np.int64)
+        new, at, first = list(best), [0] * m, 0
+        lines: list[int] = []  # the ends i on the lower envelope of best[i] - x * rows[i], from x = size[j] on
         for j in range(1, m):
-            cost = best[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], at[j] = cost[i], i + 1
+            c = j - 1
+            while len(lines) > 1:
+                a, b = lines[-2], lines[-1]
+                if (best[c] - best[a]) * (rows[b] - rows[a]) > (best[b] - best[a]) * (rows[c] - rows[a]):
+                    break
+                lines.pop()
+            lines.append(c)
+            first, x = min(first, len(lines) - 1), size[j]
+            while first + 1 < len(lines) and best[lines[first + 1]] - x * rows[lines[first + 1]] < best[lines[first]] - x * rows[lines[first]]:
+                first += 1
+            cost = best[lines[first]] + x * (rows[j] - rows[lines[first]])
+            if cost < new[j]:
+                new[j], at[j] = cost, lines[first] + 1
         choice.append(at)
         best = new
     out, j = [], m - 1
@@ -54,12 +62,6 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return sorted(out)
 
 
-def cell(length: Column) -> Column:
-    """The histogram cell of a length: monotone, exact below EXACT, EXACT cells per doubling."""
-    bits = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / EXACT))).cast("int")
-    return F.struct(bits.alias("octave"), F.floor(length / F.pow(F.lit(2.0), bits)).cast("long").alias("step"))
-
-
 def words(text: Column) -> Column:
     """Number of words, runs of characters outside [\\x20\\x09-\\x0D]; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -73,8 +75,7 @@ def pack(df: DataFrame, key: str, length: Column, buckets: int = BUCKETS, budget
     budget is a batch of its own.  Null and repeated keys get slots of their own; empty input
     gives no rows."""
     rows = stored(df.select(F.col(key).alias("key"), length.alias("n_tokens")), "pack-lengths")
-    hist = rows.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(
-        F.max("n_tokens").alias("length"), F.count(F.lit(1)).alias("n")).orderBy("length").collect()
+    hist = sorted(rows.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect())
     ends = boundaries(np.array([r["length"] for r in hist]), np.array([r["n"] for r in hist]), buckets)
     bucket = F.lit(max(0, len(ends) - 1))
     for b in reversed(range(len(ends) - 1)):
