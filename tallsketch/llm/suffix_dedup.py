@@ -541,14 +541,18 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; no row goes.  Characters that a
-    removed run cuts through go as a whole.  Null texts stay null; other columns stay."""
+    removed run cuts through go as a whole.  Null texts stay null; equal texts of one key keep what
+    no smaller key has; other columns stay, whatever their names; empty input gives no rows."""
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else _cut(t.encode("utf-8", "surrogatepass"), list(s))[0].decode("utf-8", "ignore")
                           for t, s in zip(texts, spans)])
 
-    cols = docs.columns
-    return _joined(docs, key, text, length).withColumn(text, cut(F.col(text), F.col("spans"))).select(*cols)
+    name = "`{}`".format
+    rest = [c for c in docs.columns if c != text]
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*map(name, rest)).alias("rest"))
+    return _joined(own, "key", "text", length).select(
+        *(cut("text", "spans").alias(c) if c == text else F.col(f"rest.{name(c)}") for c in docs.columns))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
