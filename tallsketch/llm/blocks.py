@@ -121,7 +121,7 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
     blocks is a boolean matrix, or two arrays of row numbers (those of b follow those of a) that
     connect whatever the links among the rows of a group connect.  Linked keys of different groups that meet may be joined too.
 
-    First every block meets itself and the first block of each group it shares; in groups of
+    First every block, in a task of its own, meets itself and the first block of each group it shares; in groups of
     three or more blocks, keys outside the group's largest component then meet all of its
     blocks.  So all pairs are compared, but for those already known to be connected, and a group
     that hangs together through its first block takes linear work.  At most one edge per key and
@@ -150,7 +150,7 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
     where = stored(blocks.groupBy(group, "code").agg(F.count(F.lit(1)).alias("n")), "group-blocks")
     spans = stored(where.groupBy(group).agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("codes"))
                    .filter("codes > 1"), "group-spans")
-    to_first = where.join(spans, group).filter("code > first").select(F.col("first").alias("a"), F.col("code").alias("b"))
+    to_first = where.join(spans, group).filter("code > first").select(F.col("code").alias("a"), F.col("first").alias("b"))
     cols = [group, key, *columns]
     edges = stored(meet(blocks, blocks, to_first.distinct(), cols, run_with(True), "u long, v long",
                         [key, *(order or [])]).distinct(), "group-edges")
