@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +29,32 @@ from tallsketch.session import ship_package
 BLOCK = 1024
 #: Leading principal dimensions of the grid.
 DIMS = 8
-#: Numbers in the sample that the principal dimensions are computed from, at most.
+#: Numbers in the sample that the principal dimensions of a vector length are computed from, about.
 SAMPLE_VALUES = 1_280_000
 #: Parts that an interval is split into; a power of two.
 FAN = 16
 
 
-def rotation(classes: DataFrame, dim: int) -> np.ndarray:
-    """(dim, DIMS) leading principal directions of a bounded sample of unit vectors."""
-    rows = (classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("cid"), "cid").limit(max(1, SAMPLE_VALUES // dim))
-            .select("vec").collect())
-    x = np.array([r[0] for r in rows], float).reshape(-1, dim)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    values, axes = np.linalg.eigh(np.cov(x.T).reshape(dim, dim) if len(x) > 1 else np.eye(dim))
-    return axes[:, np.argsort(values)[::-1][:DIMS]]
+def rotations(classes: DataFrame) -> dict[int, np.ndarray]:
+    """For each vector length (dim, DIMS) leading principal directions, of a sample of unit vectors.
+
+    One grouped pass: of each length the vectors whose hash is below a threshold that lets about
+    ``SAMPLE_VALUES`` numbers pass; the driver gets the directions alone."""
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        dim = int(part["dim"].iloc[0])
+        x = np.stack(part.sort_values("cid")["vec"].to_list())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        values, axes = np.linalg.eigh(np.cov(x.T).reshape(dim, dim) if len(x) > 1 else np.eye(dim))
+        return pd.DataFrame({"dim": [dim], "axes": [axes[:, np.argsort(values)[::-1][:DIMS]].ravel()]})
+
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.lit(float(SAMPLE_VALUES)) / (F.col("rows") * F.col("dim"))
+    some = classes.join(sizes, "dim").filter(F.pmod(F.xxhash64("cid"), F.lit(1 << 32)) < share * float(1 << 32))
+    found = some.select("dim", "cid", "vec").groupBy("dim").applyInPandas(fit, "dim int, axes array<double>")
+    axes = {r[0]: np.array(r[1]).reshape(r[0], -1) for r in found.collect()}  # a row per vector length
+    for (dim,) in sizes.select("dim").collect():
+        axes.setdefault(dim, np.eye(dim)[:, :DIMS])  # no vector passed: any rotation is right
+    return axes
 
 
 def _project(axes: dict[int, np.ndarray], eps: float):
@@ -141,12 +154,16 @@ def linked(df: DataFrame, key: str, vec: str, group: str, cosine: float) -> Data
 
     Links hold between vectors of equal, non-null group and equal length with cosine >=
     ``cosine``.  Null, empty and zero vectors and vectors with null or non-finite components
-    link with nothing and are their own component.  Equal vectors (repeated rows too) link with
+    link with nothing and are their own component.  Vectors of very large or small components
+    are scaled by a power of two, which keeps their cosines.  Equal vectors (repeated rows too) link with
     one another; a null key counts as a vector but never names a component of others.  Other
     columns are not read; empty input gives no rows."""
     spark = df.sparkSession
     ship_package(spark)
     v = F.col(vec).cast("array<double>")
+    top = F.array_max(F.transform(v, F.abs))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(top)))
+    v = F.when((top > 1e100) | (top < 1e-100), F.transform(v, lambda x: x / unit)).otherwise(v)
     norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     ok = F.col(group).isNotNull() & F.coalesce(norm > 0, F.lit(False)) & F.coalesce(norm < float("inf"), F.lit(False))
     rows = stored(df.select(F.col(key).alias("key"), F.col(group).cast("string").alias("grp"), v.alias("vec"),
@@ -155,7 +172,7 @@ def linked(df: DataFrame, key: str, vec: str, group: str, cosine: float) -> Data
     classes = stored(good.groupBy("grp", "vec").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("cid"),
                                                     F.min("key").alias("low"), F.size("vec").alias("dim")), "ego-classes")
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    axes = {r[0]: rotation(classes, r[0]) for r in classes.select("dim").distinct().collect()}  # a row per vector length
+    axes = rotations(classes)
     kind = "grp string, dim int, cid long, n long, vec binary, " + ", ".join(f"{p} double" for p in P)
     grid = stored(classes.select("grp", "dim", "cid", "n", "vec").mapInArrow(
         _project(axes, eps), kind + ", " + ", ".join(f"{c} int" for c in C)), "ego-grid")
