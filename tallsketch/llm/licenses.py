@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tallsketch.llm.common import table
 from tallsketch.session import ship_package
 
-#: Background paragraphs to train on, at most (the smallest hashes of the corpus).
+#: Background lines to train on, at most: of the distinct lines that hold no template those with the
+#: smallest hashes; of a long one, one window.
 BACKGROUND = 4000
 #: Variants made of each template.
 VARIANTS = 40
@@ -133,7 +134,7 @@ def _template_bigrams(family: str) -> list[set]:
     return _BIGRAMS[family]
 
 
-def _variants() -> tuple[list[list[str]], list[str]]:
+def variants() -> tuple[list[list[str]], list[str]]:
     rng, rows, labels = random.Random(11), [], []
     for family, texts in TEMPLATES.items():
         for text in texts:
@@ -149,21 +150,22 @@ def _variants() -> tuple[list[list[str]], list[str]]:
     return rows, labels
 
 
-def train(docs: DataFrame, text: str = "text", background: int = BACKGROUND) -> Classifier:
-    """Train on template variants and a bounded sample of the corpus' lines.  Lines of the sample
-    that hold a template are left out.  An empty corpus trains on the variants alone."""
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).filter("length(line) > 20")
-    sample = [words(r[0][: 12 * WINDOW]) for r in lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line")
-              .limit(background).select("line").collect()]  # at most BACKGROUND lines
-    blank = Classifier([], {}, {}, np.empty((0, 0)), np.empty(0))
-    sample = [w for w in sample if not any(blank.similarity(f, w)[1] for f in TEMPLATES)]
-    rows, labels = _variants()
+def vocabulary(rows: list[list[str]]) -> tuple[list[str], dict[str, int], dict[tuple[int, int], int]]:
+    """(families, single words, pairs of word numbers) of the training rows."""
     vocab = {g: i for i, g in enumerate(sorted({w for r in rows for w in r}))}
     pairs = {p: len(vocab) + i for i, p in enumerate(sorted({(vocab[a], vocab[b]) for r in rows for a, b in zip(r, r[1:])}))}
-    families = [*TEMPLATES, UNKNOWN]
+    return [*TEMPLATES, UNKNOWN], vocab, pairs
+
+
+def train(docs: DataFrame, text: str = "text", background: int = BACKGROUND) -> Classifier:
+    """Train on template variants and a bounded sample of the corpus' distinct lines without
+    templates.  An empty corpus trains on the variants alone."""
+    rows, labels = variants()
+    families, vocab, pairs = vocabulary(rows)
     model = Classifier(families, vocab, pairs, np.zeros((len(vocab) + len(pairs), len(families))), np.zeros(len(families)))
-    rows, labels = rows + sample, labels + [UNKNOWN] * len(sample)
-    x = [model.features(r) for r in rows]
+    sample = background_features(docs, model, text, background)
+    labels += [UNKNOWN] * len(sample)
+    x = [model.features(r) for r in rows] + sample
     y = np.array([families.index(f) for f in labels])
     held = np.array([k % 4 == 3 for k in range(len(x))])
     _descend(model, [r for r, h in zip(x, held) if not h], y[~held])
@@ -177,6 +179,38 @@ def train(docs: DataFrame, text: str = "text", background: int = BACKGROUND) ->
     return model
 
 
+def background_features(docs: DataFrame, model: Classifier, text: str, size: int) -> list[list[int]]:
+    """The features of at most ``size`` distinct lines that hold no template, by the smallest hashes.
+
+    Only lines below a hash threshold that about twice as many pass reach Python and the driver; the
+    threshold grows until enough lines are left.  A repeated line counts once.  A line of several
+    windows stands by the window that its hash deals out."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
+    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).filter("length(line) > 20")
+    lines = lines.select("line", F.xxhash64("line").alias("h"))
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            h, out = [], []
+            for k, line in zip(b.column("h").to_pylist(), b.column("line")):
+                parts = [w for _, w in paragraphs(line.as_py())]
+                if not any(m.similarity(f, w)[1] for w in parts for f in TEMPLATES):
+                    h.append(k)
+                    out.append(m.features(parts[k % len(parts)]) if parts else [])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["h", "ids"])
+
+    total = lines.agg(F.approx_count_distinct("h")).first()[0]
+    share, got = 0.0, []
+    while share < 1 and len(got) < size:
+        share = min(1.0, 4 * share or 2.0 * size / max(total, 1))
+        few = lines.filter(F.col("h") < int(share * 2**64) - 2**63) if share < 1 else lines
+        got = few.distinct().mapInArrow(run, "h long, ids array<int>").collect()  # about 2 * size rows of known features
+    return [r["ids"] for r in sorted(got)[:size]]
+
+
 def _descend(model: Classifier, x: list[list[int]], y: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> None:
     """Gradient descent with per-weight step sizes on the mean log loss; rows are sparse."""
     lengths = np.array([len(r) for r in x])
