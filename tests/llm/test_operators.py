@@ -80,6 +80,22 @@ def test_license_lines_of_the_corpus(spark):
         assert found[r["doc_id"]] == ",".join(sorted(f for f, x in want.items() if x in r["text"]))
 
 
+def test_license_background_of_repeated_lines(spark):
+    """A repeated line counts once, template lines are left out, extra columns are not read."""
+    template = licenses.TEMPLATES["MIT"][2]
+    ordinary = [f"an ordinary line of the corpus about the software, number {k}" for k in range(30)]
+    long = "the word of a very long line " * 3000
+    rows = [(k, "one repeated line that grants no permission at all", "x") for k in range(5000)]
+    rows += [(k, template, "x") for k in range(5000)] + [(k, "\n".join(ordinary), "x") for k in range(40)] + [(1, long, "x"), (1, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(4)
+    _, vocab, pairs = licenses.vocabulary(licenses.variants()[0])
+    model = licenses.Classifier([], vocab, pairs, np.empty((0, 0)), np.empty(0))
+    assert len(licenses.background_features(df, model, "text", 4000)) == 32
+    assert len(licenses.background_features(df, model, "text", 10)) == 10
+    found = {r["doc_id"]: r["found"] for r in licenses.scan(df.filter(F.col("text") == template).limit(1), licenses.train(df)).collect()}
+    assert [x["family"] for f in found.values() for x in f if x["confirmed"]] == ["MIT"]
+
+
 # ---- 2 -----------------------------------------------------------------------------------
 
 def brute_shard(key, weights):
@@ -229,6 +245,23 @@ def test_archives(spark):
     assert warc.archive_digest(spark, df.limit(0)).collect() == []
 
 
+def test_both_arc_versions_in_one_run(spark, tmp_path):
+    df = spark.range(40).selectExpr("id as page_id", "'http://a' as url", "repeat('z', 1500) as html", "id as file", "id as block").repartition(4)
+    warc.write_arc(df, str(tmp_path / "arc"))
+    blocks = [warc._open(f.read_bytes()).read().split(b"\n")[1] for f in (tmp_path / "arc").glob("part-*")]
+    assert sorted(b[:1] for b in blocks) == [b"1", b"1", b"2", b"2"]
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.archive_digest(spark, df).collect()}
+    assert got == {k: ("response", None) if k == 39 else ("revisit", 39) for k in range(40)}
+
+
+def test_equal_page_ids_and_long_pages(spark):
+    long = "<p>" + "k" * 3_000_000
+    df = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, "v", "b" * 1200), (2, "w", "c" * 1200)],
+                               "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.archive_digest(spark, df).collect())
+    assert got == [(1, 3_000_003, "response", 0), (1, 3_000_003, "revisit", 1), (2, 1200, "response", 0), (2, 1200, "response", 0)]
+
+
 def test_arc_versions_and_broken_files():
     block = b"HTTP/1.1 200 OK\r\nX-Page-Id: 4\r\n\r\nbody\n\nfiledesc://"
     for v in (1, 2):
@@ -298,6 +331,14 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_join.linked(df.limit(0), "vec_id", "embedding", "label", 0.93).collect() == []
 
 
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [3.0, 3.0]), (4, [1e-200, 1e-200]), (5, [1e-310, 1e-310]),
+            (6, [1e300, -1e300]), (7, [1.0, 1.0, 1e-300]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.linked(df, "vec_id", "embedding", "label", 0.93).collect()}
+    assert got == {**{k: (4, 1) for k in range(1, 6)}, 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
 # ---- 7 -----------------------------------------------------------------------------------
 
 def test_toxicity(spark):
@@ -467,6 +508,23 @@ def test_bpe(spark, docs, by_id):
     assert {r["doc_id"] for r in back.collect()} == set(by_id)
 
 
+def test_bpe_digest_goes_through_decode(spark):
+    P = pytest.importorskip("public_tokenizers")
+    own = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    own.decode = lambda ids: "broken"
+    assert {d for _, _, d in own.pieces("hello <|endoftext|> there")} == {"broken"}
+    assert own.pieces("") is not None and list(own.pieces("x" * 5000)) and all(len(w) <= bpe.LONGEST for w in own.known)
+
+
+def test_bpe_edges(spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    assert bpe.digest(empty(spark), "doc_id", "text", path).collect() == []
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    got = bpe.digest(df, "doc_id", "text", path).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("1", 2), ("1", 2), ("None", 0), ("None", 2)]
+
+
 # ---- 9 -----------------------------------------------------------------------------------
 
 def brute_removed(rows, length):
@@ -560,6 +618,17 @@ def test_suffix_dedup_repeated_and_null_keys(spark):
     assert got == sorted((len(t), len(g)) for (_, t), g in zip(order, brute_removed(order, 50)))
 
 
+def test_remove_repeats_keeps_columns_of_any_name(spark):
+    a = "abcdefghij" * 8
+    names = ["spans", "_sha", "_ord", "_tag", "_bytes", "ord", "tag", "key", "rest", "h", "a.b"]
+    df = spark.createDataFrame([(1, a, *names), (2, "new " + a, *names), (3, None, *names)],
+                               "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = suffix_dedup.remove_repeats(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], *r[2:]) for r in got.collect()) == [(1, a, *names), (2, "new ", *names), (3, None, *names)]
+    assert suffix_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
 # ---- 10 ----------------------------------------------------------------------------------
 
 def test_boundaries_are_optimal():
@@ -578,6 +647,23 @@ def test_boundaries_are_optimal():
         assert len(got) <= k and got[-1] == lengths[-1] and padding(got) == best
 
 
+def test_boundaries_of_long_rows_are_optimal(spark):
+    """Above a thousand tokens too; null and repeated keys are packed like any other."""
+    rng = np.random.default_rng(2)
+    lengths = np.unique(np.concatenate([rng.integers(1, 3000, 150), rng.integers(3000, 400_000, 150)]))
+    counts = rng.integers(1, 50, len(lengths))
+    rows = np.concatenate([[0], np.cumsum(counts)])
+    best = lengths * rows[1:]
+    for k in range(1, 8):
+        if k > 1:
+            best = np.array([min([best[j], *(best[i] + lengths[j] * (rows[j + 1] - rows[i + 1]) for i in range(j))]) for j in range(len(lengths))])
+        ends = np.array(packing.boundaries(lengths, counts, k))
+        assert len(ends) <= k and (ends[np.searchsorted(ends, lengths)] * counts).sum() == best[-1]
+    df = spark.createDataFrame([(None, 5), (None, 5), (1, 2000), (1, 2000), (2, 2001)], "k long, n long")
+    got = [(r["n_tokens"], r["bucket_length"]) for r in packing.pack(df, "k", F.col("n"), buckets=3).collect()]
+    assert sorted(got) == [(5, 5), (5, 5), (2000, 2000), (2000, 2000), (2001, 2001)]
+
+
 def test_packing(spark, docs, by_id):
     got = packing.pack(docs, "doc_id", packing.words(F.col("text")), buckets=4, budget=300).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in by_id.items()}
