@@ -12,10 +12,10 @@ with a smaller key.  The corpus is dealt out so that equal strings meet:
    A hot anchor's strings are sent one by one instead, as 128-bit hashes: the strings whose
    smallest gram it is, each once per batch by its first document.  The owner of a hash streams
    its documents in order and marks all but the first, so no group of surroundings gathers.
-4. The owner builds an index of the surroundings, a few hundred KB at a time: the run-compressed
-   Burrows-Wheeler transform with the text positions and the match lengths at its run heads.
-   Matching statistics stream over the text from those samples: inside a run the match with the
-   preceding suffix is one byte longer at each step to the left.  Suffixes that match for
+4. The owner builds an index of the surroundings that may share a string, a few hundred KB at a
+   time: the run-compressed Burrows-Wheeler transform with text positions and match lengths sampled
+   at the ends of its runs; text and suffix order are dropped.  From the samples, matching statistics
+   stream over the text: the suffix before each one, and how far the two match.  Suffixes linked for
    ``LENGTH`` bytes form an interval; those whose document is not the interval's first are marked.
 
 Documents without a key come after all others and never mark one another.
@@ -43,6 +43,8 @@ CHUNK, INDEX = 1 << 19, 1 << 18
 HOT, HOT_SHARE = 5_000, 0.01
 #: Strings of hot anchors that are collapsed at once; ``at`` of their rows.
 STRINGS, HASHED = 1 << 19, -2
+#: Rows of surroundings that are put together at once, text positions an index streams at once.
+ROWS, STREAM = 1 << 16, 1 << 16
 #: Documents with spans plus spans that may be broadcast.
 MARKS = 1_500_000
 _LAST = 2**63 - 1
@@ -201,6 +203,86 @@ def _collapsed(owner: np.ndarray, start: np.ndarray, digests: bytes, ords: np.nd
     return rows, spans
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), offsets
+
+
+def _pieces(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the pieces of ``data`` put one after the other."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])], offsets
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    joined, offsets = _pieces(data, begin, size)
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(joined)]).cast(pa.binary())
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; bytes beyond the end are zero."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _words(data: np.ndarray, begin: np.ndarray, size) -> Iterator[np.ndarray]:
+    """Numbers that tell pieces of equal size apart, each of at most eight bytes of the pieces;
+    the last ones overlap so that none reaches beyond its piece."""
+    step = 8 if np.min(size) >= 8 else 1
+    source = _eights(data) if step == 8 else data.astype(np.uint64)
+    for j in range(0, int(np.max(size)), step):
+        yield source[begin + np.minimum(j, size - step)]
+
+
+def piece_hashes(data: np.ndarray, begin: np.ndarray, size, seed) -> np.ndarray:
+    """64-bit hashes of pieces, their sizes and a seed."""
+    h = mix(np.asarray(seed, np.uint64) * _MUL[1] + np.asarray(size, np.uint64) + np.zeros(len(begin), np.uint64))
+    for w in _words(data, begin, size) if len(begin) else ():
+        h = mix((h ^ w) * _MUL[0] + _MUL[1])
+    return h
+
+
+def _equal(data: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the pieces from p and from q are the same bytes."""
+    same = np.ones(len(p), bool)
+    for v, w in zip(_words(data, p, size), _words(data, q, size)) if len(p) else ():
+        same &= v == w
+    return same
+
+
+def _firsts(data, begin, size, h, ords) -> np.ndarray:
+    """For each piece the one of the smallest ord among those of equal ``h`` (which covers the size)
+    and bytes; of equal ords the first.  Pieces of equal ``h`` and other bytes stand for themselves."""
+    order = np.lexsort((ords, h))
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    first = np.empty(len(h), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    at = np.flatnonzero(first != np.arange(len(h)))
+    at = at[size[at] == size[first[at]]]
+    same = np.zeros(len(h), bool)
+    same[at] = _equal(data, begin[at], begin[first[at]], size[at])
+    return np.where(same, first, np.arange(len(h)))
+
+
+def _union(group: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(group, start, end): maximal runs of the overlapping or touching spans of each group."""
+    order = np.lexsort((start, group))
+    group, start, end = group[order], start[order], end[order]
+    if not len(group):
+        return group, start, end
+    # the largest end so far, kept apart by group: spans of one group are compared only
+    rank = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    width = int(end.max()) + 1
+    far = np.maximum.accumulate(rank * width + end)
+    new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (rank[1:] * width + start[1:] > far[:-1])])
+    at = np.flatnonzero(new)
+    return group[at], start[at], np.append(far[at[1:] - 1], far[-1]) - rank[at] * width
+
+
 def _surroundings(length: int, hot: set[int]):
     """Rows (key, ord, tag, start, end, at, around) for shared anchors; rows without ``around`` are
     spans already known to repeat from an earlier document of the batch.  ``at`` is the anchor's
@@ -208,27 +290,38 @@ def _surroundings(length: int, hot: set[int]):
     reach = length - GRAM
     hot_hashes = np.array(sorted(hot), np.uint64)
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
-
     def run(batches):
         for b in batches:
             texts = _bytes(b.column("text"))
-            ords, tags = b.column("ord").to_pylist(), b.column("tag").to_pylist()
-            all_ords, all_tags = np.array(ords, np.int64), np.array(tags, np.int32)
+            data, offsets = _flat(b.column("text"))
+            ords, tags = b.column("ord").to_numpy(), b.column("tag").to_numpy()
             hs, locals_ = b.column("hs"), b.column("locals")
             found = {i: (pos, h) for i, pos, h in anchors(texts, length)}
-            rows, spans, seen = [], {}, {}
+            spans, parts, waiting = [], [], 0
             owners, starts, digests, strings = [], [], [], 0
 
             def collapse():
                 nonlocal owners, starts, digests, strings
-                out, later = _collapsed(np.concatenate(owners), np.concatenate(starts), b"".join(digests), all_ords, all_tags, length)
-                for i, a, e in zip(*(x.tolist() for x in later)) if later else ():
-                    spans.setdefault(i, []).append((a, e))
+                out, later = _collapsed(np.concatenate(owners), np.concatenate(starts), b"".join(digests), ords, tags, length)
+                if later:
+                    spans.append(_union(*later))
                 owners, starts, digests, strings = [], [], [], 0
                 return out
 
+            def around(owner, pos, h):
+                a = np.maximum(0, pos - reach)
+                size = np.minimum(offsets[owner + 1] - offsets[owner], pos + length) - a
+                begin, at = offsets[owner] + a, pos - a
+                first = _firsts(data, begin, size, piece_hashes(data, begin, size, h + at.astype(np.uint64)), ords[owner])
+                later = ords[first_owner := owner[first]] < ords[owner] if len(owner) else np.zeros(0, bool)
+                later &= (h == h[first]) & (at == at[first]) & (first_owner != owner)
+                if later.any():
+                    spans.append(_union(owner[later], a[later], (a + size)[later]))
+                k = np.flatnonzero(~later)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((h[k] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(ords[owner[k]]), pa.array(tags[owner[k]]), pa.array(a[k]),
+                     pa.array((a + size)[k]), pa.array(at[k].astype(np.int32)), _binary(data, begin[k], size[k])], schema=_ROWS)
+
             for i in sorted(found, key=lambda i: ords[i]):
                 pos, h = found[i]
                 own = [hs[i].values.to_numpy().view(np.uint64), *(np.frombuffer(x, np.uint64) for x in locals_[i].as_py())]
@@ -245,137 +338,120 @@ def _surroundings(length: int, hot: set[int]):
                     strings += len(at)
                     if strings >= STRINGS:
                         yield collapse()
-                for p, x in zip(pos[keep].tolist(), h[keep].tolist()):
-                    a, e = max(0, p - reach), min(len(text), p + length)
-                    around = text[a:e]
-                    first = seen.setdefault((x, xxhash.xxh3_128_digest(around, seed=p - a)), ords[i])
-                    if first < ords[i]:
-                        spans.setdefault(i, []).append((a, e))
-                    else:
-                        rows.append((x - 2**63, ords[i], tags[i], a, e, p - a, around))
-                if len(rows) > 20_000:
-                    yield batch_of(rows)
-                    rows = []
+                pos, h = pos[keep], h[keep]
+                for k in range(0, len(pos), ROWS):
+                    parts.append((np.full(len(pos[k : k + ROWS]), i), pos[k : k + ROWS], h[k : k + ROWS]))
+                    waiting += len(parts[-1][0])
+                    if waiting >= ROWS:
+                        yield from around(*(np.concatenate(c) for c in zip(*parts)))
+                        parts, waiting = [], 0
+            if waiting:
+                yield from around(*(np.concatenate(c) for c in zip(*parts)))
             if strings:
                 yield collapse()
-            for i, s in spans.items():
+            if spans:
+                i, a, e = _union(*(np.concatenate(c) for c in zip(*spans)))
                 # spans pass through the owner's task; the key only deals them out
-                rows.extend((((ords[i] * 2654435761 + a) % 2**64) - 2**63, ords[i], tags[i], a, e, -1, None)
-                            for a, e in merge_spans(s))
-            if rows:
-                yield batch_of(rows)
+                key = mix(ords[i].astype(np.uint64) * _MUL[0] + a.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(ords[i]), pa.array(tags[i]), pa.array(a), pa.array(e),
+                     pa.array(np.full(len(i), -1, np.int32)), pa.nulls(len(i), pa.binary())], schema=_ROWS)
     return run
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a list of strings, with samples at run heads.
+    """Run-compressed Burrows-Wheeler transform of a list of strings, sampled at the ends of its runs.
 
     Every string ends with a symbol smaller than all bytes; of equal suffixes, that of the earlier
-    string comes first."""
+    string comes first.  For each run the index keeps its symbol, its length, the text position of
+    its first suffix, that of the last suffix of the run before, and the length for which these two
+    match: five numbers a run, however long the text.  Text and order of the suffixes are dropped
+    when it is built.  Inside a run a suffix and the one before it have the same symbol on the left,
+    so these two samples give the suffix before any other one, and how far it matches."""
 
     def __init__(self, strings: list[bytes], length: int = LENGTH):
-        self.length = length
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
         sizes = np.array([len(s) + 1 for s in strings])
-        self.ends = np.cumsum(sizes)
-        text[self.ends - 1] = 0
-        self.text, n = text, len(text)
-        left = np.repeat(self.ends, sizes) - np.arange(n)  # symbols up to the string's end
-        # order by 7 symbols of 9 bits, then by doubling
-        padded = np.concatenate([text, np.zeros(7, np.int64)])
+        self.length, self.ends = length, np.cumsum(sizes)
+        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+        n = len(text)
+        left = np.repeat(self.ends, sizes) - np.arange(n)  # symbols up to the string's end, which counts
+        order = self._sorted(text, left)
+        before = np.where(left == 1, 0, text.astype(np.int16) + 1)[order - 1]  # the symbol on the left, cyclic
+        # ends differ from one another, so each suffix that begins a string heads a run
+        rows = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]) | (before == 0))
+        self.run_symbols, self.run_lengths = before[rows], np.diff(np.append(rows, n))
+        heads, tails = order[rows], order[rows - 1]
+        match = self._match(text, left, heads, tails)
+        match[0] = 0  # no suffix precedes the first one
+        by = np.argsort(heads)
+        self.heads, self.tails, self.match = heads[by], tails[by], match[by]
+
+    @staticmethod
+    def _sorted(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Text positions in the order of their suffixes: by 7 symbols of 9 bits, then by doubling
+        among the suffixes that are not told apart yet."""
+        n, have = len(text), 7
+        padded = np.concatenate([text, np.zeros(have, np.uint8)])
         key = np.zeros(n, np.int64)
-        for j in range(7):
-            key = (key << 9) | np.where(j < left, padded[j : j + n], 0)
-        have = 7
-        while True:
-            order = np.argsort(key, kind="stable")
-            s = key[order]
+        for j in range(have):
+            key = (key << 9) | np.where(j + 1 < left, padded[j : j + n].astype(np.int64) + 1, 0)
+        order = np.argsort(key, kind="stable")
+        rank, todo, k = np.empty(n, np.int64), np.arange(n), key[order]
+        while len(todo):
+            p = order[todo]
             # a suffix that ends within these symbols has its place: the text position decides
-            new = (s[1:] != s[:-1]) | (left[order[1:]] <= have) | (left[order[:-1]] <= have)
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(new)])
-            if new.all():
-                break
-            after = np.zeros(n, np.int64)
-            after[: n - have] = np.where(left[: n - have] > have, rank[have:] + 1, 0)
-            key = rank * (n + 1) + after
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (left[p[1:]] <= have) | (left[p[:-1]] <= have)])
+            rank[p] = todo[np.flatnonzero(new)][np.cumsum(new) - 1]
+            todo = todo[~(new & np.append(new[1:], True))]
+            p = order[todo]
+            k = rank[p] * (n + 1) + rank[np.minimum(p + have, n - 1)] + 1
+            by = np.argsort(k, kind="stable")
+            order[todo], k = p[by], k[by]
             have *= 2
-        self.suffixes = order
-        before = text[order - 1]  # the symbol on the left, cyclic
-        # ends differ from one another, so each suffix that begins a string heads a run
-        head = np.concatenate([[True], before[1:] != before[:-1]]) | (before == 0)
-        self.run_heads = np.flatnonzero(head)
-        self.run_symbols = before[self.run_heads]
-
-    def _match(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Symbols, at most ``length``, that the strings from p and q share before an end symbol."""
-        padded = np.concatenate([self.text, np.zeros(self.length, np.int64)])
-        out, same = np.zeros(len(p), np.int64), np.ones(len(p), bool)
-        for j in range(self.length):
-            a = padded[p + j]
-            same &= (a == padded[q + j]) & (a != 0)
-            if not same.any():
-                break
-            out += same
-        return out
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each text position, how far (at most ``length``) its suffix matches the suffix
-        before it in order; 0 for the first.
-
-        Only run heads are compared.  Elsewhere the suffix and its neighbour have the same
-        symbol on the left, so the position to the left of both matches one symbol further:
-        read from left to right, the length falls by one per symbol from the last run head."""
-        n = len(self.text)
-        lengths = np.zeros(n, np.int64)
-        heads = self.run_heads[self.run_heads > 0]
-        at = self.suffixes[heads]
-        # beyond ``length`` a match is measured on, so that it may fall again
-        lengths[at] = self._long(at, self.suffixes[heads - 1])
-        is_head = np.zeros(n, bool)
-        is_head[self.suffixes[self.run_heads]] = True
-        last = np.maximum.accumulate(np.where(is_head, np.arange(n), 0))
-        return np.clip(lengths[last] - (np.arange(n) - last), 0, None)
-
-    def _long(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        out, live = np.zeros(len(p), np.int64), np.arange(len(p))
+        return order
+
+    @staticmethod
+    def _match(text: np.ndarray, left: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes from p and q share before an end symbol, eight at a time."""
+        eights, most = _eights(text), np.minimum(left[p], left[q]) - 1
+        out, live = np.zeros(len(p), np.int64), np.flatnonzero(most > 0)
         while len(live):
-            more = self._match(p[live] + out[live], q[live] + out[live])
-            out[live] += more
-            live = live[more == self.length]
-        return out
+            differ = eights[p[live] + out[live]] ^ eights[q[live] + out[live]]
+            lowest = differ & (~differ + np.uint64(1))
+            out[live] += np.where(differ == 0, 8, np.log2(np.maximum(lowest, 1)).astype(np.int64) // 8)
+            live = live[(differ == 0) & (out[live] < most[live])]
+        return np.minimum(out, most)
+
+    def statistics(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the text positions from start to end: the position of the suffix before each in
+        order, and for how many symbols the two match, from the samples alone."""
+        at = np.arange(start, end)
+        run = np.searchsorted(self.heads, at, side="right") - 1
+        past = at - self.heads[run]
+        return self.tails[run] + past, np.maximum(0, self.match[run] - past)
 
     def marked(self, order: np.ndarray) -> np.ndarray:
         """Text positions at which a string of ``length`` bytes starts that also starts in an
         earlier string of smaller ``order`` (one number per string)."""
-        stats = self.matching_statistics()
-        linked = stats[self.suffixes] >= self.length
-        interval = np.cumsum(~linked) - 1
-        owner = np.searchsorted(self.ends, self.suffixes, side="right")
-        doc = np.asarray(order)[owner]
-        first = np.minimum.reduceat(doc, np.flatnonzero(~linked))
-        return np.sort(self.suffixes[doc > first[interval]])
-
-
-def _extended(group: dict[bytes, tuple], length: int) -> set[bytes]:
-    """The surroundings of one anchor that may share a string of ``length`` bytes with another:
-    such a string reaches ``half`` bytes beyond the anchor on its right, or the other bytes and
-    one more on its left, and these are equal on both sides."""
-    reach = length - GRAM
-    half = reach // 2
-    left = reach - half + 1
-    sides: dict[tuple[int, bytes], list[bytes]] = {}
-    out = set()
-    for around, row in group.items():
-        at = row[4]
-        if len(around) >= at + GRAM + half:
-            sides.setdefault((1, around[at + GRAM : at + GRAM + half]), []).append(around)
-        if at >= left:
-            sides.setdefault((2, around[at - left : at]), []).append(around)
-    for same in sides.values():
-        if len(same) > 1:
-            out.update(same)
-    return out
+        linked, before = [], []
+        for start in range(0, int(self.ends[-1]), STREAM):
+            q, match = self.statistics(start, min(start + STREAM, int(self.ends[-1])))
+            far = np.flatnonzero(match >= self.length)
+            linked.append(far + start)
+            before.append(q[far])
+        p, q = np.concatenate(linked), np.concatenate(before)
+        if not len(p):
+            return p
+        # each linked suffix leads to the one before it, and at last to the first of its interval
+        nodes = np.unique(np.concatenate([p, q]))
+        parent = np.arange(len(nodes))
+        parent[np.searchsorted(nodes, p)] = np.searchsorted(nodes, q)
+        while (parent != (further := parent[parent])).any():
+            parent = further
+        doc = np.asarray(order)[np.searchsorted(self.ends, nodes, side="right")]
+        first = doc.copy()
+        np.minimum.at(first, parent, doc)
+        return nodes[doc > first[parent]]
 
 
 def _merge(batches):
@@ -387,69 +463,139 @@ def _merge(batches):
             names=["ord", "tag", "spans"])
 
 
+def _may_share(data: np.ndarray, begin, size, at, key, ords, length: int) -> np.ndarray:
+    """Surroundings that may share a string of ``length`` bytes with one of the same key and another
+    ord: such a string reaches ``half`` bytes beyond the anchor on its right, or the other bytes and
+    one more on its left, and these are equal on both sides."""
+    half = (length - GRAM) // 2
+    left = length - GRAM - half + 1
+    out = np.zeros(len(key), bool)
+    for fits, start, width in ((size >= at + GRAM + half, begin + at + GRAM, half), (at >= left, begin + at - left, left)):
+        k = np.flatnonzero(fits)
+        if not len(k):
+            continue
+        h = piece_hashes(data, start[k], width, key[k].view(np.uint64)) if width else mix(key[k].view(np.uint64))
+        by = np.argsort(h)
+        edge = np.flatnonzero(np.concatenate([[True], h[by[1:]] != h[by[:-1]]]))
+        o, n = ords[k[by]], np.diff(np.append(edge, len(k)))
+        several = np.minimum.reduceat(o, edge) < np.maximum.reduceat(o, edge)
+        out[k[by[np.repeat(several, n)]]] = True
+    return out
+
+
+def _judged(rows: pa.Table, length: int) -> Iterator[tuple]:
+    """(ord, tag, start, end) arrays of what repeats among the surroundings of whole keys."""
+    key, ords, tags, starts, at = (rows.column(c).to_numpy() for c in ("key", "ord", "tag", "start", "at"))
+    data, offsets = _flat(rows.column("around").combine_chunks())
+    begin, size = offsets[:-1], np.diff(offsets)
+    same = _firsts(data, begin, size, piece_hashes(data, begin, size, key.view(np.uint64) + at.astype(np.uint64)), ords)
+    same = np.where((key == key[same]) & (at == at[same]), same, np.arange(len(key)))
+    later = np.flatnonzero(ords > ords[same])  # equal to surroundings of an earlier document
+    yield ords[later], tags[later], starts[later], starts[later] + size[later]
+    own = np.flatnonzero(ords == ords[same])
+    own = own[_may_share(data, begin[own], size[own], at[own], key[own], ords[own], length)]
+    # equal ones of one ord are indexed once and marked alike
+    once = np.unique(same[own])
+    once = once[np.argsort(key[once], kind="stable")]
+    whole = np.concatenate([[True], key[once[1:]] != key[once[:-1]]]) if len(once) else np.empty(0, bool)
+    total = np.cumsum(size[once])
+    cut, cuts = 0, []
+    for k in np.flatnonzero(whole).tolist():  # an index holds whole keys
+        if total[k] - size[once[k]] - cut >= INDEX:
+            cuts.append(k)
+            cut = total[k] - size[once[k]]
+    for part in np.split(once, cuts):
+        if len(part):
+            strings = [data[x : x + n].tobytes() for x, n in zip(begin[part].tolist(), size[part].tolist())]
+            index = RunLengthIndex(strings, length)
+            p = index.marked(ords[part])
+            which = np.searchsorted(index.ends, p, side="right")
+            p = p - (index.ends[which] - size[part][which] - 1)
+            which, a, e = _union(which, p, p + length)
+            # rows of each marked string: itself and its equals of the same ord
+            place = np.searchsorted(np.sort(part), same[own])
+            mine = own[(place < len(part)) & (np.sort(part)[np.minimum(place, len(part) - 1)] == same[own])]
+            mine = mine[np.argsort(same[mine], kind="stable")]
+            low, high = (np.searchsorted(same[mine], part[which], side=side) for side in ("left", "right"))
+            n = high - low
+            row = mine[np.repeat(low - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]
+            yield ords[row], tags[row], starts[row] + np.repeat(a, n), starts[row] + np.repeat(e, n)
+
+
 def _mark(length: int):
     """Streams groups of one key, sorted by key and ord; yields (ord, tag, start, end) spans."""
+    schema = pa.schema([("ord", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+
     def run(batches):
-        out: list[tuple] = []
-
-        def spans_of(groups):
-            if not groups:
-                return
-            index = RunLengthIndex([r[3] for r in groups], length)
-            begins = index.ends - np.array([len(r[3]) + 1 for r in groups])
-            at = index.marked(np.array([r[0] for r in groups]))
-            for k, i in enumerate(np.searchsorted(index.ends, at, side="right").tolist()):
-                a = groups[i][2] + int(at[k] - begins[i])
-                out.append((groups[i][0], groups[i][1], a, a + length))
+        out, found = [], 0
+        # the hashed strings of the key that is under way, with their first documents
+        hashed = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+        pending, waiting, limit = [], 0, ROWS
 
         def flush():
-            spans: dict[tuple, list] = {}
-            for o, t, a, e in out:
-                spans.setdefault((o, t), []).append((a, e))
-            rows = [(o, t, a, e) for (o, t), s in spans.items() for a, e in merge_spans(s)]
-            out.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
-
-        schema = pa.schema([("ord", pa.int64()), ("tag", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-        key, group, again, firsts, pending, size = None, {}, [], {}, [], 0
-
-        def close():
-            """A key with one string only repeats nothing but whole surroundings."""
-            nonlocal pending, size
-            if len(group) > 1:
-                near = _extended(group, length)
-                pending += [group[x] for x in near]
-                pending += [r for r in again if r[3] in near]
-                size += sum(map(len, near))
-            if size >= INDEX:
-                spans_of(pending)
-                pending, size = [], 0
+            nonlocal out, found
+            ord_, tag, start, end = (np.concatenate(c) for c in zip(*out))
+            out, found = [], 0
+            _, group = np.unique(np.stack([ord_, tag.astype(np.int64)]), axis=1, return_inverse=True)
+            group = group.reshape(-1)
+            one = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)
+            one[group] = np.arange(len(group))
+            group, start, end = _union(group, start, end)
+            one = one[group]
+            return pa.RecordBatch.from_arrays([pa.array(ord_[one]), pa.array(tag[one]), pa.array(start), pa.array(end)], schema=schema)
+
+        def add(spans):
+            nonlocal found
+            out.append(spans)
+            found += len(spans[0])
+
+        def repeated(rows):
+            """Hashed strings after the first document of each; a key may go on in the next batch."""
+            nonlocal hashed
+            key, ords = rows.column("key").to_numpy(), rows.column("ord").to_numpy()
+            second = _flat(rows.column("around"))[0].view("<u8")[1::2]
+            k, s, o = (np.concatenate([x, y]) for x, y in zip(hashed, (key, second, ords)))
+            by = np.lexsort((o, s, k))
+            new = np.concatenate([[True], (k[by[1:]] != k[by[:-1]]) | (s[by[1:]] != s[by[:-1]])])
+            first = np.empty(len(k), np.int64)
+            first[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+            at = np.flatnonzero((o > o[first])[len(hashed[0]) :])
+            stay = by[new & (k[by] == key[-1])]
+            hashed = (k[stay], s[stay], o[stay])
+            add(tuple(rows.column(c).to_numpy()[at] for c in ("ord", "tag", "start", "end")))
+
+        def judge(last):
+            """Judge the whole keys among the rows that wait; unless it is the last time, the rows
+            of the last key wait on."""
+            nonlocal pending, waiting
+            rows = pa.Table.from_batches(pending).combine_chunks()
+            key = rows.column("key").to_numpy()
+            n = len(key) if last else int(np.searchsorted(key, key[-1]))
+            if n:
+                for spans in _judged(rows.slice(0, n), length):
+                    add(spans)
+                pending = rows.slice(n).to_batches()
+            waiting = len(key) - n
 
         for b in batches:
-            for k, o, t, s, e, at, around in zip(*(c.to_pylist() for c in b.columns)):
-                if around is None:
-                    out.append((o, t, s, e))
-                    continue
-                if k != key:
-                    close()
-                    key, group, again, firsts = k, {}, [], {}
-                if at == HASHED:
-                    if firsts.setdefault(around, o) < o:
-                        out.append((o, t, s, e))
-                    continue
-                known = group.get(around)
-                if known is None:
-                    group[around] = (o, t, s, around, at)
-                elif known[0] < o:
-                    out.append((o, t, s, e))
-                else:  # the same document, or another one of its key: others judge it
-                    again.append((o, t, s, around))
-            if len(out) > 50_000:
-                yield from flush()
-        close()
-        spans_of(pending)
-        yield from flush()
+            at = b.column("at").to_numpy()
+            # both kinds have few rows a key, so a batch of rows is a bounded amount
+            if (known := at == -1).any():
+                add(tuple(b.filter(pa.array(known)).column(c).to_numpy() for c in ("ord", "tag", "start", "end")))
+            if (strings := at == HASHED).any():
+                repeated(pa.RecordBatch.from_arrays(b.filter(pa.array(strings)).columns, names=b.schema.names))
+            if (rest := at >= 0).any():
+                pending.append(b.filter(pa.array(rest)))
+                waiting += pending[-1].num_rows
+            if waiting >= limit:
+                judge(False)
+                limit = max(ROWS, 2 * waiting)
+            if found >= ROWS:
+                yield flush()
+        if pending:
+            judge(True)
+        if out:
+            yield flush()
     return run
 
 
