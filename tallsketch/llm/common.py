@@ -19,12 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting that removes the shuffle files of a job when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, clean_up: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, gives
-    every later reader the same rows, and survives lost executors."""
+    every later reader the same rows, and survives lost executors.  With ``clean_up`` the shuffle
+    files go with the end of the write instead of the driver's next garbage collection."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    if clean_up:
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if clean_up:
+            spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -611,11 +611,11 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """(_ord, _tag, spans): the byte spans to remove, for documents that have any."""
     ship_package(docs.sparkSession)
     own = keyed(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
-    heads = stored(own.select("_ord", "_sha", "_tag", "_bytes"), "suffix-heads")
+    heads = stored(own.select("_ord", "_sha", "_tag", "_bytes"), "suffix-heads", clean_up=True)
     firsts = stored(heads.groupBy("_sha").agg(F.min("_ord").alias("first"), F.count(F.lit(1)).alias("n"))
-                    .filter("n > 1"), "suffix-firsts")
+                    .filter("n > 1"), "suffix-firsts", clean_up=True)
     copies = stored(join_hot(heads, firsts, ["_sha"], heads.count(), "n").filter("_ord > first")
-                    .select("_ord", "_sha", "_tag", "_bytes").distinct(), "suffix-copies")
+                    .select("_ord", "_sha", "_tag", "_bytes").distinct(), "suffix-copies", clean_up=True)
     once = own.join(small(copies).select("_ord", "_sha"), ["_ord", "_sha"], "left_anti")
     body = once.select(F.col("_ord").alias("ord"), F.col("_tag").alias("tag"), F.coalesce("_text", F.lit("")).alias("text"))
     rows = body.mapInArrow(_anchor_rows(length), "h long, ord long, tag int, several boolean, times long, local binary")
@@ -630,7 +630,7 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     )
     lists = stored(flagged.groupBy("ord", "tag").agg(
         F.collect_list("h").alias("hs"), F.collect_list("local").alias("locals"),
-        F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hots")), "suffix-lists")
+        F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hots")), "suffix-lists", clean_up=True)
     # as many as the anchors of a document over HOT_SHARE: a bounded number
     hot = {r[0] % 2**64 for r in lists.select(F.explode("hots")).distinct().collect()}
     spans = (
@@ -643,7 +643,7 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     )
     whole = copies.filter(F.col("_bytes") >= length).select(
         "_ord", "_tag", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_bytes").alias("end"))).alias("spans"))
-    return stored(spans.select(F.col("ord").alias("_ord"), F.col("tag").alias("_tag"), "spans").unionByName(whole), "suffix-marks")
+    return stored(spans.select(F.col("ord").alias("_ord"), F.col("tag").alias("_tag"), "spans").unionByName(whole), "suffix-marks", clean_up=True)
 
 
 def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
