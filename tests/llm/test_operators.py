@@ -549,6 +549,53 @@ def test_run_length_index():
         assert set(index.marked(np.array(orders)).tolist()) == want
 
 
+def test_index_grows_with_runs_and_drops_the_text():
+    base = bytes(random.Random(4).choices(range(97, 123), k=2000))
+    one, many = (suffix_dedup.RunLengthIndex([base] * n) for n in (1, 40))
+    assert len(many.heads) < len(one.heads) + 100 and int(many.run_lengths.sum()) == 40 * 2001
+    assert all(len(v) <= len(many.heads) for v in vars(many).values() if isinstance(v, np.ndarray))
+    assert len(many.marked(np.arange(40))) == 39 * (2000 - 49)
+
+
+def test_union_of_spans():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        n = int(rng.integers(0, 30))
+        group, start = rng.integers(0, 4, n), rng.integers(0, 40, n)
+        end = start + rng.integers(1, 9, n)
+        got = list(zip(*(x.tolist() for x in suffix_dedup._union(group, start, end))))
+        rows = list(zip(group.tolist(), start.tolist(), end.tolist()))
+        assert got == [(g, *x) for g in sorted({r[0] for r in rows}) for x in suffix_dedup.merge_spans([r[1:] for r in rows if r[0] == g])]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1 << 16])
+@pytest.mark.parametrize("share", [1.0, 0.5])
+def test_marks_do_not_follow_blocks(rows, share, monkeypatch):
+    """Spans of a task are the same however its rows are cut into batches, blocks and indexes; with
+    half of the anchors hot, part of the strings goes by hashes whose keys run over batches."""
+    rng = random.Random(11)
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows)
+    monkeypatch.setattr(suffix_dedup, "INDEX", 200 * rows)
+    pieces = [bytes(rng.choices(range(97, 103), k=rng.randint(20, 90))).decode() for _ in range(9)]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(30)] + [pieces[0] * 5, pieces[0] * 5 + "z", "", "é" * 60, "aé" * 60]
+    docs = [(k // 2 if k < 6 else k, t) for k, t in enumerate(texts)]
+    found = {i: h for i, _, h in suffix_dedup.anchors([t.encode() for _, t in docs])}
+    every = sorted({x for h in found.values() for x in h.tolist()})
+    hot = set(every[int(len(every) * share) :])
+    batches = [pa.RecordBatch.from_pydict({
+        "ord": pa.array([docs[i][0] for i in part], pa.int64()), "tag": pa.array(part, pa.int32()), "text": [docs[i][1] for i in part],
+        "hs": pa.array([found.get(i, np.empty(0, np.uint64)).view(np.int64) for i in part], pa.list_(pa.int64())),
+        "locals": pa.array([[] for _ in part], pa.list_(pa.binary()))}) for part in (list(range(0, 20)), list(range(20, 35)))]
+    sent = pa.Table.from_batches(suffix_dedup._surroundings(50, hot)(iter(batches))).sort_by(
+        [("key", "ascending"), ("ord", "ascending"), ("start", "ascending")])
+    got = {i: set() for i in range(len(docs))}
+    for b in suffix_dedup._mark(50)(iter(sent.to_batches(max_chunksize=max(2, rows)))):
+        for i, a, e in zip(*(b.column(c).to_pylist() for c in ("tag", "start", "end"))):
+            got[i].update(range(a, e))
+    want = brute_removed([(o, t.encode()) for o, t in docs], 50)
+    assert [got[i] for i in got] == [set(g) for g in want]
+
+
 @pytest.mark.parametrize("hot", [5000, 0])
 def test_suffix_dedup(spark, docs, by_id, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
