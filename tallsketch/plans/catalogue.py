@@ -450,16 +450,16 @@ def q_matvec_array(spark, sf):
 
 
 def _order_stream(spark, sf):
-    """Orders and line items, each dealt to three files that arrive one a micro-batch, so line items
-    come before, with and after their orders."""
+    """Orders and line items, each dealt to three micro-batches of as many files as there are cores, so
+    line items come before, with and after their orders."""
     from tallsketch.streaming.sketch_stream import folder_stream, row_changes
 
-    sides = {}
+    sides, files = {}, spark.sparkContext.defaultParallelism
     for name, cols in (("orders", ["o_orderkey", "o_totalprice"]), ("lineitem", ["l_orderkey", "l_quantity"])):
         sides[name] = scratch_path(spark, f"stream-{name}")
-        S.table(spark, sf, name).select(*cols).repartition(3).write.parquet(sides[name])
-    return row_changes(folder_stream(spark, sides["orders"]), "o_orderkey", [F.lit(1.0), F.lit(0.0), F.lit(0.0), "o_totalprice"],
-                       folder_stream(spark, sides["lineitem"]), "l_orderkey", [F.lit(0.0), F.lit(1.0), "l_quantity", F.lit(0.0)])
+        S.table(spark, sf, name).select(*cols).repartition(3 * files).write.parquet(sides[name])
+    return row_changes(folder_stream(spark, sides["orders"], files), "o_orderkey", [F.lit(1.0), F.lit(0.0), F.lit(0.0), "o_totalprice"],
+                       folder_stream(spark, sides["lineitem"], files), "l_orderkey", [F.lit(0.0), F.lit(1.0), "l_quantity", F.lit(0.0)])
 
 
 def q_stream_sketch_rows(spark, sf):

@@ -7,9 +7,10 @@ problem after each micro-batch (low-precision x that tracks the stream).
 
 It is additive within a row as well: a row whose features are sums over parts (an order and its
 line items) changes by exactly the new part's values, under the row's own bucket and sign.  So
-parts are a stream of their own: a stream-stream join keeps the keys and the parts that
-wait for each other as keyed state, every part comes out once, when both it and its row are
-there, and a micro-batch adds the sketch of its own changes to the one before.
+parts are a stream of their own.  What a micro-batch brings is summed by key and kept as a log in
+the shared folder, a row per key however many parts it has; the sums of earlier micro-batches
+meet those of the new one by key, and the sketch of the changes is added to the one before.
+No row or part is held in memory between micro-batches.
 """
 
 from __future__ import annotations
@@ -92,13 +93,13 @@ def latest_solutions(spark: SparkSession, out_uri: str) -> DataFrame:
 
 def row_changes(rows: DataFrame, key: str, row_values: list, parts: DataFrame, part_key: str, part_values: list,
                 within=None) -> DataFrame:
-    """(key, a0 .. a{n-1}, b): the changes of the matrix rows that the streams ``rows`` and ``parts``
-    bring.  A row's own values arrive with it; each of its parts adds ``part_values`` to them, early
-    (the part waits for its row) or late.  Parts whose row never comes add nothing; null keys
-    match nothing; values are n features and the target, columns or names.
+    """What the streams ``rows`` and ``parts`` bring to the matrix rows, for ``maintain_sketch``: (key,
+    a0 .. a{n-1}, b, part).  A row's own values arrive with it; each of its parts adds ``part_values``
+    to them, early (the part waits for its row) or late.  Parts whose row never comes add nothing; null
+    keys match nothing; values are n features and the target, columns or names.
 
-    Both sides' keys are kept as state.  Streams with watermarks and a time condition
-    ``within`` (over the columns of both) let Spark drop what can no longer match."""
+    Streams with watermarks and a time condition ``within`` (over the columns of both) are joined here,
+    without the column part: both sides are kept as state, and Spark drops what can no longer match."""
     def values(vals):
         cols = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in vals]
         return [c.alias(f"a{i}") for i, c in enumerate(cols[:-1])] + [cols[-1].alias("b")]
@@ -106,29 +107,63 @@ def row_changes(rows: DataFrame, key: str, row_values: list, parts: DataFrame, p
     if len(row_values) != len(part_values):
         raise ValueError("rows and parts need the same number of values")
     own = rows.select(F.col(key).cast("bigint").alias("key"), *values(row_values))
-    side = rows.withColumn("__row", F.col(key).cast("bigint"))
-    side = side.select("__row") if within is None else side
-    on = parts[part_key].cast("bigint") == F.col("__row")
-    met = parts.join(side, on if within is None else on & within)
-    return own.unionByName(met.select(F.col("__row").alias("key"), *values(part_values)))
+    if within is not None:
+        side = rows.withColumn("__row", F.col(key).cast("bigint"))
+        met = parts.join(side, (parts[part_key].cast("bigint") == F.col("__row")) & within)
+        return own.unionByName(met.select(F.col("__row").alias("key"), *values(part_values)))
+    added = parts.select(F.col(part_key).cast("bigint").alias("key"), *values(part_values)).filter("key is not null")
+    return own.withColumn("part", F.lit(False)).unionByName(added.withColumn("part", F.lit(True)))
+
+
+def _log_changes(batch: DataFrame, log: str, epoch: int, values: list) -> DataFrame:
+    """Write ``log``/epoch=e, a row per key of the micro-batch: its new rows, the sums of its new parts, and
+    the change of the matrix, null where no row has come: own values of new rows, new parts of old and
+    new rows, old parts of new rows; each of several rows of one key gets every part.  Returns the changes."""
+    spark = batch.sparkSession
+    own, added, before = ([f"{side}_{v}" for v in values] for side in ("own", "part", "old"))
+    new = batch.select("key", F.lit(True).alias("new"), F.when(~F.col("part"), 1).cast("long").alias("rows"),
+                       *[F.when(~F.col("part"), F.col(v)).alias(o) for v, o in zip(values, own)],
+                       *[F.when(F.col("part"), F.col(v)).alias(o) for v, o in zip(values, added)])
+    if epoch:
+        old = spark.read.parquet(log).filter(F.col("epoch") < epoch).select(
+            "key", F.lit(False).alias("new"), F.col("rows").alias("old_rows"), *[F.col(a).alias(o) for a, o in zip(added, before)])
+        both = new.unionByName(old, allowMissingColumns=True)
+    else:
+        both = new.select("*", *[F.lit(None).cast("double").alias(o) for o in ("old_rows", *before)])
+    met = both.groupBy("key").agg(F.max("new").alias("new"), *[F.sum(x).alias(x) for x in ("rows", "old_rows", *own, *added, *before)])
+    every = F.coalesce(F.col("rows") + F.col("old_rows"), "rows", "old_rows").alias("every")
+
+    def change(o, a, b):
+        terms = [F.col(o), F.col("every") * F.col(a), F.col("rows") * F.col(b)]
+        none = terms[0].isNull() & terms[1].isNull() & terms[2].isNull()
+        return F.when(~none, sum((F.coalesce(t, F.lit(0.0)) for t in terms[1:]), F.coalesce(terms[0], F.lit(0.0))))
+
+    path = f"{log}/epoch={epoch}"
+    met.filter("new").select("*", every).select("key", "rows", *added, F.col("every").isNotNull().alias("met"), *[
+        change(*of).alias(v) for *of, v in zip(own, added, before, values)]).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).filter("met").select("key", *values)
 
 
 def maintain_sketch(changes: DataFrame, n: int, c: int, out_uri: str, k: int = 1, seed: int = 42, solve: bool = True):
     """Keep the count-sketch of a streamed matrix up to date and solve it after each micro-batch.
 
     ``{out_uri}/sketch/epoch=e`` is the sketch after micro-batch e, that of e-1 plus the sketch of the
-    batch's changes (k·c rows each); ``{out_uri}/solutions/epoch=e`` its (trial, x).  A batch
-    reads its own rows and k·c old ones.  Both are overwritten by a repeated micro-batch from the same
-    predecessor, so a retry gives the same.  Runs what is available and returns the
-    finished query; the checkpoint is in the shared folder."""
+    batch's changes (k·c rows each); ``{out_uri}/solutions/epoch=e`` its (trial, x).  Changes with a column
+    part (``row_changes``) go to ``{out_uri}/log/epoch=e``, summed by key.  A batch reads its own rows once, k·c
+    old ones and, of the earlier log, a row per key and micro-batch.  All are overwritten by a repeated micro-batch from the same predecessors, so a retry
+    gives the same.  Runs what is available and returns the finished query; the checkpoint is in the
+    shared folder."""
     from tallsketch.operators.sketch import SketchFrame, sketch
     from tallsketch.operators.small_solve import solve_sketch
     from tallsketch.sources.matrix import MatrixFrame
 
     names = [f"v{i}" for i in range(n + 1)]
+    values = [*[f"a{i}" for i in range(n)], "b"]
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        if "part" in batch.columns:
+            batch = _log_changes(batch, f"{out_uri}/log", int(epoch), values)
         total = sketch(MatrixFrame(batch, n), "cw", c, k, seed).df
         if epoch:
             total = total.unionByName(spark.read.parquet(f"{out_uri}/sketch/epoch={epoch - 1}"))

@@ -251,6 +251,31 @@ def test_streamed_parts_change_the_sketch_of_their_row(spark, tmp_path):
         row_changes(spark.range(1), "id", ["id"], spark.range(1), "id", ["id", "id"])
 
 
+def test_parts_of_a_row_are_kept_as_one_sum(spark, tmp_path):
+    """Keyed state holds no parts: a key has one row a micro-batch, however many parts wait for it; rows
+    that come twice get every part twice, and null parts add nothing."""
+    from tallsketch.streaming.sketch_stream import folder_stream, latest, maintain_sketch, row_changes
+
+    batches = {"o": [[(9, 1.0)], [(1, 5.0), (1, 5.0)], [(2, None)]],
+               "i": [[(1, 2.0)] * 300 + [(1, None), (2, 4.0)], [(1, 1.0), (7, 3.0)], [(1, 1.0), (2, None), (None, 8.0)]]}
+    for name, schema in (("o", "o long, price double"), ("i", "l long, qty double")):
+        for rows in batches[name]:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            time.sleep(1.1)  # files are streamed by modification time
+    changes = row_changes(folder_stream(spark, str(tmp_path / "o")), "o", [F.lit(1.0), F.lit(0.0), "price"],
+                          folder_stream(spark, str(tmp_path / "i")), "l", [F.lit(0.0), "qty", F.lit(0.0)])
+    out = str(tmp_path / "out")
+    query = maintain_sketch(changes, 2, 1, out, k=1, seed=4, solve=False)
+    assert all(o["numRowsTotal"] == 0 for p in query.recentProgress for o in p["stateOperators"])
+    log = spark.read.parquet(f"{out}/log")
+    assert log.groupBy("epoch", "key").count().agg(F.max("count")).first()[0] == 1
+    from tallsketch.functions import hashing as H
+    sign = {key: float(H.np_sign(H.np_hash_key(np.array([key]), H.cw_polys(4, 0)[1]))[0]) for key in (1, 2, 9)}
+    got = latest(spark, f"{out}/sketch").select("v0", "v1", "v2").first()
+    want = [2 * sign[1] + sign[2] + sign[9], 2 * 602.0 * sign[1] + 4.0 * sign[2], 10.0 * sign[1] + sign[9]]
+    assert np.allclose(list(got), want)
+
+
 def _two_features(spark, shift, broadcast=None):
     """The same file with a feature from a Python function of one name and another body or value."""
     from pyspark.sql.types import DoubleType
