@@ -54,6 +54,8 @@ MIN_WORD, MIN_PAIR = 3, 3
 DISCOUNT = 2.5
 #: Strongest words of a text.
 TOP = 3
+#: Words whose ratios are looked up at once, but for those of one longer text.
+AT_ONCE = 100_000
 #: Labels of documents with this remainder of crc32(doc_id) by 5 are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -121,19 +123,33 @@ class Model:
     def features(self, texts: list[str | None]) -> np.ndarray:
         """(texts, 2): mean log ratio, mean of the TOP largest ones; zero without words."""
         out = np.zeros((len(texts), 2))
-        lists = [hashed(words(t)) for t in texts]
-        lengths = np.array([len(x) for x in lists], dtype=np.int64)
-        if not lengths.sum():
-            return out
-        ends = np.cumsum(lengths)
-        first = np.zeros(lengths.sum(), bool)
-        first[(ends - lengths)[lengths > 0]] = True
+        lists, rows, size = [], [], 0
+        for k, text in enumerate(texts):
+            h = hashed(words(text))
+            if not len(h):
+                continue
+            if lists and size + len(h) > AT_ONCE:
+                out[rows] = self._features(lists)
+                lists, rows, size = [], [], 0
+            lists.append(h)
+            rows.append(k)
+            size += len(h)
+        if lists:
+            out[rows] = self._features(lists)
+        return out
+
+    def _features(self, lists: list[np.ndarray]) -> np.ndarray:
+        """The features of texts given by the hashes of their words, at least one each."""
+        out = np.zeros((len(lists), 2))
+        ends = np.cumsum([len(x) for x in lists])
+        starts = np.append(0, ends[:-1])
+        first = np.zeros(ends[-1], bool)
+        first[starts] = True
         r = self.ratios(np.concatenate(lists), first)
-        for k, (a, b) in enumerate(zip(ends - lengths, ends)):
-            if b > a:
-                part = r[a:b]
-                top = np.partition(part, len(part) - TOP)[-TOP:] if len(part) > TOP else part
-                out[k] = part.mean(), np.maximum(top, 0).sum() / TOP
+        for k, (a, b) in enumerate(zip(starts, ends)):
+            part = r[a:b]
+            top = np.partition(part, len(part) - TOP)[-TOP:] if len(part) > TOP else part
+            out[k] = part.mean(), np.maximum(top, 0).sum() / TOP
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:

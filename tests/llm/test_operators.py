@@ -431,6 +431,25 @@ def brute_kneser_ney(rows, toxic_of, in_models):
     return lambda found: [ratio(w, found[k - 1] if k else None) for k, w in enumerate(found)]
 
 
+def test_toxicity_scores_a_large_batch_in_little_memory():
+    """A batch of texts is described in slices of bounded size; texts without words, one longer than a
+    slice and the first word of each slice are described as by themselves."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{chr(97 + (i * j) % 26)}{chr(97 + j % 7)}" for j in range(400)) for i in range(3000)]
+    texts[3], texts[4], texts[700] = None, " 1 ", texts[5] * 300
+    known = np.unique(np.concatenate([toxicity.hashed(toxicity.words(t)) for t in texts[:50]]))
+    pairs = np.unique(toxicity.pair_keys(known[:-1], known[1:]))
+    share = np.random.default_rng(1).uniform(0.1, 1, (6, 1 + max(len(known), len(pairs))))
+    model = toxicity.Model(known, share[:2, :1 + len(known)], share[2:4, :1 + len(known)], pairs, share[4:, :1 + len(pairs)])
+    tracemalloc.start()
+    got = model.features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20, peak
+    assert np.array_equal(got, np.concatenate([model.features([t]) for t in texts]))
+
+
 @pytest.mark.parametrize("held,hot", [(toxicity.COUNTED, 500), (50, 20), (300, 1)])
 def test_scores_are_kneser_ney(spark, monkeypatch, held, hot):
     """Every score equals that of models counted in dictionaries, whatever tasks hold at a time."""
