@@ -17,10 +17,10 @@ joined with the entries of its own words and pairs.
 """
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -37,8 +37,8 @@ CURVE_SHARE = 4
 MODEL_BYTES, BLOCK = 128 << 20, 1000
 #: Bytes of a pair and of a word in a broadcast model.
 PAIR_BYTES, WORD_BYTES = 24, 40
-#: Grams that a task holds before it passes them on.
-COUNTED = 2_000_000
+#: Grams that a task holds before it passes them on; texts that it takes from a batch at once.
+COUNTED, TEXTS = 1_000_000, 200
 #: Words that make up more than one in HOT are counted pair by pair; buckets at least, and
 #: characters a bucket.
 HOT, BUCKETS, BUCKET_CHARS = 500, 64, 16_000_000
@@ -120,11 +120,11 @@ class Model:
         p = weight * self.unigram[:, ids] + self.pair_p[:, pair]
         return np.log(p[1]) - np.log(p[0])
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts: Sequence[str | None] | pa.Array) -> np.ndarray:
         """(texts, 2): mean log ratio, mean of the TOP largest ones; zero without words."""
         out = np.zeros((len(texts), 2))
         lists, rows, size = [], [], 0
-        for k, text in enumerate(texts):
+        for k, text in enumerate(_texts(texts) if isinstance(texts, pa.Array) else texts):
             h = hashed(words(text))
             if not len(h):
                 continue
@@ -152,7 +152,7 @@ class Model:
             out[k] = part.mean(), np.maximum(top, 0).sum() / TOP
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: Sequence[str | None] | pa.Array) -> np.ndarray:
         f = self.features(texts)
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + f @ self.curve[1:], -40, 40)))
 
@@ -205,11 +205,23 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of equal keys (first key first) added up, in order."""
+    """Rows of equal keys (first key first) added up, in order.  The lists are emptied."""
     by = np.lexsort(keys[::-1])
-    keys = [k[by] for k in keys]
+    for k in range(len(keys)):
+        keys[k] = keys[k][by]
     at = _edges(*keys) if len(by) else by
-    return [k[at] for k in keys], [np.add.reduceat(c[by], at) if len(by) else c for c in counts]
+    sums = []
+    while counts:
+        c = counts.pop(0)
+        sums.append(np.add.reduceat(c[by], at) if len(by) else c)
+    del by
+    return [keys.pop(0)[at] for _ in range(len(keys))], sums
+
+
+def _texts(column: pa.Array):
+    """The texts of a batch, made Python strings TEXTS at a time."""
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
 
 
 def _lists(starts: np.ndarray, size: int, values: np.ndarray, kind) -> pa.Array:
@@ -230,33 +242,47 @@ def _count_grams(most: int, buckets: int, hot: np.ndarray):
             names=["bucket", "words", "runs", "before", "toxic", "ordinary"])
 
     def summed(held):
-        word, before, toxic, ordinary = (np.concatenate(c) for c in zip(*held))
-        key = np.where(_place(word, hot) > 0, pair_keys(before, word), word)
-        return _summed([(key.view(np.uint64) % np.uint64(buckets)).astype(np.int64), word, before], [toxic, ordinary])
+        cols = []
+        for part in held:  # a column's parts go before the next column is joined
+            cols.append(np.concatenate(part))
+            part.clear()
+        keys, counts = cols[:2], cols[2:]
+        del cols
+        at = np.empty(len(keys[0]), np.int32)
+        for s in range(0, len(at), AT_ONCE):
+            word, before = (k[s : s + AT_ONCE] for k in keys)
+            key = np.where(_place(word, hot) > 0, pair_keys(before, word), word)
+            at[s : s + AT_ONCE] = key.view(np.uint64) % np.uint64(buckets)
+        return _summed([at, *keys], counts)
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[list] = [[], [], [], []]
         size = 0
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, toxic in zip(_texts(b.column(0)), b.column(1).to_pylist()):
                 h = hashed(words(text))
                 if not len(h):
                     continue
                 _, at = np.unique(pair_keys(h[:-1], h[1:]), return_index=True)
                 single = np.unique(h)
                 begun, times = np.unique(h[at], return_counts=True)
-                word = np.concatenate([single, begun, h[at + 1]])
-                n, none = np.concatenate([np.ones(len(single), np.int64), times, np.ones(len(at), np.int64)]), np.zeros(len(word), np.int64)
-                held.append((word, np.concatenate([np.full(len(single), ITSELF), np.full(len(begun), BEGUN), h[at]]),
-                             *((n, none) if toxic else (none, n))))
-                size += len(word)
+                n = np.concatenate([np.ones(len(single), np.int32), times.astype(np.int32), np.ones(len(at), np.int32)])
+                none = np.zeros(len(n), np.int32)
+                held[0].append(np.concatenate([single, begun, h[at + 1]]))
+                held[1].append(np.concatenate([np.full(len(single), ITSELF), np.full(len(begun), BEGUN), h[at]]))
+                held[2].append(n if toxic else none)
+                held[3].append(none if toxic else n)
+                size += len(n)
                 if size >= most:
                     keys, counts = summed(held)
-                    held, size = [(*keys[1:], *counts)], len(keys[0])
+                    size = len(keys[0])
                     if size >= most // 2:  # few repeat: hand them on
                         yield passed(keys, counts)
-                        held, size = [], 0
-        if held:
+                        size = 0
+                    else:
+                        held = [[c] for c in (*keys[1:], *counts)]
+                    del keys, counts
+        if size:
             yield passed(*summed(held))
 
     return run
@@ -269,7 +295,7 @@ def _merge_grams(batches):
 
     def merged():
         (word, before), (toxic, ordinary) = _summed([np.concatenate(c) for c in list(zip(*held))[:2]],
-                                                    [np.concatenate(c).astype(np.int64) for c in list(zip(*held))[2:]])
+                                                    [np.concatenate(c, dtype=np.int64) for c in list(zip(*held))[2:]])
         at, pair = _edges(word), (before != ITSELF) & (before != BEGUN)
         over = lambda mask, n: np.add.reduceat(np.where(mask, n, 0), at)
         keep = pair & (toxic + ordinary >= MIN_PAIR)
@@ -295,7 +321,7 @@ def _merge_grams(batches):
 
 def _sample_words(batches):
     for b in batches:
-        h, n = np.unique(np.concatenate([hashed(words(t)) for t in b.column(0).to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
+        h, n = np.unique(np.concatenate([hashed(words(t)) for t in _texts(b.column(0))] or [np.zeros(0, np.int64)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
@@ -395,7 +421,7 @@ def _block_grams(batches):
                                           names=["block", "before", "word"])
 
     for b in batches:
-        for now, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for now, text in zip(b.column(0).to_pylist(), _texts(b.column(1))):
             if held and (now != block or size >= COUNTED):
                 yield passed()
                 held, size = [], 0
@@ -432,7 +458,7 @@ def _block_features(unknown: tuple[float, float]):
                     rows = rows.rename_columns({f"{x}_min": x for x in "abcd"})
                     own = rows.column("before").to_numpy() == ITSELF
                     model, held = _collected(rows.filter(pa.array(own)), rows.filter(pa.array(~own)), unknown), []
-                f = model.features(part.column("text").to_pylist())
+                f = model.features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["row", "a", "b"])
     return run
 
@@ -446,7 +472,7 @@ def _described(docs: DataFrame, place: str, text: str, model: "Model | Tables")
 
         def run(batches):
             for b in batches:
-                f = shared.value.features(b.column(1).to_pylist())
+                f = shared.value.features(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["row", "a", "b"])
 
         return own.mapInArrow(run, f"{row}, a double, b double")
@@ -491,9 +517,9 @@ def score(docs: DataFrame, model: "Model | Tables", text: str = "text", out: str
         return joined.withColumn(out, F.coalesce(out, F.raise_error(F.lit("a document was not scored")).cast("double")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(list(texts)))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(texts))
 
     return docs.withColumn(out, run(F.col(text)))
 

@@ -450,6 +450,26 @@ def test_toxicity_scores_a_large_batch_in_little_memory():
     assert np.array_equal(got, np.concatenate([model.features([t]) for t in texts]))
 
 
+def test_toxicity_memory_while_counting():
+    """A task that counts grams takes its texts by slices and holds 24 bytes a gram, but for what sorts them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    some = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(17_576)]
+    texts = [" ".join(some[i] for i in rng.integers(0, len(some), 300)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 for k in range(3000)], pa.int32())], names=["t", "y"])
+    del texts
+    toxicity.hashed(some)
+    tracemalloc.start()
+    try:
+        rows = sum(len(b.column("before").values) for b in toxicity._count_grams(toxicity.COUNTED, 64, np.zeros(0, np.int64))(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 900_000
+    assert peak < 130e6
+
+
 @pytest.mark.parametrize("held,hot", [(toxicity.COUNTED, 500), (50, 20), (300, 1)])
 def test_scores_are_kneser_ney(spark, monkeypatch, held, hot):
     """Every score equals that of models counted in dictionaries, whatever tasks hold at a time."""
