@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallsketch.llm.common import components, small, stored
+from tallsketch.llm.common import components, gathered, small, stored
 
 
 def cut_blocks(rows: DataFrame, order: list[str], same: list[str], max_ids: int, weight: str | None = None,
@@ -147,17 +147,20 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
         return run
 
     blocks = cut_blocks(rows, [group, key], [], max_ids, weight, max_weight)
-    where = stored(blocks.groupBy(group, "code").agg(F.count(F.lit(1)).alias("n")), "group-blocks")
-    spans = stored(where.groupBy(group).agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("codes"))
-                   .filter("codes > 1"), "group-spans")
+    total = blocks.count()
+    where = stored(gathered(blocks.groupBy(group, "code").agg(F.count(F.lit(1)).alias("n")), total), "group-blocks")
+    spans = stored(gathered(where.groupBy(group).agg(F.min("code").alias("first"), F.count(F.lit(1)).alias("codes"))
+                            .filter("codes > 1"), where.count()), "group-spans")
     to_first = where.join(spans, group).filter("code > first").select(F.col("code").alias("a"), F.col("first").alias("b"))
     cols = [group, key, *columns]
     edges = stored(meet(blocks, blocks, to_first.distinct(), cols, run_with(True), "u long, v long",
-                        [key, *(order or [])]).distinct(), "group-edges")
+                        [key, *(order or [])]), "group-edges")
     large = spans.filter("codes > 2")
     if large.isEmpty():
         return edges
-    known = components(edges, "u", "v")
+    known = stored(components(edges, "u", "v"), "group-known")
+    # what is known as stars: whoever goes on from here need not find it again
+    edges = known.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     inside = stored(blocks.select(group, key).distinct().join(large.select(group), group, "left_semi")
                     .join(known.withColumnRenamed("node", key), key, "left")
                     .withColumn("component", F.coalesce("component", key)), "group-inside")
@@ -171,4 +174,4 @@ def linked_groups(rows: DataFrame, group: str, key: str, columns: list[str], pac
     pairs = some.select(group, F.col("code").alias("a")).distinct().join(
         where.select(group, F.col("code").alias("b")), group).select("a", "b").distinct()
     more = meet(some, blocks, pairs, cols, run_with(False), "u long, v long", [key, *(order or [])])
-    return stored(edges.unionByName(more).distinct(), "group-edges")
+    return stored(edges.unionByName(more.distinct()), "group-edges")

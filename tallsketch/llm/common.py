@@ -13,6 +13,8 @@ from tallsketch.session import scratch_path
 BROADCAST_ROWS = 200_000
 #: A key is hot when it holds more than this fraction of the rows: at most 1/HOT_SHARE keys can be.
 HOT_SHARE = 1 / 2000
+#: Rows of a small narrow table that a task takes, at least.
+TASK_ROWS = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which comes from ``rows`` narrow rows, in few tasks if these may be broadcast as well:
+    else each shuffle of a small table takes as many tasks as one of a large table."""
+    return df.coalesce(2 + rows // TASK_ROWS) if rows <= BROADCAST_ROWS else df
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, size: str) -> DataFrame:
     """Inner join of many ``left`` rows with one ``right`` row per key, where ``right[size]``
     says how many left rows the key has.  The keys with more than ``total * HOT_SHARE`` rows
@@ -123,37 +131,38 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edge point to a smaller node, so the search is over as soon as the edges are stars.  Edges
     never reach the driver; the number of rounds is logarithmic in practice.
     """
-    now = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-                 .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    while not _stars(now):
+    total = edges.count()
+    now = stored(gathered(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+                          .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), total), "cc")
+    while (total := now.count()) and not _stars(now, total):
         # large-star: every larger neighbour of u points to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _star(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u <> v").distinct(), "cc")
+        low = gathered(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), 2 * total)
+        large = _star(both, low, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(gathered(large.filter("u <> v").distinct(), 2 * total), "cc")
         # small-star: u and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        down = _star(large, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = stored(down.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
+        rows = large.count()
+        low = gathered(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), rows)
+        down = _star(large, low, rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = stored(gathered(down.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), 2 * rows), "cc")
         discard(now)
         discard(large)
         now = nxt
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        gathered(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct(), total))
 
 
-def _stars(edges: DataFrame) -> bool:
+def _stars(edges: DataFrame, rows: int) -> bool:
     """Whether every node of the distinct edges (u, v) either has one edge out or only edges in."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
         edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
-    return per.filter("out > 1 or (out > 0 and in > 0)").count() == 0
+    return gathered(per, 2 * rows).filter("out > 1 or (out > 0 and in > 0)").count() == 0
 
 
-def _star(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    """Give each pair its node's minimum; nodes with many neighbours do not gather in one task.
-    ``low`` has no more rows than ``pairs``, so a small one is broadcast."""
-    total = pairs.count()
+def _star(pairs: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """Give each of ``total`` pairs its node's minimum; nodes with many neighbours do not gather in
+    one task.  ``low`` has no more rows than ``pairs``, so a small one is broadcast."""
     if total <= BROADCAST_ROWS:
         return pairs.join(F.broadcast(low), "u")
     return join_hot(pairs, low, ["u"], total, "n")

@@ -227,6 +227,31 @@ def test_groups_of_many_blocks(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10, 22: 22, 23: 22, 24: 22, 40: 40, 41: 40}
 
 
+def test_small_components_take_few_tasks(spark):
+    """A search among few edges does not take a task per shuffle partition in every round."""
+    from tallsketch.llm.common import components
+
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(5)] + [(90, 91), (91, 91), (92, 90)], "u long, v long")
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "components")
+        got = {r["node"]: r["component"] for r in components(edges, "u", "v").collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**{k: 0 for k in range(6)}, 90: 90, 91: 90, 92: 90}
+    status = sc.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("few-tasks") for s in status.getJobInfo(j).stageIds}
+    infos = [i for i in map(status.getStageInfo, stages) if i]
+    assert len(infos) > 10 and max(i.numTasks for i in infos) < 100
+
+
 # ---- 4 -----------------------------------------------------------------------------------
 
 def test_archives(spark):
