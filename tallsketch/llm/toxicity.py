@@ -11,31 +11,47 @@ The models count all labelled documents outside the held-out fold; only the curv
 bounded sample (the smallest md5(doc_id)), which the models do not count.  Counts are of
 documents, not occurrences.  Words are known by a 64-bit hash throughout.  Tasks count grams in
 arrays and pass them on by bucket, for each word the words before it; the pairs of frequent words
-are dealt over all buckets.  All pairs are final after that one exchange.  A model of up to ``MODEL_BYTES`` is
-collected as sorted arrays and broadcast; a larger one stays a table: every block of documents is
-joined with the entries of its own words and pairs.
+are dealt over all buckets.  All pairs are final after that one exchange.
+
+A model of up to ``HELD_BYTES`` is collected as sorted arrays and broadcast.  A larger one passes
+the driver part by part into a file of sorted arrays, which every executor fetches once and its
+tasks map into memory, so that documents are scored where they are read.  Beyond ``MODEL_BYTES``
+it stays a table: every block of documents is joined with the entries of its own words and pairs.
 """
 
 import math
+import mmap
+import os
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallsketch.llm.common import free_name, located, small, stored, table
+from tallsketch.llm.common import BROADCAST_ROWS, free_name, located, stored, table
 from tallsketch.session import ship_package
 
 #: A CURVE_SHARE-th of the labelled documents, of at most so many, fits the curve; all others count.
 MAX_DOCS = 12_000
 CURVE_SHARE = 4
-#: Bytes of a model that is broadcast, at most; rows of a block that meets a larger one.
-MODEL_BYTES, BLOCK = 128 << 20, 1000
-#: Bytes of a pair and of a word in a broadcast model.
+#: Labelled documents that are broadcast with their keys, at most; more of them as bits by place:
+#: documents of a number, and numbers of a row.
+LABELS, BITS, NUMBERS = BROADCAST_ROWS, 31, 256
+#: Bytes of a model that is broadcast, at most, and of one that is mapped; rows of a block that meets
+#: a larger one.
+HELD_BYTES, MODEL_BYTES, BLOCK = 32 << 20, 4 << 30, 1000
+#: Entries of a part of a model that is mapped, about; keys of a cell, at least; steps that look up a
+#: key from where its cell begins.
+PART, CELL, STEPS = 1 << 17, 4, 32
+#: Bytes of a pair and of a word in a model of arrays.
 PAIR_BYTES, WORD_BYTES = 24, 40
 #: Grams that a task holds before it passes them on; texts that it takes from a batch at once.
 COUNTED, TEXTS = 1_000_000, 200
@@ -66,22 +82,25 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-_HASHES: dict[str, int] = {}
+class _Hashes(dict):
+    """Hashes of words, as signed numbers; those not remembered are worked out."""
+
+    def __missing__(self, w: str) -> int:
+        h = max(2, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+        h -= (h >> 63) << 64
+        if len(w) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[w] = h
+        return h
+
+
+_HASHES = _Hashes()
 
 
 def hashed(found: list[str]) -> np.ndarray:
     """64-bit hashes of words; none is ITSELF or BEGUN."""
-    out = []
-    for w in found:
-        h = _HASHES.get(w)
-        if h is None:
-            h = max(2, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
-            if len(w) <= LONGEST:
-                if len(_HASHES) >= REMEMBERED:
-                    _HASHES.clear()
-                _HASHES[w] = h
-        out.append(h)
-    return np.array(out, np.uint64).view(np.int64)
+    return np.array(list(map(_HASHES.__getitem__, found)), np.int64)
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -91,18 +110,48 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _place(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """1 + place of each key in the sorted ``among``; 0: not there."""
+def _cell_bits(size: int) -> int:
+    """Highest bits that the keys of a cell share: CELL to twice as many hashes do."""
+    return max(1, (size // CELL).bit_length() - 1)
+
+
+def _cells(among: np.ndarray) -> np.ndarray:
+    """Where the keys of each cell begin in the sorted ``among``."""
+    bits = _cell_bits(len(among))
+    out = np.empty(1 << bits, np.uint32)
+    for s in range(0, len(out), AT_ONCE):
+        cell = np.arange(s, min(s + AT_ONCE, len(out))) - (len(out) >> 1)
+        out[s : s + AT_ONCE] = np.searchsorted(among, cell << (64 - bits))
+    return out
+
+
+def _place(keys: np.ndarray, among: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+    """1 + place of each key in the sorted ``among``; 0: not there.  ``cells`` of its hashes save
+    most of the search."""
     if not len(among):
         return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    if cells is None:
+        at = np.searchsorted(among, keys)
+    else:
+        half = len(cells) >> 1
+        at = cells[(keys >> (64 - half.bit_length())) + half].astype(np.int64)
+        left = np.arange(len(keys))
+        for _ in range(STEPS):
+            left = left[at[left] < len(among)]
+            left = left[among[at[left]] < keys[left]]
+            if not len(left):
+                break
+            at[left] += 1
+        else:  # many keys in a cell
+            at[left] = np.searchsorted(among, keys[left])
+    at = np.minimum(at, len(among) - 1)
     return np.where(among[at] == keys, at + 1, 0)
 
 
 @dataclass
 class Model:
     """Sorted hashes of words and of pairs, and their probabilities by place; place 0 is a word or
-    pair outside the model."""
+    pair outside the model.  A model that is mapped goes to tasks as the name of its ``file``."""
 
     words: np.ndarray
     unigram: np.ndarray  # (2, 1 + words): P_c(w), class 1 toxic
@@ -110,13 +159,23 @@ class Model:
     pairs: np.ndarray
     pair_p: np.ndarray   # (2, 1 + pairs): discounted probabilities
     curve: np.ndarray = None
+    cells: tuple[np.ndarray, np.ndarray] = None  # of words and of pairs
+    file: str = None
+
+    def __post_init__(self):
+        self.cells = self.cells or (_cells(self.words), _cells(self.pairs))
+
+    def __reduce__(self):
+        if self.file:
+            return _mapped, (self.file, len(self.words), len(self.pairs), self.curve)
+        return Model, (self.words, self.unigram, self.context, self.pairs, self.pair_p, self.curve)
 
     def ratios(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log P_toxic(w | before) / P_ordinary(w | before) of word hashes; ``first`` marks
         words that begin a text."""
-        ids = _place(h, self.words)
+        ids = _place(h, self.words, self.cells[0])
         weight = np.where(first, 1.0, self.context[:, np.roll(ids, 1)])
-        pair = np.where(first, 0, _place(pair_keys(np.roll(h, 1), h), self.pairs))
+        pair = np.where(first, 0, _place(pair_keys(np.roll(h, 1), h), self.pairs, self.cells[1]))
         p = weight * self.unigram[:, ids] + self.pair_p[:, pair]
         return np.log(p[1]) - np.log(p[0])
 
@@ -175,8 +234,43 @@ def training_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic")
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     fold = F.crc32(F.col(key).cast("string")) % FOLDS
     rows = known.filter(fold != HELD_OUT).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_toxic"))
-    return rows.withColumn("_order", F.md5(F.col(key).cast("string"))).select(
-        key, "_toxic", "_order", (F.crc32("_order") % CURVE_SHARE == 0).alias("_curve"))
+    return rows.select(key, "_toxic", *_order(F.col(key)))
+
+
+def _order(key: Column) -> tuple[Column, Column]:
+    """The order that samples follow, and whether a document may fit the curve."""
+    order = F.md5(key.cast("string"))
+    return order.alias("_order"), (F.crc32(order) % CURVE_SHARE == 0).alias("_curve")
+
+
+def _labelled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """(_text, _toxic, _order, _curve): the documents of the ``chosen`` labels.  Texts are not
+    shuffled if few are chosen or each document has a place in a Parquet file."""
+    if chosen.limit(LABELS + 1).count() <= LABELS:
+        return docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_toxic", "_order", "_curve")
+    by_key = docs.select(key, F.col(text).alias("_text")).join(chosen, key).select("_text", "_toxic", "_order", "_curve")
+    try:
+        docs.metadataColumn("_metadata")
+    except AnalysisException:
+        return by_key
+    at, width = F.col("_place.row"), BITS * NUMBERS
+    rows = located(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_place").select(
+        "_key", "_text", F.col("_place.file").alias("_file"), F.floor(at / width).alias("_block"),
+        F.floor(at % width / BITS).cast("int").alias("_number"), (2 * (at % BITS)).cast("int").alias("_bit"))
+    # two bits of each document: that it is chosen, and its label
+    told = rows.drop("_text").join(chosen.select(F.col(key).alias("_known"), "_toxic"), F.col("_key") == F.col("_known"), "left")
+    bits = lambda value: F.bit_or(F.call_function("shiftleft", value.cast("long"), F.col("_bit")))
+    marks = stored(told.groupBy("_file", "_block", "_number").agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_count(bits(F.lit(1))).alias("places"),
+        bits(F.coalesce(1 + 2 * F.col("_toxic"), F.lit(0))).alias("bits")), "toxicity-marks", clean_up=True)
+    if not marks.filter("rows <> places").isEmpty():  # several rows come from one of the file
+        return by_key
+    blocks = marks.filter("bits <> 0").groupBy("_file", "_block").agg(
+        F.map_from_entries(F.collect_list(F.struct("_number", "bits"))).alias("_bits"))
+    mark = F.call_function("shiftright", F.col("_bits")[F.col("_number")], F.col("_bit")).bitwiseAND(3).cast("int")
+    own = F.col("_key").cast(chosen.schema[key].dataType)
+    return rows.join(F.broadcast(blocks), ["_file", "_block"]).withColumn("_mark", mark).filter("_mark > 0").select(
+        "_text", F.shiftright("_mark", 1).alias("_toxic"), *_order(own))
 
 
 def last_of_sample(rows: DataFrame, size: int) -> str:
@@ -348,16 +442,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     toxic labels.  Repeated documents count each time, null texts have no words, labels without a
     document are not used, and other columns of both tables are not read."""
     ship_package(docs.sparkSession)
-    chosen = small(stored(training_rows(labels, key, label), "toxicity-labels"))
-    train = stored(docs.select(key, F.col(text).alias("_text")).join(chosen, key)
-                   .select("_text", "_toxic", "_order", "_curve"), "toxicity-train")
+    chosen = stored(training_rows(labels, key, label), "toxicity-labels")
+    train = stored(_labelled(docs, chosen, key, text), "toxicity-train", clean_up=True)
     last = last_of_sample(train.filter("_curve"), max(1, max_docs // CURVE_SHARE))
     sample = stored(train.filter(F.col("_curve") & (F.col("_order") <= last)), "toxicity-curve")
     grams = stored(_grams(train.filter(~F.col("_curve") | (F.col("_order") > last)).select("_text", "_toxic"), hot_words(sample)),
-                   "toxicity-grams")
+                   "toxicity-grams", clean_up=True)
     model = _kneser_ney(grams)
-    if PAIR_BYTES * model.pairs.count() + WORD_BYTES * model.singles.count() <= MODEL_BYTES:
+    size = PAIR_BYTES * model.pairs.count() + WORD_BYTES * model.singles.count()
+    if size <= min(HELD_BYTES, MODEL_BYTES):
         model = _collected(model.singles.toArrow(), model.pairs.toArrow(), model.unknown)
+    elif size <= MODEL_BYTES:
+        model = _filed(model)
     model.curve = np.zeros(3)
     place = "_row"
     seen = _described(located(sample, place), place, "_text", model).join(
@@ -410,6 +506,122 @@ def _collected(singles: pa.Table, pairs: pa.Table, unknown: tuple[float, float])
                  keys[order], np.column_stack([[0.0, 0.0], numbers(pairs, "ab")[:, order]]))
 
 
+def _cut_parts(bits: int, names: list[str], paired: bool):
+    """Entries by part, the highest ``bits`` of their keys: keys, and what is known of each, as bytes."""
+    def cut(held):
+        rows = pa.Table.from_batches(held)
+        word = rows.column("word").to_numpy()
+        key = pair_keys(rows.column("before").to_numpy(), word) if paired else word
+        by = np.argsort(key)
+        part = (key[by] >> (64 - bits)).astype(np.int32)
+        known = np.column_stack([rows.column(n).to_numpy() for n in names]).astype(float)[by]
+        at = _edges(part) if len(part) else []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[at]), *[pa.array([x[s:e].tobytes() for s, e in zip(at, [*at[1:], len(by)])], pa.binary()) for x in (key[by], known)]],
+            names=["part", "keys", "known"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= COUNTED:
+                yield cut(held)
+                held, size = [], 0
+        if held:
+            yield cut(held)
+
+    return run
+
+
+def _join_parts(batches):
+    """A row per part, its entries in the order of their keys."""
+    part, held = None, []
+
+    def joined():
+        key = np.frombuffer(b"".join(k for k, _ in held), np.int64)
+        known, by = np.frombuffer(b"".join(v for _, v in held)).reshape(len(key), -1), np.argsort(key, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(key)]), pa.array([key[by].tobytes()], pa.binary()),
+                                           pa.array([known[by].tobytes()], pa.binary())], names=["part", "size", "keys", "known"])
+
+    for b in batches:
+        for now, *entries in zip(*(b.column(n).to_pylist() for n in ("part", "keys", "known"))):
+            if held and now != part:
+                yield joined()
+                held = []
+            part = now
+            held.append(entries)
+    if held:
+        yield joined()
+
+
+def _layout(words: int, pairs: int) -> list[tuple[type, tuple[int, ...], int]]:
+    """Kind, shape and first byte of each array of a file: of words and then of pairs the keys, what
+    is known by place, and the cells; at last the size."""
+    out, at = [], 0
+    for n, known in ((words, 4), (pairs, 2)):
+        for kind, shape in ((np.int64, (n,)), (float, (n + 1, known)), (np.uint32, (1 << _cell_bits(n),))):
+            out.append((kind, shape, at))
+            at += -(-math.prod(shape) * np.dtype(kind).itemsize // 8) * 8
+    return [*out, (np.int64, (0,), at)]
+
+
+def _fetched(df: DataFrame, beside: str):
+    """The rows of a stored table one by one; one of its files at a time is on the driver's disk."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for k, name in enumerate(df.inputFiles()):
+        path, own = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), f"{beside}-{k}"
+        path.getFileSystem(conf).copyToLocalFile(False, path, jvm.org.apache.hadoop.fs.Path(own), True)
+        with pq.ParquetFile(own, buffer_size=1 << 20, pre_buffer=False) as file:
+            yield from file.iter_batches(batch_size=1)
+        os.remove(own)
+
+
+def _filed(model: Tables) -> Model:
+    """The model in a file that every executor fetches; a part at a time passes the driver."""
+    spark = model.pairs.sparkSession
+    sizes = [model.singles.count(), model.pairs.count()]
+    layout = _layout(*sizes)
+    name = f"toxicity-{uuid.uuid4().hex}"
+    path = os.path.join(SparkFiles.getRootDirectory(), name)
+    with open(path, "w+b") as f:
+        f.truncate(layout[-1][2])
+        for k, (table, names, before) in enumerate(((model.singles, "abcd", [*model.unknown, 1.0, 1.0]), (model.pairs, "ab", [0.0, 0.0]))):
+            bits = max(1, (sizes[k] // PART).bit_length())
+            parts = table.mapInArrow(_cut_parts(bits, list(names), k == 1), "part int, keys binary, known binary").repartition("part")
+            parts = stored(parts.sortWithinPartitions("part").mapInArrow(_join_parts, "part int, size long, keys binary, known binary"),
+                           "toxicity-model", clean_up=True)
+            (_, _, keys), (_, _, known), _ = layout[3 * k : 3 * k + 3]
+            f.seek(known)
+            f.write(np.array(before, float).tobytes())
+            known, at, starts = known + 8 * len(before), 0, {}
+            for part, n in sorted(map(tuple, parts.select("part", "size").collect())):
+                starts[part] = at
+                at += n
+            for batch in _fetched(parts, path):
+                for part, *data in zip(*(batch.column(n) for n in ("part", "keys", "known"))):
+                    for first, width, x in zip((keys, known), (8, 8 * len(before)), data):
+                        f.seek(first + width * starts[part.as_py()])
+                        f.write(x.as_buffer())
+            f.flush()
+            f.seek(layout[3 * k + 2][2])
+            f.write(_cells(_arrays(path, layout)[3 * k]).tobytes())
+    spark.sparkContext.addFile(path)
+    return _mapped(name, *sizes, None)
+
+
+def _arrays(path: str, layout) -> list[np.ndarray]:
+    with open(path, "rb") as f:
+        held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    return [np.frombuffer(held, kind, math.prod(shape), at).reshape(shape) for kind, shape, at in layout[:-1]]
+
+
+def _mapped(name: str, words: int, pairs: int, curve: np.ndarray | None) -> Model:
+    """The model in a file that this process can map."""
+    word, single, word_cells, pair, known, pair_cells = _arrays(SparkFiles.get(name), _layout(words, pairs))
+    return Model(word, single.T[:2], single.T[2:], pair, known.T, curve, (word_cells, pair_cells), name)
+
+
 def _block_grams(batches):
     """(block, before, word): the words (before is ITSELF) and pairs of each run of documents of one
     block, distinct but for those of a long run."""

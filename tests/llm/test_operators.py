@@ -6,6 +6,7 @@ import hashlib
 import io
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -530,6 +531,62 @@ def test_scores_are_kneser_ney(spark, monkeypatch, held, hot):
     assert np.allclose(model.curve, toxicity._logistic(x, y, 0.5), atol=1e-6)
 
 
+def test_a_large_model_scores_documents_where_they_are_read(spark, monkeypatch):
+    """A model of more bytes than tasks may hold is mapped from a file: scoring shuffles nothing and
+    gives the scores of the model that is broadcast."""
+    rng = random.Random(16)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)]
+    rows = [(k, " ".join(rng.choices(vocab, [1 / (j + 1) for j in range(400)], k=rng.randint(1, 60)) + ["vile"] * (k % 3 == 0))) for k in range(900)]
+    rows += [(5000, None), (5001, ""), (5002, "unknown words"), (5003, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(900)], "doc_id long, toxic int")
+    held = toxicity.fit(docs, marks, max_docs=400)
+    small = dict(map(tuple, toxicity.score(docs, held).select("doc_id", "score").collect()))
+    monkeypatch.setattr(toxicity, "PAIR_BYTES", 1 << 20)  # a few hundred pairs count as more than 128 MB
+    monkeypatch.setattr(toxicity, "PART", 50)
+    mapped = toxicity.fit(docs, marks, max_docs=400)
+    assert len(held.pairs) > 200 and np.array_equal(mapped.pairs, held.pairs) and np.array_equal(mapped.words, held.words)
+    for name in ("unigram", "context", "pair_p"):
+        assert np.array_equal(getattr(mapped, name), getattr(held, name)), name
+    scored = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), mapped)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    large = dict(map(tuple, scored.select("doc_id", "score").collect()))
+    assert large.keys() == small.keys() and np.allclose([large[k] for k in small], list(small.values()), atol=1e-12)
+    assert len(pickle.dumps(mapped)) < 2000  # tasks get its name
+
+
+def test_places_by_cells():
+    """Keys are found by their cells, however they are spread."""
+    rng = np.random.default_rng(3)
+    ends = np.array([-2**63, -2**63 + 1, -1, 0, 1, 2**63 - 1])
+    for among in (np.zeros(0, np.int64), np.array([5]), ends, np.arange(-700, 900), rng.integers(-2**63, 2**63 - 1, 5000), np.append(rng.integers(0, 2**20, 3000), ends)):
+        among = np.unique(among.astype(np.int64))
+        keys = np.concatenate([rng.permutation(among), ends, rng.integers(-2**63, 2**63 - 1, 500), rng.integers(-1000, 2**20, 500)])
+        at = {int(k): 1 + n for n, k in enumerate(among)}
+        assert toxicity._place(keys, among, toxicity._cells(among)).tolist() == [at.get(int(k), 0) for k in keys]
+
+
+def test_many_labels_meet_texts_without_shuffling_them(spark, monkeypatch, tmp_path):
+    """Labels too many to be broadcast by key mark places in the files; repeated, null and unknown keys
+    give the rows of a join, and so do rows that have no place of their own."""
+    rows = [(k if k % 50 else None, f"text {k}") for k in range(17_000)] + [(7, "again"), (9, None), (99_999, "no label")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(2).write.parquet(str(tmp_path / "docs"))
+    chosen = toxicity.training_rows(spark.createDataFrame([(k, k % 3 % 2) for k in range(0, 20_000, 2)] + [(7, 1), (9, 0)], "doc_id long, toxic int"))
+    chosen = toxicity.stored(chosen, "chosen")
+    there = spark.read.parquet(str(tmp_path / "docs"))
+    twice = there.withColumn("doc_id", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1)))
+    for table, by_place in ((there, True), (docs, False), (twice, False)):
+        want = sorted(map(str, toxicity._labelled(table, chosen, "doc_id", "text").collect()))
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "LABELS", 0)
+            found = toxicity._labelled(table, chosen, "doc_id", "text")
+        assert sorted(map(str, found.collect())) == want and len(want) > 5000
+        assert ("_mark" in found._jdf.queryExecution().analyzed().toString()) == by_place
+        if by_place:
+            assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sample_threshold_is_exact(spark):
     df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("_order")).unionAll(spark.createDataFrame([("0" * 32,)] * 4, "_order string"))
     every = sorted(r[0] for r in df.collect())
